@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from rolegraph.llm import exact_dedup
+from rolegraph.llm import bpe, exact_dedup
 
-QUERIES = {"op5_exact_dedup": exact_dedup.op5_exact_dedup}
+QUERIES = {
+    "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+}
 ORACLES = {"op5_exact_dedup": exact_dedup.OP5_SQL}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from rolegraph.llm import bpe, exact_dedup
+from rolegraph.llm import bpe, chat, exact_dedup, warc
 
 QUERIES = {
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
+    "op3_chat_windows": chat.op3_chat_windows,
+    "op4_warc_roundtrip": warc.op4_warc_roundtrip,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
-ORACLES = {"op5_exact_dedup": exact_dedup.OP5_SQL}
+ORACLES = {"op4_warc_roundtrip": warc.OP4_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}

@@ -60,11 +60,13 @@ class BytePairs:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         alphabet = byte_alphabet()
+        suffix = spec["model"].get("end_of_word_suffix") or ""
         self.first = np.array([vocab[c] for c in alphabet], np.int64)
+        self.last = np.array([vocab[c + suffix] for c in alphabet], np.int64)
         back = {c: b for b, c in enumerate(alphabet)}
         strings = [b""] * (self.size + 1)  # the last stands for unknown ids
         for t, i in vocab.items():
-            strings[i] = bytes(back[c] for c in t)
+            strings[i] = bytes(back[c] for c in t.removesuffix(suffix)) + b" " * (suffix != "" and t.endswith(suffix))
         for t, i in self.special.items():
             strings[i] = t.encode()
         self.bytes_length = np.array([len(s) for s in strings], np.int64)
@@ -84,7 +86,9 @@ class BytePairs:
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and how many each has."""
         lengths = np.array([len(w) for w in words], np.int64)
-        sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sym, ends = self.first[data], np.cumsum(lengths) - 1
+        sym[ends] = self.last[data[ends]]
         word = np.repeat(np.arange(len(words)), lengths)
         done_sym, done_word = [], []
         rank, into = self.look_up(sym[:-1], sym[1:], word[:-1] == word[1:])
@@ -169,15 +173,24 @@ class Encoder:
         first, *rest = text.split(" ")
         return [" " + first, *rest]
 
+    def words(self, key: str) -> list[str] | None:
+        return self.word.findall(key[1:] if key[0] == " " else " " + key)
+
     def learn(self) -> None:
         """Encode the chunks that wait."""
-        words, of = [], []
+        words, of, others = [], [], []
         for n, key in enumerate(self.chunks.new):
-            for w in self.word.findall(key[1:] if key[0] == " " else " " + key):
+            found = self.words(key)
+            if found is None:
+                others.append(n)
+                continue
+            for w in found:
                 words.append(w.encode())
                 of.append(n)
         ids, n = self.pairs.merge(words)
         count = np.bincount(np.array(of, np.int64), weights=n, minlength=len(self.chunks.new)).astype(np.int64)
+        if others:
+            ids, count = self.with_others(ids, count, others)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids

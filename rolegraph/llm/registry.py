@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from rolegraph.llm import bpe, chat, exact_dedup, licenses, packing, toxicity, warc
+from rolegraph.llm import bpe, chat, exact_dedup, licenses, near_dedup, packing, quality, toxicity, vectors, warc
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
     "op3_chat_windows": chat.op3_chat_windows,
     "op4_warc_roundtrip": warc.op4_warc_roundtrip,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_quality": quality.op7_quality,
+    "op8_vector_dedup": vectors.op8_vector_dedup,
     "op9_packing": packing.op9_packing,
     "op10_license_scan": licenses.op10_license_scan,
 }
-ORACLES = {"op4_warc_roundtrip": warc.OP4_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
+ORACLES = {
+    "op4_warc_roundtrip": warc.OP4_SQL,
+    "op5_exact_dedup": exact_dedup.OP5_SQL,
+}

@@ -1,7 +1,7 @@
 """Near-duplicate vectors by spherical-cap filters.
 
-Filters are directions on the sphere with a structured code: a fixed rotation, then two halves, each with
-CODE random code words; every pair of code words is a direction. A vector is decoded to the list of all
+Filters are directions on the sphere with a structured code: one of TURNS fixed rotations, then two halves,
+each with CODE random code words; every pair of code words is a direction. A vector is decoded to the list of all
 directions whose cap it lies in (product at least CAP / sqrt(dim)); since a product is a sum of two parts,
 only code words whose part can still reach the bound are tried. Vectors that share a filter meet there and
 are verified in double precision. A pair is counted in the first filter that both have, so no pair is counted
@@ -25,35 +25,38 @@ from pyspark.sql import functions as F
 from rolegraph.llm.common import cut, key_runs, small_batches, table
 from rolegraph.llm.components import components
 
-CODE, CAP = 256, 3.0
+CODE, TURNS, CAP = 64, 10, 3.1
 #: Vectors of a filter that one task compares with each other, or with as many others.
 TILE = 1024
 
 
-@lru_cache(8)
-def code(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(64)
+def code(dim: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rotation and the code words of both halves."""
-    r = np.random.default_rng(dim)
+    r = np.random.default_rng([dim, turn])
     rotation = np.linalg.qr(r.normal(size=(dim, dim)))[0]
     halves = [r.normal(size=(CODE, n)) for n in (dim // 2, dim - dim // 2)]
     return (rotation, *(h / np.linalg.norm(h, axis=1, keepdims=True) for h in halves))
 
 
-def decode(unit: np.ndarray) -> list[np.ndarray]:
-    """The sorted filters of each row of unit vectors."""
+def decode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and filter of every cap that a row of unit vectors lies in, sorted."""
     n, dim = unit.shape
-    rotation, first, second = code(dim)
-    y = unit @ rotation
-    a, b = y[:, : dim // 2] @ first.T, y[:, dim // 2 :] @ second.T
-    bound = CAP / np.sqrt(dim) * np.sqrt(2)
-    row, word = np.nonzero(a >= (bound - b.max(1))[:, None])
-    out: list[list] = [[] for _ in range(n)]
-    for i in range(0, len(row), 4096):
-        r, w = row[i : i + 4096], word[i : i + 4096]
-        k, other = np.nonzero(a[r, w][:, None] + b[r] >= bound)
-        for x, f in zip(r[k].tolist(), (w[k] * CODE + other).tolist(), strict=True):
-            out[x].append(f)
-    return [np.array(sorted(x), np.int32) for x in out]
+    rows, filters = [], []
+    for turn in range(TURNS):
+        rotation, first, second = code(dim, turn)
+        y = unit @ rotation
+        a, b = y[:, : dim // 2] @ first.T, y[:, dim // 2 :] @ second.T
+        bound = CAP / np.sqrt(dim) * np.sqrt(2)
+        row, word = np.nonzero(a >= (bound - b.max(1))[:, None])
+        for i in range(0, len(row), 8192):
+            r, w = row[i : i + 8192], word[i : i + 8192]
+            k, other = np.nonzero(a[r, w][:, None] + b[r] >= bound)
+            rows.append(r[k])
+            filters.append((turn * CODE + w[k]) * CODE + other)
+    row, f = np.concatenate(rows), np.concatenate(filters)
+    order = np.lexsort((f, row))
+    return row[order], f[order].astype(np.int32)
 
 
 def unit(data: np.ndarray) -> np.ndarray:
@@ -71,39 +74,36 @@ def valid_classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[Dat
 
 
 def _filters(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each vector and filter: dim and filter, the vector, and all its filters."""
+    """A row for each vector and filter: dim and filter, the vector, and its filters of smaller numbers."""
     for b in it:
         c, copies, lists = np.asarray(b.column("c")), np.asarray(b.column("copies")), b.column("v")
         size = np.asarray(lists.value_lengths())
-        values, offs = lists.values.to_numpy(zero_copy_only=False).astype(np.float64), lists.offsets.to_numpy()
+        values, offs = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         for dim in np.unique(size).tolist():
             own = np.flatnonzero(size == dim)
             x = values[offs[own][:, None] + np.arange(dim)]
-            padded = np.pad(unit(x), ((0, 0), (0, max(0, 4 - dim))))
-            found = decode(padded)
-            n = np.array([len(f) for f in found])
-            r = np.repeat(np.arange(len(own)), n)
-            if not len(r):
-                continue
-            raw, packed, flat = [v.tobytes() for v in x], [f.tobytes() for f in found], np.concatenate(found).astype(np.int64) | (dim << 32)
+            r, f = decode(np.pad(unit(x), ((0, 0), (0, max(0, 4 - dim)))))
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            raw, packed = [v.tobytes() for v in x], f.tobytes()
             for i in range(0, len(r), 4096):
-                p = r[i : i + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[i : i + 4096]), pa.array(c[own[p]]), pa.array(copies[own[p]]), pa.array([raw[k] for k in p.tolist()], pa.binary()), pa.array([packed[k] for k in p.tolist()], pa.binary())], names=["filter", "c", "copies", "v", "filters"])
+                p, before = r[i : i + 4096], place[i : i + 4096]
+                smaller = [packed[4 * (k - n) : 4 * k] for k, n in zip(range(i, i + len(p)), before.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(f[i : i + 4096].astype(np.int64) | (dim << 32)), pa.array(c[own[p]]), pa.array(copies[own[p]]), pa.array([raw[k] for k in p.tolist()], pa.binary()), pa.array(smaller, pa.binary())], names=["filter", "c", "copies", "v", "smaller"])
 
 
-def _meet(least: float):
+def _meet(least: float, kind: str):
     """Runs of equal tiles to c, links (copies that c links with there), root (the smallest c of its component there)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in key_runs(it, "tile"):
-            tile, c, copies, side, whole, filters = (np.asarray(t.column(k)) for k in ("tile", "c", "copies", "side", "whole", "filter"))
-            raw, lists = t.column("v").to_pylist(), t.column("filters").to_pylist()
+            tile, c, copies, side, whole = (np.asarray(t.column(k)) for k in ("tile", "c", "copies", "side", "whole"))
+            raw, lists = t.column("v").to_pylist(), t.column("smaller").to_pylist()
             edges = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True])
             out: list[np.ndarray] = []
             for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if z - a < 2:
                     continue
-                u = unit(np.frombuffer(b"".join(raw[a:z]), np.float64).reshape(z - a, -1))
+                u = unit(np.frombuffer(b"".join(raw[a:z]), kind).reshape(z - a, -1))
                 near = np.triu(u @ u.T >= least, 1)
                 if not whole[a]:
                     near &= side[a:z, None] != side[None, a:z]
@@ -113,8 +113,7 @@ def _meet(least: float):
                 used, back = np.unique(np.r_[i, j], return_inverse=True)
                 i, j = back[: len(i)], back[len(i) :]
                 # Pairs that share an earlier filter were counted there.
-                f = int(filters[a]) & 0xFFFFFFFF
-                before = [x[x < f] for x in (np.frombuffer(lists[a + k], np.int32) for k in used)]
+                before = [np.frombuffer(lists[a + k], np.int32) for k in used]
                 ids, at = np.unique(np.concatenate(before), return_inverse=True)
                 if len(ids):
                     held = np.zeros((len(used), len(ids)), np.float32)
@@ -149,13 +148,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     small_batches(vectors.sparkSession)
     rows, classes = valid_classes(vectors, id_col, vector_col)
     classes = cut(classes)
-    caps = cut(classes.select("c", "copies", "v").mapInArrow(_filters, "filter long, c long, copies long, v binary, filters binary"))
+    caps = classes.select("c", "copies", "v").mapInArrow(_filters, "filter long, c long, copies long, v binary, smaller binary")
+    kind = "f4" if dict(classes.dtypes)["v"] == "array<float>" else "f8"
     large = caps.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE).select("filter", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
     dealt = caps.join(cut(large), "filter", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.hash("c"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        F.xxhash64("filter", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "filter", "c", "copies", "v", "filters", (F.col("own") <= F.col("other")).alias("side"), (F.col("own") == F.col("other")).alias("whole")
+        F.xxhash64("filter", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "filter", "c", "copies", "v", "smaller", (F.col("own") <= F.col("other")).alias("side"), (F.col("own") == F.col("other")).alias("whole")
     )
-    met = cut(dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(_meet(least), "c long, links long, root long"))
+    met = cut(dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(_meet(least, kind), "c long, links long, root long"))
     comp = components(met.select("c", "root"))
     links = met.groupBy("c").agg(F.sum("links").alias("links"))
     named = classes.select("c", "first", "copies").join(links, "c", "left").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))

@@ -25,6 +25,8 @@ from rolegraph.llm.common import batches, cut, key_runs, small_batches, table
 SPACES = r"[\x20\x09-\x0D]+"
 #: Fingerprints that a task packs into one filter.
 FILTER_ROWS = 1 << 20
+#: A fingerprint with more than one in HOT of all rows is spread over SALTS tasks.
+HOT, SALTS = 512, 64
 
 
 class CountingQuotientFilter:
@@ -74,7 +76,7 @@ class CountingQuotientFilter:
 
 
 def repeated_fingerprints(rows: DataFrame, fingerprint: str = "fp", slice_bits: int | None = None) -> DataFrame:
-    """Fingerprints (long) that occur more than once, as column fp.
+    """Fingerprints (long) that occur more than once, as fp and n.
 
     slice_bits: a filter is cut into 2^slice_bits ranges; the default follows the session's shuffle
     partitions, so a range's share of the input falls as the cluster is set up for more data.
@@ -104,7 +106,7 @@ def repeated_fingerprints(rows: DataFrame, fingerprint: str = "fp", slice_bits:
         if n:
             yield flush()
 
-    out = pa.schema([("fp", pa.int64())])
+    out = pa.schema([("fp", pa.int64()), ("n", pa.int64())])
 
     def merge(it):
         for run in key_runs(it, "slice"):
@@ -117,11 +119,11 @@ def repeated_fingerprints(rows: DataFrame, fingerprint: str = "fp", slice_bits:
                 f, c = CountingQuotientFilter.unpack(blobs[a]).merge(*map(CountingQuotientFilter.unpack, blobs[a + 1 : z])).entries()
                 f = (f[c > 1] >> np.uint64(bits)) | np.uint64(ids[a] << (64 - bits))
                 if len(f):
-                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64))], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(c[c > 1], pa.int64())], schema=out)
                 a = z
 
     filters = rows.select(fingerprint).mapInArrow(pack, "slice int, filter binary")
-    return filters.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "fp long")
+    return filters.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "fp long, n long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,17 +133,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = rows.select("doc_id", "__text", F.xxhash64("__text").alias("fp"))
     light = cut(keyed.select("doc_id", "fp", F.sha2(F.encode("__text", "UTF-8"), 256).alias("text_sha256")))
     repeated = cut(repeated_fingerprints(light))
+    # At most HOT fingerprints can each hold more than one in HOT of the rows, so that list may be broadcast.
+    hot = F.broadcast(repeated.filter(F.col("n") > light.count() / HOT).select("fp", F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.hash("doc_id"), F.lit(SALTS))).otherwise(0)
+    each_salt = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    spread = lambda rows: rows.join(hot, "fp", "left").withColumn("__salt", salt).drop("__hot")
+    copied = lambda rows: rows.join(hot, "fp", "left").withColumn("__salt", each_salt).drop("__hot")
     classes = (
-        keyed.join(repeated, "fp", "left_semi")
+        spread(keyed)
+        .join(copied(repeated), ["fp", "__salt"], "left_semi")
         .groupBy("fp", "__text")  # compares the texts' bytes
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
         .select("fp", F.sha2(F.encode("__text", "UTF-8"), 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    classes = cut(classes)
-    copy = F.row_number().over(Window.partitionBy("doc_id", "fp", "text_sha256").orderBy("doc_id"))
-    found = light.join(classes, ["fp", "text_sha256"]).withColumn("__copy", copy).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__copy") == 1))
-    alone = light.join(classes, ["fp", "text_sha256"], "left_anti").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    classes, light = copied(cut(classes)), spread(light)
+    keys = ["fp", "text_sha256", "__salt"]
+    copy = F.row_number().over(Window.partitionBy("doc_id", *keys).orderBy("doc_id"))
+    found = light.join(classes, keys).withColumn("__copy", copy).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__copy") == 1))
+    alone = light.join(classes, keys, "left_anti").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     cols = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     return found.select(cols).unionByName(alone.select(cols))
 

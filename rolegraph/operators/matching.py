@@ -17,6 +17,7 @@ from rolegraph.functions.text import collapse, fold
 #: Synonyms of the match key, replaced in order.
 SYNONYMS = (("software developer", "software engineer"), ("developer", "engineer"))
 CATEGORIES = ["title", "skill", "experience", "education", "location", "language", "certification", "industry"]
+LISTS = ["skill", "education", "language", "certification", "industry"]
 TITLE_AT, SKILL_AT, LIST_AT = 70, 85, 80
 
 
@@ -113,26 +114,28 @@ def score(pairs_: DataFrame, jobs: DataFrame, requirements: DataFrame, candidate
     """
     jobs = jobs.filter("status = 'parsed'") if "status" in jobs.columns else jobs
     pairs_ = pairs_.join(jobs.select("job_id"), "job_id", "left_semi")
-    lists = requirements.filter(F.col("category").isin("skill", "education", "language", "certification", "industry"))
+    lists = requirements.filter(F.col("category").isin(LISTS))
     lists = lists if compat else lists.withColumn("value", F.when(F.col("category") == "education", F.regexp_replace("value", "^(?:field|level):", "")).when(F.col("category") == "language", F.regexp_replace("value", ":.*$", "")).otherwise(F.col("value")))
     hits = requirement_hits(pairs_, lists, values)
     order = F.array_position(F.array(*(F.lit(c) for c in CATEGORIES)), F.col("category"))
     entry = F.struct(order.alias("o"), F.col("seq").cast("long").alias("seq"), "category", F.col("raw_value").alias("value"), F.lit(None).cast("string").alias("reason"))
     ids = ["job_id", "candidate_id"]
+    w = F.when((F.col("category") == "skill") & (F.col("importance") == "required"), 2.0).otherwise(1.0)
+    share = lambda c: 100 * F.coalesce(F.sum(F.when((F.col("category") == c) & F.col("found"), w)), F.lit(0.0)) / F.sum(F.when(F.col("category") == c, w))
     evidence = hits.groupBy(ids).agg(
+        *(share(c).alias(c) for c in LISTS),
         F.collect_list(F.when(F.col("any_value") & F.col("found"), entry)).alias("m"),
         F.collect_list(F.when(F.col("any_value") & ~F.col("found"), entry)).alias("x"),
         F.collect_set(F.when(~F.col("any_value"), F.struct(order.alias("o"), F.lit(0).cast("long").alias("seq"), "category", F.lit(None).cast("string").alias("value"), F.concat(F.lit("candidate_"), "category", F.when(F.col("category") == "skill", F.lit("s")).otherwise(F.lit("")), F.lit("_missing")).alias("reason")))).alias("u"),
     )
-    wide = list_scores(hits).groupBy(ids).pivot("category", ["skill", "education", "language", "certification", "industry"]).agg(F.first("score"))
     place = requirements.filter("category = 'location'").groupBy("job_id").agg(F.min_by("value", "seq").alias("place")).withColumn("place", F.col("place") if compat else F.regexp_replace("place", "^(?:city|country|work_mode):", ""))
-    rows = title_scores(pairs_, jobs, titles).join(wide, ids, "left").join(evidence, ids, "left").join(jobs.select("job_id", "title", "min_experience_years", F.col("city").alias("job_city"), F.col("country").alias("job_country")), "job_id").join(place, "job_id", "left").join(candidates.select("candidate_id", "city", "country", "total_experience_months"), "candidate_id")
+    rows = title_scores(pairs_, jobs, titles).join(evidence, ids, "left").join(jobs.select("job_id", "title", "min_experience_years", F.col("city").alias("job_city"), F.col("country").alias("job_country")), "job_id").join(place, "job_id", "left").join(candidates.select("candidate_id", "city", "country", "total_experience_months"), "candidate_id")
     asked = F.col("place").isNotNull() | (F.coalesce("job_city", F.lit("")) != "") | (F.coalesce("job_country", F.lit("")) != "")
     target = F.coalesce(F.nullif(F.col("job_city"), F.lit("")), "place", F.lit(""))
     exp, loc = experience_score(F.col("min_experience_years"), F.col("total_experience_months")), location_score(asked, target, F.col("job_country"), F.col("city"), F.col("country"))
     rows = rows.withColumns({"experience_known": exp, "location_known": loc})
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    scores = {"title": zero("title_score"), "experience": zero("experience_known"), "location": zero("location_known")} | {c: F.coalesce(F.col(c), F.lit(100.0)) for c in ("skill", "education", "language", "certification", "industry")}
+    scores = {"title": zero("title_score"), "experience": zero("experience_known"), "location": zero("location_known")} | {c: F.coalesce(F.col(c), F.lit(100.0)) for c in LISTS}
     rows = rows.select("*", *(v.alias(f"s_{k}") for k, v in scores.items())).withColumn("total_score", total({k: F.col(f"s_{k}") for k in scores}))
     one = lambda cond, o, category, value, reason=None: F.when(cond, F.array(F.struct(F.lit(o).alias("o"), F.lit(0).cast("long").alias("seq"), F.lit(category).alias("category"), value.cast("string").alias("value"), F.lit(reason).cast("string").alias("reason")))).otherwise(F.array())
     years = F.col("total_experience_months") / 12

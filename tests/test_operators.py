@@ -53,7 +53,8 @@ def test_queries_in_order(spark):
     req = spark.createDataFrame([("j", "title", "software developer", 1.0, 1.0, 0), ("j", "education", "field:x", 1.0, 1.0, 1), ("j", "industry", "steel", 1.0, 1.0, 2)], "job_id string, type string, normalized_value string, weight double, confidence double, seq long")
     made = sourcing.generate(sourcing.query_inputs(job, req), ("tr", "en"), max_queries=30)
     rows = made.orderBy("position").collect()
-    assert [r.query_type for r in rows] == ["title_location"] * 2 + ["precision"] * 2 + ["title_skills"] * 2 + ["education_location", "industry_title", "required_skills"] + ["recall"] * 2 or len({r.normalized_query_key for r in rows}) == len(rows)
+    # The recall queries have the keys of title_location here, so the earlier ones stay.
+    assert [r.query_type for r in rows] == ["title_location"] * 2 + ["precision"] * 2 + ["title_skills"] * 2 + ["education_location", "industry_title", "required_skills"]
     assert rows[0].query_text == 'site:linkedin.com/in ("Yazılım Geliştirici" OR "Yazılım Mühendisi") "Bursa"'
     new, counts = sourcing.persist(made, made, spark.createDataFrame([("j", "parsed")], "job_id string, status string"))
     assert new.count() == 0 and counts.first().existing == len(rows)
@@ -153,7 +154,7 @@ def test_matching_uncertain(spark):
 def test_pages(spark):
     html = "<div class='g'><a href='https://a.b/c'>Ada <b>B</b></a><p>snippet</p></div><script>x</script><article><a href='/r'>R</a></article>"
     rec, rejected = pages.result_records(spark.createDataFrame([(1, html), (2, "<p>see <a href='u'>long title</a> now</p>"), (3, None)], "page_id long, html string"))
-    assert {(r.page_id, r["rank"], r.url, r.title, r.snippet) for r in rec.collect()} == {(1, 1, "https://a.b/c", "Ada B", "snippet"), (1, 2, "/r", "R", None), (2, 1, "u", "long title", "see now")} or rec.count() == 3
+    assert {(r.page_id, r["rank"], r.url, r.title, r.snippet) for r in rec.collect()} == {(1, 1, "https://a.b/c", "Ada B", "snippet"), (1, 2, "/r", "R", None), (2, 1, "u", "long title", "see  now")}
     assert rejected.first().reject_reason == "empty_page"
     profile = "<section data-section='top-card'><h1 data-field='name'>Demo Engineer</h1></section><section data-section='skills'><ul><li>Python</li><li>SQL</li></ul></section>"
     p = pages.profile_fields(spark.createDataFrame([("1", profile)], "page_id string, html string")).first()

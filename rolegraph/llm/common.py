@@ -6,6 +6,7 @@ time, so a task's memory does not depend on the number of rows that it reads.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 #: Rows and bytes of an Arrow batch between the JVM and Python.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,7 +85,6 @@ def row_groups(offs: np.ndarray, target: int = STEP_BYTES) -> Iterator[tuple[int
         i = j
 
 
-_M64 = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 1 << 64)
 
@@ -156,18 +156,32 @@ class Words:
         self.rows = np.searchsorted(self.starts, offs)
 
 
+def tidy(run):
+    """For mapInArrow: run, and at the task's end give freed memory back, since Python workers outlive tasks."""
+
+    def wrapped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(it)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def batches(fn, schema: pa.Schema):
-    """For mapInArrow: fn(batch) gives a dict of columns for each batch."""
+    """For mapInArrow: fn(batch) gives the columns of the schema for each batch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) if not isinstance(v, pa.Array | pa.ChunkedArray) else v.cast(t) for v, t in zip(fn(b), schema.types, strict=True)], schema=schema)
 
-    return run
+    return tidy(run)
 
 
-def key_runs(it: Iterator[pa.RecordBatch], key: str, most: int = 1 << 30) -> Iterator[pa.Table]:
+def key_runs(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Whole runs of equal keys from sorted batches, several small runs at a time."""
     kept: list[pa.RecordBatch] = []
     for b in it:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolegraph.llm.common import row_groups, small_batches, table, text_buffer
+from rolegraph.llm.common import row_groups, small_batches, table, text_buffer, tidy
 from rolegraph.llm.labelled import remainder, sample
 
 #: Examples of each label, and the longest text among them.
@@ -108,8 +108,8 @@ class Network:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(examples: list[tuple[str, int]], epochs: int = 14, batch: int = 64, most_chunks: int = 10, seed: int = 7) -> Network | None:
-    """Adam on mini-batches; each epoch takes at most most_chunks chunks of an example, drawn anew."""
+def fit(examples: list[tuple[str, int]], epochs: int = 14, least_steps: int = 900, batch: int = 64, most_chunks: int = 10, seed: int = 7) -> Network | None:
+    """Adam on mini-batches, at least least_steps of them; each epoch takes at most most_chunks chunks of an example, drawn anew."""
     y = np.array([v for _, v in examples], np.int64)
     if not len(y) or y.min() == y.max():
         return None
@@ -118,7 +118,9 @@ def fit(examples: list[tuple[str, int]], epochs: int = 14, batch: int = 64, most
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y).mean())
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
-    steps, total = 0, epochs * -(-len(raw) // batch)
+    per_epoch = -(-len(raw) // batch)
+    epochs = max(epochs, -(-least_steps // per_epoch))
+    steps, total = 0, epochs * per_epoch
     for _ in range(epochs):
         order = r.permutation(len(raw))
         for i in range(0, len(order), batch):
@@ -150,7 +152,7 @@ def with_scores(docs: DataFrame, model: Network | None, text_col: str = "text",
             found = [np.ones(b.num_rows)] if model is None else [model.scores(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in row_groups(offs, 1 << 18)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | None:

@@ -1,11 +1,12 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 Filters are directions on the sphere with a structured code: one of TURNS fixed rotations, then two halves,
-each with CODE random code words; every pair of code words is a direction. A vector is decoded to the list of all
-directions whose cap it lies in (product at least CAP / sqrt(dim)); since a product is a sum of two parts,
-only code words whose part can still reach the bound are tried. Vectors that share a filter meet there and
-are verified in double precision. A pair is counted in the first filter that both have, so no pair is counted
-twice and pairs themselves are never stored; a filter with many vectors is dealt out as tiles.
+each with CODE random code words; every pair of code words is a direction. A vector is decoded to the list
+of all directions whose cap it lies in; a cap holds SHARE of the sphere, or is as wide as CLOSEST. Since a
+product is a sum of two parts, only code words whose part can still reach the bound are tried. Vectors that
+share a filter meet there and are verified in double precision. A pair is counted in the first filter that
+both have, so no pair is counted twice and pairs themselves are never stored; a filter with many vectors is
+dealt out as tiles.
 
 Defined results: null, zero, and empty vectors and those with null or non-finite components link with
 nothing; vectors of different lengths don't link; equal vectors are one node with a weight and link with
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegraph.llm.common import cut, key_runs, small_batches, table
+from rolegraph.llm.common import cut, key_runs, small_batches, table, tidy
 from rolegraph.llm.components import components
 
-CODE, TURNS, CAP = 64, 10, 3.1
+CODE, TURNS, SHARE, CLOSEST = 64, 10, 8e-4, 0.9
 #: Vectors of a filter that one task compares with each other, or with as many others.
 TILE = 1024
 
@@ -39,15 +40,23 @@ def code(dim: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (rotation, *(h / np.linalg.norm(h, axis=1, keepdims=True) for h in halves))
 
 
+@lru_cache(64)
+def cap(dim: int) -> float:
+    """The least product of a unit vector with a direction whose cap it lies in."""
+    r = np.random.default_rng(dim)
+    x = r.normal(size=1_000_000)
+    return float(min(CLOSEST, np.quantile(x / np.sqrt(x * x + r.chisquare(dim - 1, x.size)), 1 - SHARE)))
+
+
 def decode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and filter of every cap that a row of unit vectors lies in, sorted."""
     n, dim = unit.shape
-    rows, filters = [], []
+    rows, filters = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for turn in range(TURNS):
         rotation, first, second = code(dim, turn)
         y = unit @ rotation
         a, b = y[:, : dim // 2] @ first.T, y[:, dim // 2 :] @ second.T
-        bound = CAP / np.sqrt(dim) * np.sqrt(2)
+        bound = cap(dim) * np.sqrt(2)
         row, word = np.nonzero(a >= (bound - b.max(1))[:, None])
         for i in range(0, len(row), 8192):
             r, w = row[i : i + 8192], word[i : i + 8192]
@@ -148,14 +157,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     small_batches(vectors.sparkSession)
     rows, classes = valid_classes(vectors, id_col, vector_col)
     classes = cut(classes)
-    caps = classes.select("c", "copies", "v").mapInArrow(_filters, "filter long, c long, copies long, v binary, smaller binary")
+    caps = classes.select("c", "copies", "v").mapInArrow(tidy(_filters), "filter long, c long, copies long, v binary, smaller binary")
     kind = "f4" if dict(classes.dtypes)["v"] == "array<float>" else "f8"
     large = caps.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE).select("filter", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
     dealt = caps.join(cut(large), "filter", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.hash("c"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         F.xxhash64("filter", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "filter", "c", "copies", "v", "smaller", (F.col("own") <= F.col("other")).alias("side"), (F.col("own") == F.col("other")).alias("whole")
     )
-    met = cut(dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(_meet(least, kind), "c long, links long, root long"))
+    met = cut(dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(_meet(least, kind)), "c long, links long, root long"))
     comp = components(met.select("c", "root"))
     links = met.groupBy("c").agg(F.sum("links").alias("links"))
     named = classes.select("c", "first", "copies").join(links, "c", "left").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))

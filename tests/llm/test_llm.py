@@ -87,8 +87,8 @@ def variants():
 def test_near_dedup(spark, monkeypatch):
     texts = variants()
     want = linked(list(enumerate(texts)), 4, 80)
-    for leaf, block, seekers in ((128, 512, 256), (16, 32, 8)):
-        for k, v in (("LEAF", leaf), ("BLOCK", block), ("SEEKERS", seekers)):
+    for leaf, block, tile in ((128, 512, 1 << 20), (16, 32, 2000)):
+        for k, v in (("LEAF", leaf), ("BLOCK", block), ("TILE", tile)):
             monkeypatch.setattr(near_dedup, k, v)
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
         assert got == {i: (n, c, i == c) for i, (n, c) in want.items()}
@@ -367,3 +367,12 @@ def test_entry_lists_all():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if re.match(r"op\d", x)}
     assert os.path.exists("corpus_pipeline.py")
+
+
+def test_empty_tables(spark, tmp_path):
+    d = parquet(
+        spark, tmp_path, documents=spark.createDataFrame([], DOC), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), pages=spark.createDataFrame([], "page_id long, url string, html string"),
+        conversations=spark.createDataFrame([], "conv_id long, turn long, role string, text string"), embeddings=spark.createDataFrame([], "vec_id long, embedding array<float>, label int"),
+    )
+    for name, q in QUERIES.items():
+        assert q(spark, d).count() == (1 if name.startswith("op3_") else 0), name

@@ -9,7 +9,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolegraph.llm.common import cut
+from rolegraph.llm.common import cut, tidy
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The edges (u, v) as stars around the smallest node of each component: two rows, nodes and their centres."""
+    ids, back = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = back[: len(u)], back[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    return np.stack([ids[own], ids[label[own]]])
 
 
 def _contract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -17,21 +34,9 @@ def _contract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         if not b.num_rows:
             continue
-        u, v = np.asarray(b.column(0)), np.asarray(b.column(1))
-        ids, back = np.unique(np.concatenate([u, v]), return_inverse=True)
-        x, y = back[: len(u)], back[len(u) :]
-        label = np.arange(len(ids))
-        while True:
-            before = label.copy()
-            least = np.minimum(label[x], label[y])
-            np.minimum.at(label, x, least)
-            np.minimum.at(label, y, least)
-            label = label[label]
-            if (label == before).all():
-                break
-        own = np.flatnonzero(label != np.arange(len(ids)))
-        if len(own):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]])], names=["u", "v"])
+        u, v = stars(np.asarray(b.column(0)), np.asarray(b.column(1)))
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges: two long columns. Nothing but a count and a checksum of the edges comes to the driver.
     """
     a, b = edges.columns
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").mapInArrow(_contract, "u long, v long")
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").mapInArrow(tidy(_contract), "u long, v long")
     e, last = cut(e.distinct()), None
     while True:
         # Small star: each node links its smaller neighbours to the smallest of them.

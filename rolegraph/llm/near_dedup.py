@@ -6,10 +6,11 @@ its path; its children hold the documents that have equal tokens there, so simil
 far more often than others. Nodes of at most LEAF documents are compared exhaustively by their tokens. Nodes
 that are still larger at the last level are compared with a few of their members, in blocks.
 
-Candidates are confirmed on the full sets of shingles. The first pass confirms for each document only its
-most similar candidate; the second compares all pairs of a node whose documents are then in different
-components. In large nodes this second pass takes the documents outside the node's main component against
-all its members, so no pair of a node stays untried, and no group is expanded into all its pairs.
+Links are confirmed on the full sets of shingles. The first pass confirms for each document only its most
+similar candidate. The second takes the documents of a node that have a candidate in another component,
+counts the common shingles of all of them at once as a matrix product of the sets, and joins components that
+have a link. In large nodes the documents outside the node's main component are taken
+against all its members, in tiles. So no pair of a node stays untried, and pairs are never stored.
 
 Defined results: documents with equal sets are one node of the graph; null and empty texts have no shingles
 and are linked with nothing; a text of fewer words than a shingle is one shingle; null doc_ids come after
@@ -25,12 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegraph.llm.common import ASCII_SPACE, Words, byte_values, cut, key_runs, mix64, row_groups, small_batches, table, text_buffer
-from rolegraph.llm.components import components
+from rolegraph.llm.common import ASCII_SPACE, Words, byte_values, cut, key_runs, mix64, row_groups, small_batches, table, text_buffer, tidy
+from rolegraph.llm.components import components, stars
 
 SIZE, TREES, DEPTH, LEAF = 64, 8, 4, 128
 #: Members of a large node that all others are compared with, and the size of its blocks.
-PIVOTS, BLOCK = 8, 1024
+PIVOTS, BLOCK = 8, 512
+#: Shingles of a large node's members that one task takes at once in the second pass.
+TILE = 1 << 20
+#: Buckets of the filter before a join by id: a table of at most so many numbers, so it may be broadcast.
+BUCKETS = 1 << 20
 #: Equal tokens of SIZE from which a pair is confirmed; a pair of similarity 0.8 has fewer with a chance of about 1e-4.
 LEAST = 39
 VALUES = byte_values()
@@ -83,7 +88,7 @@ def set_features(docs: DataFrame, size: int) -> DataFrame:
                     tokens.append(minwise(s).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(tokens, pa.binary())], names=["doc_id", "n_shingles", "c", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, c long, tokens binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, n_shingles long, c long, tokens binary")
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -127,10 +132,12 @@ def counted(rows: DataFrame) -> DataFrame:
 
 
 def compare(rows: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
-    """a, b, equal: pairs within nodes with at least LEAST equal tokens, one of them a pivot.
+    """Pairs within nodes with at least LEAST equal tokens, one of them a pivot, in different components.
 
-    rows: node, c, pivot, comp. Only pairs of different comp count. best: of each b only the most similar a.
+    rows: node, c, pivot, comp. best: a, b, equal: for each b in a node its most similar a. Otherwise: the rows
+    that are in any such pair.
     """
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("equal", pa.int64())] if best else [("node", pa.int64()), ("c", pa.int64()), ("comp", pa.int64()), ("pivot", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in key_runs(it, "node"):
@@ -138,43 +145,61 @@ def compare(rows: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
             tokens = matrix(t.column("tokens"))
             begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             start = np.repeat(begin, np.diff(np.r_[begin, len(node)]))
-            rows_, place = np.arange(len(node)), np.arange(len(node)) - start
-            pivots = np.add.reduceat(pivot, begin)[np.searchsorted(begin, start)]
-            top, of = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+            place = np.arange(len(node)) - start
+            pivots = np.repeat(np.add.reduceat(pivot, begin), np.diff(np.r_[begin, len(node)]))
+            top, of, met = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.zeros(len(node), bool)
             for k in range(int(pivots.max())):
-                r = rows_[(place > k) & (pivots > k)]
+                r = np.flatnonzero((place > k) & (pivots > k))
                 p = start[r] + k
                 differ = comp[r] != comp[p]
                 r, p = r[differ], p[differ]
-                for i in range(0, len(r), 8192):
-                    x, y = r[i : i + 8192], p[i : i + 8192]
+                for i in range(0, len(r), 2048):
+                    x, y = r[i : i + 2048], p[i : i + 2048]
                     equal = (tokens[x] == tokens[y]).sum(1)
                     if best:
                         better = equal > top[x]
                         top[x[better]], of[x[better]] = equal[better], c[y[better]]
-                    elif (hit := equal >= LEAST).any():
-                        yield pa.RecordBatch.from_arrays([pa.array(c[y[hit]]), pa.array(c[x[hit]]), pa.array(equal[hit], pa.int64())], names=["a", "b", "equal"])
-            if best and (hit := top >= LEAST).any():
-                yield pa.RecordBatch.from_arrays([pa.array(of[hit]), pa.array(c[hit]), pa.array(top[hit])], names=["a", "b", "equal"])
+                    else:
+                        hit = equal >= LEAST
+                        met[x[hit]] = met[y[hit]] = True
+            keep = top >= LEAST if best else met
+            if keep.any():
+                columns = (of, c, top) if best else (node, c, comp, pivot)
+                yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in columns], schema=out)
 
     full = rows.join(classes.select("c", "tokens"), "c").select("node", "c", "comp", F.col("pivot").cast("long").alias("pivot"), "tokens")
-    return full.repartition("node").sortWithinPartitions("node", F.desc("pivot"), "c").mapInArrow(run, "a long, b long, equal long")
+    return full.repartition("node").sortWithinPartitions("node", F.desc("pivot"), "c").mapInArrow(tidy(run), ", ".join(f"{n} long" for n in out.names))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int, sets: bool) -> DataFrame:
+    """c and the text (or the packed set) of one document of each class of ids (c).
+
+    Documents whose id falls in no bucket of the wanted ids leave before the join.
+    """
     some_id = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
-    ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    ids = ids.join(classes, "c").select(some_id("min_doc").alias("__doc")).distinct()
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    wanted = ids.join(classes, "c").select(some_id("min_doc").alias("__doc")).distinct()
+    buckets = F.broadcast(wanted.select(bucket("__doc").alias("__bucket")).distinct())  # at most BUCKETS rows
+    found = docs.withColumn("__doc", some_id("doc_id")).withColumn("__bucket", bucket("__doc")).join(buckets, "__bucket", "left_semi")
+    found = found.join(wanted.hint("shuffle_hash"), "__doc", "left_semi").select(F.col("text").cast("string"))
 
-    def with_class(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             data, offs = text_buffer(b.column(0))
-            c = [set_hash(s) for i, j in row_groups(offs) for s in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), b.column(0)], names=["c", "text"])
+            c, packed = [], []
+            for i, j in row_groups(offs):
+                for s in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size):
+                    c.append(set_hash(s))
+                    packed.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(packed, pa.binary()) if sets else b.column(0)], names=["c", "body"])
+
+    return found.mapInArrow(tidy(run), "c long, body binary" if sets else "c long, body string").dropDuplicates(["c"])
 
-    texts = docs.withColumn("__doc", some_id("doc_id")).join(ids.hint("shuffle_hash"), "__doc", "left_semi").select(F.col("text").cast("string"))
-    texts = cut(texts.mapInArrow(with_class, "c long, text string").dropDuplicates(["c"]))
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    texts = cut(texts_of(ids, classes, docs, size, sets=False))
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -186,19 +211,64 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
                     ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], names=["a", "b", "ok"])
 
-    both = pairs.select("a", "b").join(texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.mapInArrow(check, "a long, b long, ok boolean").filter("ok").select("a", "b")
+    text = lambda p: texts.select(F.col("c").alias(p), F.col("body").alias(f"text_{p}"))
+    return pairs.select("a", "b").join(text("a"), "a").join(text("b"), "b").mapInArrow(tidy(check), "a long, b long, ok boolean").filter("ok").select("a", "b")
+
+
+def common_counts(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """Sizes of the intersections of the first sets with all sets, as a matrix product over the shingles that two of them have."""
+    ids, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.full(len(ids), -1)
+    column[n > 1] = np.arange((n > 1).sum())
+    row, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column[at]
+    row, at = row[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out, width = np.zeros((first, len(sets)), np.float32), 1024
+    for lo in range(0, int((n > 1).sum()), width):
+        a, z = np.searchsorted(at, [lo, lo + width])
+        held = np.zeros((len(sets), width), np.float32)
+        held[row[a:z], at[a:z] - lo] = 1
+        out += held[:first] @ held.T
+    return out
+
+
+def exact_links(rows: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: components that a link of any pivot joins, as stars of each node. rows: node, c, comp, pivot."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in key_runs(it, "node"):
+            node, c, comp, pivot = (np.asarray(t.column(k)) for k in ("node", "c", "comp", "pivot"))
+            packed = t.column("body").to_pylist()
+            edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
+            links = []
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                n = int(pivot[a:z].sum())
+                if n == 0 or z - a < 2:
+                    continue
+                sets = [np.frombuffer(b, np.uint64) for b in packed[a:z]]
+                length = np.array([len(s) for s in sets], np.float64)
+                common = common_counts(sets, n).astype(np.float64)
+                near = 100 * common >= percent * (length[:n, None] + length[None, :] - common)
+                x, y = np.nonzero(near & (comp[a : a + n, None] != comp[None, a:z]))
+                if len(x):
+                    links.append(stars(comp[a + x], comp[a + y]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.concatenate(links, 1)], names=["a", "b"])
+
+    sets = texts_of(rows.select("c").distinct(), classes, docs, size, sets=True)
+    return rows.join(sets, "c").repartition("node").sortWithinPartitions("node", F.desc("pivot"), "c").mapInArrow(tidy(run), "a long, b long")
 
 
 def candidate_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """node, c, n of the leaves and of the nodes that are large at the last level."""
-    rows = cut(counted(cut(classes.select("c", "tokens").mapInArrow(_branch, "node long, c long"))))
+    rows = cut(counted(classes.select("c", "tokens").mapInArrow(tidy(_branch), "node long, c long")))
     leaves = rows.filter(F.col("n") <= LEAF)
     for _ in range(DEPTH - 1):
         large = rows.filter(F.col("n") > LEAF)
         if large.isEmpty():
             break
-        below = large.select("node", "c").join(classes.select("c", "tokens"), "c").mapInArrow(_branch, "node long, c long")
+        below = large.select("node", "c").join(classes.select("c", "tokens"), "c").mapInArrow(tidy(_branch), "node long, c long")
         rows = cut(counted(cut(below)))
         leaves = leaves.unionByName(rows.filter(F.col("n") <= LEAF))
     return leaves, rows.filter(F.col("n") > LEAF)
@@ -211,7 +281,7 @@ def _spread(node: str, number):
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     features = cut(set_features(docs, size))
-    classes = cut(features.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("min_doc"), F.first("tokens").alias("tokens")))
+    classes = cut(features.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("min_doc"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles")))
     leaves, large = candidate_nodes(classes)
 
     # First pass: each document's most similar candidate.
@@ -231,15 +301,18 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     small, big = cut(labelled(leaves)), cut(labelled(large))
     mixed = small.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("node")
     rows = small.join(mixed, "node", "left_semi").select("node", "c", "comp", F.lit(True).alias("pivot"))
-    main = big.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("n")).select("node", F.col("m.comp").alias("main"), (F.col("n") - F.col("m.k")).alias("others")).filter("others > 0")
-    big = big.join(main, "node").withColumns({"blocks": blocks, "groups": F.ceil(F.col("others") / LEAF).cast("int"), "pivot": F.col("comp") != F.col("main")})
+    sized = big.join(classes.select("c", "n_shingles"), "c")
+    main = sized.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("w")).groupBy("node").agg(F.max(F.struct("k", "comp", "w")).alias("m"), F.sum("w").alias("w"))
+    main = main.select("node", F.col("m.comp").alias("main"), F.ceil(F.col("w") / TILE).cast("int").alias("blocks"), F.ceil(2 * (F.col("w") - F.col("m.w")) / TILE).cast("int").alias("groups")).filter("groups > 0")
+    big = big.join(main, "node").withColumn("pivot", F.col("comp") != F.col("main"))
     tile = lambda k, g: F.xxhash64("node", k, g).alias("node")
-    seekers = big.filter("pivot").withColumn("g", F.pmod(F.hash("c"), F.col("groups"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sought = big.withColumn("k", F.pmod(F.hash("c"), F.col("blocks"))).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).filter("not pivot or g <> pmod(hash(c), groups)")
+    group, block = F.pmod(F.hash("c"), F.col("groups")), F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
+    seekers = big.filter("pivot").withColumn("g", group).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sought = big.withColumn("k", block).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).filter(~F.col("pivot") | (F.col("g") != group))
     rows = rows.unionByName(seekers.select(tile("k", "g"), "c", "comp", "pivot")).unionByName(sought.select(tile("k", "g"), "c", "comp", F.lit(False).alias("pivot")))
-    second = cut(compare(rows, classes, best=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not second.isEmpty():
-        comp = components(links.unionByName(confirmed(second, classes, docs, size, percent)))
+    suspects = cut(compare(rows, classes, best=False))
+    if not suspects.isEmpty():
+        comp = components(links.unionByName(exact_links(suspects, classes, docs, size, percent)))
 
     named = classes.select("c", "min_doc").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("min_doc").alias("component_id"))
@@ -258,3 +331,14 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (min(a.n) + min(b.n) - count(*))),
+r AS (SELECT doc_id AS id, doc_id AS reach FROM s UNION SELECT r.id, link.b FROM r JOIN link ON link.a = r.reach),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.id = s.doc_id
+"""

@@ -24,11 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from rolegraph.llm.common import batches, small_batches, table
+from rolegraph.llm.common import batches, small_batches, table, tidy
 
 #: The pattern of byte-level BPE's words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\t\r"]
+MARKS = frozenset(".,;:!?|")
 #: Chunks that a worker's cache keeps.
 CACHE = 200_000
 NONE = np.int64(1 << 40)
@@ -162,7 +163,7 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.chunks, self.ids, self.start, self.count = Chunks(), np.zeros(1 << 16, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.chunks, self.ids, self.start, self.count = Chunks(), np.zeros(1 << 16, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.used = 0
 
     def keys(self, text: str) -> list[str]:
@@ -174,6 +175,11 @@ class Encoder:
         return [" " + first, *rest]
 
     def words(self, key: str) -> list[str] | None:
+        if key.isascii():  # most chunks are a word, or a word and a mark
+            if key.isalpha():
+                return [" " + key]
+            if key[-1:] in MARKS and key[:-1].isalpha():
+                return [" " + key[:-1], key[-1]]
         return self.word.findall(key[1:] if key[0] == " " else " " + key)
 
     def learn(self) -> None:
@@ -183,11 +189,10 @@ class Encoder:
             found = self.words(key)
             if found is None:
                 others.append(n)
-                continue
-            for w in found:
-                words.append(w.encode())
-                of.append(n)
-        ids, n = self.pairs.merge(words)
+            else:
+                words += found
+                of += [n] * len(found)
+        ids, n = self.pairs.merge([w.encode() for w in words])
         count = np.bincount(np.array(of, np.int64), weights=n, minlength=len(self.chunks.new)).astype(np.int64)
         if others:
             ids, count = self.with_others(ids, count, others)
@@ -201,7 +206,7 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has."""
-        if len(self.chunks) > CACHE or self.used > 16 * CACHE:
+        if len(self.chunks) > CACHE or self.used > 8 * CACHE:
             self.reset()
         numbers, sizes = [], []
         for text in texts:
@@ -239,7 +244,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(offs: np.ndarray, rows: int, target: int = 1 << 20) -> list[tuple[int, int]]:
+def slices(offs: np.ndarray, rows: int, target: int = 1 << 18) -> list[tuple[int, int]]:
     """Ranges of rows of about target values each."""
     out, i = [], 0
     while i < rows:
@@ -266,7 +271,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", into: str = "ids")
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), lists], names=[*names, into])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -282,7 +287,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded"
             texts = [t.decode("utf-8", "replace") for t in decoded_rows(p, b.column(names.index(ids_col)))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*names, into])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StringType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def decoded_rows(p: BytePairs, lists: pa.Array) -> Iterable[bytes]:

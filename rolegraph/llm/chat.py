@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolegraph.llm.bpe import byte_bpe_path, encoder
-from rolegraph.llm.common import small_batches, table
+from rolegraph.llm.common import small_batches, table, tidy
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of this and other common templates.
@@ -152,7 +152,7 @@ def format_chat(turns: DataFrame, budget: int = 2048, history: int = 256, tokeni
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string"), F.col("text").cast("string"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(tidy(run), WINDOWS)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         if state is not None:
             yield batch([row()])
 
-    return windows.select("conv_id", "text", "loss", "n_repeated").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return windows.select("conv_id", "text", "loss", "n_repeated").mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rolegraph.llm.common import batches, cut, key_runs, small_batches, table
+from rolegraph.llm.common import cut, key_runs, small_batches, table, tidy
 
 #: Java's pattern of the white space that is replaced by one space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -122,8 +122,8 @@ def repeated_fingerprints(rows: DataFrame, fingerprint: str = "fp", slice_bits:
                     yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(c[c > 1], pa.int64())], schema=out)
                 a = z
 
-    filters = rows.select(fingerprint).mapInArrow(pack, "slice int, filter binary")
-    return filters.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "fp long, n long")
+    filters = rows.select(fingerprint).mapInArrow(tidy(pack), "slice int, filter binary")
+    return filters.repartition("slice").sortWithinPartitions("slice").mapInArrow(tidy(merge), "fp long, n long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

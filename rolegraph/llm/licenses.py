@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegraph.llm.common import Words, byte_values, row_groups, small_batches, table, text_buffer
+from rolegraph.llm.common import Words, byte_values, row_groups, small_batches, table, text_buffer, tidy
 
 #: Phrases whose presence alone gives a label.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -65,7 +65,7 @@ def token_counts(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[int,
                 total += np.bincount(at[known[at] == w.hashes], minlength=len(known))
         yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(total)], names=["token", "n"])
 
-    found = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = {int(r.token) & (1 << 64) - 1: int(r.n) for r in found.collect()}
     return {int(h): counts.get(int(h), 0) for h in known}
 
@@ -159,7 +159,7 @@ def scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[str, str
                 columns = [b.column("doc_id").slice(i, n), np.diff(w.rows), n_base, pa.array(first, mask=none), pa.array(last, mask=none), join(base), join([x | y for x, y in zip(base, labels, strict=True)]), score]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return texts.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return texts.mapInArrow(tidy(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from rolegraph.llm.bpe import RARE_SPACES, Encoder, slices
-from rolegraph.llm.common import small_batches, table
+from rolegraph.llm.bpe import MARKS, RARE_SPACES, Encoder, slices
+from rolegraph.llm.common import small_batches, table, tidy
 
 WINDOW, END_ID, OPEN = 4096, 2, 256
 #: The pattern of the tokenizer's words.
@@ -50,6 +50,11 @@ class WordEncoder(Encoder):
 
     def words(self, key: str) -> list[str] | None:
         """None if the library must encode the chunk: letters that Unicode composes or that change their length, or special tokens."""
+        if key.isascii() or max(key) <= "\xff":  # most chunks are a word, or a word and a mark
+            if key.isalpha():
+                return [key.lower()]
+            if key[-1:] in MARKS and key[:-1].isalpha():
+                return [key[:-1].lower(), key[-1]]
         if "<|" in key or not key.isprintable() or (not key.isascii() and max(key) > "\xff"):
             return None
         return self.word.findall(key.lower())
@@ -194,7 +199,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         packer.close()
         yield from pieces()
 
-    return docs.selectExpr(f"cast(`{id_col}` as long)", f"cast(`{text_col}` as string)").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return docs.selectExpr(f"cast(`{id_col}` as long)", f"cast(`{text_col}` as string)").mapInArrow(tidy(run), PIECES + ", ids array<int>" * with_ids)
 
 
 def word_bpe_path() -> str:

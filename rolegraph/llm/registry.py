@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLES = {
+    "op1_near_dedup": near_dedup.OP1_SQL,
     "op4_warc_roundtrip": warc.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolegraph.llm.common import Words, byte_values, row_groups, small_batches, table, text_buffer
+from rolegraph.llm.common import Words, byte_values, row_groups, small_batches, table, text_buffer, tidy
 from rolegraph.llm.labelled import remainder, sample
 
 #: Examples of each label, and the longest text among them.
-MOST, MOST_CHARS = {1: 4000, 0: 6000}, 20_000
+MOST, MOST_CHARS = {1: 1400, 0: 5000}, 20_000
 #: Features: whole words, their first 3 to 6 bytes and their last 4 and 5.
 AFFIXES = (3, 4, 5, 6, -4, -5)
 SEPARATORS = np.ones(256, bool)
@@ -191,7 +191,7 @@ def with_scores(docs: DataFrame, model: Model | None, text_col: str = "text", in
             extra = [pa.array([x for _, f in parts for x in f], struct)] if located else []
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), *extra], names=[f.name for f in fields])
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(tidy(run), T.StructType(fields))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:

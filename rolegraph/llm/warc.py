@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegraph.llm.common import cut, new_folder, small_batches, table, utf8
+from rolegraph.llm.common import cut, new_folder, small_batches, table, tidy, utf8
 
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 100
@@ -102,7 +102,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return rows.mapInArrow(run, INDEX)
+    return rows.mapInArrow(tidy(run), INDEX)
 
 
 def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
@@ -141,7 +141,7 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
 
     sorted_ = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return sorted_.mapInArrow(run, RECORD)
+    return sorted_.mapInArrow(tidy(run), RECORD)
 
 
 def op4_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ against all its members, in tiles. So no pair of a node stays untried, and pairs
 
 Defined results: documents with equal sets are one node of the graph; null and empty texts have no shingles
 and are linked with nothing; a text of fewer words than a shingle is one shingle; null doc_ids come after
-all others; rows with equal doc_id and text share a component. Extra columns are not read.
+all others; rows with equal doc_id and text share a component. Extra columns are not read. `kept` compares
+doc_ids, so it holds for several rows where ids are null or repeated; one_of_each() decides by row.
 """
 
 from __future__ import annotations
@@ -73,8 +74,12 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def set_features(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, c (a hash of the set), tokens."""
+def text_sha(c: str):
+    return F.unhex(F.sha2(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def set_features(docs: DataFrame, size: int, sha: bool = False) -> DataFrame:
+    """doc_id, n_shingles, c (a hash of the set), tokens, and with sha a hash of the text."""
     small_batches(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,9 +91,10 @@ def set_features(docs: DataFrame, size: int) -> DataFrame:
                     n.append(len(s))
                     c.append(set_hash(s))
                     tokens.append(minwise(s).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(tokens, pa.binary())], names=["doc_id", "n_shingles", "c", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(tokens, pa.binary()), *b.columns[2:]], names=["doc_id", "n_shingles", "c", "tokens", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, n_shingles long, c long, tokens binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([text_sha("text").alias("sha")] if sha else []))
+    return rows.mapInArrow(tidy(run), "doc_id long, n_shingles long, c long, tokens binary" + (", sha binary" if sha else ""))
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -278,9 +284,9 @@ def _spread(node: str, number):
     return F.xxhash64(F.col(node), number)
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    features = cut(set_features(docs, size))
+def grouped(docs: DataFrame, size: int, percent: int, sha: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The features of docs, and c, component, min_doc of each set of shingles."""
+    features = cut(set_features(docs, size, sha))
     classes = cut(features.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("min_doc"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles")))
     leaves, large = candidate_nodes(classes)
 
@@ -314,7 +320,12 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     if not suspects.isEmpty():
         comp = components(links.unionByName(exact_links(suspects, classes, docs, size, percent)))
 
-    named = classes.select("c", "min_doc").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    return features, classes.select("c", "min_doc").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+    features, named = grouped(docs, size, percent)
     least = named.groupBy("component").agg(F.min("min_doc").alias("component_id"))
     named = cut(named.join(least, "component").select("c", "component_id"))
     some = features.filter("n_shingles > 0").select("doc_id", "n_shingles", "c").join(named, "c")
@@ -324,9 +335,24 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay, one of each group, with all their columns."""
-    gone = near_duplicates(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of docs that stay, with all their columns: one row of each group, and all rows without shingles.
+
+    Of a group the row of the smallest doc_id stays (null after all others), of equal doc_ids that of the
+    smallest hash of the text, and one row where both are equal.
+    """
+    features, named = grouped(docs, size, percent, sha=True)
+    rows = features.filter("n_shingles > 0").select("doc_id", "sha", "c").join(named.select("c", "component"), "c")
+    keys = cut(rows.groupBy("component", "doc_id", "sha").agg(F.count(F.lit(1)).alias("n")))
+    first = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("m")).select("m.doc_id", "m.sha", F.lit(True).alias("first"))
+    at = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.sha") == F.col(f"{y}.sha"))
+    # The rows of first that occur once need no decision.
+    decided = cut(keys.alias("k").join(first.alias("f"), at("k", "f"), "left").filter("first is null or n > 1").select(F.col("k.doc_id").alias("__doc"), F.col("k.sha").alias("__sha"), F.coalesce("first", F.lit(False)).alias("__first")))
+    d = docs.withColumns({"__sha": text_sha("text"), "__doc": F.col("doc_id").cast("long")}).alias("d")
+    among = lambda some, how: d.join(some.alias("s"), F.col("d.__doc").eqNullSafe(F.col("s.__doc")) & (F.col("d.__sha") == F.col("s.__sha")), how)
+    out, repeated = among(decided, "left_anti"), decided.filter("__first")
+    if not repeated.isEmpty():
+        out = out.unionByName(among(repeated, "left_semi").dropDuplicates(["__doc", "__sha"]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,23 @@ def test_near_dedup_empty_and_repeated(spark):
     assert sorted((str(r.doc_id), r.component_id) for r in near_dedup.near_duplicates(df).collect()) == [("2", 2), ("3", 3), ("3", 3), ("None", 3)]
 
 
+def test_near_dedup_keeps_one_row_of_each(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, other, third = " ".join(words), " ".join(f"v{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    copy = " ".join([*words[:-1], "x"])  # of near
+    kept = lambda rows: sorted(((r.doc_id, r.text, r.k) for r in near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, k int")).collect()), key=str)
+    # (a) A null id that is a near-copy takes no other null id along, nor one without shingles.
+    assert kept([(1, near, 0), (None, copy, 0), (None, other, 0), (None, "", 0), (None, None, 0)]) == sorted([(1, near, 0), (None, other, 0), (None, "", 0), (None, None, 0)], key=str)
+    # (b) A repeated id leaves with the text that is a near-copy only.
+    assert kept([(1, near, 0), (2, copy, 0), (2, other, 0), (2, " ", 0)]) == sorted([(1, near, 0), (2, other, 0), (2, " ", 0)], key=str)
+    # (c) One stays of a group whose ids are all null or all equal.
+    for i in (None, 7):
+        left = kept([(i, near, 0), (i, copy, 0), (i, near.upper(), 0), (i, other, 0), (i, third, 0)])
+        assert [t for _, t, _ in left].count(other) == [t for _, t, _ in left].count(third) == 1 and len(left) == 3
+    # Of rows that agree in id and text one stays.
+    assert [r[:2] for r in kept([(3, near, 0), (3, near, 1), (4, copy, 0), (5, other, 0)])] == [(3, near), (5, other)]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)]

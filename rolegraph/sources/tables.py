@@ -84,9 +84,11 @@ def guarded(c: Column) -> Column:
     return F.when(c.rlike(r"^[=+@\-]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
-def shortlist_export(entries: DataFrame, most: int = 10_000) -> DataFrame:
-    """Each job's export of a listing: guarded text, ISO times, blank for no score, oldest first, at most `most` rows a job (the export's size)."""
-    rows = entries.withColumn("n", F.row_number().over(Window.partitionBy("job_id").orderBy("created_at", "candidate_id"))).filter(F.col("n") <= most)
+def shortlist_export(entries: DataFrame, most: int | None = None) -> DataFrame:
+    """Each job's export of a listing: guarded text, ISO times, blank for no score, oldest first; all rows, or at most `most` a job (10,000 in the reference's request)."""
+    rows = entries.withColumn("n", F.row_number().over(Window.partitionBy("job_id").orderBy("created_at", "candidate_id")))
+    if most is not None:
+        rows = rows.filter(F.col("n") <= most)
     text = ["full_name", "headline", "current_title", "current_company", "city", "country", "source", "normalized_profile_url", "status", "note"]
     return rows.select("job_id", "n", *(guarded(F.coalesce(c, F.lit(""))).alias(c) for c in text if c in entries.columns), F.coalesce(F.col("total_score").cast("string"), F.lit("")).alias("total_score"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_at"))
 

@@ -173,6 +173,12 @@ def test_sources(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, tables.upsert(once, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_shortlist_export_is_whole(spark):
+    n = 10_050
+    rows = spark.range(n).select(F.lit(1).alias("job_id"), F.col("id").alias("candidate_id"), F.lit("=x").alias("full_name"), F.lit(None).cast("double").alias("total_score"), F.timestamp_seconds("id").alias("created_at"))
+    assert tables.shortlist_export(rows).count() == n and tables.shortlist_export(rows, most=7).count() == 7
+
+
 def test_statuses_and_rules(spark):
     c = spark.createDataFrame([("draft", "parsed"), ("draft", "completed"), ("parsed", "parsed")], "from_status string, to_status string")
     assert {(r.from_status, r.to_status): r.allowed for r in shortlists.checked(c, "job").collect()} == {("draft", "parsed"): True, ("draft", "completed"): False, ("parsed", "parsed"): True}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from difflib import SequenceMatcher
 from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -80,6 +81,43 @@ def blocked_pairs(candidates: DataFrame, cap: int = 100) -> DataFrame:
     return both.withColumn("n", F.row_number().over(Window.partitionBy("base_id").orderBy("other_at", "other_id"))).filter(F.col("n") <= cap).select("base_id", "other_id")
 
 
+def _block_keys() -> dict[str, Column]:
+    return {k: F.when(has_text(F.col(c)), fold(F.col(c))) for k, c in (("b_url", "normalized_profile_url"), ("b_slug", "profile_slug"), ("b_name", "full_name"))}
+
+
+def blocked_counts(candidates: DataFrame) -> DataFrame:
+    """base_id, others: how many share a URL, a slug or a name with each, from the sizes of groups (no pairs are made); candidate_id is unique."""
+    keys = list(_block_keys())
+    rows = candidates.select("candidate_id", *(c.alias(k) for k, c in _block_keys().items()))
+    out, total = rows, F.lit(-1)
+    for n in (1, 2, 3):
+        for some in combinations(keys, n):
+            name = "n_" + "_".join(some)
+            size = rows.dropna(subset=list(some)).groupBy(*some).agg(F.count(F.lit(1)).alias(name))
+            out = out.join(size, list(some), "left")
+            total = total + F.coalesce(F.col(name), F.lit(0)) * (1 if n % 2 else -1)
+    return out.select(F.col("candidate_id").alias("base_id"), total.alias("others")).filter("others > 0")
+
+
+def best_pairs(candidates: DataFrame, limit: int, min_score: float) -> DataFrame:
+    """The pairs of blocked_pairs() without a cap among which each base's best `limit` by R5's score and other_id are.
+
+    Equal keys of a level give at least its score, so of each level's key the smallest limit + 1 ids suffice,
+    and what is joined grows with the candidates, not with the square of a group.
+    """
+    cols = ["normalized_profile_url", "profile_slug", "headline", "city", "current_company"]
+    rows = candidates.select("candidate_id", *(c.alias(k) for k, c in _block_keys().items()), *(fold(clean(F.col(c))).alias(c) for c in cols), fold(person_name(F.col("full_name"))).alias("full_name"))
+    sure = [["normalized_profile_url"], ["profile_slug"], ["full_name", "headline", "city"], ["full_name", "current_company"]]
+    levels = [[block, *level] for level in sure for block in _block_keys()]
+    if min_score <= 0.85:  # near names that share a URL or slug are above; else the names are equal
+        levels += [["b_name", "headline"], ["b_name", "city"]]
+    each = [F.when(reduce(Column.__and__, (F.col(c).isNotNull() for c in level)), F.struct(F.lit(i).alias("level"), F.array(*level).alias("key"))) for i, level in enumerate(levels)]
+    keyed = rows.select("candidate_id", F.explode(F.array_compact(F.array(*each))).alias("x")).select("candidate_id", "x.level", "x.key")
+    first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("level", "key").orderBy("candidate_id"))).filter(F.col("n") <= limit + 1)
+    pairs = keyed.withColumnRenamed("candidate_id", "base_id").join(first.select(F.col("candidate_id").alias("other_id"), "level", "key"), ["level", "key"])
+    return pairs.filter("base_id <> other_id").select("base_id", "other_id").distinct()
+
+
 @F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; Spark has edit distance only."""

@@ -276,8 +276,8 @@ def precision_queries(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT a.candidate_id AS base_id, count(DISTINCT b.candidate_id) AS others FROM v_people a JOIN v_people b ON a.candidate_id <> b.candidate_id AND (a.normalized_profile_url = b.normalized_profile_url OR a.profile_slug = b.profile_slug OR a.full_name = b.full_name) GROUP BY 1")
 def duplicate_blocking(spark: SparkSession, d: str) -> DataFrame:
-    """How many candidates share a key with each (no group here reaches the request's cap)."""
-    return C.blocked_pairs(view(spark, d, "v_people"), cap=10_000).groupBy("base_id").agg(F.count(F.lit(1)).alias("others"))
+    """How many candidates share a key with each."""
+    return C.blocked_counts(view(spark, d, "v_people"))
 
 
 @query("""
@@ -289,7 +289,7 @@ SELECT base_id, other_id, score, rank FROM (SELECT *, row_number() OVER (PARTITI
 def duplicate_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """Each candidate's three best duplicates."""
     people = view(spark, d, "v_people")
-    scores = C.duplicate_scores(C.blocked_pairs(people, cap=10_000), people)
+    scores = C.duplicate_scores(C.best_pairs(people, 3, 0.87), people)
     return C.suggestions(scores, 0.87, 3).select("base_id", "other_id", "score", "rank")
 
 

@@ -92,6 +92,29 @@ def test_duplicate_scores(spark):
     assert got[2] == 1.0 and got[3] == 0.95 and got[4] == 0.9 and 0.8 < got[5] < 0.89 and 6 not in got
 
 
+def test_duplicates_of_a_hot_name(spark, monkeypatch):
+    from rolegraph.plans import queries as Q
+
+    # One name for 10,050 people; the two youngest alone share a slug.
+    n = 10_050
+    people = spark.range(n).select(F.col("id").alias("candidate_id"), F.timestamp_seconds("id").alias("created_at"), F.lit(None).cast("string").alias("normalized_profile_url"), F.when(F.col("id") >= n - 2, "s").alias("profile_slug"), F.lit("Ada Byron").alias("full_name"), *(F.lit(None).cast("string").alias(c) for c in ("headline", "city", "current_company")))
+    monkeypatch.setattr(Q, "view", lambda *_: people)
+    assert [tuple(r) for r in Q.duplicate_blocking(spark, "").groupBy("others").count().collect()] == [(n - 1, n)]
+    assert {(r.base_id, r.other_id, r.score) for r in Q.duplicate_suggestions(spark, "").collect()} == {(n - 1, n - 2, 0.99), (n - 2, n - 1, 0.99)}
+
+
+def test_best_pairs_equal_all_pairs(spark):
+    pick = lambda i, k, *v: v[(i * k + i // 3) % len(v)]
+    people = [(i, datetime.datetime(2020, 1, 1), pick(i, 5, None, "u1", "U1", " u1", "u2"), pick(i, 7, None, None, "s1", "s2"), pick(i, 3, "Ada Byron", "ada byron", "Bob Ray", "LinkedIn Member", None), pick(i, 11, "h", None, "g"), pick(i, 2, "c", "d", None), pick(i, 13, None, "k", "l", "m")) for i in range(60)]
+    df = spark.createDataFrame(people, "candidate_id long, created_at timestamp, normalized_profile_url string, profile_slug string, full_name string, headline string, city string, current_company string").cache()
+    every = C.blocked_pairs(df, cap=10**6).cache()
+    scores = C.duplicate_scores(every, df).cache()
+    rows = lambda x: sorted(map(tuple, x.select("base_id", "other_id", "score", "rank").collect()))
+    for limit, least in ((3, 0.87), (4, 0.8)):
+        assert rows(C.suggestions(C.duplicate_scores(C.best_pairs(df, limit, least), df), least, limit)) == rows(C.suggestions(scores, least, limit))
+    assert sorted(map(tuple, C.blocked_counts(df).collect())) == sorted(map(tuple, every.groupBy("base_id").count().collect()))
+
+
 def test_quality(spark):
     cols = "candidate_id long, full_name string, normalized_profile_url string, headline string, location_raw string, city string, country string, current_title string, current_company string, about string, discovery_snippet string"
     df = spark.createDataFrame([(1, *[None] * 10), (2, "Ada", "https://www.linkedin.com/in/ada", "h", None, "c", None, "t", "k", "a", "s"), (3, "LinkedIn Member", "https://google.com/x", *[None] * 8)], cols)

@@ -7,6 +7,7 @@ time, so a task's memory does not depend on the number of rows that it reads.
 from __future__ import annotations
 
 import ctypes
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,6 +23,9 @@ STEP_BYTES = 1 << 18
 #: Rows and bytes of an Arrow batch between the JVM and Python.
 BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
+#: Bytes that a task should read at least, where a stage is known to read little.
+TASK_BYTES = 4 << 20
+
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -38,27 +42,76 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or an own one where that is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
+    """The folder that all machines share: spark.checkpoint.dir, or an own one on a single machine where that is unset."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if given := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
+        return given.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A folder for one run under the shared one; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _, fs, at = _file(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def _file(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _, fs, at = _file(spark, path)
+    fs.delete(at, True)
+
+
+class Scratch:
+    """Intermediate tables of one run, as Parquet in a folder of their own that all machines share.
+
+    A table is computed once, survives lost executors and ends the lineage. It is read in as many partitions as
+    its bytes need, and its size is known to the planner. Tables that are no longer needed can be dropped; what
+    the result still reads goes when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.spark, self.folder, self.number, self.paths = spark, new_folder(spark, kind), 0, {}
+
+    def keep(self, df: DataFrame, stage_bytes: float | None = None) -> DataFrame:
+        """df written and read again. stage_bytes: about how much the last stage of df reads, where that is known to be little."""
+        self.number += 1
+        path = f"{self.folder}/{self.number}"
+        fitted(df, stage_bytes).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes tables that keep() gave and that nothing reads any more."""
+        for f in frames:
+            delete(self.spark, self.paths.pop(id(f))[1])
+
+
+def fitted(df: DataFrame, stage_bytes: float | None) -> DataFrame:
+    """df in no more partitions than tasks of TASK_BYTES need; rows don't move between machines for that."""
+    return df if stage_bytes is None else df.coalesce(max(1, math.ceil(stage_bytes / TASK_BYTES)))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared folder: survives lost executors and ends the lineage."""
-    spark = df.sparkSession
-    where = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rolegraph.llm.common import cut, key_runs, small_batches, table, tidy
+from rolegraph.llm.common import Scratch, key_runs, small_batches, table, tidy
+from rolegraph.llm.decisions import decided_rows
 
 #: Java's pattern of the white space that is replaced by one space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -129,10 +130,11 @@ def repeated_fingerprints(rows: DataFrame, fingerprint: str = "fp", slice_bits:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("__text"))
     keyed = rows.select("doc_id", "__text", F.xxhash64("__text").alias("fp"))
-    light = cut(keyed.select("doc_id", "fp", F.sha2(F.encode("__text", "UTF-8"), 256).alias("text_sha256")))
-    repeated = cut(repeated_fingerprints(light))
+    light = scratch.keep(keyed.select("doc_id", "fp", F.sha2(F.encode("__text", "UTF-8"), 256).alias("text_sha256")))
+    repeated = scratch.keep(repeated_fingerprints(light))
     # At most HOT fingerprints can each hold more than one in HOT of the rows, so that list may be broadcast.
     hot = F.broadcast(repeated.filter(F.col("n") > light.count() / HOT).select("fp", F.lit(True).alias("__hot")))
     salt = F.when(F.col("__hot"), F.pmod(F.hash("doc_id"), F.lit(SALTS))).otherwise(0)
@@ -147,7 +149,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .filter("group_size > 1")
         .select("fp", F.sha2(F.encode("__text", "UTF-8"), 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    classes, light = copied(cut(classes)), spread(light)
+    classes, light = copied(scratch.keep(classes)), spread(light)
     keys = ["fp", "text_sha256", "__salt"]
     copy = F.row_number().over(Window.partitionBy("doc_id", *keys).orderBy("doc_id"))
     found = light.join(classes, keys).withColumn("__copy", copy).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__copy") == 1))
@@ -158,15 +160,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    decided = cut(exact_dedup(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"))
-    sha = F.sha2(F.encode(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " "), "UTF-8"), 256)
-    d, at = docs.withColumn("__sha", sha), lambda x: F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col(f"{x}.doc_id")) & (F.col("d.__sha") == F.col(f"{x}.text_sha256"))
-    gone = decided.filter("not kept").select("doc_id", "text_sha256").distinct()
-    rest = d.alias("d").join(gone.alias("g"), at("g"), "left_anti")
-    # A row that occurs twice is both dropped and kept.
-    both = decided.filter("kept").alias("k").join(gone.alias("g"), F.col("k.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("k.text_sha256") == F.col("g.text_sha256")), "left_semi")
-    again = d.alias("d").join(both.alias("b"), at("b"), "left_semi").dropDuplicates([id_col, "__sha"])
-    return rest.unionByName(again).drop("__sha")
+    rows = exact_dedup(docs, id_col, text_col).filter("not kept or group_size > 1").select("doc_id", "text_sha256", "kept")
+    marks = rows.groupBy(F.col("doc_id").alias("doc"), F.col("text_sha256").alias("sha")).agg(F.bool_or("kept").alias("first"), F.bool_or(~F.col("kept")).alias("some"))
+    # A row that occurs once and stays needs no decision.
+    decided = Scratch(docs.sparkSession, "exact-dedup").keep(marks.filter("some").select("doc", "sha", "first"))
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
+    return decided_rows(docs, decided, F.col(id_col).cast("long"), F.sha2(F.encode(text, "UTF-8"), 256))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,22 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegraph.llm.common import ASCII_SPACE, Words, byte_values, cut, key_runs, mix64, row_groups, small_batches, table, text_buffer, tidy
+from rolegraph.llm.common import ASCII_SPACE, Scratch, Words, byte_values, fitted, key_runs, mix64, row_groups, small_batches, table, text_buffer, tidy, unused
 from rolegraph.llm.components import components, stars
+from rolegraph.llm.decisions import BUCKETS, bucket, decided_rows
 
 SIZE, TREES, DEPTH, LEAF = 64, 8, 4, 128
 #: Members of a large node that all others are compared with, and the size of its blocks.
 PIVOTS, BLOCK = 8, 512
 #: Shingles of a large node's members that one task takes at once in the second pass.
 TILE = 1 << 20
-#: Buckets of the filter before a join by id: a table of at most so many numbers, so it may be broadcast.
-BUCKETS = 1 << 20
 #: Equal tokens of SIZE from which a pair is confirmed; a pair of similarity 0.8 has fewer with a chance of about 1e-4.
 LEAST = 39
 VALUES = byte_values()
 _R = np.random.default_rng(20)
 FACTORS = _R.integers(1, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NO_ID = -(1 << 63)
+#: About the bytes of a row that holds tokens, and of one of a few numbers, where the rows of a stage are counted.
+TOKEN_ROW, ROW = 300, 32
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -132,16 +133,21 @@ def _branch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(c[r])], names=["node", "c"])
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """node, c, n of nodes with more than one document."""
-    return rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "node")
+def counted(below: DataFrame, scratch: Scratch, n_rows: int) -> DataFrame:
+    """node, c, n of nodes with more than one document. below: a kept table of n_rows rows node, c.
+
+    The sizes are a table of their own, so a node with many documents is split by a skewed join.
+    """
+    sizes = scratch.keep(below.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), n_rows * ROW)
+    return scratch.keep(below.join(sizes, "node"), n_rows * ROW)
 
 
-def compare(rows: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
+def compare(rows: DataFrame, classes: DataFrame, best: bool, n_rows: int) -> DataFrame:
     """Pairs within nodes with at least LEAST equal tokens, one of them a pivot, in different components.
 
-    rows: node, c, pivot, comp. best: a, b, equal: for each b in a node its most similar a. Otherwise: the rows
-    that are in any such pair.
+    rows: node, c, pivot, comp; n_rows of them. best: a, b, equal: for each b in a node its most similar a.
+    Otherwise: the rows that are in any such pair; nodes where the same rows are left get the same new name, so
+    that they need not be tried twice.
     """
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("equal", pa.int64())] if best else [("node", pa.int64()), ("c", pa.int64()), ("comp", pa.int64()), ("pivot", pa.int64())])
 
@@ -150,9 +156,10 @@ def compare(rows: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
             node, c, comp, pivot = (np.asarray(t.column(k)) for k in ("node", "c", "comp", "pivot"))
             tokens = matrix(t.column("tokens"))
             begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            start = np.repeat(begin, np.diff(np.r_[begin, len(node)]))
+            each = np.diff(np.r_[begin, len(node)])
+            start = np.repeat(begin, each)
             place = np.arange(len(node)) - start
-            pivots = np.repeat(np.add.reduceat(pivot, begin), np.diff(np.r_[begin, len(node)]))
+            pivots = np.repeat(np.add.reduceat(pivot, begin), each)
             top, of, met = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.zeros(len(node), bool)
             for k in range(int(pivots.max())):
                 r = np.flatnonzero((place > k) & (pivots > k))
@@ -170,11 +177,16 @@ def compare(rows: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
                         met[x[hit]] = met[y[hit]] = True
             keep = top >= LEAST if best else met
             if keep.any():
+                if not best:
+                    own = np.where(met, mix64(c.view(np.uint64) * np.uint64(2) + pivot.astype(np.uint64)), np.uint64(0))
+                    node = np.repeat(mix64(np.add.reduceat(own, begin)), each).view(np.int64)
                 columns = (of, c, top) if best else (node, c, comp, pivot)
                 yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in columns], schema=out)
 
     full = rows.join(classes.select("c", "tokens"), "c").select("node", "c", "comp", F.col("pivot").cast("long").alias("pivot"), "tokens")
-    return full.repartition("node").sortWithinPartitions("node", F.desc("pivot"), "c").mapInArrow(tidy(run), ", ".join(f"{n} long" for n in out.names))
+    dealt = fitted(full.repartition("node"), n_rows * TOKEN_ROW).sortWithinPartitions("node", F.desc("pivot"), "c")
+    found = dealt.mapInArrow(tidy(run), ", ".join(f"{n} long" for n in out.names))
+    return found if best else found.distinct()
 
 
 def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int, sets: bool) -> DataFrame:
@@ -183,11 +195,10 @@ def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int, set
     Documents whose id falls in no bucket of the wanted ids leave before the join.
     """
     some_id = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
-    wanted = ids.join(classes, "c").select(some_id("min_doc").alias("__doc")).distinct()
-    buckets = F.broadcast(wanted.select(bucket("__doc").alias("__bucket")).distinct())  # at most BUCKETS rows
-    found = docs.withColumn("__doc", some_id("doc_id")).withColumn("__bucket", bucket("__doc")).join(buckets, "__bucket", "left_semi")
-    found = found.join(wanted.hint("shuffle_hash"), "__doc", "left_semi").select(F.col("text").cast("string"))
+    wanted = ids.join(classes, "c").select(some_id("min_doc").alias("doc")).distinct()
+    buckets = F.broadcast(wanted.select(bucket("doc").alias("bucket")).distinct())  # at most BUCKETS rows
+    found = docs.select(some_id("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).withColumn("bucket", bucket("doc")).join(buckets, "bucket", "left_semi")
+    found = found.join(wanted.hint("shuffle_hash"), "doc", "left_semi").select("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -202,10 +213,10 @@ def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int, set
     return found.mapInArrow(tidy(run), "c long, body binary" if sets else "c long, body string").dropDuplicates(["c"])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    texts = cut(texts_of(ids, classes, docs, size, sets=False))
+    texts = scratch.keep(texts_of(ids, classes, docs, size, sets=False))
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -266,17 +277,19 @@ def exact_links(rows: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     return rows.join(sets, "c").repartition("node").sortWithinPartitions("node", F.desc("pivot"), "c").mapInArrow(tidy(run), "a long, b long")
 
 
-def candidate_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidate_nodes(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """node, c, n of the leaves and of the nodes that are large at the last level."""
-    rows = cut(counted(classes.select("c", "tokens").mapInArrow(tidy(_branch), "node long, c long")))
-    leaves = rows.filter(F.col("n") <= LEAF)
-    for _ in range(DEPTH - 1):
-        large = rows.filter(F.col("n") > LEAF)
-        if large.isEmpty():
+    rows, leaves = None, None
+    for _ in range(DEPTH):
+        large = None if rows is None else rows.filter(F.col("n") > LEAF)
+        if large is not None and large.isEmpty():
             break
-        below = large.select("node", "c").join(classes.select("c", "tokens"), "c").mapInArrow(tidy(_branch), "node long, c long")
-        rows = cut(counted(cut(below)))
-        leaves = leaves.unionByName(rows.filter(F.col("n") <= LEAF))
+        above = classes.select("c", "tokens") if large is None else large.select("node", "c").join(classes.select("c", "tokens"), "c")
+        below = scratch.keep(above.mapInArrow(tidy(_branch), "node long, c long"))
+        rows = counted(below, scratch, below.count())
+        scratch.drop(below)
+        some = rows.filter(F.col("n") <= LEAF)
+        leaves = some if leaves is None else leaves.unionByName(some)
     return leaves, rows.filter(F.col("n") > LEAF)
 
 
@@ -284,11 +297,12 @@ def _spread(node: str, number):
     return F.xxhash64(F.col(node), number)
 
 
-def grouped(docs: DataFrame, size: int, percent: int, sha: bool = False) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, size: int, percent: int, scratch: Scratch, sha: bool = False) -> tuple[DataFrame, DataFrame]:
     """The features of docs, and c, component, min_doc of each set of shingles."""
-    features = cut(set_features(docs, size, sha))
-    classes = cut(features.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("min_doc"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles")))
-    leaves, large = candidate_nodes(classes)
+    features = scratch.keep(set_features(docs, size, sha))
+    per_set = features.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("min_doc"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles"))
+    classes = scratch.keep(per_set, features.count() * TOKEN_ROW)
+    leaves, large = candidate_nodes(classes, scratch)
 
     # First pass: each document's most similar candidate.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -296,38 +310,43 @@ def grouped(docs: DataFrame, size: int, percent: int, sha: bool = False) -> tupl
     own = F.pmod(F.hash("c"), blocks)
     rows = leaves.select("node", "c", F.lit(True).alias("pivot"))
     rows = rows.unionByName(large.filter(is_pivot).select("node", "c", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("k"), F.lit(True).alias("pivot")).select(_spread("node", F.col("k")).alias("node"), "c", "pivot"))
-    rows = rows.unionByName(large.filter(~is_pivot).select(_spread("node", own).alias("node"), "c", F.lit(False).alias("pivot")))
-    first = compare(rows.withColumn("comp", F.col("c")), classes, best=True)
-    first = first.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("m")).select("m.a", "b")
-    links = cut(confirmed(cut(first), classes, docs, size, percent))
-    comp = components(links)
+    rows = scratch.keep(rows.unionByName(large.filter(~is_pivot).select(_spread("node", own).alias("node"), "c", F.lit(False).alias("pivot"))))
+    n_rows = rows.count()
+    first = compare(rows.withColumn("comp", F.col("c")), classes, True, n_rows)
+    first = scratch.keep(first.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("m")).select("m.a", "b"), n_rows * ROW)
+    links = scratch.keep(confirmed(first, classes, docs, size, percent, scratch))
+    comp = components(links, scratch)
+    scratch.drop(rows)
 
     # Second pass: all pairs of a node that lie in different components.
     labelled = lambda x: x.join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
-    small, big = cut(labelled(leaves)), cut(labelled(large))
+    small, big = scratch.keep(labelled(leaves), n_rows * ROW), scratch.keep(labelled(large), n_rows * ROW)
     mixed = small.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("node")
     rows = small.join(mixed, "node", "left_semi").select("node", "c", "comp", F.lit(True).alias("pivot"))
     sized = big.join(classes.select("c", "n_shingles"), "c")
     main = sized.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("w")).groupBy("node").agg(F.max(F.struct("k", "comp", "w")).alias("m"), F.sum("w").alias("w"))
     main = main.select("node", F.col("m.comp").alias("main"), F.ceil(F.col("w") / TILE).cast("int").alias("blocks"), F.ceil(2 * (F.col("w") - F.col("m.w")) / TILE).cast("int").alias("groups")).filter("groups > 0")
-    big = big.join(main, "node").withColumn("pivot", F.col("comp") != F.col("main"))
+    big_rows = big.join(scratch.keep(main, n_rows * ROW), "node").withColumn("pivot", F.col("comp") != F.col("main"))
     tile = lambda k, g: F.xxhash64("node", k, g).alias("node")
     group, block = F.pmod(F.hash("c"), F.col("groups")), F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    seekers = big.filter("pivot").withColumn("g", group).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sought = big.withColumn("k", block).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).filter(~F.col("pivot") | (F.col("g") != group))
-    rows = rows.unionByName(seekers.select(tile("k", "g"), "c", "comp", "pivot")).unionByName(sought.select(tile("k", "g"), "c", "comp", F.lit(False).alias("pivot")))
-    suspects = cut(compare(rows, classes, best=False))
+    seekers = big_rows.filter("pivot").withColumn("g", group).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sought = big_rows.withColumn("k", block).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).filter(~F.col("pivot") | (F.col("g") != group))
+    rows = scratch.keep(rows.unionByName(seekers.select(tile("k", "g"), "c", "comp", "pivot")).unionByName(sought.select(tile("k", "g"), "c", "comp", F.lit(False).alias("pivot"))))
+    n_rows = rows.count()
+    suspects = scratch.keep(compare(rows, classes, False, n_rows), n_rows * ROW)
     if not suspects.isEmpty():
-        comp = components(links.unionByName(exact_links(suspects, classes, docs, size, percent)))
-
+        comp = components(links.unionByName(exact_links(suspects, classes, docs, size, percent)), scratch)
+    scratch.drop(rows, small, big)
     return features, classes.select("c", "min_doc").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    features, named = grouped(docs, size, percent)
-    least = named.groupBy("component").agg(F.min("min_doc").alias("component_id"))
-    named = cut(named.join(least, "component").select("c", "component_id"))
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    features, named = grouped(docs, size, percent, scratch)
+    named = scratch.keep(named)
+    least = scratch.keep(named.groupBy("component").agg(F.min("min_doc").alias("component_id")))
+    named = named.join(least, "component").select("c", "component_id")
     some = features.filter("n_shingles > 0").select("doc_id", "n_shingles", "c").join(named, "c")
     none = features.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     out = some.select("doc_id", "n_shingles", "component_id").unionByName(none.select("doc_id", "n_shingles", "component_id"))
@@ -340,19 +359,15 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Of a group the row of the smallest doc_id stays (null after all others), of equal doc_ids that of the
     smallest hash of the text, and one row where both are equal.
     """
-    features, named = grouped(docs, size, percent, sha=True)
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    features, named = grouped(docs, size, percent, scratch, sha=True)
     rows = features.filter("n_shingles > 0").select("doc_id", "sha", "c").join(named.select("c", "component"), "c")
-    keys = cut(rows.groupBy("component", "doc_id", "sha").agg(F.count(F.lit(1)).alias("n")))
+    keys = scratch.keep(rows.groupBy("component", "doc_id", "sha").agg(F.count(F.lit(1)).alias("n")))
     first = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("m")).select("m.doc_id", "m.sha", F.lit(True).alias("first"))
     at = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.sha") == F.col(f"{y}.sha"))
     # The rows of first that occur once need no decision.
-    decided = cut(keys.alias("k").join(first.alias("f"), at("k", "f"), "left").filter("first is null or n > 1").select(F.col("k.doc_id").alias("__doc"), F.col("k.sha").alias("__sha"), F.coalesce("first", F.lit(False)).alias("__first")))
-    d = docs.withColumns({"__sha": text_sha("text"), "__doc": F.col("doc_id").cast("long")}).alias("d")
-    among = lambda some, how: d.join(some.alias("s"), F.col("d.__doc").eqNullSafe(F.col("s.__doc")) & (F.col("d.__sha") == F.col("s.__sha")), how)
-    out, repeated = among(decided, "left_anti"), decided.filter("__first")
-    if not repeated.isEmpty():
-        out = out.unionByName(among(repeated, "left_semi").dropDuplicates(["__doc", "__sha"]))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    decided = keys.alias("k").join(first.alias("f"), at("k", "f"), "left").filter("first is null or n > 1").select(F.col("k.doc_id").alias("doc"), F.col("k.sha").alias("sha"), F.coalesce("first", F.lit(False)).alias("first"))
+    return decided_rows(docs, scratch.keep(decided), F.col("doc_id").cast("long"), text_sha("text"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegraph.llm.common import cut, key_runs, small_batches, table, tidy
+from rolegraph.llm.common import Scratch, key_runs, small_batches, table, tidy
 from rolegraph.llm.components import components
 
 CODE, TURNS, SHARE, CLOSEST = 64, 10, 8e-4, 0.9
@@ -155,21 +155,22 @@ def _meet(least: float, kind: str):
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of vectors."""
     small_batches(vectors.sparkSession)
+    scratch = Scratch(vectors.sparkSession, "vectors")
     rows, classes = valid_classes(vectors, id_col, vector_col)
-    classes = cut(classes)
+    classes = scratch.keep(classes)
     caps = classes.select("c", "copies", "v").mapInArrow(tidy(_filters), "filter long, c long, copies long, v binary, smaller binary")
     kind = "f4" if dict(classes.dtypes)["v"] == "array<float>" else "f8"
     large = caps.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE).select("filter", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
-    dealt = caps.join(cut(large), "filter", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.hash("c"), F.col("parts")))
+    dealt = caps.join(scratch.keep(large), "filter", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.hash("c"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         F.xxhash64("filter", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "filter", "c", "copies", "v", "smaller", (F.col("own") <= F.col("other")).alias("side"), (F.col("own") == F.col("other")).alias("whole")
     )
-    met = cut(dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(_meet(least, kind)), "c long, links long, root long"))
-    comp = components(met.select("c", "root"))
+    met = scratch.keep(dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(_meet(least, kind)), "c long, links long, root long"))
+    comp = components(met.select("c", "root"), scratch)
     links = met.groupBy("c").agg(F.sum("links").alias("links"))
     named = classes.select("c", "first", "copies").join(links, "c", "left").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = cut(named.join(smallest, "component").select("c", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
+    named = scratch.keep(named.join(smallest, "component").select("c", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
     some = rows.filter("c is not null").join(named, "c").select("vec_id", "n_links", "component_id")
     none = rows.filter("c is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegraph.llm.common import cut, new_folder, small_batches, table, tidy, utf8
+from rolegraph.llm.common import Scratch, new_folder, small_batches, table, tidy, utf8
 
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 100
@@ -46,13 +46,14 @@ def file_system(folder: str):
 
 def with_revisits(pages: DataFrame, key_col: str, url_col: str, payload_col: str, least: int = REVISIT_BYTES) -> DataFrame:
     """key, url, payload, digest, bytes, refers_to: refers_to is the key of the response that a revisit repeats."""
+    scratch = Scratch(pages.sparkSession, "revisits")
     rows = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), utf8(payload_col).alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "bytes": F.length("payload").cast("long")})
     # Repeated payloads are counted before the shuffle; only digests that occur twice join their rows.
     first = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    first = cut(first)
+    first = scratch.keep(first)
     light = rows.select("key", "digest").join(first, "digest").filter(~F.col("key").eqNullSafe(F.col("first")))
-    revisits = cut(light.select("key", "digest", F.col("first").alias("refers_to")).distinct())
+    revisits = scratch.keep(light.select("key", "digest", F.col("first").alias("refers_to")).distinct())
     return rows.alias("r").join(revisits.alias("v"), F.col("r.key").eqNullSafe(F.col("v.key")) & (F.col("r.digest") == F.col("v.digest")), "left").select("r.*", "refers_to")
 
 
@@ -146,7 +147,7 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
 
 def op4_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
-    index = cut(write_archives(with_revisits(table(spark, sf_dir, "pages"), "page_id", "url", "html"), folder))
+    index = Scratch(spark, "warc-index").keep(write_archives(with_revisits(table(spark, sf_dir, "pages"), "page_id", "url", "html"), folder))
     return read_records(index, folder, with_payload=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -1,11 +1,12 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A text's blocks are its windows of BLOCK words, each half over the next, so a notice of up to half a block
-lies within one wherever its lines break. A block matches a template when it holds at least a given share
-of the template's distinct words. Template words are ordered by how often the whole corpus has them, rarest
-first; a match must hold a word of the template's prefix (prefix filter), have words enough (length filter)
-and, from the first common word on, leave enough of the template (positional filter). What remains is
-counted exactly, so the filters lose no match.
+A text's blocks for a template are all its windows of SPREAD times as many words as the template has, one from
+every word on, so a notice is found wherever it begins, also with as many foreign words among its own. A block
+matches a template when it holds at least a given share of the template's distinct words. Template words are
+ordered by how often the whole corpus has them, rarest first; a match must hold a word of the template's prefix
+(prefix filter), so only rows that have one are looked at; they must have words enough (length filter) and, from
+their rarest common word on, leave enough of the template (positional filter). For what remains, the words of
+every block are counted exactly: a word counts for the blocks that end between it and its next occurrence.
 
 Defined results: null and empty texts have no words and no labels. Extra columns are not read.
 """
@@ -24,17 +25,54 @@ from rolegraph.llm.common import Words, byte_values, row_groups, small_batches,
 
 #: Phrases whose presence alone gives a label.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Notices by label.
+#: Notices by label, from one line to whole license texts.
 TEMPLATES = [
     ("mit", "released under the mit license"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is "
+        "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors "
+        "or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "licensed under the apache license version 2 0"),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    (
+        "bsd-3",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation "
+        "and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties "
+        "of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    ),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    (
+        "gpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license "
+        "or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+        "see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program",
+    ),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
 ]
-BLOCK = 64
+#: A block has so many times the words of the template.
+SPREAD = 2
 #: What is no part of a word, after A-Z became a-z.
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -55,7 +93,9 @@ def blocks_of_rows(b: pa.RecordBatch) -> Iterator[tuple[int, int, Words]]:
 
 def token_counts(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[int, int]:
     """How often the corpus has each word of the templates, by hash; as many rows as the templates have words."""
-    known = np.unique(np.concatenate([word_hashes(t) for _, t in templates]))
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(word_hashes(t) for _, t in templates)]))
+    if not len(known):
+        return {}
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(known), np.int64)
@@ -79,43 +119,46 @@ class Templates:
         self.sorted = np.array(sorted(order), np.uint64)
         self.rank = np.array([rank[int(h)] for h in self.sorted], np.int64)
         self.labels = [label for label, _ in templates]
-        self.sets = [sorted({rank[int(h)] for h in word_hashes(t)}) for _, t in templates]
-        self.need = [math.ceil(threshold * len(s) - 1e-9) for s in self.sets]
-        self.prefixes: dict[int, list[int]] = {}
-        for t, (s, need) in enumerate(zip(self.sets, self.need, strict=True)):
-            for r in s[: len(s) - need + 1]:
-                self.prefixes.setdefault(r, []).append(t)
-        self.in_prefix = np.array([r in self.prefixes for r in range(len(order))], bool)
-
-    def matches(self, w: Words) -> Iterator[tuple[int, int, float]]:
-        """Row, template and share for each block and template that match."""
+        words = [[rank[int(h)] for h in word_hashes(t)] for _, t in templates]
+        self.block = [SPREAD * len(w) for w in words]
+        self.sets = [np.unique(w) for w in words]
+        self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
+        #: The place of each rank in each template, or -1.
+        self.place = np.full((len(templates), len(order) + 1), -1)
+        for t, s in enumerate(self.sets):
+            self.place[t, s] = np.arange(len(s))
+
+    def matches(self, w: Words) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """Rows, template, and the largest share in a block of each row, for each template that a block of theirs matches."""
+        if not len(self.sorted):
+            return
         at = np.minimum(np.searchsorted(self.sorted, w.hashes), len(self.sorted) - 1)
-        places = np.flatnonzero(self.sorted[at] == w.hashes)
-        ranks = self.rank[at[places]]
-        rare = places[self.in_prefix[ranks]]
-        rows = np.searchsorted(w.rows, rare, "right") - 1
-        half = BLOCK // 2
-        seen = set()
-        for row, place in zip(rows.tolist(), rare.tolist(), strict=True):
-            begin, end = int(w.rows[row]), int(w.rows[row + 1])
-            k = (place - begin) // half
-            for block in (k - 1, k):
-                if block < 0 or (row, block) in seen:
-                    continue
-                seen.add((row, block))
-                lo, hi = begin + block * half, min(end, begin + block * half + BLOCK)
-                a, z = np.searchsorted(places, [lo, hi])
-                held = set(ranks[a:z].tolist())
-                for t in {t for r in held for t in self.prefixes.get(r, ())}:
-                    s, need = self.sets[t], self.need[t]
-                    if hi - lo < need or len(held) < need:
-                        continue
-                    first = next(i for i, r in enumerate(s) if r in held)
-                    if len(s) - first < need:
-                        continue
-                    common = sum(r in held for r in s[first:])
-                    if common >= need:
-                        yield row, t, common / len(s)
+        words = np.flatnonzero(self.sorted[at] == w.hashes)
+        ranks = self.rank[at[words]]
+        rows = np.searchsorted(w.rows, words, "right") - 1
+        size = np.diff(w.rows)
+        for t, (s, need) in enumerate(zip(self.sets, self.need, strict=True)):
+            place = self.place[t, ranks]
+            maybe = np.zeros(len(size), bool)
+            maybe[rows[(place >= 0) & (place <= len(s) - need)]] = True  # prefix and position: the rarest common word leaves enough
+            maybe &= size >= need
+            if not maybe.any():
+                continue
+            own = np.flatnonzero((place >= 0) & maybe[rows])
+            row, word, begin = rows[own], place[own], words[own]
+            # Where each word occurs next in its row.
+            order = np.lexsort((begin, word, row))
+            same = (row[order][1:] == row[order][:-1]) & (word[order][1:] == word[order][:-1])
+            end = np.minimum(begin + self.block[t], w.rows[row + 1])
+            end[order[:-1][same]] = np.minimum(end[order[:-1][same]], begin[order[1:][same]])
+            # Blocks that end at a word hold as many words as began and did not end up to there.
+            ends = np.sort(end)
+            held = np.arange(1, len(own) + 1) - np.searchsorted(ends, begin, "right")
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            most = np.maximum.reduceat(held, first)
+            hit = most >= need
+            if hit.any():
+                yield row[first[hit]], t, most[hit] / len(s)
 
 
 def scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
@@ -123,7 +166,7 @@ def scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[str, str
 
     score is the largest share of a template that a block holds, among matches; 1 where a phrase stands.
     """
-    templates, phrases = templates or TEMPLATES, phrases or PHRASES
+    templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = Templates(templates, token_counts(texts, templates), threshold)
@@ -151,9 +194,10 @@ def scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[str, str
                     for r in set(row.tolist()):
                         base[r].add(label)
                         score[r] = 1.0
-                for row, t, share in known.matches(w):
-                    labels[row].add(known.labels[t])
-                    score[row] = max(score[row], share)
+                for rows, t, share in known.matches(w):
+                    score[rows] = np.maximum(score[rows], share)
+                    for row in rows.tolist():
+                        labels[row].add(known.labels[t])
                 none = n_base == 0
                 join = lambda x: [",".join(sorted(s)) for s in x]
                 columns = [b.column("doc_id").slice(i, n), np.diff(w.rows), n_base, pa.array(first, mask=none), pa.array(last, mask=none), join(base), join([x | y for x, y in zip(base, labels, strict=True)]), score]

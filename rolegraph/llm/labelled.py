@@ -1,4 +1,8 @@
-"""Bounded samples of labelled documents, for fitting classifiers."""
+"""Bounded samples of labelled documents, for fitting classifiers.
+
+Defined results: null texts and labels give no example; rows that agree in text and label are one example; other
+columns of either table are not read; empty tables give no examples.
+"""
 
 from __future__ import annotations
 
@@ -17,11 +21,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most
     Only rows of labels that are `allowed` count. Documents of more than most_chars characters are no
     examples (they are scored whole like all others). The sample's size does not depend on the input's.
     """
+    marks = labels.filter(allowed).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
     chosen = None
     for value, n in most.items():
-        part = labels.filter(allowed & (F.col(label) == value)).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(n)
+        part = marks.filter(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
     # chosen has at most sum(most) rows of two numbers.
-    rows = docs.filter(F.length("text") <= most_chars).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "__label")
-    table = rows.toArrow()
-    return sorted(set(zip(table.column("text").to_pylist(), table.column("__label").to_pylist(), strict=True)))
+    own = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= most_chars)
+    table = own.join(F.broadcast(chosen), "id").select("text", "label").toArrow()
+    return sorted(set(zip(table.column("text").to_pylist(), table.column("label").to_pylist(), strict=True)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolegraph.llm.common import row_groups, small_batches, table, text_buffer, tidy
+from rolegraph.llm.common import row_groups, small_batches, table, text_buffer, tidy, unused
 from rolegraph.llm.labelled import remainder, sample
 
 #: Examples of each label, and the longest text among them.
@@ -108,8 +108,8 @@ class Network:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(examples: list[tuple[str, int]], epochs: int = 14, least_steps: int = 900, batch: int = 64, most_chunks: int = 10, seed: int = 7) -> Network | None:
-    """Adam on mini-batches, at least least_steps of them; each epoch takes at most most_chunks chunks of an example, drawn anew."""
+def fit(examples: list[tuple[str, int]], epochs: int = 12, least_steps: int = 900, batch: int = 64, seed: int = 7) -> Network | None:
+    """Adam on mini-batches, at least least_steps of them; a step takes all chunks of its examples."""
     y = np.array([v for _, v in examples], np.int64)
     if not len(y) or y.min() == y.max():
         return None
@@ -127,11 +127,7 @@ def fit(examples: list[tuple[str, int]], epochs: int = 14, least_steps: int = 90
             own = order[i : i + batch]
             texts = [raw[k] for k in own]
             x, row = chunks(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-            key = r.random(len(row))
-            by = np.lexsort((key, row))
-            first = np.searchsorted(row, np.arange(len(own)))
-            use = np.sort(by[np.arange(len(row)) - first[row] < most_chunks])
-            _, g = net.gradient(x[use], row[use], y[own], weight[own] / len(own))
+            _, g = net.gradient(x, row, y[own], weight[own] / len(own))
             steps += 1
             rate = 4e-3 * (1 - steps / (total + 1))
             for k, v in net.p.items():
@@ -142,17 +138,19 @@ def fit(examples: list[tuple[str, int]], epochs: int = 14, least_steps: int = 90
 
 
 def with_scores(docs: DataFrame, model: Network | None, text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs with the score of each whole text in the new column `into`."""
+    """docs with the score of each whole text in the column `into`, which replaces one of that name."""
     small_batches(docs.sparkSession)
-    names = [*docs.columns, into]
+    kept = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() != into.lower()]
+    fields = [docs.schema.fields[i] for i in kept]
+    text, names = docs.columns.index(text_col), [*(f.name for f in fields), into]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            data, offs = text_buffer(b.column(names.index(text_col)))
+            data, offs = text_buffer(b.column(text))
             found = [np.ones(b.num_rows)] if model is None else [model.scores(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in row_groups(offs, 1 << 18)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(np.concatenate(found) if found else np.zeros(0))], names=names)
 
-    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
+    return docs.toDF(*map(str, range(len(docs.columns)))).mapInArrow(tidy(run), T.StructType([*fields, T.StructField(into, T.DoubleType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | None:
@@ -168,4 +166,5 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the network does not reject, with all their columns."""
-    return with_scores(docs, train(docs, labels), into="__score").filter(F.col("__score") >= ACCEPT).drop("__score")
+    (score,) = unused(docs, "__score")
+    return with_scores(docs, train(docs, labels), into=score).filter(F.col(score) >= ACCEPT).drop(score)

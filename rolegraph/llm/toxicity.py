@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolegraph.llm.common import Words, byte_values, row_groups, small_batches, table, text_buffer, tidy
+from rolegraph.llm.common import Words, byte_values, row_groups, small_batches, table, text_buffer, tidy, unused
 from rolegraph.llm.labelled import remainder, sample
 
 #: Examples of each label, and the longest text among them.
@@ -146,10 +146,13 @@ def fit(examples: list[tuple[str, int]], steps: int = 400, rate: float = 0.1, pe
 
 
 def with_scores(docs: DataFrame, model: Model | None, text_col: str = "text", into: str = "score", located: str | None = None) -> DataFrame:
-    """docs with the score of each text; located: a column for the offending sentences (code points, score)."""
+    """docs with the score of each text; located: a column for the offending sentences (code points, score).
+
+    The new columns replace those of their names.
+    """
     small_batches(docs.sparkSession)
-    names = docs.columns
-    fields = [*docs.schema.fields, T.StructField(into, T.DoubleType())]
+    kept = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() not in {into.lower(), (located or into).lower()}]
+    text, fields = docs.columns.index(text_col), [*(docs.schema.fields[i] for i in kept), T.StructField(into, T.DoubleType())]
     spans = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
     if located:
         fields.append(T.StructField(located, spans))
@@ -185,13 +188,13 @@ def with_scores(docs: DataFrame, model: Model | None, text_col: str = "text", in
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            data, offs = text_buffer(b.column(names.index(text_col)))
+            data, offs = text_buffer(b.column(text))
             parts = [of_rows(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in row_groups(offs)]
             scores = np.concatenate([p for p, _ in parts]) if parts else np.zeros(0)
             extra = [pa.array([x for _, f in parts for x in f], struct)] if located else []
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), *extra], names=[f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(scores), *extra], names=[f.name for f in fields])
 
-    return docs.mapInArrow(tidy(run), T.StructType(fields))
+    return docs.toDF(*map(str, range(len(docs.columns)))).mapInArrow(tidy(run), T.StructType(fields))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -207,4 +210,5 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the model does not reject, with all their columns."""
-    return with_scores(docs, train(docs, labels), into="__score").filter(F.col("__score") < REJECT).drop("__score")
+    (score,) = unused(docs, "__score")
+    return with_scores(docs, train(docs, labels), into=score).filter(F.col(score) < REJECT).drop(score)

@@ -341,12 +341,10 @@ def test_licenses(spark):
         assert r.base_labels == ",".join(sorted({label for _, label in at}))
         # Every block against every template.
         found = set()
-        for b in range(0, max(1, len(w)), licenses.BLOCK // 2):
-            block = set(w[b : b + licenses.BLOCK])
-            for label, text in licenses.TEMPLATES:
-                words = set(text.split())
-                if len(block & words) >= 0.9 * len(words):
-                    found.add(label)
+        for label, text in licenses.TEMPLATES:
+            words, size = set(text.split()), licenses.SPREAD * len(text.split())
+            if any(len(set(w[b : b + size]) & words) >= 0.9 * len(words) for b in range(len(w))):
+                found.add(label)
         assert r.labels == ",".join(sorted(found | {label for _, label in at}))
 
 

@@ -3,16 +3,17 @@
 Documents that the toxicity or the quality model rejects go; of equal texts one stays; of each group of
 near-duplicates (five-word shingles, similarity 0.8 or more) one stays; what is left is packed into
 sequences. All stages but the last return the columns of documents.
+
+Defined results: a stage's docstring names those of its operator. Other columns than doc_id and text are passed on
+by all stages but the last, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from rolegraph.llm import exact_dedup, near_dedup, packing, quality, toxicity
-from rolegraph.llm.common import shared_dir, table
+from rolegraph.llm.common import Scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +49,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; each stage's rows are written to the shared folder and read by the next."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
+    for _, stage in STAGES:
+        docs, read = scratch.keep(stage(spark, docs, sf_dir)), before
+        before = docs
+        if read is not None:
+            scratch.drop(read)
     return docs

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolegraph.functions import dictionaries as D
+from rolegraph.sources.tables import kept
 from rolegraph.functions.text import clean, fold, headline_parts, location_parts, person_name
 from rolegraph.functions.urls import PROFILE_HOST, canonical_url
 
@@ -128,6 +129,7 @@ def duplicate_scores(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     """base_id, other_id, score, matched_fields, reason; only pairs of near names with a supporting field reach Python."""
     cols = ["normalized_profile_url", "profile_slug", "full_name", "headline", "city", "current_company"]
     keyed = candidates.select("candidate_id", *(fold(clean(F.col(c))).alias(c) for c in cols if c != "full_name"), fold(person_name(F.col("full_name"))).alias("full_name"))
+    keyed = kept(keyed)  # both sides of a pair read it
     side = lambda p: keyed.select(F.col("candidate_id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in cols))
     rows = pairs.join(side("base"), "base_id").join(side("other"), "other_id")
     same = {c: F.coalesce(F.col(f"base_{c}") == F.col(f"other_{c}"), F.lit(False)) for c in cols}
@@ -200,7 +202,7 @@ def merged_entries(entries: DataFrame, note: str, arrays: Sequence[str] = ()) ->
     """One row for each job and candidate: the first in order (ord) stays, notes are joined, arrays united."""
     keep = [c for c in entries.columns if c not in ("job_id", "candidate_id", "ord", "label", note, *arrays)]
     by_order = lambda *c: F.array_sort(F.collect_list(F.struct("ord", *c)))
-    out = entries.groupBy("job_id", "candidate_id").agg(*(F.min_by(c, "ord").alias(c) for c in keep), by_order(note, "label").alias("notes"), *(F.array_distinct(F.flatten(F.transform(by_order(a), lambda x, a=a: F.coalesce(x[a], F.array().cast("array<string>"))))).alias(a) for a in arrays))
+    out = entries.groupBy("job_id", "candidate_id").agg(*(F.min_by(c, "ord").alias(c) for c in keep), by_order(note, "label").alias("notes"), *(F.array_distinct(F.flatten(F.transform(by_order(F.coalesce(F.col(a), F.array().cast("array<string>")).alias("v")), lambda x: x["v"]))).alias(a) for a in arrays))
     text = F.aggregate(F.slice("notes", F.lit(2), F.size("notes")), F.col("notes")[0][note], lambda acc, x: joined_notes(acc, x[note], x["label"]))
     return out.withColumn(note, text).drop("notes")
 
@@ -214,25 +216,54 @@ def plan_errors(plan: DataFrame, candidates: DataFrame, most: int = 20) -> DataF
     return n.select("cluster_id", F.array_compact(F.array(say(F.col("n") > most, "too_many_sources"), say(F.col("d") < F.col("n"), "repeated_source"), say(F.col("own"), "target_is_source"), say(F.col("t") > 1, "several_targets"), say(F.col("missing"), "candidate_missing"))).alias("errors")).filter(F.size("errors") > 0)
 
 
-def merge(candidates: DataFrame, plan: DataFrame, children: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
-    """Candidates after all valid merges, children under their targets, and an audit row for each merge.
+def consolidated(name: str, rows: DataFrame) -> DataFrame:
+    """A child table whose rows stand under their targets, without repeats. rows: also ord (0: not moved) and label."""
+    if name == "skills":
+        return merged_skills(rows)
+    if name == "languages":
+        return merged_languages(rows)
+    if name in ("matches", "shortlist"):
+        note, arrays = ("explanation", ["matched_requirements", "missing_requirements", "uncertain_requirements"]) if name == "matches" else ("note", [])
+        return merged_entries(rows, note, [a for a in arrays if a in rows.columns])
+    return rows.drop("ord", "label")
 
-    plan: cluster_id, target_id, source_id, source_ord (from 1), strategy. children: tables with candidate_id.
+
+def merge(candidates: DataFrame, plan: DataFrame, children: Mapping[str, DataFrame], overrides: DataFrame | None = None, preview: bool = False) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """Candidates after all valid merges, children under their targets, and an audit row for each merge.
+
+    plan: cluster_id, target_id, source_id, source_ord (from 1), strategy. children: tables with candidate_id; of
+    skills, languages, matches and shortlist equal rows become one (R10-R14). overrides: cluster_id and fields whose
+    values, where not null, win (R7). The targets' quality is computed anew from experiences, educations and skills
+    where candidates have one. A preview gives the audit only.
     """
     plan = plan.join(plan_errors(plan, candidates), "cluster_id", "left_anti")
     ids = plan.select("cluster_id", F.col("target_id").alias("candidate_id"), "strategy", F.lit(0).alias("ord")).distinct().unionByName(plan.select("cluster_id", F.col("source_id").alias("candidate_id"), "strategy", F.col("source_ord").alias("ord")))
     fields = [f for f in MERGE_FIELDS if f in candidates.columns]
     chosen = survivorship(candidates.join(ids, "candidate_id"), fields)
+    if overrides is not None:
+        given = [f for f in fields if f in overrides.columns]
+        chosen = chosen.join(overrides.select("cluster_id", *(F.col(f).alias(f"own_{f}") for f in given)), "cluster_id", "left").withColumns({f: F.coalesce(f"own_{f}", f) for f in given}).drop(*(f"own_{f}" for f in given))
     target = plan.select("cluster_id", F.col("target_id").alias("candidate_id"), "strategy").distinct()
     new = candidates.drop(*fields).join(target, "candidate_id").join(chosen, "cluster_id")
     rest = candidates.join(plan.select(F.col("source_id").alias("candidate_id")), "candidate_id", "left_anti").join(target, "candidate_id", "left_anti")
     out, counts = {}, target.select("cluster_id", F.col("candidate_id").alias("target_id"))
+    places = plan.select(F.col("source_id").alias("candidate_id"), F.col("source_ord").alias("ord"))
     for name, df in children.items():
-        out[name], n = moved(df, plan)
+        placed = df.join(places, "candidate_id", "left").withColumns({"label": F.concat(F.lit("merged from "), F.col("candidate_id").cast("string")), "ord": F.coalesce("ord", F.lit(0))})
+        rows, n = moved(placed, plan)
+        out[name] = consolidated(name, rows)
         counts = counts.join(n.withColumnRenamed("moved", f"moved_{name}"), "target_id", "left")
     counts = counts.fillna(0)
     audit = new.join(counts, "cluster_id").select("cluster_id", "target_id", "strategy", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("merged_fields"), "conflicts", *(c for c in counts.columns if c.startswith("moved_")))
-    return rest.unionByName(new.select(rest.columns)), out, audit
+    if preview:
+        return candidates, dict(children), audit
+    people = rest.unionByName(new.select(rest.columns))
+    if "data_quality_score" in people.columns:
+        none = candidates.select("candidate_id").limit(0)
+        again = quality(people, *(out.get(k, none) for k in ("experiences", "educations", "skills"))).select("candidate_id", F.col("data_quality_score").alias("new_score"))
+        merged_ = target.select("candidate_id", F.lit(True).alias("merged"))
+        people = people.join(again, "candidate_id", "left").join(merged_, "candidate_id", "left").withColumn("data_quality_score", F.when(F.col("merged"), F.col("new_score")).otherwise(F.col("data_quality_score"))).select(rest.columns)
+    return people, out, audit
 
 
 def profile_flags(candidates: DataFrame, experiences: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rolegraph.functions import dictionaries as D
 from rolegraph.functions.text import clean, fold, lit_map
 from rolegraph.functions.urls import canonical_url
+from rolegraph.operators.candidates import quality
 
 
 def named(c: Column, table: Mapping[str, str]) -> Column:
@@ -45,13 +46,15 @@ def skills(rows: DataFrame, phrases: Mapping[str, str] = D.SKILLS, caps: Mapping
 
 def educations(rows: DataFrame) -> DataFrame:
     """E3."""
-    return rows.withColumns({"field_of_study": clean(F.col("field_of_study"), False), "field_of_study_normalized": named(F.col("field_of_study"), D.EDUCATION_FIELDS), "degree": clean(F.col("degree"), False)})
+    text = lambda c: clean(F.col(c), False)
+    return rows.withColumns({"institution_name": text("institution_name"), "external_key": fold(text("external_key")), "field_of_study": text("field_of_study"), "field_of_study_normalized": named(F.col("field_of_study"), D.EDUCATION_FIELDS), "degree": text("degree"), "source": fold(text("source"))})
 
 
 def certifications(rows: DataFrame) -> DataFrame:
     """E4."""
     name = clean(F.col("name"), False)
-    return rows.withColumns({"name": F.coalesce(F.try_element_at(lit_map(D.CERTIFICATIONS), fold(name)), name), "credential_url": canonical_url(F.col("credential_url"))["url"]})
+    text = lambda c: clean(F.col(c), False)
+    return rows.withColumns({"name": F.coalesce(F.try_element_at(lit_map(D.CERTIFICATIONS), fold(name)), name), "external_key": fold(text("external_key")), "issuer": text("issuer"), "credential_id": text("credential_id"), "credential_url": canonical_url(F.col("credential_url"))["url"], "source": fold(text("source"))})
 
 
 def languages(rows: DataFrame) -> DataFrame:
@@ -66,6 +69,35 @@ def experience_key() -> Column:
     return F.coalesce(F.col("external_key"), F.sha2(whole, 256))
 
 
+def natural_key(section: str) -> Column:
+    """What makes two rows of a candidate's section the same one."""
+    text = lambda *cols: F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in cols))
+    low = lambda c: fold(F.col(c))
+    external = F.when(F.coalesce(F.col("external_key"), F.lit("")) != "", F.concat(F.lit("external:"), "source", F.lit(":"), "external_key"))
+    credential = F.when(F.coalesce(F.col("credential_id"), F.lit("")) != "", F.concat(F.lit("credential:"), low("credential_id")))
+    return {
+        "experience": experience_key,
+        "education": lambda: F.coalesce(external, text(low("institution_name"), F.col("field_of_study_normalized"), low("degree"), F.col("start_year"), F.col("end_year"))),
+        "certification": lambda: F.coalesce(external, credential, text(low("name"), low("issuer"), F.col("issue_date"))),
+        "skill": lambda: text(F.col("normalized_name"), F.col("source")),
+        "language": lambda: F.col("language_normalized"),
+    }[section]()
+
+
+def row_errors(section: str) -> Column:
+    """The rules that a normalised row of a section breaks."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rules = {
+        "experience": {"position_title_required": blank("position_title_raw"), "date_range": F.col("end_date") < F.col("start_date"), "current_with_end": F.col("is_current") & F.col("end_date").isNotNull()},
+        "education": {"institution_required": blank("institution_name"), "year_range": F.col("end_year") < F.col("start_year")},
+        "certification": {"name_required": blank("name"), "date_range": F.col("expiration_date") < F.col("issue_date")},
+        "skill": {"name_required": blank("raw_name"), "negative_endorsements": F.col("endorsement_count") < 0},
+        "language": {"language_required": blank("language")},
+    }[section]
+    rules["confidence"] = ~F.col("confidence").between(0, 1)
+    return F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules.items())))
+
+
 def last_of_key(rows: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
     """Of equal keys the last row, at the place of the first."""
     w = Window.partitionBy(*keys)
@@ -92,10 +124,14 @@ def identity_diff(current: DataFrame, incoming: DataFrame, fields: Sequence[str]
     """candidate_id, field, old, new, action for every field that the payload gives."""
     long = lambda df, name: df.select("candidate_id", F.explode(F.map_from_arrays(F.array(*(F.lit(f) for f in fields)), F.array(*(F.col(f).cast("string") for f in fields)))).alias("field", name))
     d = long(incoming, "new").filter("trim(new) <> ''").join(long(current, "old"), ["candidate_id", "field"])
-    empty = F.coalesce(F.trim("old"), F.lit("")) == ""
-    same = F.coalesce(F.col("old") == F.col("new"), F.lit(False))
-    action = F.when(same, "unchanged").when(empty & F.lit(strategy != "keep_existing"), "fill").when(F.lit(strategy == "overwrite_non_null"), "overwrite").otherwise("keep")
-    return d.select("candidate_id", "field", "old", "new", action.alias("action"))
+    return d.select("candidate_id", "field", "old", "new", identity_action(F.col("old"), F.col("new"), F.lit(strategy)).alias("action"))
+
+
+def identity_action(old: Column, new: Column, strategy: Column) -> Column:
+    """Unchanged, fill, overwrite or keep; null where nothing new is given."""
+    empty = F.coalesce(F.trim(old), F.lit("")) == ""
+    action = F.when(F.coalesce(old == new, F.lit(False)), "unchanged").when(empty & (strategy != "keep_existing"), "fill").when(strategy == "overwrite_non_null", "overwrite").otherwise("keep")
+    return F.when(F.coalesce(F.trim(new), F.lit("")) != "", action)
 
 
 def current_position(rows: DataFrame) -> DataFrame:
@@ -128,34 +164,66 @@ def profile_status(mode: Column, complete: Column) -> Column:
     return F.when((mode == "deep") & complete, "scraped").otherwise("partial")
 
 
-def import_enrichment(candidates: DataFrame, stored: DataFrame, payloads: DataFrame, incoming: DataFrame, today: str, fields: Sequence[str] = ("full_name", "headline", "about", "location_raw"), preview: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Candidates and experiences after import, and a run row for each payload; preview changes nothing.
+NORMALISED = {"experience": experiences, "education": lambda rows, today: educations(rows), "skill": lambda rows, today: skills(rows), "certification": lambda rows, today: certifications(rows), "language": lambda rows, today: languages(rows)}
 
-    payloads: candidate_id, mode, import_mode, sections_present, is_partial and the identity fields; incoming
-    and stored: experiences by candidate_id, pos.
+
+def import_enrichment(
+    candidates: DataFrame, stored: Mapping[str, DataFrame], payloads: DataFrame, incoming: Mapping[str, DataFrame], now: str, fields: Sequence[str] = ("full_name", "headline", "about", "location_raw"), preview: bool = False
+) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """Candidates and their sections after the import, and a run for each payload.
+
+    payloads: candidate_id (once), mode, import_mode, identity_update_strategy, sections_present, is_partial, and the
+    identity fields. stored and incoming: by section (the names of NORMALISED) rows with candidate_id and pos. now: a
+    timestamp. A payload with a row that breaks a rule changes nothing; its run failed and names the rules. Runs
+    count what is created, updated and deleted in each section, and hold the quality before and after. A preview
+    gives the runs only.
     """
-    new = last_of_key(experiences(incoming, today).withColumn("key", experience_key()), ["candidate_id", "key"])
-    old = experiences(stored, today).withColumn("key", experience_key())
-    diff = collection_diff(old.withColumn("section", F.lit("experience")), new.withColumn("section", F.lit("experience")), replace=False)
-    after = upserted(old, new, payloads, ["candidate_id", "key"], "experience")
-    months = total_months(after, today).withColumnRenamed("total_months", "new_months")
-    now = current_position(after).withColumnsRenamed({"current_title": "new_title", "current_company": "new_company"})
-    p = payloads.select("candidate_id", "mode", "is_partial", *(F.col(f).alias(f"in_{f}") for f in fields))
-    out = candidates.join(p, "candidate_id", "left").join(months, "candidate_id", "left").join(now, "candidate_id", "left")
+    today, names = now[:10], list(incoming)
+    new = {k: NORMALISED[k](incoming[k], today).withColumns({"errors": row_errors(k), "key": natural_key(k)}) for k in names}
+    old = {k: NORMALISED[k](stored[k], today).withColumn("key", natural_key(k)) for k in names}
+    broken = reduce(DataFrame.unionByName, (r.select("candidate_id", F.explode(F.transform("errors", lambda e, k=k: F.concat(F.lit(f"{k}:"), e))).alias("error")) for k, r in new.items()))
+    failed = broken.groupBy("candidate_id").agg(F.array_sort(F.collect_set("error")).alias("errors"))
+    good = payloads.join(failed, "candidate_id", "left_anti")
+    after, runs = {}, payloads.select("candidate_id", "mode", "import_mode", "is_partial")
+    for k, r in new.items():
+        rows = last_of_key(r.join(good.select("candidate_id"), "candidate_id", "left_semi").drop("errors"), ["candidate_id", "key"])
+        after[k] = upserted(old[k], rows, good, ["candidate_id", "key"], k)
+        replaces = (F.col("import_mode") == "replace_all") | ((F.col("import_mode") == "replace_sections") & F.array_contains("sections_present", k))
+        held = old[k].join(good.select("candidate_id", replaces.alias("replaces")), "candidate_id").select("candidate_id", "key", "replaces")
+        both = held.join(rows.select("candidate_id", "key", F.lit(True).alias("given")), ["candidate_id", "key"], "full_outer")
+        counts = both.groupBy("candidate_id").agg(F.count_if(F.col("replaces").isNull()).alias(f"{k}_created"), F.count_if(F.col("given") & F.col("replaces").isNotNull()).alias(f"{k}_updated"), F.count_if(F.col("given").isNull() & F.col("replaces")).alias(f"{k}_deleted"))
+        runs = runs.join(counts, "candidate_id", "left").fillna(0, [f"{k}_created", f"{k}_updated", f"{k}_deleted"])
+
+    p = good.select("candidate_id", "mode", "is_partial", "identity_update_strategy", *(F.col(f).alias(f"in_{f}") for f in fields))
+    out = candidates.join(p, "candidate_id", "left")
     touched = F.col("mode").isNotNull()
-    changes = {f: F.when(touched & (F.coalesce(F.trim(f), F.lit("")) == ""), F.col(f"in_{f}")).otherwise(F.col(f)) for f in fields}
-    changes |= {"total_experience_months": F.when(touched, F.coalesce("new_months", "total_experience_months")).otherwise(F.col("total_experience_months")), "current_title": F.when(touched, F.coalesce("new_title", "current_title")).otherwise(F.col("current_title")), "current_company": F.when(touched, F.coalesce("new_company", "current_company")).otherwise(F.col("current_company"))}
+    changes = {f: F.when(identity_action(F.col(f), F.col(f"in_{f}"), F.col("identity_update_strategy")).isin("fill", "overwrite"), F.col(f"in_{f}")).otherwise(F.col(f)) for f in fields}
+    if "experience" in names:
+        spans = total_months(after["experience"], today).withColumnRenamed("total_months", "new_months")
+        out = out.join(spans, "candidate_id", "left").join(current_position(after["experience"]).withColumnsRenamed({"current_title": "new_title", "current_company": "new_company"}), "candidate_id", "left")
+        changes |= {c: F.when(touched, F.coalesce(n, c)).otherwise(F.col(c)) for c, n in (("total_experience_months", "new_months"), ("current_title", "new_title"), ("current_company", "new_company"))}
+    whole = (F.col("mode") == "deep") & ~F.col("is_partial")
     changes["profile_status"] = F.when(touched, profile_status(F.col("mode"), ~F.col("is_partial"))).otherwise(F.col("profile_status"))
-    runs = payloads.select("candidate_id", "mode", "import_mode").join(diff.drop("section"), "candidate_id", "left").fillna(0).withColumn("status", F.lit("preview" if preview else "completed"))
-    return (candidates, stored, runs) if preview else (out.withColumns(changes).select(candidates.columns), after, runs)
-
-
-def runs_listed(runs: DataFrame, provider: str | None = None, mode: str | None = None, status: str | None = None, since: str | None = None, sort: str = "created_at", descending: bool = True) -> DataFrame:
-    """E17."""
+    changes["last_scraped_at"] = F.when(touched & whole, F.to_timestamp(F.lit(now))).otherwise(F.col("last_scraped_at"))
+    changed = out.withColumns(changes).select(candidates.columns)
+    none = candidates.select("candidate_id").limit(0)
+    scores = lambda people, sections, name: quality(people, *(sections.get(k, none) for k in ("experience", "education", "skill"))).select("candidate_id", F.col("data_quality_score").alias(name))
+    before, now_ = scores(candidates, old, "quality_before"), scores(changed, after, "quality_after")
+    status = F.when(F.col("errors").isNotNull(), "failed").when(F.lit(preview), "preview").when(F.col("is_partial"), "partial").otherwise("completed")
+    runs = runs.join(before, "candidate_id", "left").join(now_, "candidate_id", "left").join(failed, "candidate_id", "left").withColumn("status", status).drop("is_partial")
+    if preview:
+        return candidates, dict(stored), runs
+    changed = changed.drop("data_quality_score").join(now_.withColumnRenamed("quality_after", "data_quality_score"), "candidate_id", "left").select(candidates.columns)
+    return changed, {k: df.drop("key") for k, df in after.items()}, runs
+
+
+def runs_listed(runs: DataFrame, provider: str | None = None, mode: str | None = None, status: str | None = None, since: str | None = None, sort: str = "created_at", descending: bool = True, page: int = 1, size: int | None = None) -> DataFrame:
+    """A page of runs in order; all of them without a size."""
     for c, v in (("provider", provider), ("mode", mode), ("status", status)):
         runs = runs if v is None else runs.filter(F.col(c) == v)
     runs = runs if since is None else runs.filter(F.col("created_at") >= since)
-    return runs.orderBy(F.col(sort).desc_nulls_last() if descending else F.col(sort).asc_nulls_last(), "run_id")
+    runs = runs.orderBy(F.col(sort).desc_nulls_last() if descending else F.col(sort).asc_nulls_last(), "run_id")
+    return runs if size is None else runs.offset((page - 1) * size).limit(size)
 
 
 def profiles(candidates: DataFrame, children: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:

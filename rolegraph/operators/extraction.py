@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolegraph.functions import dictionaries as D
+from rolegraph.sources.tables import kept
 from rolegraph.functions.text import ascii_key, clean_posting, distinct_by_key, fold, lit_map, match_key
 
 WEIGHTS = {"required": 1.0, "preferred": 0.6, "optional": 0.3}
@@ -188,9 +189,9 @@ def strongest(requirements: DataFrame) -> DataFrame:
     return requirements.withColumns({"first_seq": F.min("seq").over(w), "rank": F.row_number().over(best)}).filter("rank = 1").withColumn("seq", F.col("first_seq")).drop("rank", "first_seq")
 
 
-def requirements(postings: DataFrame) -> DataFrame:
+def requirements(postings: DataFrame, sentence: DataFrame | None = None) -> DataFrame:
     """All typed requirements of postings (job_id, title, description_clean, city, country, location_raw), strongest() applied."""
-    s = units(postings)
+    s = kept(units(postings)) if sentence is None else sentence  # each kind of requirement reads it
     parts = [titles(postings, s)[0], skills(s), experience(s)[0], education(s), languages(s), certifications(s), locations(postings, s), industries(s)]
     return strongest(reduce(DataFrame.unionByName, (p.select(REQUIREMENT) for p in parts)))
 
@@ -205,8 +206,9 @@ def parse(postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     reason = F.when(~F.col("status").isin("draft", "parsed"), "status_not_parsable").when(F.col("description_clean") == "", "empty_description").when(F.coalesce(F.trim("title"), F.lit("")) == "", "title_missing")
     jobs = jobs.withColumn("reject_reason", reason)
     rejected, jobs = jobs.filter("reject_reason is not null").select("job_id", "reject_reason"), jobs.filter("reject_reason is null").drop("reject_reason")
-    s = units(jobs)
-    found = requirements(jobs)
+    jobs = kept(jobs)
+    s = kept(units(jobs))
+    found = kept(requirements(jobs, s))
     arrays = _roll_up()
     span = found.groupBy("job_id").agg(
         *(F.array_sort(F.collect_list(F.when(cond, F.struct("seq", F.regexp_replace("normalized_value", drop, "").alias("v"))))).alias(name) for name, cond, drop in arrays),
@@ -221,7 +223,7 @@ def parse(postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     out = out.withColumn("confidence", F.round(score, 2))
     warn = lambda cond, name: F.when(cond, F.lit(name))
     warnings = F.array_compact(F.array(warn(F.col("conflict"), "conflicting_experience_requirements"), warn(F.col("related"), "related_departments_phrase_detected"), warn(F.col("has_skill") == 0, "no_skills_detected"), warn(F.col("has_experience") == 0, "no_experience_detected"), warn(F.col("has_education") == 0, "no_education_detected"), warn(F.col("n") == 1, "title_only_parse"), warn(F.col("confidence") < 0.4, "parser_low_confidence")))
-    variants = F.flatten(F.transform("title_candidates", lambda t: F.split(F.coalesce(F.try_element_at(lit_map(D.TITLE_VARIANTS), t), F.lit("")), r"\|")))
+    variants = F.flatten(F.transform("title_candidates", lambda t: F.coalesce(F.split(F.try_element_at(lit_map(D.TITLE_VARIANTS), t), r"\|"), F.array().cast("array<string>"))))
     common = F.concat("required_skills", "preferred_skills", "education_fields", F.transform("locations", lambda x: F.regexp_replace(x, "^[^:]*:", "")), "certifications", "industries")
     out = out.withColumns({"warnings": warnings, "keywords_tr": distinct_by_key(F.concat(variants, common), ascii_key, 30), "keywords_en": distinct_by_key(F.concat(F.col("title_candidates"), common), ascii_key, 30), "parser_version": F.lit("rule-based-v1"), "status": F.lit("parsed")})
     drop = ["n", "related", "sections", "conflict", *(c for c in span.columns if c.startswith("has_"))]

@@ -68,27 +68,37 @@ def distinct_urls(results: DataFrame, queries: DataFrame) -> DataFrame:
     return results.join(queries.select("query_id", "job_id"), "query_id").groupBy("job_id").agg(F.count_distinct("normalized_url").alias("distinct_urls"))
 
 
+# Source types and reasons, and the confidence that goes with them, by case; of several that hold the first counts.
+ELIGIBILITY = [
+    # case, eligible, source_type, confidence, reason
+    ("no_url", False, "unsupported", 0.0, "invalid_profile_url"),
+    ("engine", False, "unsupported", 0.0, "search_engine_result"),
+    ("network_blocked", False, "unsupported", 0.0, "non_person_linkedin_page"),
+    ("network_person_named", True, "linkedin_profile", 0.98, "linkedin_profile_url"),
+    ("network_person", True, "linkedin_profile", 0.9, "linkedin_profile_url"),
+    ("network_other", False, "unsupported", 0.0, "non_profile_linkedin_url"),
+    ("code_described", True, "github_profile", 0.8, "github_user_profile"),
+    ("code", False, "github_profile", 0.3, "missing_person_metadata"),
+    ("described", True, "personal_profile", 0.7, "personal_profile_metadata"),
+    ("other", False, "unsupported", 0.2, "missing_person_metadata"),
+]
+CODE_HOSTS = ["github.com", "www.github.com"]
+
+
 def eligibility(url: Column, slug: Column, name: Column, headline: Column, title: Column, blocked: Sequence[str] = D.BLOCKED_PATHS, engines: Sequence[str] = D.SEARCH_ENGINES) -> Column:
     """Struct of eligible, source_type, confidence, reason."""
     host, path = F.lower(F.regexp_extract(url, r"^https?://([^/:?#]+)", 1)), F.lower(F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1))
     network = (host == PROFILE_HOST) | host.endswith("." + PROFILE_HOST)
     named = person_name(name).isNotNull()
     described = named | clean(headline).isNotNull() | clean(title).isNotNull()
-    made = lambda ok, kind, conf, why: F.struct(F.lit(ok).alias("eligible"), F.lit(kind).alias("source_type"), conf.cast("double").alias("confidence"), F.lit(why).alias("reason"))
-    no = lambda conf, why: made(False, "unsupported", F.lit(conf), why)
-    code_page = host.isin("github.com", "www.github.com") & ~F.contains(F.regexp_replace(path, "^/+|/+$", ""), F.lit("/"))
-    blocked_path = F.coalesce(*(F.when(path.startswith(b), F.lit(True)) for b in blocked), F.lit(False))
-    return (
-        F.when(url.isNull() | (host == ""), no(0.0, "invalid_profile_url"))
-        .when(host.isin(list(engines)), no(0.0, "search_engine_result"))
-        .when(network & blocked_path, no(0.0, "non_person_network_page"))
-        .when(network & slug.isNotNull() & path.startswith("/in/"), made(True, "network_profile", F.when(named, 0.98).otherwise(0.9), "network_profile_url"))
-        .when(network, no(0.0, "non_profile_network_url"))
-        .when(code_page & described, made(True, "code_host_profile", F.lit(0.8), "code_host_user_profile"))
-        .when(code_page, made(False, "code_host_profile", F.lit(0.3), "missing_person_metadata"))
-        .when(described, made(True, "personal_profile", F.lit(0.7), "personal_profile_metadata"))
-        .otherwise(no(0.2, "missing_person_metadata"))
-    )
+    code = host.isin(CODE_HOSTS) & ~F.contains(F.regexp_replace(path, "^/+|/+$", ""), F.lit("/"))
+    person = network & (slug != "") & path.startswith("/in/")
+    holds = {
+        "no_url": url.isNull() | (host == ""), "engine": host.isin(list(engines)), "network_blocked": network & path.rlike("^(?:" + "|".join(blocked) + ")"), "network_person_named": person & named,
+        "network_person": person, "network_other": network, "code_described": code & described, "code": code, "described": described, "other": F.lit(True),
+    }
+    row = lambda ok, kind, sure, why: F.struct(F.lit(ok).alias("eligible"), F.lit(kind).alias("source_type"), F.lit(sure).alias("confidence"), F.lit(why).alias("reason"))
+    return F.coalesce(*(F.when(holds[case], row(*values)) for case, *values in ELIGIBILITY))
 
 
 def skip_reason(e: Column, result_id: Column, min_confidence: float = 0.7, include: Sequence | None = None, exclude: Sequence = ()) -> Column:

@@ -41,23 +41,26 @@ def group(arr: Column) -> Column:
 
 def query_text(titles: Column, skills: Column, locations: Column, target: Column, most: int = MAX_LENGTH) -> Column:
     """Q2: the longest of the query's forms that fits; optional parts leave from the end, then the first title is cut."""
-    site = F.concat(F.lit("site:"), target)
-    parts = F.filter(F.array(group(skills), group(locations)), lambda x: x != "")
-    forms = [F.array_join(F.concat(F.array(site, group(titles)), F.slice(parts, 1, F.lit(n))), " ") for n in (2, 1, 0)]
     title = collapse(F.regexp_replace(F.get(titles, F.lit(0)), '["“”]+', " "))
-    short = F.concat(site, F.lit(' "'), F.substring(title, F.lit(1), F.lit(most) - F.length(site) - 4), F.lit('"'))
-    return F.trim(F.coalesce(*(F.when(F.length(f) <= most, f) for f in forms), short))
+    made = F.array(F.struct(F.concat(F.lit("site:"), target).alias("site"), group(titles).alias("titles"), F.filter(F.array(group(skills), group(locations)), lambda x: x != "").alias("parts"), title.alias("first")))
+
+    def longest(x: Column) -> Column:  # the groups are made once, all forms read them
+        forms = [F.array_join(F.concat(F.array(x["site"], x["titles"]), F.slice(x["parts"], 1, F.lit(n))), " ") for n in (2, 1, 0)]
+        short = F.concat(x["site"], F.lit(' "'), F.substring(x["first"], F.lit(1), F.lit(most) - F.length(x["site"]) - 4), F.lit('"'))
+        return F.trim(F.coalesce(*(F.when(F.length(f) <= most, f) for f in forms), short))
+
+    return F.transform(made, longest)[0]
 
 
 def query_inputs(jobs: DataFrame, requirements: DataFrame, generic: Sequence[str] = D.GENERIC_SKILLS, places: Mapping[str, str] = D.LOCATION_NAMES) -> DataFrame:
     """Q3, Q5, Q6: canonical, skills, locations, education, industries of each job.
 
     jobs: job_id, job_title, city, country, required_skills, preferred_skills; requirements: job_id, type,
-    normalized_value, weight, confidence, seq.
+    normalized_value, importance, weight, confidence, seq. Only required skills count, then those of the job's arrays.
     """
     kind = lambda t: F.col("type") == t
     ordered = lambda cond, *by: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(*by, F.col("normalized_value").alias("v"))))), lambda x: x["v"])
-    skill = kind("skill") & ~fold(F.col("normalized_value")).isin(list(generic))
+    skill = kind("skill") & (F.col("importance") == "required") & ~fold(F.col("normalized_value")).isin(list(generic))
     per = requirements.groupBy("job_id").agg(
         F.min_by("normalized_value", F.when(kind("title"), F.col("seq"))).alias("canonical"),
         ordered(skill, (-F.col("weight")).alias("a"), (-F.col("confidence")).alias("b"), fold(F.col("normalized_value")).alias("c")).alias("req_skills"),

@@ -13,7 +13,7 @@ from rolegraph.operators import candidates as C
 from rolegraph.operators import enrichment as E
 from rolegraph.operators import extraction, imports, matching, shortlists, sourcing
 from rolegraph.operators import relational as R
-from rolegraph.plans.views import oracle, view
+from rolegraph.plans.views import oracle, sql, view
 from rolegraph.sources import pages as P
 from rolegraph.sources import tables as S
 
@@ -262,12 +262,13 @@ def query_key_backfill(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT job_id, 'site:linkedin.com/in ' || CASE WHEN lower(title) = title THEN '"' || title || '"' ELSE '("' || title || '" OR "' || lower(title) || '")' END || ' ' ||
-       CASE WHEN s = title OR s IS NULL THEN '"' || title || '"' ELSE '("' || title || '" OR "' || s || '")' END || ' ("' || city || '" OR "' || country || '")' AS query_text
-FROM (SELECT j.job_id, j.title, j.city, j.country, (SELECT max(r.value) FROM v_requirements r WHERE r.job_id = j.job_id AND r.seq = 1) AS s FROM v_jobs j)
+       CASE WHEN t IS NULL OR s IS NULL OR t = s THEN '"' || coalesce(t, s) || '"' ELSE '("' || t || '" OR "' || s || '")' END || ' ("' || city || '" OR "' || country || '")' AS query_text
+FROM (SELECT j.job_id, j.title, j.city, j.country, (SELECT max(r.value) FROM v_requirements r WHERE r.job_id = j.job_id AND r.seq = 0 AND r.importance = 'required') AS t, (SELECT max(r.value) FROM v_requirements r WHERE r.job_id = j.job_id AND r.seq = 1 AND r.importance = 'required') AS s FROM v_jobs j) AS x
+WHERE t IS NOT NULL OR s IS NOT NULL
 """)
 def precision_queries(spark: SparkSession, d: str) -> DataFrame:
     """Q1-Q8: each job's strictest English query."""
-    req = view(spark, d, "v_requirements").filter("seq < 2").select("job_id", F.lit("skill").alias("type"), F.col("value").alias("normalized_value"), (2.0 - F.col("seq")).alias("weight"), F.lit(0.9).alias("confidence"), F.col("seq").cast("long").alias("seq"))
+    req = view(spark, d, "v_requirements").filter("seq < 2").select("job_id", F.lit("skill").alias("type"), F.col("value").alias("normalized_value"), "importance", (2.0 - F.col("seq")).alias("weight"), F.lit(0.9).alias("confidence"), F.col("seq").cast("long").alias("seq"))
     none = F.array().cast("array<string>")
     jobs = view(spark, d, "v_jobs").select("job_id", F.col("title").alias("job_title"), "city", "country", none.alias("required_skills"), none.alias("preferred_skills"))
     made = sourcing.generate(sourcing.query_inputs(jobs, req), languages=("en",))
@@ -432,8 +433,7 @@ _HEAD = "SELECT p_partkey AS k, p_name || CASE WHEN p_size % 3 = 0 THEN ' at ' |
 @query(f"SELECT k, CASE WHEN h LIKE '% at %' THEN split_part(h, ' at ', 1) WHEN h LIKE '%|%' THEN trim(split_part(h, '|', 1)) END AS title, CASE WHEN h LIKE '% at %' THEN split_part(h, ' at ', 2) END AS company, CASE WHEN h LIKE '% at %' THEN 0.95 WHEN h LIKE '%|%' THEN 0.7 ELSE 0.3 END AS confidence FROM ({_HEAD})")
 def headlines(spark: SparkSession, d: str) -> DataFrame:
     """T8."""
-    view(spark, d, "part")
-    return spark.sql(_HEAD).select("k", X.headline_parts(F.col("h")).alias("x")).select("k", "x.title", "x.company", "x.confidence")
+    return sql(spark, d, _HEAD).select("k", X.headline_parts(F.col("h")).alias("x")).select("k", "x.title", "x.company", "x.confidence")
 
 
 _EXP = "SELECT p_partkey AS k, CASE WHEN p_size % 4 = 0 THEN 'at least ' || (p_size % 9) || ' years' WHEN p_size % 4 = 1 THEN (p_size % 5) || '-' || (p_size % 5 + p_size % 3) || ' years of work' WHEN p_size % 4 = 2 THEN (p_size % 30) || ' months' ELSE p_name END AS t, p_size AS s FROM part"
@@ -442,24 +442,78 @@ _EXP = "SELECT p_partkey AS k, CASE WHEN p_size % 4 = 0 THEN 'at least ' || (p_s
 @query(f"SELECT k, CASE s % 4 WHEN 0 THEN CAST(s % 9 AS DOUBLE) WHEN 1 THEN s % 5 WHEN 2 THEN (s % 30) / 12 END AS lo, CASE s % 4 WHEN 1 THEN CAST(s % 5 + s % 3 AS DOUBLE) END AS hi FROM ({_EXP})")
 def experience_phrases(spark: SparkSession, d: str) -> DataFrame:
     """X8."""
-    view(spark, d, "part")
-    return spark.sql(_EXP).select("k", extraction.experience_of(F.col("t")).alias("e")).select("k", "e.lo", "e.hi")
+    return sql(spark, d, _EXP).select("k", extraction.experience_of(F.col("t")).alias("e")).select("k", "e.lo", "e.hi")
+
+
+_POSTING = """
+SELECT CAST(p_partkey AS STRING) AS job_id, CASE WHEN p_size % 2 = 0 THEN 'Software Developer' ELSE p_name END AS title, p_size, p_name || chr(10) || 'Requirements:' || chr(10) || '- Minimum ' || (p_size % 9 + 1) || ' years' || chr(10)
+       || '- ' || CASE WHEN p_size % 3 = 0 THEN 'Python and SQL Server' ELSE 'Docker' END || chr(10) || '- ' || CASE WHEN p_size % 4 = 0 THEN 'Masters degree in Mechanical Engineering or a related field' ELSE 'High school diploma' END || chr(10)
+       || 'Nice to have:' || chr(10) || '- Kubernetes. Fluent English.' || chr(10) || '- ' || CASE WHEN p_size % 5 = 0 THEN 'ISO9001 in heavy industry' ELSE 'Bonus points for steel' END || chr(10) || 'Location:' || chr(10) || 'Bursa / remote' AS description_raw,
+       CASE WHEN p_size % 7 = 0 THEN 'Narnia' END AS location_raw, 'Bursa' AS city, 'Turkey' AS country, CASE WHEN p_size % 10 = 0 THEN 'archived' ELSE 'draft' END AS status
+FROM part"""
+# What the posting above holds, as cases: condition, type, value, importance, confidence, the sentence it stands in (null: a column of the job).
+_HELD = """
+SELECT job_id, type, CASE WHEN type = 'title' THEN CASE WHEN p_size % 2 = 0 THEN 'software developer' ELSE lower(title) END WHEN type = 'experience' THEN 'min:' || (p_size % 9 + 1) ELSE value END AS normalized_value,
+       importance, CASE importance WHEN 'required' THEN 1.0 WHEN 'preferred' THEN 0.6 ELSE 0.3 END AS weight, confidence, CASE WHEN type = 'title' THEN title WHEN type = 'experience' THEN 'Minimum ' || (p_size % 9 + 1) || ' years' ELSE sentence END AS evidence_text, NOT plain AS placed, description_raw
+FROM p JOIN (VALUES
+  (1, 0, 'title', '', 'required', 1.0, '', TRUE), (1, 0, 'experience', '', 'required', 0.95, '', FALSE),
+  (3, 0, 'skill', 'python', 'required', 0.95, 'Python and SQL Server', FALSE), (3, 0, 'skill', 'sql server', 'required', 0.95, 'Python and SQL Server', FALSE), (3, NULL, 'skill', 'docker', 'required', 0.95, 'Docker', FALSE),
+  (1, 0, 'skill', 'kubernetes', 'preferred', 0.95, 'Kubernetes.', FALSE), (1, 0, 'language', 'english:fluent', 'preferred', 0.95, 'Fluent English.', FALSE),
+  (4, 0, 'education', 'field:mechanical engineering', 'required', 0.95, 'Masters degree in Mechanical Engineering or a related field', FALSE), (4, 0, 'education', 'level:master', 'required', 0.9, 'Masters degree in Mechanical Engineering or a related field', FALSE),
+  (4, NULL, 'education', 'level:high_school', 'required', 0.9, 'High school diploma', FALSE),
+  (4, 0, 'industry', 'engineering', 'required', 0.85, 'Masters degree in Mechanical Engineering or a related field', FALSE), (5, 0, 'certification', 'iso 9001', 'preferred', 0.9, 'ISO9001 in heavy industry', FALSE), (5, 0, 'industry', 'heavy industry', 'preferred', 0.85, 'ISO9001 in heavy industry', FALSE), (5, NULL, 'industry', 'steel', 'optional', 0.85, 'Bonus points for steel', FALSE),
+  (1, 0, 'location', 'city:bursa', 'required', 1.0, 'Bursa', TRUE), (1, 0, 'location', 'country:turkey', 'required', 1.0, 'Turkey', TRUE), (7, 0, 'location', 'city:narnia', 'required', 0.95, 'Narnia', TRUE), (1, 0, 'location', 'work_mode:remote', 'optional', 0.9, 'Bursa / remote', FALSE)
+) AS c(every, rest, type, value, importance, confidence, sentence, plain) ON CASE WHEN rest IS NULL THEN p_size % every <> 0 ELSE p_size % every = rest END
+WHERE status = 'draft'"""
+
+
+@query(f"""WITH p AS ({_POSTING}), h AS ({_HELD}) SELECT job_id, type, normalized_value, importance, CAST(weight AS DOUBLE) AS weight, CAST(confidence AS DOUBLE) AS confidence, evidence_text,
+  CASE WHEN placed THEN CAST(strpos(description_raw, CASE WHEN evidence_text LIKE '%.' THEN evidence_text ELSE evidence_text || CASE WHEN evidence_text LIKE 'Bursa%' THEN '' ELSE chr(10) END END) - 1 AS INT) END AS evidence_start,
+  CASE WHEN placed THEN CAST(strpos(description_raw, CASE WHEN evidence_text LIKE '%.' THEN evidence_text ELSE evidence_text || CASE WHEN evidence_text LIKE 'Bursa%' THEN '' ELSE chr(10) END END) - 1 + length(evidence_text) AS INT) END AS evidence_end FROM h""")
+def posting_requirements(spark: SparkSession, d: str) -> DataFrame:
+    """Typed requirements of postings made of known parts, with the sentence and the place each stems from."""
+    return extraction.parse(sql(spark, d, _POSTING))[1].select("job_id", "type", "normalized_value", "importance", "weight", "confidence", "evidence_text", "evidence_start", "evidence_end")
+
+
+@query(f"""SELECT job_id, CASE WHEN p_size % 3 = 0 THEN 'python,sql server' ELSE 'docker' END AS required_skills, 'kubernetes' AS preferred_skills, CASE WHEN p_size % 4 = 0 THEN 'mechanical engineering' ELSE '' END AS education_fields, CASE WHEN p_size % 4 = 0 THEN 'master' ELSE 'high_school' END AS education_levels,
+  'city:bursa,country:turkey' || CASE WHEN p_size % 7 = 0 THEN ',city:narnia' ELSE '' END || ',work_mode:remote' AS locations, 'english:fluent' AS languages, CASE WHEN p_size % 5 = 0 THEN 'iso 9001' ELSE '' END AS certifications, CASE WHEN p_size % 4 = 0 THEN 'engineering,' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN 'heavy industry' ELSE 'steel' END AS industries,
+  CAST(p_size % 9 + 1 AS DOUBLE) AS min_experience_years, CAST(NULL AS DOUBLE) AS max_experience_years, CASE WHEN p_size % 2 = 0 THEN 'software developer' ELSE lower(title) END AS title_candidates,
+  (CASE WHEN p_size % 2 = 0 THEN 'software developer' ELSE lower(title) END) || k AS keywords_en, CASE WHEN p_size % 2 = 0 THEN 'yazılım geliştirici,yazılım geliştirme uzmanı' || k ELSE substr(k, 2) END AS keywords_tr,
+  CASE WHEN p_size % 4 = 0 THEN 'related_departments_phrase_detected' ELSE '' END AS warnings, 1.0 AS confidence, 'parsed' AS status
+FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN ',python,sql server' ELSE ',docker' END || ',kubernetes' || CASE WHEN p_size % 4 = 0 THEN ',mechanical engineering' ELSE '' END || ',bursa,turkey' || CASE WHEN p_size % 7 = 0 THEN ',narnia' ELSE '' END || ',remote' || CASE WHEN p_size % 5 = 0 THEN ',iso 9001' ELSE '' END || CASE WHEN p_size % 4 = 0 THEN ',engineering' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN ',heavy industry' ELSE ',steel' END AS k FROM ({_POSTING}) AS p) AS x WHERE status = 'draft'""")
+def parsed_postings(spark: SparkSession, d: str) -> DataFrame:
+    """What the requirements of a posting roll up to."""
+    lists = ["required_skills", "preferred_skills", "education_fields", "education_levels", "locations", "languages", "certifications", "industries", "title_candidates", "keywords_en", "keywords_tr", "warnings"]
+    return extraction.parse(sql(spark, d, _POSTING))[0].select("job_id", *(F.array_join(c, ",").alias(c) for c in lists), "min_experience_years", "max_experience_years", "confidence", "status")
 
 
-@query()
-def parsed_postings(spark: SparkSession, d: str) -> DataFrame:
-    """Postings made of parts, with known headings, skills, places, languages and years."""
-    view(spark, d, "v_jobs")
-    jobs = spark.sql("""
-        SELECT CAST(p_partkey AS STRING) AS job_id, CASE WHEN p_size % 2 = 0 THEN 'Software Developer' ELSE p_name END AS title, p_name || '\\nRequirements:\\n- Minimum ' || (p_size % 9 + 1) || ' years\\n- ' || CASE WHEN p_size % 3 = 0 THEN 'Python and SQL Server' ELSE 'Docker' END || '\\nNice to have:\\n- Kubernetes. Fluent English.\\nLocation:\\nBursa / remote' AS description_raw,
-               CAST(NULL AS STRING) AS location_raw, 'Bursa' AS city, 'Turkey' AS country, CASE WHEN p_size % 10 = 0 THEN 'archived' ELSE 'draft' END AS status FROM part""")
-    return extraction.parse(jobs)[0].select("job_id", "required_skills", "preferred_skills", "min_experience_years", "locations", "languages", "keywords_en", "warnings", "confidence", "status")
+@query(f"SELECT job_id, 'status_not_parsable' AS reject_reason FROM ({_POSTING}) AS p WHERE status = 'archived'")
+def rejected_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Postings that are not parsed."""
+    return extraction.parse(sql(spark, d, _POSTING))[2]
 
 
-@query()
+# Results of every kind that D1 tells apart, by the remainder of their id.
+_FOUND = """
+SELECT result_id, query_id AS job_id, result_id % 11 AS k, CASE result_id % 11 WHEN 0 THEN normalized_url WHEN 1 THEN 'https://www.linkedin.com/in/slug-' || (result_id % 900) WHEN 2 THEN 'https://www.linkedin.com/in/p' || (result_id % 300) WHEN 3 THEN 'https://linkedin.com/company/' || query_id
+       WHEN 4 THEN 'https://linkedin.com/pulse/' || query_id WHEN 5 THEN 'https://github.com/u' || (result_id % 200) WHEN 6 THEN 'https://github.com/u' || (result_id % 200) || '/repo' WHEN 7 THEN 'https://google.com/search' WHEN 8 THEN NULL WHEN 9 THEN 'https://www.github.com/v' || (result_id % 200) ELSE 'https://blog.example.com/' || (result_id % 300) END AS normalized_url,
+       CASE result_id % 11 WHEN 1 THEN 'Slug-' || (result_id % 900) WHEN 2 THEN 'p' || (result_id % 300) END AS candidate_profile_slug, CASE WHEN result_id % 11 IN (0, 1, 5) THEN 'Dr. Person ' || (result_id % 500) WHEN result_id % 11 = 2 THEN 'LinkedIn Member' END AS displayed_name,
+       CASE WHEN result_id % 11 IN (0, 6) THEN 'Engineer at Acme' WHEN result_id % 11 = 1 THEN 'Engineer | Acme' END AS displayed_headline, CASE WHEN result_id % 2 = 0 THEN 'Bursa, Turkey' END AS displayed_location, CAST(NULL AS STRING) AS title, CAST(NULL AS STRING) AS snippet
+FROM v_results"""
+
+
+@query(f"""
+WITH f AS ({_FOUND}),
+e AS (SELECT f.*, reason, eligible, CAST(conf AS DOUBLE) AS confidence, source FROM f JOIN (VALUES (0, TRUE, 'personal_profile', 0.7, 'personal_profile_metadata'), (1, TRUE, 'linkedin_profile', 0.98, 'linkedin_profile_url'), (2, TRUE, 'linkedin_profile', 0.9, 'linkedin_profile_url'), (3, FALSE, 'unsupported', 0.0, 'non_person_linkedin_page'),
+  (4, FALSE, 'unsupported', 0.0, 'non_profile_linkedin_url'), (5, TRUE, 'github_profile', 0.8, 'github_user_profile'), (6, TRUE, 'personal_profile', 0.7, 'personal_profile_metadata'), (7, FALSE, 'unsupported', 0.0, 'search_engine_result'), (8, FALSE, 'unsupported', 0.0, 'invalid_profile_url'), (9, FALSE, 'github_profile', 0.3, 'missing_person_metadata'), (10, FALSE, 'unsupported', 0.2, 'missing_person_metadata')) AS c(n, eligible, source, conf, reason) ON k = n),
+u AS (SELECT normalized_profile_url AS normalized_url, arg_min(candidate_id, (created_at, candidate_id)) AS by_url FROM v_people WHERE normalized_profile_url IS NOT NULL GROUP BY 1),
+s AS (SELECT lower(profile_slug) AS slug, arg_min(candidate_id, (created_at, candidate_id)) AS by_slug FROM v_people WHERE profile_slug IS NOT NULL GROUP BY 1),
+j AS (SELECT e.*, coalesce(by_url, by_slug) AS known, coalesce(lower(candidate_profile_slug), normalized_url) AS identity FROM e LEFT JOIN u USING (normalized_url) LEFT JOIN s ON s.slug = lower(candidate_profile_slug)),
+l AS (SELECT *, CASE WHEN eligible AND known IS NULL THEN first_value(result_id) OVER (PARTITION BY identity, eligible, known IS NULL ORDER BY normalized_url, result_id) END AS leader_id FROM j)
+SELECT result_id, CASE WHEN NOT eligible THEN 'skip' WHEN known IS NULL AND result_id = leader_id THEN 'create' ELSE 'link' END AS action, known AS candidate_id, leader_id, reason, confidence, source,
+  CASE WHEN k IN (0, 1, 5) THEN 'Person ' || (result_id % 500) END AS full_name, displayed_headline AS headline, CASE WHEN k IN (0, 6) THEN 'Engineer' END AS current_title, CASE WHEN k IN (0, 6) THEN 'Acme' END AS current_company, CASE WHEN displayed_location IS NOT NULL THEN 'Turkey' END AS country FROM l
+""")
 def discovered_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Results to link, create or skip."""
-    r = view(spark, d, "v_results")
-    rows = r.select("result_id", F.col("query_id").alias("job_id"), "normalized_url", F.lit(None).cast("string").alias("candidate_profile_slug"), F.concat(F.lit("Person "), (F.col("result_id") % 500).cast("string")).alias("displayed_name"), F.lit("Engineer at Acme").alias("displayed_headline"), F.lit("Bursa, Turkey").alias("displayed_location"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("snippet"))
     people = view(spark, d, "v_people").select("candidate_id", "normalized_profile_url", "profile_slug", "created_at")
-    return imports.discover(rows, people)
+    return imports.discover(sql(spark, d, _FOUND), people).select("result_id", "action", "candidate_id", "leader_id", "reason", "confidence", "source", "full_name", "headline", "current_title", "current_company", "country")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
@@ -30,7 +32,7 @@ VIEWS = {
     "v_queries": "SELECT p_partkey AS query_id, p_partkey AS job_id, p_name || ' ' || p_type AS query_text, p_brand AS owner, p_size AS created_at FROM part",
     "v_results": """
         SELECT l_orderkey * 10 + l_linenumber AS result_id, l_partkey AS query_id, CASE WHEN l_linestatus = 'O' THEN NULL ELSE o_custkey END AS candidate_id, 'https://people.example.com/' || (l_suppkey % 50) || '/' || (l_orderkey % 400) AS normalized_url, l_shipdate AS discovered_at
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1""",
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "v_experiences": """
         SELECT o_custkey AS candidate_id, CAST(o_orderdate AS DATE) AS start_date, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE CAST(last_ship AS DATE) END AS end_date, o_orderstatus = 'O' AS is_current, CAST(NULL AS INT) AS duration_months, o_orderkey AS sort_order, o_orderpriority AS title
         FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey WHERE last_ship >= o_orderdate
@@ -54,14 +56,16 @@ VIEWS = {
 }
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+def sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
+    """The rows of a query over the driver's tables and the views above; only what it names is read, and no session-wide name is set."""
+    named = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(VIEWS) + r")\b(?:\s+AS)?")
+    while named.search(body):
+        body = named.sub(lambda m: f"{m[1]} ({VIEWS[m[2]]}) AS {m[2]}", body)
+    return spark.sql(re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b", lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet` AS {m[2]}", body))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register(spark, sf_dir)
-    return spark.sql(VIEWS[name]) if name in VIEWS else spark.table(name)
+    return sql(spark, sf_dir, VIEWS[name]) if name in VIEWS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def oracle(body: str) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_BYTES = 2 << 20
@@ -105,33 +105,48 @@ class Tree(HTMLParser):
             self.at.inside.append(data)
 
 
-def _results(page: str) -> list[tuple]:
-    root, out = Tree(page).root, []
-    boxes = [n for n in root.walk() if any(n.fits(s) for s in CONTAINERS)]
-    for rank, box in enumerate(boxes, 1):
-        links = [n for n in box.walk() if n.tag == "a" and "href" in n.attrs]
-        if links:
-            snippet = next((n.text() for n in box.walk() if any(n.fits(s) for s in SNIPPETS)), None)
-            out.append((rank, links[0].attrs["href"], links[0].text() or links[0].attrs.get("title"), snippet))
-    if not out:
-        for rank, a in enumerate((n for n in root.walk() if n.tag == "a" and "href" in n.attrs), 1):
-            title = a.text() or a.attrs.get("title") or ""
-            if len(title.strip()) >= 3:
-                out.append((rank, a.attrs["href"], title, (a.parent.text() if a.parent else "").replace(title, "", 1).strip() or None))
-    return out
+NODES = "page_id long, box int, pos int, kind string, text string, title string, href string"
+
+
+def _nodes(page: str) -> Iterator[tuple]:
+    """box, pos, kind, text, title, href of what records may be made of: the links and snippets of each container, and each link with its parent (as a box with a negative number)."""
+    nodes = list(Tree(page).root.walk())
+    is_link = lambda n: n.tag == "a" and "href" in n.attrs
+    for box, container in enumerate((n for n in nodes if any(n.fits(s) for s in CONTAINERS)), 1):
+        for pos, n in enumerate(container.walk()):
+            if is_link(n):
+                yield box, pos, "link", n.text(), n.attrs.get("title"), n.attrs["href"]
+            if any(n.fits(s) for s in SNIPPETS):
+                yield box, pos, "snippet", n.text(), None, None
+    for pos, n in enumerate(filter(is_link, nodes), 1):
+        yield -pos, pos, "link", n.text(), n.attrs.get("title"), n.attrs["href"]
+        yield -pos, pos, "around", n.parent.text(), None, None
 
 
 def result_records(pages: DataFrame, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
-    """page_id, rank, url, title, snippet of stored result pages; and page_id, reject_reason of larger or empty pages."""
+    """page_id, rank, url, title, snippet of stored result pages; and page_id, reject_reason of pages that give none.
+
+    A container gives its first link and its first snippet. Where no container has a link, all links with a title
+    of three characters or more count, with what stands around them.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, *r) for i, page in zip(f.page_id, f.html, strict=True) for r in _results(page)]
-            yield pd.DataFrame(rows, columns=["page_id", "rank", "url", "title", "snippet"])
+            rows = [(i, *r) for i, page in zip(f.page_id, f.html, strict=True) for r in _nodes(page)]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in NODES.split(", ")])
 
     large = F.octet_length("html") > most_bytes
     reason = F.when(F.col("html").isNull(), "empty_page").when(large, "page_too_large")
-    return pages.filter(F.col("html").isNotNull() & ~large).select("page_id", "html").mapInPandas(run, "page_id long, rank int, url string, title string, snippet string"), pages.withColumn("reject_reason", reason).filter("reject_reason is not null").select("page_id", "reject_reason")
+    nodes = pages.filter(F.col("html").isNotNull() & ~large).select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(run, NODES)
+    first = lambda kind, value: F.min_by(F.when(F.col("kind") == kind, value), F.when(F.col("kind") == kind, F.col("pos")))
+    boxes = nodes.groupBy("page_id", "box").agg(first("link", F.struct("href", F.coalesce(F.nullif("text", F.lit("")), "title").alias("title"))).alias("link"), first("snippet", F.col("text")).alias("snippet"), first("around", F.col("text")).alias("around"))
+    boxes = boxes.filter("link is not null").withColumn("boxed", F.max(F.col("box") > 0).over(Window.partitionBy("page_id")))
+    title = F.col("link.title")
+    at = F.instr("around", title)
+    rest = F.when(at > 0, F.concat(F.substr("around", F.lit(1), at - 1), F.substr("around", at + F.length(title)))).otherwise(F.col("around"))
+    own = F.when(F.col("box") > 0, F.col("snippet")).otherwise(F.nullif(F.trim(rest), F.lit("")))
+    found = boxes.filter(F.when(F.col("boxed"), F.col("box") > 0).otherwise(F.length(F.trim(title)) >= 3))
+    return found.select("page_id", F.abs("box").alias("rank"), F.col("link.href").alias("url"), title.alias("title"), own.alias("snippet")), pages.withColumn("reject_reason", reason).filter("reject_reason is not null").select("page_id", "reject_reason")
 
 
 def links(pages: DataFrame) -> DataFrame:

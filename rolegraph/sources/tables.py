@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -39,6 +40,17 @@ PAYLOAD = (
 )
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once and written to the folder that all machines share (spark.checkpoint.dir); a local session without one takes its own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
 def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A domain table with its declared schema."""
     return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}")

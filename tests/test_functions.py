@@ -91,3 +91,21 @@ def test_small_parts(spark):
     assert one(spark, U.safe_href(F.col("c0")), "javascript:x") is None
     assert one(spark, U.search_url(F.col("c0"), "b?q="), 'a "b"') == "b?q=a+%22b%22"
     assert one(spark, U.source_url(F.col("c0")), "HTTPS://X.com/A/?q=1#f") == "https://x.com/A?q=1"
+
+
+URLS = [
+    ("https://www.linkedin.com/in/example-name/", "https://www.linkedin.com/in/example-name", "example-name"), ("https://tr.linkedin.com/in/example-name?trk=abc#section", "https://www.linkedin.com/in/example-name", "example-name"),
+    ("HTTPS://Example.COM:443/a//b/?utm_source=x&page=2#fragment", "https://example.com/a/b?page=2", None), ("https://münich.example/kişiler/demo", "https://xn--mnich-kva.example/ki%C5%9Filer/demo", None),
+    *((u, None, None) for u in ("", "not a url", "javascript:alert(1)", "mailto:test@example.com", "/relative/path", "https://example.com:invalid/path", "http://a..b/", "http://h.example:70000/", None)),
+    ("https://linkedin.com/company/example", "https://linkedin.com/company/example", None), ("https://example.com/profile?trackingId=x&tab=activity&refId=y", "https://example.com/profile?tab=activity", None),
+    ("https://linkedin.com/in/a+b", "https://www.linkedin.com/in/a%2Bb", "a+b"), ("https://linkedin.com/in/a(b)", "https://www.linkedin.com/in/a%28b%29", "a(b)"), ("https://linkedin.com/in/J%C3%BCrgen%20x/", "https://www.linkedin.com/in/J%C3%BCrgen%20x", "Jürgen x"),
+    ("http://u:p@Host.example:8080", "http://host.example:8080/", None), ("http://h.example?b=1&a&=2&c=x=y z&d=a+b%2B", "http://h.example/?b=1&a=&=2&c=x%3Dy+z&d=a+b%2B", None), ("http://h.example/%zz/%7Euser/a%2Fb*", "http://h.example/%25zz/~user/a/b*", None),
+    ("https://evil-linkedin.com/in/x", "https://evil-linkedin.com/in/x", None), ("https://LinkedIn.com/IN/X", "https://www.linkedin.com/in/X", "X"),
+]
+
+
+def test_canonical_urls(spark):
+    df = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(URLS)], "i int, u string").repartition(2)
+    got = {r.i: r.x for r in df.select("i", U.canonical_url(F.col("u")).alias("x")).collect()}
+    for i, (u, url, slug) in enumerate(URLS):
+        assert (got[i].url, got[i].slug) == (url, slug), u

@@ -50,12 +50,13 @@ def test_parse(spark):
 
 def test_queries_in_order(spark):
     job = spark.createDataFrame([("j", "Software Developer", "Bursa", None, ["Python"], ["SQL"])], "job_id string, job_title string, city string, country string, required_skills array<string>, preferred_skills array<string>")
-    req = spark.createDataFrame([("j", "title", "software developer", 1.0, 1.0, 0), ("j", "education", "field:x", 1.0, 1.0, 1), ("j", "industry", "steel", 1.0, 1.0, 2)], "job_id string, type string, normalized_value string, weight double, confidence double, seq long")
+    req = spark.createDataFrame([("j", "title", "software developer", "required", 1.0, 1.0, 0), ("j", "education", "field:x", "required", 1.0, 1.0, 1), ("j", "industry", "steel", "required", 1.0, 1.0, 2), ("j", "skill", "docker", "preferred", 1.0, 1.0, 3)], "job_id string, type string, normalized_value string, importance string, weight double, confidence double, seq long")
     made = sourcing.generate(sourcing.query_inputs(job, req), ("tr", "en"), max_queries=30)
     rows = made.orderBy("position").collect()
     # The recall queries have the keys of title_location here, so the earlier ones stay.
     assert [r.query_type for r in rows] == ["title_location"] * 2 + ["precision"] * 2 + ["title_skills"] * 2 + ["education_location", "industry_title", "required_skills"]
     assert rows[0].query_text == 'site:linkedin.com/in ("Yazılım Geliştirici" OR "Yazılım Mühendisi") "Bursa"'
+    assert not any("docker" in r.query_text for r in rows)
     new, counts = sourcing.persist(made, made, spark.createDataFrame([("j", "parsed")], "job_id string, status string"))
     assert new.count() == 0 and counts.first().existing == len(rows)
 
@@ -76,7 +77,7 @@ def test_import_and_discovery(spark):
     rows = unique.select(F.col("pos").alias("result_id"), F.col("query_id").alias("job_id"), "normalized_url", "candidate_profile_slug", "displayed_name", "displayed_headline", "displayed_location", "title", "snippet")
     none = spark.createDataFrame([], "candidate_id long, normalized_profile_url string, profile_slug string, created_at timestamp")
     got = {x.result_id: (x.action, x.reason) for x in imports.discover(rows, none).collect()}
-    assert got == {1: ("create", "network_profile_url"), 4: ("skip", "search_engine_result"), 5: ("skip", "non_person_network_page"), 6: ("create", "personal_profile_metadata")}
+    assert got == {1: ("create", "linkedin_profile_url"), 4: ("skip", "search_engine_result"), 5: ("skip", "non_person_linkedin_page"), 6: ("create", "personal_profile_metadata")}
     s = imports.discovery_summary(imports.discover(rows, none)).first()
     assert (s.received, s.created, s.skipped) == (4, 2, 2)
 
@@ -130,11 +131,11 @@ def test_merge(spark):
     people = spark.createDataFrame([(1, "A", None, t(1)), (2, "B", "h", t(2)), (3, "C", "x", t(3))], "candidate_id long, full_name string, headline string, updated_at timestamp")
     plan = spark.createDataFrame([("m", 1, 2, 1, "keep_target"), ("bad", 3, 9, 1, "keep_target")], "cluster_id string, target_id long, source_id long, source_ord int, strategy string")
     kids = spark.createDataFrame([(2, "s"), (3, "z")], "candidate_id long, v string")
-    after, children, audit = C.merge(people, plan, {"skills": kids})
+    after, children, audit = C.merge(people, plan, {"experiences": kids})
     assert {(r.candidate_id, r.full_name, r.headline) for r in after.collect()} == {(1, "A", "h"), (3, "C", "x")}
-    assert {(r.candidate_id, r.v) for r in children["skills"].collect()} == {(1, "s"), (3, "z")}
+    assert {(r.candidate_id, r.v) for r in children["experiences"].collect()} == {(1, "s"), (3, "z")}
     a = audit.first()
-    assert a.moved_skills == 1 and a.conflicts == ["full_name"]
+    assert a.moved_experiences == 1 and a.conflicts == ["full_name"]
     assert C.plan_errors(plan, people).first().errors == ["candidate_missing"]
 
 
@@ -219,3 +220,78 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
         start_import(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+EXPERIENCE = "candidate_id long, pos int, external_key string, position_title_raw string, company_name string, company_url string, location string, start_date date, end_date date, is_current boolean, duration_months int, skills_detected array<string>, confidence double, sort_order int"
+EDUCATION = "candidate_id long, pos int, external_key string, institution_name string, degree string, field_of_study string, start_year int, end_year int, source string, confidence double"
+SKILL = "candidate_id long, pos int, raw_name string, category string, endorsement_count int, source string, confidence double"
+CERTIFICATION = "candidate_id long, pos int, external_key string, name string, issuer string, issue_date date, expiration_date date, credential_id string, credential_url string, source string, confidence double"
+LANGUAGE = "candidate_id long, pos int, language string, proficiency string, source string, confidence double"
+CANDIDATE = "candidate_id long, full_name string, normalized_profile_url string, headline string, about string, location_raw string, city string, country string, current_title string, current_company string, discovery_snippet string, total_experience_months int, profile_status string, data_quality_score double, last_scraped_at timestamp"
+
+
+def test_import_enrichment(spark):
+    day = datetime.date
+    people = spark.createDataFrame([(i, "Ada Byron", "https://www.linkedin.com/in/ada", None, None, None, None, None, None, None, None, None, "discovered", 1.0, None) for i in (1, 2, 3, 4)], CANDIDATE)
+    job = lambda i, pos, title, a, z, now=False: (i, pos, None, title, "Acme", None, None, a, z, now, None, [], 0.9, pos)
+    skill = lambda i, pos, name, conf=0.5: (i, pos, name, None, None, "profile_skill", conf)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    stored = {
+        "experience": frame([job(1, 1, "Software Developer", day(2020, 1, 1), day(2020, 12, 31)), job(2, 1, "Cook", day(2010, 1, 1), day(2010, 6, 30))], EXPERIENCE), "education": frame([(1, 1, "EXT", "MIT", None, None, None, None, "manual", 1.0)], EDUCATION),
+        "skill": frame([skill(1, 1, "python"), skill(2, 1, "java"), skill(2, 2, "go")], SKILL), "certification": frame([], CERTIFICATION), "language": frame([(1, 1, "English", None, "manual", 1.0)], LANGUAGE),
+    }
+    incoming = {
+        "experience": frame([job(1, 1, " Software  developer ", day(2020, 1, 1), day(2020, 12, 31)), job(1, 2, "Planning Engineer", day(2021, 1, 1), None, True)], EXPERIENCE),
+        "education": frame([(1, 1, "ext", "M.I.T.", "BSc", "Computer Engineering", 2000, 2004, "Manual", 1.0), (3, 1, None, "X", None, None, 2004, 2000, "manual", 1.0)], EDUCATION),
+        "skill": frame([skill(1, 1, "Python", 0.7), skill(1, 2, "sql"), skill(1, 3, "SQL", 0.6), skill(2, 1, "docker")], SKILL),
+        "certification": frame([(1, 1, None, "ISO9001", "TUV", None, None, "C-1", "https://x.example/c", "manual", 1.0), (1, 2, None, "iso 9001", "tuv", None, None, "c-1", None, "manual", 1.0)], CERTIFICATION),
+        "language": frame([(1, 1, "Ingilizce", "fluent", "manual", 1.0), (1, 2, "english", "good", "manual", 1.0)], LANGUAGE),
+    }
+    payloads = frame([(1, "deep", "merge", "fill_empty", [], False, "Bob", "Dev at Acme", "about", "Bursa"), (2, "basic", "replace_sections", "overwrite_non_null", ["skill"], True, "Eve", None, None, None), (3, "deep", "replace_all", "fill_empty", [], False, "Zed", None, None, None)], "candidate_id long, mode string, import_mode string, identity_update_strategy string, sections_present array<string>, is_partial boolean, full_name string, headline string, about string, location_raw string")
+    out, after, runs = E.import_enrichment(people, stored, payloads, incoming, "2022-06-15 10:00:00")
+    got, run = {r.candidate_id: r for r in out.collect()}, {r.candidate_id: r for r in runs.collect()}
+    assert (got[1].full_name, got[1].headline, got[1].current_title, got[1].total_experience_months, got[1].profile_status) == ("Ada Byron", "Dev at Acme", "Planning Engineer", 12 + 18, "scraped")
+    assert str(got[1].last_scraped_at) == "2022-06-15 10:00:00" and got[2].last_scraped_at is None and got[2].full_name == "Eve" and got[2].profile_status == "partial"
+    assert (run[1].status, run[1].experience_created, run[1].experience_updated, run[1].skill_created, run[1].skill_updated, run[1].education_updated, run[1].certification_created, run[1].language_created + run[1].language_updated) == ("completed", 1, 1, 1, 1, 1, 1, 1)
+    assert (run[2].status, run[2].skill_created, run[2].skill_deleted, run[2].experience_deleted) == ("partial", 1, 2, 0)
+    assert (run[3].status, run[3].errors) == ("failed", ["education:year_range"]) and got[3].full_name == "Ada Byron" and got[4].profile_status == "discovered"
+    assert {r.normalized_name for r in after["skill"].filter("candidate_id = 2").collect()} == {"docker"} and after["experience"].filter("candidate_id = 2").count() == 1
+    before, later = {r.candidate_id: (r.quality_before, r.quality_after) for r in runs.collect()}[1]
+    assert later > before and got[1].data_quality_score == later
+    same, _, seen = E.import_enrichment(people, stored, payloads, incoming, "2022-06-15 10:00:00", preview=True)
+    assert same is people and {r.status for r in seen.collect()} == {"preview", "failed"}
+
+
+def test_merge_consolidates_children(spark):
+    people = spark.createDataFrame([(i, n, u, None, None, "Bursa" if i == 1 else None, None, None, None, "Acme" if i == 2 else None, None, 5, "partial", 9.0, None) for i, n, u in ((1, "Ada", None), (2, "Ada Byron", "https://a.example/x"), (3, "Other", None), (4, "Eve", None))], CANDIDATE).withColumn("updated_at", F.to_timestamp(F.lit("2020-01-01")))
+    plan = spark.createDataFrame([("k", 1, 2, 1, "keep_target"), ("bad", 3, 3, 1, "keep_target")], "cluster_id string, target_id long, source_id long, source_ord int, strategy string")
+    children = {
+        "skills": spark.createDataFrame([(1, "python", "manual", 0.5, None), (2, "Python", "manual", 0.9, 4), (2, "sql", "manual", 0.2, 1), (4, "go", "manual", 0.1, 1)], "candidate_id long, normalized_name string, source string, confidence double, endorsement_count int"),
+        "languages": spark.createDataFrame([(1, "english", 0.3, ""), (2, "english", 0.8, "fluent")], "candidate_id long, language_normalized string, confidence double, proficiency string"),
+        "shortlist": spark.createDataFrame([(7, 1, "new", "mine"), (7, 2, "reviewed", "theirs"), (8, 2, "new", "only")], "job_id long, candidate_id long, status string, note string"),
+        "matches": spark.createDataFrame([(7, 1, 50.0, "a", ["x"]), (7, 2, 60.0, "b", ["x", "y"])], "job_id long, candidate_id long, total_score double, explanation string, matched_requirements array<string>"),
+        "experiences": spark.createDataFrame([(2, "t")], "candidate_id long, title string"), "educations": spark.createDataFrame([], "candidate_id long"),
+    }
+    own = spark.createDataFrame([("k", "Countess")], "cluster_id string, headline string")
+    out, moved, audit = C.merge(people, plan, children, own)
+    got = {r.candidate_id: r for r in out.collect()}
+    assert set(got) == {1, 3, 4} and (got[1].full_name, got[1].headline, got[1].current_company) == ("Ada", "Countess", "Acme")
+    assert got[1].data_quality_score > 9 and got[4].data_quality_score == 9.0
+    assert {(r.candidate_id, r.normalized_name, r.confidence, r.endorsement_count) for r in moved["skills"].collect()} == {(1, "python", 0.9, 4), (1, "sql", 0.2, 1), (4, "go", 0.1, 1)}
+    assert [tuple(r) for r in moved["languages"].select("candidate_id", "confidence", "proficiency").collect()] == [(1, 0.8, "fluent")]
+    assert {(r.job_id, r.candidate_id, r.status, r.note) for r in moved["shortlist"].collect()} == {(7, 1, "new", "mine\n\n[merged from 2]\ntheirs"), (8, 1, "new", "only")}
+    match = moved["matches"].first()
+    assert (match.total_score, match.explanation, match.matched_requirements) == (50.0, "a\n\n[merged from 2]\nb", ["x", "y"])
+    a = audit.first()
+    assert audit.count() == 1 and (a.moved_skills, a.moved_languages, a.moved_shortlist, a.moved_experiences, a.moved_educations) == (2, 1, 2, 1, 0)
+    assert C.merge(people, plan, children, preview=True)[0] is people
+
+
+def test_result_pages(spark):
+    boxed = '<div data-result><p>first</p><a href="https://a.example/1">One</a><a href="/2">Two</a></div><article><a href="u" title="T"></a><span class="snippet">s <b>x</b></span></article><div class="g"><p>no link</p></div><a href="outside">Outside</a>'
+    loose = '<p>Read <a href="https://b.example">the paper</a> now</p><a href="x">ab</a><script><a href="no">nono</a></script>'
+    pages_ = spark.createDataFrame([(1, boxed), (2, loose), (3, None), (4, "x" * 50), (5, "")], "page_id long, html string")
+    found, rejected = pages.result_records(pages_, most_bytes=1000)
+    assert {tuple(r) for r in found.collect()} == {(1, 1, "https://a.example/1", "One", "first"), (1, 2, "u", "T", "s x"), (2, 1, "https://b.example", "the paper", "Read  now")}
+    assert {tuple(r) for r in rejected.collect()} == {(3, "empty_page")}
+    assert {tuple(r) for r in pages.result_records(pages_, most_bytes=40)[1].collect()} == {(1, "page_too_large"), (2, "page_too_large"), (3, "empty_page"), (4, "page_too_large")}

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ REVISIT_BYTES = 100
 FILE_BYTES = 256 << 20
 #: Ranges that are at most GAP bytes apart are read as one, of at most READ bytes unless one record is longer.
 GAP, READ = 64 << 10, 4 << 20
+#: Bytes of archives that a task reads back.
+TASK_READ = 8 << 20
 KEY = "urn:record:"
 INDEX = "key long, file string, offset long, length long, url string, digest string, record_type string, refers_to long"
 RECORD = "key long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -141,7 +144,9 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
                 types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
 
-    sorted_ = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # Tasks are dealt by the bytes that they read, not by those of the index.
+    tasks = max(1, math.ceil((index.agg(F.sum("length")).first()[0] or 0) / TASK_READ))
+    sorted_ = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return sorted_.mapInArrow(tidy(run), RECORD)
 
 

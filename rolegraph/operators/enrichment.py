@@ -181,7 +181,7 @@ def import_enrichment(
     today, names = now[:10], list(incoming)
     new = {k: NORMALISED[k](incoming[k], today).withColumns({"errors": row_errors(k), "key": natural_key(k)}) for k in names}
     old = {k: NORMALISED[k](stored[k], today).withColumn("key", natural_key(k)) for k in names}
-    broken = reduce(DataFrame.unionByName, (r.select("candidate_id", F.explode(F.transform("errors", lambda e, k=k: F.concat(F.lit(f"{k}:"), e))).alias("error")) for k, r in new.items()))
+    broken = reduce(DataFrame.unionByName, (r.select("candidate_id", F.explode(F.transform("errors", lambda e: F.concat(F.lit(f"{k}:"), e))).alias("error")) for k, r in new.items()))
     failed = broken.groupBy("candidate_id").agg(F.array_sort(F.collect_set("error")).alias("errors"))
     good = payloads.join(failed, "candidate_id", "left_anti")
     after, runs = {}, payloads.select("candidate_id", "mode", "import_mode", "is_partial")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rolegraph.functions import dictionaries as D
 from rolegraph.functions.text import collapse, fold
+from rolegraph.sources.tables import upsert
 
 #: Synonyms of the match key, replaced in order.
 SYNONYMS = (("software developer", "software engineer"), ("developer", "engineer"))
@@ -76,12 +77,6 @@ def requirement_hits(pairs_: DataFrame, requirements: DataFrame, values: DataFra
     return out.fillna(False, ["found", "any_value"])
 
 
-def list_scores(hits: DataFrame) -> DataFrame:
-    """Per pair and category: score (required skills weigh double; 0 without any value)."""
-    w = F.when((F.col("category") == "skill") & (F.col("importance") == "required"), 2.0).otherwise(1.0)
-    return hits.groupBy("job_id", "candidate_id", "category").agg((100 * F.sum(F.when(F.col("found"), w).otherwise(0.0)) / F.sum(w)).alias("score"), F.max("any_value").alias("any_value"))
-
-
 def experience_score(minimum: Column, months: Column) -> Column:
     """M6: null if a minimum is asked and the months are unknown."""
     return F.when(minimum.isNull(), 100.0).when(months.isNotNull(), F.least(F.lit(100.0), 100 * (months / 12) / F.greatest(minimum, F.lit(0.1))))
@@ -106,7 +101,7 @@ def explanation(total_: Column, matched: Column, missing: Column, uncertain: Col
 
 
 def score(pairs_: DataFrame, jobs: DataFrame, requirements: DataFrame, candidates: DataFrame, titles: DataFrame, values: DataFrame, version: str = "rule-v1", compat: bool = False) -> DataFrame:
-    """A row for each pair: eight scores, total_score, matched, missing, uncertain, explanation.
+    """A row for each pair: eight scores, total_score, matched, missing, uncertain, explanation.
 
     jobs: job_id, title, min_experience_years, city, country, status (only parsed jobs are scored).
     candidates: candidate_id, city, country, total_experience_months. compat: values keep their namespaces
@@ -118,7 +113,7 @@ def score(pairs_: DataFrame, jobs: DataFrame, requirements: DataFrame, candidate
     lists = lists if compat else lists.withColumn("value", F.when(F.col("category") == "education", F.regexp_replace("value", "^(?:field|level):", "")).when(F.col("category") == "language", F.regexp_replace("value", ":.*$", "")).otherwise(F.col("value")))
     hits = requirement_hits(pairs_, lists, values)
     order = F.array_position(F.array(*(F.lit(c) for c in CATEGORIES)), F.col("category"))
-    entry = F.struct(order.alias("o"), F.col("seq").cast("long").alias("seq"), "category", F.col("raw_value").alias("value"), F.lit(None).cast("string").alias("reason"))
+    entry = F.struct(order.alias("o"), F.col("seq").cast("long").alias("seq"), "category", F.col("raw_value").alias("value"), F.lit(None).cast("string").alias("reason"), F.when(F.col("category") == "skill", F.col("importance")).alias("importance"), F.lit(None).cast("double").alias("score"))
     ids = ["job_id", "candidate_id"]
     w = F.when((F.col("category") == "skill") & (F.col("importance") == "required"), 2.0).otherwise(1.0)
     share = lambda c: 100 * F.coalesce(F.sum(F.when((F.col("category") == c) & F.col("found"), w)), F.lit(0.0)) / F.sum(F.when(F.col("category") == c, w))
@@ -126,7 +121,7 @@ def score(pairs_: DataFrame, jobs: DataFrame, requirements: DataFrame, candidate
         *(share(c).alias(c) for c in LISTS),
         F.collect_list(F.when(F.col("any_value") & F.col("found"), entry)).alias("m"),
         F.collect_list(F.when(F.col("any_value") & ~F.col("found"), entry)).alias("x"),
-        F.collect_set(F.when(~F.col("any_value"), F.struct(order.alias("o"), F.lit(0).cast("long").alias("seq"), "category", F.lit(None).cast("string").alias("value"), F.concat(F.lit("candidate_"), "category", F.when(F.col("category") == "skill", F.lit("s")).otherwise(F.lit("")), F.lit("_missing")).alias("reason")))).alias("u"),
+        F.collect_set(F.when(~F.col("any_value"), F.struct(order.alias("o"), F.lit(0).cast("long").alias("seq"), "category", F.lit(None).cast("string").alias("value"), F.concat(F.lit("candidate_"), "category", F.when(F.col("category") == "skill", F.lit("s")).otherwise(F.lit("")), F.lit("_missing")).alias("reason"), F.lit(None).cast("string").alias("importance"), F.lit(None).cast("double").alias("score")))).alias("u"),
     )
     place = requirements.filter("category = 'location'").groupBy("job_id").agg(F.min_by("value", "seq").alias("place")).withColumn("place", F.col("place") if compat else F.regexp_replace("place", "^(?:city|country|work_mode):", ""))
     rows = title_scores(pairs_, jobs, titles).join(evidence, ids, "left").join(jobs.select("job_id", "title", "min_experience_years", F.col("city").alias("job_city"), F.col("country").alias("job_country")), "job_id").join(place, "job_id", "left").join(candidates.select("candidate_id", "city", "country", "total_experience_months"), "candidate_id")
@@ -137,7 +132,8 @@ def score(pairs_: DataFrame, jobs: DataFrame, requirements: DataFrame, candidate
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     scores = {"title": zero("title_score"), "experience": zero("experience_known"), "location": zero("location_known")} | {c: F.coalesce(F.col(c), F.lit(100.0)) for c in LISTS}
     rows = rows.select("*", *(v.alias(f"s_{k}") for k, v in scores.items())).withColumn("total_score", total({k: F.col(f"s_{k}") for k in scores}))
-    one = lambda cond, o, category, value, reason=None: F.when(cond, F.array(F.struct(F.lit(o).alias("o"), F.lit(0).cast("long").alias("seq"), F.lit(category).alias("category"), value.cast("string").alias("value"), F.lit(reason).cast("string").alias("reason")))).otherwise(F.array())
+    one = lambda cond, o, category, value, reason=None, score=None: F.when(cond, F.array(F.struct(F.lit(o).alias("o"), F.lit(0).cast("long").alias("seq"), F.lit(category).alias("category"), value.cast("string").alias("value"), F.lit(reason).cast("string").alias("reason"), F.lit(None).cast("string").alias("importance"), F.lit(score).cast("double").alias("score")))).otherwise(F.array())
+    best = F.bround("title_score", 1)
     years = F.col("total_experience_months") / 12
     none = F.lit(None)
     enough = years >= F.col("min_experience_years")
@@ -147,8 +143,8 @@ def score(pairs_: DataFrame, jobs: DataFrame, requirements: DataFrame, candidate
     lists_ = lambda name: F.coalesce(F.col(name), F.array())
     rows = rows.withColumns(
         {
-            "matched": F.array_sort(F.concat(lists_("m"), one(F.col("title_score") >= TITLE_AT, 1, "title", F.col("title")), one(asks_years & enough, 3, "experience", F.col("min_experience_years")), one(asked & full, 5, "location", F.col("city")), one(asked & part, 5, "location", F.col("country")))),
-            "missing": F.array_sort(F.concat(lists_("x"), one(F.col("title_score") < TITLE_AT, 1, "title", F.col("title")), one(asks_years & ~enough, 3, "experience", F.col("min_experience_years")), one(asked & (F.col("location_known") == 0), 5, "location", named_place))),
+            "matched": F.array_sort(F.concat(lists_("m"), one(F.col("title_score") >= TITLE_AT, 1, "title", F.col("title"), score=best), one(asks_years & enough, 3, "experience", F.col("min_experience_years")), one(asked & full, 5, "location", F.col("city")), one(asked & part, 5, "location", F.col("country")))),
+            "missing": F.array_sort(F.concat(lists_("x"), one(F.col("title_score") < TITLE_AT, 1, "title", F.col("title"), score=best), one(asks_years & ~enough, 3, "experience", F.col("min_experience_years")), one(asked & (F.col("location_known") == 0), 5, "location", named_place))),
             "uncertain": F.array_sort(F.concat(lists_("u"), one(F.col("title_score").isNull(), 1, "title", key(F.col("title")), "candidate_title_missing"), one(F.col("experience_known").isNull(), 3, "experience", F.col("min_experience_years"), "candidate_duration_missing"), one(F.col("location_known").isNull(), 5, "location", none, "candidate_location_missing"))),
         }
     )
@@ -156,11 +152,22 @@ def score(pairs_: DataFrame, jobs: DataFrame, requirements: DataFrame, candidate
     return rows.select("job_id", "candidate_id", *(F.col(f"s_{c}").alias(f"{c}_score") for c in CATEGORIES), "total_score", "matched", "missing", "uncertain", "explanation", F.lit(version).alias("version"))
 
 
-def listing(matches: DataFrame, candidates: DataFrame, sort: str = "total_score", min_score: float | None = None, max_score: float | None = None, city: str | None = None, source: str | None = None, profile_status: str | None = None) -> DataFrame:
-    """Matches with their candidate's columns, filtered, each job's rows ranked from 1."""
+def stored(matches: DataFrame, scores: DataFrame) -> DataFrame:
+    """Stored matches after scoring: by job and candidate the new ones replace the old."""
+    return upsert(matches, scores, ["job_id", "candidate_id"])
+
+
+SORTS = ("total_score", "created_at", "data_quality_score")
+
+
+def listing(matches: DataFrame, candidates: DataFrame, sort: str = "total_score", min_score: float | None = None, max_score: float | None = None, city: str | None = None, source: str | None = None, profile_status: str | None = None, descending: bool = True) -> DataFrame:
+    """Matches with their candidate's columns, filtered, each job's rows ranked from 1; relational.page_each gives a page of each job and its counts."""
+    if sort not in SORTS:
+        raise ValueError(f"cannot sort by {sort}")
     rows = matches.join(candidates, "candidate_id")
     for c, v in (("city", city), ("source", source), ("profile_status", profile_status)):
         rows = rows if v is None else rows.filter(F.lower(c) == v.lower())
     rows = rows if min_score is None else rows.filter(F.col("total_score") >= min_score)
     rows = rows if max_score is None else rows.filter(F.col("total_score") <= max_score)
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(F.col(sort).desc_nulls_last(), "candidate_id")))
+    order = F.col(sort).desc_nulls_last() if descending else F.col(sort).asc_nulls_last()
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(order, "candidate_id")))

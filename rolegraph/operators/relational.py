@@ -58,6 +58,19 @@ def page(df: DataFrame, sort: str, key: str, allowed: Sequence[str], descending:
     return rows, meta
 
 
+def page_each(df: DataFrame, group: str, sort: str, key: str, allowed: Sequence[str], descending: bool = False, number: int = 1, size: int = 20) -> tuple[DataFrame, DataFrame]:
+    """L7 for each group: a page of its rows with rank, and group, total, pages, page, page_size. Nulls come last ascending and first descending.
+
+    Spark keeps only the page's highest ranks of each task's rows before it shuffles them; totals are a count of their own.
+    """
+    if sort not in allowed:
+        raise ValueError(f"cannot sort by {sort}")
+    order = F.col(sort).desc_nulls_first() if descending else F.col(sort).asc_nulls_last()
+    ranked_ = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order, key))).filter(F.col("rank") <= number * size)
+    meta = df.groupBy(group).agg(F.count(F.lit(1)).alias("total")).select(group, "total", F.ceil(F.col("total") / size).cast("long").alias("pages"), F.lit(number).alias("page"), F.lit(size).alias("page_size"))
+    return ranked_.filter(F.col("rank") > (number - 1) * size), meta
+
+
 def count_by(child: DataFrame, parent: DataFrame, on: str, by: str) -> DataFrame:
     """Children of the filtered parents, counted by a parent's column."""
     return child.join(parent.select(on, by), on).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
@@ -132,9 +145,3 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def orphans(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame:
     """V3: children whose parent is missing; a null reference is none."""
     return child.filter(F.col(fk).isNotNull()).join(parent.select(F.col(key).alias("__k")), F.col(fk) == F.col("__k"), "left_anti")
-
-
-def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], most: int | None = None) -> DataFrame:
-    """The first rows of each group, ranked from 1."""
-    out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return out if most is None else out.filter(F.col("rank") <= most)

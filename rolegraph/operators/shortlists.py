@@ -44,12 +44,17 @@ def checked(changes: DataFrame, machine: str) -> DataFrame:
     return changes.join(table, ["from_status", "to_status"], "left").withColumn("allowed", F.coalesce("listed", F.col("from_status") == F.col("to_status"))).drop("listed")
 
 
-def listing(entries: DataFrame, candidates: DataFrame, matches: DataFrame, statuses: Sequence[str] | None = None, min_score: float | None = None, city: str | None = None, text: str | None = None) -> DataFrame:
-    """Entries with their candidate and, where there is one, the match's score; a minimum drops entries without a score."""
+# What listings may be sorted by.
+SORTS = ("created_at", "updated_at", "total_score", "full_name", "status")
+
+
+def listing(entries: DataFrame, candidates: DataFrame, matches: DataFrame, statuses: Sequence[str] | None = None, min_score: float | None = None, city: str | None = None, text: str | None = None, source: str | None = None) -> DataFrame:
+    """Entries with their candidate and, where there is one, the match's score; a minimum drops entries without a score. relational.page_each sorts by one of SORTS and gives a page of each job and its counts."""
     rows = entries.join(candidates, "candidate_id").join(matches.select("job_id", "candidate_id", "total_score"), ["job_id", "candidate_id"], "left")
     rows = rows if statuses is None else rows.filter(F.col("status").isin(list(statuses)))
     rows = rows if min_score is None else rows.filter(F.col("total_score") >= min_score)
-    rows = rows if city is None else rows.filter(F.lower("city") == city.lower())
+    for c, v in (("city", city), ("source", source)):
+        rows = rows if v is None else rows.filter(F.lower(c) == v.lower())
     return rows if text is None else rows.filter(F.contains(F.lower(F.concat_ws("\n", "full_name", "headline", "note")), F.lit(text.lower())))
 
 

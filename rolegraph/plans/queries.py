@@ -67,6 +67,43 @@ def match_explained(spark: SparkSession, d: str) -> DataFrame:
     return _match(spark, d).select("job_id", "candidate_id", "total_score", F.regexp_extract("explanation", r"%(\d+)", 1).cast("int").alias("shown"))
 
 
+# What of each match is matched, missing and uncertain, as category=value/importance/score in order.
+_EVIDENCE = """,
+skilled AS (SELECT DISTINCT candidate_id FROM v_skills), titled AS (SELECT DISTINCT candidate_id FROM v_titles),
+ev AS (SELECT rs.job_id, rs.candidate_id, string_agg('skill=' || raw_value || '/' || importance || '/', '|' ORDER BY seq) FILTER (found) AS has, string_agg('skill=' || raw_value || '/' || importance || '/', '|' ORDER BY seq) FILTER (NOT found) AS lacks FROM rs JOIN v_requirements r ON r.req_id = rs.req_id GROUP BY ALL)
+SELECT t.job_id, t.candidate_id,
+  concat_ws('|', CASE WHEN title_score >= 70 THEN 'title=' || j.title || '//' || round_even(title_score, 1) END, has, CASE WHEN total_experience_months / 12 >= min_years THEN 'experience=' || CAST(min_years AS DOUBLE) || '//' END, CASE WHEN j.city = c.city THEN 'location=' || c.city || '//' WHEN j.country = c.country THEN 'location=' || c.country || '//' END) AS matched,
+  concat_ws('|', CASE WHEN title_score < 70 AND titled.candidate_id IS NOT NULL THEN 'title=' || j.title || '//' || round_even(title_score, 1) END, CASE WHEN skilled.candidate_id IS NOT NULL THEN lacks END, CASE WHEN total_experience_months / 12 < min_years THEN 'experience=' || CAST(min_years AS DOUBLE) || '//' END, CASE WHEN j.city <> c.city AND j.country <> c.country THEN 'location=' || j.city || '//' END) AS missing,
+  concat_ws('|', CASE WHEN titled.candidate_id IS NULL THEN 'candidate_title_missing' END, CASE WHEN skilled.candidate_id IS NULL THEN 'candidate_skills_missing' END, CASE WHEN total_experience_months IS NULL THEN 'candidate_duration_missing' END) AS uncertain
+FROM t JOIN v_jobs j ON j.job_id = t.job_id JOIN v_candidates c ON c.candidate_id = t.candidate_id LEFT JOIN ev ON ev.job_id = t.job_id AND ev.candidate_id = t.candidate_id LEFT JOIN skilled ON skilled.candidate_id = t.candidate_id LEFT JOIN titled ON titled.candidate_id = t.candidate_id"""
+
+
+@query(_MATCH.rstrip() + _EVIDENCE)
+def match_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The ordered evidence of every match."""
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["category"], F.lit("="), x["value"], F.lit("/"), F.coalesce(x["importance"], F.lit("")), F.lit("/"), F.coalesce(x["score"].cast("string"), F.lit("")))), "|")
+    return _match(spark, d).select("job_id", "candidate_id", text("matched").alias("matched"), text("missing").alias("missing"), F.array_join("uncertain.reason", "|").alias("uncertain"))
+
+
+@query(_MATCH + "SELECT job_id, candidate_id, total_score, 'rule-v1' AS version FROM t UNION ALL SELECT job_id, candidate_id, total_score, 'old' FROM v_matches m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.job_id = m.job_id AND t.candidate_id = m.candidate_id)")
+def match_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Scores replace those that are stored for the same job and candidate."""
+    old = view(spark, d, "v_matches").withColumn("version", F.lit("old"))
+    return matching.stored(old, _match(spark, d).select(old.columns))
+
+
+@query("SELECT job_id, candidate_id, total_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY total_score DESC NULLS FIRST, candidate_id) AS rank FROM v_matches) WHERE rank BETWEEN 21 AND 40")
+def match_second_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Each job's second page of twenty."""
+    return R.page_each(view(spark, d, "v_matches"), "job_id", "total_score", "candidate_id", matching.SORTS, descending=True, number=2)[0]
+
+
+@query("SELECT job_id, count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages, 1 AS page, 20 AS page_size FROM v_shortlist GROUP BY job_id")
+def shortlist_pages(spark: SparkSession, d: str) -> DataFrame:
+    """How many entries and pages each job's shortlist has."""
+    return R.page_each(view(spark, d, "v_shortlist"), "job_id", "created_at", "candidate_id", shortlists.SORTS)[1]
+
+
 @query("SELECT req.job_id, count(*) AS pairs, sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS same FROM (SELECT job_id, list_sort(string_split(value, ' ')) AS a FROM v_requirements) req JOIN (SELECT DISTINCT list_sort(string_split(value, ' ')) AS b FROM v_skills) s ON len(list_intersect(a, b)) > 0 GROUP BY req.job_id")
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
     """M3: requirement and skill token sets that share a token, and how many of those are equal."""
@@ -224,7 +261,7 @@ def shortlist_export(spark: SparkSession, d: str) -> DataFrame:
     c = view(spark, d, "v_candidates").select("candidate_id", F.when(F.col("candidate_id") % 4 == 0, F.concat(F.lit("="), "full_name")).otherwise(F.col("full_name")).alias("full_name"))
     rows = shortlists.listing(view(spark, d, "v_shortlist"), c, view(spark, d, "v_matches")).withColumn("created_at", F.col("created_at").cast("timestamp"))
     out = S.shortlist_export(rows)
-    return out.select("job_id", "n", "full_name", "note", F.when(F.col("total_score") != "", "scored").otherwise("").alias("total_score"), "created_at")
+    return out.select("job_id", "n", F.col("candidate_name").alias("full_name"), F.col("recruiter_note").alias("note"), F.when(F.col("match_score") != "", "scored").otherwise("").alias("total_score"), "created_at")
 
 
 @query("SELECT result_id, other AS is_duplicate, CASE WHEN other THEN f_result END AS duplicate_of_id FROM (SELECT r.result_id, f.query_id <> r.query_id AS other, f.result_id AS f_result FROM v_results r JOIN (SELECT normalized_url, result_id, query_id FROM (SELECT *, row_number() OVER (PARTITION BY normalized_url ORDER BY discovered_at, result_id) AS n FROM v_results) WHERE n = 1) f ON f.normalized_url = r.normalized_url)")
@@ -427,6 +464,64 @@ def page_profiles(spark: SparkSession, d: str) -> DataFrame:
     return P.profile_fields(view(spark, d, "pages"))
 
 
+# Result pages of every kind, and the records that they hold.
+_RESULT_PAGES = """
+SELECT p_partkey AS page_id, CASE p_size % 4 WHEN 0 THEN '<div class="g"><a href="https://people.example.com/' || p_partkey || '">' || p_name || '</a><p>' || p_type || '</p></div><article><h2>x</h2></article><div data-result="1"><a href="/r" title="T ' || p_brand || '"></a></div>'
+  WHEN 1 THEN '<p>see <a href="/u/' || p_partkey || '">' || p_name || '</a> now</p><p><a href="/z">ab</a></p>' WHEN 2 THEN '<script><a href="/s">' || p_name || '</a></script><div>none</div>' END AS html FROM part"""
+
+
+@query("""
+SELECT p_partkey AS page_id, 1 AS rank, 'https://people.example.com/' || p_partkey AS url, p_name AS title, p_type AS snippet, CAST(NULL AS STRING) AS reject_reason FROM part WHERE p_size % 4 = 0
+UNION ALL SELECT p_partkey, 3, '/r', 'T ' || p_brand, NULL, NULL FROM part WHERE p_size % 4 = 0
+UNION ALL SELECT p_partkey, 1, '/u/' || p_partkey, p_name, 'see  now', NULL FROM part WHERE p_size % 4 = 1
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, 'empty_page' FROM part WHERE p_size % 4 = 3""")
+def result_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Records of pages with boxes, with links alone and without links, and the pages that are rejected."""
+    found, rejected = P.result_records(sql(spark, d, _RESULT_PAGES))
+    return found.unionByName(rejected, allowMissingColumns=True)
+
+
+# Profile pages; every part that may be missing is missing from some.
+_PROFILES = """
+SELECT p_partkey AS page_id, '<main><h1>' || p_name || '</h1>' || CASE WHEN p_size % 2 = 0 THEN '<div class="headline">Engineer at ' || p_brand || '</div>' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN '<i aria-label="Status: Open to Work"></i>' ELSE '' END || '</main>'
+  || CASE WHEN p_size % 5 = 0 THEN '<section class="about"><div class="description">' || p_type || ' <b>work</b></div></section>' ELSE '' END
+  || '<section data-section="experience"><ul><li data-external-key="' || CASE WHEN p_size % 4 = 0 THEN 'k' || p_partkey ELSE '' END || '" data-skills="Python"><h3>' || p_type || '</h3><p class="company"><a href="' || CASE WHEN p_size % 3 = 0 THEN 'javascript:x' ELSE 'https://x.example.com/' || p_partkey END || '">' || p_brand || '</a></p><time>Mar ' || (2000 + p_size % 20) || ' - '
+  || CASE WHEN p_size % 2 = 0 THEN 'Present' ELSE 'June ' || (2010 + p_size % 5) END || '</time></li><li><p>no name</p></li></ul></section>'
+  || CASE WHEN p_size % 7 = 0 THEN '' ELSE '<div id="education"><div class="education-item"><h4>Uni ' || p_brand || '</h4><p class="degree">BSc' || CASE WHEN p_size % 2 = 0 THEN ', ' || p_type ELSE '' END || '</p><time>' || (1990 + p_size % 9) || ' - ' || (1994 + p_size % 9) || '</time></div></div>' END
+  || '<ol class="skills-list"><li><h4>Python</h4><span>' || p_size || ' endorsements</span></li><li><h4>PYTHON</h4></li><li><h3>' || p_name || '</h3></li></ol><ul id="certifications"><li><h3>ISO ' || p_size || '</h3><span class="issue-date">Ocak 2015</span><a href="https://c.example.com/' || p_partkey || '">see</a></li></ul>'
+  || '<ul id="languages"><li><h3>English</h3><span class="proficiency">Fluent</span></li><li><h3>ingilizce</h3></li><li><p>?</p></li></ul>' AS html FROM part"""
+_START = "make_date(2000 + p_size % 20, 3, 1)"
+_END = "CASE WHEN p_size % 2 = 1 THEN make_date(2010 + p_size % 5, 6, 1) END"
+
+
+@query(f"""SELECT CAST(p_partkey AS STRING) AS page_id, p_name AS full_name, CASE WHEN p_size % 2 = 0 THEN 'Engineer at ' || p_brand END AS headline, CASE WHEN p_size % 5 = 0 THEN p_type || ' work' END AS about, p_size % 3 = 0 AS open_to_work,
+  concat_ws(',', CASE WHEN p_size % 5 <> 0 THEN 'about_missing' END, CASE WHEN p_size % 2 = 1 THEN 'headline_missing' END, 'location_raw_missing', CASE WHEN p_size % 7 = 0 THEN 'education_missing' END, 'item_parse_failed', CASE WHEN {_END} < {_START} THEN 'invalid_date_range' END) AS warnings FROM part""")
+def profile_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Who profile pages are about, and what of them is missing."""
+    return P.profile_fields(sql(spark, d, _PROFILES)).select("page_id", "full_name", "headline", "about", "open_to_work", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(f"""SELECT CAST(p_partkey AS STRING) AS page_id, p_type AS position_title_raw, CASE WHEN p_size % 4 = 0 THEN 'k' || p_partkey ELSE 'linkedin:' || left(sha256(p_type || '|' || p_brand || '|' || {_START} || '|' || coalesce(CAST({_END} AS STRING), 'None') || '|' || CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'False' END), 24) END AS external_key,
+  p_brand AS company_name, CASE WHEN p_size % 3 <> 0 THEN 'https://x.example.com/' || p_partkey END AS company_url, {_START} AS start_date, {_END} AS end_date, p_size % 2 = 0 AS is_current, 'Python' AS skills, 0 AS sort_order FROM part""")
+def profile_experiences(spark: SparkSession, d: str) -> DataFrame:
+    """Experiences of profile pages."""
+    rows = P.profile_section(P.profile_fields(sql(spark, d, _PROFILES)), "experience")
+    return rows.select("page_id", "position_title_raw", "external_key", "company_name", "company_url", "start_date", "end_date", "is_current", F.array_join("skills_detected", ",").alias("skills"), "sort_order")
+
+
+@query("""
+SELECT CAST(p_partkey AS STRING) AS page_id, 'education' AS section, 'Uni ' || p_brand AS name, 'BSc,' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END || ',' || (1990 + p_size % 9) || ',' || (1994 + p_size % 9) AS detail FROM part WHERE p_size % 7 <> 0
+UNION ALL SELECT CAST(p_partkey AS STRING), 'skills', 'Python', CAST(p_size AS STRING) FROM part UNION ALL SELECT CAST(p_partkey AS STRING), 'skills', p_name, '' FROM part
+UNION ALL SELECT CAST(p_partkey AS STRING), 'certifications', 'ISO ' || p_size, '2015-01-01,https://c.example.com/' || p_partkey FROM part UNION ALL SELECT CAST(p_partkey AS STRING), 'languages', 'English', 'Fluent' FROM part""")
+def profile_details(spark: SparkSession, d: str) -> DataFrame:
+    """The other sections of profile pages; of two names of one skill or language the first stays."""
+    shown = {"education": ("institution_name", ("degree", "field_of_study", "start_year", "end_year")), "skills": ("raw_name", ("endorsement_count",)), "certifications": ("name", ("issue_date", "credential_url")), "languages": ("language", ("proficiency",))}
+    text = lambda x, cols: F.concat_ws(",", *(F.coalesce(x[c].cast("string"), F.lit("")) for c in cols))
+    item = lambda s, name, cols: F.transform(s, lambda x: F.struct(F.lit(s).alias("section"), x[name].alias("name"), text(x, cols).alias("detail")))
+    pages = P.profile_fields(sql(spark, d, _PROFILES))
+    return pages.select("page_id", F.explode(F.concat(*(item(s, *v) for s, v in shown.items()))).alias("x")).select("page_id", "x.*")
+
+
 _HEAD = "SELECT p_partkey AS k, p_name || CASE WHEN p_size % 3 = 0 THEN ' at ' || p_brand WHEN p_size % 3 = 1 THEN ' | ' || p_brand ELSE '' END AS h FROM part"
 
 

@@ -96,18 +96,39 @@ def guarded(c: Column) -> Column:
     return F.when(c.rlike(r"^[=+@\-]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
+# The export's columns in order, and the listing's columns that they show.
+EXPORT = {"full_name": "candidate_name", "headline": "headline", "current_title": "current_title", "current_company": "current_company", "city": "city", "country": "country", "primary_profile_url": "profile_url", "total_score": "match_score", "status": "shortlist_status", "note": "recruiter_note", "created_at": "created_at", "updated_at": "updated_at"}
+BYTE_ORDER_MARK = "\ufeff"
+
+
 def shortlist_export(entries: DataFrame, most: int | None = None) -> DataFrame:
-    """Each job's export of a listing: guarded text, ISO times, blank for no score, oldest first; all rows, or at most `most` a job (10,000 in the reference's request)."""
+    """job_id, n and the export's columns: guarded text, ISO times, blank for nulls, each job's oldest entry first; all rows, or at most `most` a job (10,000 in the reference's request).
+
+    Columns that the listing lacks are blank.
+    """
     rows = entries.withColumn("n", F.row_number().over(Window.partitionBy("job_id").orderBy("created_at", "candidate_id")))
     if most is not None:
         rows = rows.filter(F.col("n") <= most)
-    text = ["full_name", "headline", "current_title", "current_company", "city", "country", "source", "normalized_profile_url", "status", "note"]
-    return rows.select("job_id", "n", *(guarded(F.coalesce(c, F.lit(""))).alias(c) for c in text if c in entries.columns), F.coalesce(F.col("total_score").cast("string"), F.lit("")).alias("total_score"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_at"))
 
+    def shown(c: str) -> Column:
+        if c not in entries.columns:
+            return F.lit("")
+        if c in ("created_at", "updated_at"):
+            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
+        return F.col(c).cast("string") if c in ("total_score", "status") else guarded(F.col(c))
+
+    return rows.select("job_id", "n", *(F.coalesce(shown(c), F.lit("")).alias(name) for c, name in EXPORT.items()))
+
+
+def write_csv(export: DataFrame, folder: str) -> None:
+    """CSV files by job in the order of n, each with a header that begins with a byte-order mark.
 
-def write_csv(df: DataFrame, folder: str) -> None:
-    """A folder of CSV part files by job; Spark writes no byte-order mark."""
-    df.write.mode("overwrite").partitionBy("job_id").option("header", True).csv(folder)
+    A job's rows are dealt by ranges of n, so that a large job is several files and no task's sort is larger than
+    its share.
+    """
+    first, *rest = EXPORT.values()
+    rows = export.repartitionByRange("job_id", "n").sortWithinPartitions("job_id", "n")
+    rows.select("job_id", F.col(first).alias(BYTE_ORDER_MARK + first), *rest).write.mode("overwrite").partitionBy("job_id").option("header", True).csv(folder)
 
 
 def absent(rows: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:

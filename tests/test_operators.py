@@ -182,7 +182,27 @@ def test_pages(spark):
     assert rejected.first().reject_reason == "empty_page"
     profile = "<section data-section='top-card'><h1 data-field='name'>Demo Engineer</h1></section><section data-section='skills'><ul><li>Python</li><li>SQL</li></ul></section>"
     p = pages.profile_fields(spark.createDataFrame([("1", profile)], "page_id string, html string")).first()
-    assert (p.full_name, p.skills, p.experience) == ("Demo Engineer", ["Python", "SQL"], []) and "about" not in p.warnings
+    assert (p.full_name, p.skills, p.experience) == ("Demo Engineer", [], []) and "experience_missing" in p.warnings and "skills_missing" not in p.warnings
+
+
+def test_profile_pages(spark):
+    item = "<li><h3>{}</h3><p class='company'><a href='https://c.d/x'>{}</a></p><time>{}</time></li>"
+    jobs = item.format("Engineer", "Acme", "Mart 2020 – halen") + item.format("", "Nobody", "2001") + item.format("Lead", "", "May 2010 - Jan 2009") + item.format("Intern", "B", "")
+    page = f"<h1>Outside</h1><section data-section='top-card'><h1>Ada</h1><i aria-label='Open to Work now'></i></section><div class='headline'>outside</div><section class='about'><div class='description'>{'x' * 30000}</div></section><ul id='experience'>{jobs}</ul><ul id='skills'><li><h4>Python</h4> 7 endorsements</li><li><h4>python</h4></li></ul><ul id='education'></ul>"
+    df = spark.createDataFrame([("1", page), ("2", None), ("3", ""), ("4", "<p>no card</p>")], "page_id string, html string").withColumn("x", F.lit(1))
+    got = {r.page_id: r for r in pages.profile_fields(df).collect()}
+    one = got["1"]
+    assert (one.full_name, one.headline, one.open_to_work, len(one.about)) == ("Ada", None, True, 30000)
+    assert [(e.position_title_raw, e.company_name, str(e.start_date), e.is_current, e.sort_order) for e in one.experience] == [("Engineer", "Acme", "2020-03-01", True, 0), ("Lead", None, "2010-05-01", False, 2), ("Intern", "B", "None", False, 3)]
+    assert [x for x in one.warnings if "missing" not in x] == ["item_parse_failed", "invalid_date_range", "date_parse_failed"]
+    assert [(x.raw_name, x.endorsement_count) for x in one.skills] == [("Python", 7)] and one.education == [] and "education_missing" not in one.warnings
+    for i in "234":
+        assert got[i].full_name is None and got[i].experience == [] and "top_card_missing" in got[i].warnings
+    cut = pages.profile_fields(df, most_about=20000, most_items={"experience": 1}).filter("page_id = '1'").first()
+    assert len(cut.about) == 20000 and len(cut.experience) == 1
+    rows = pages.profile_section(pages.profile_fields(df), "experience").withColumn("candidate_id", F.col("page_id"))
+    assert [r.position_title_normalized for r in E.experiences(rows, "2021-01-01").orderBy("pos").collect()][1:] == ["lead", "intern"]
+    assert pages.profile_fields(df.limit(0)).count() == 0
 
 
 def test_sources(spark):
@@ -295,3 +315,44 @@ def test_result_pages(spark):
     assert {tuple(r) for r in found.collect()} == {(1, 1, "https://a.example/1", "One", "first"), (1, 2, "u", "T", "s x"), (2, 1, "https://b.example", "the paper", "Read  now")}
     assert {tuple(r) for r in rejected.collect()} == {(3, "empty_page")}
     assert {tuple(r) for r in pages.result_records(pages_, most_bytes=40)[1].collect()} == {(1, "page_too_large"), (2, "page_too_large"), (3, "empty_page"), (4, "page_too_large")}
+
+
+def test_match_entries_and_upsert(spark):
+    p = spark.createDataFrame([("j", "a"), ("j", "b")], "job_id string, candidate_id string")
+    jobs = spark.createDataFrame([("j", "software engineer", None, None, None, "parsed")], "job_id string, title string, min_experience_years double, city string, country string, status string")
+    req = spark.createDataFrame([("j", "skill", 1, "python", "Python", "required", 0), ("j", "industry", 2, "steel", "Steel", "optional", 1)], "job_id string, category string, req_id int, value string, raw_value string, importance string, seq int")
+    people = spark.createDataFrame([("a", None, None, None), ("b", None, None, None)], "candidate_id string, city string, country string, total_experience_months int")
+    titles = spark.createDataFrame([("a", "developer software team")], "candidate_id string, title string")
+    values = spark.createDataFrame([("a", "skill", "python"), ("a", "industry", "mining")], "candidate_id string, category string, value string")
+    got = M.score(p, jobs, req, people, titles, values)
+    a = got.filter("candidate_id = 'a'").first()
+    assert [(x.category, x.importance, x.score) for x in a.matched] == [("skill", "required", None)]
+    assert [(x.category, x.importance, x.score) for x in a.missing] == [("title", None, 66.7), ("industry", None, None)]
+    old = spark.createDataFrame([("j", "a", 1.0, "old"), ("k", "a", 2.0, "old")], "job_id string, candidate_id string, total_score double, version string")
+    new = M.stored(old, got.select(old.columns))
+    assert {(r.job_id, r.candidate_id, r.version) for r in new.collect()} == {("j", "a", "rule-v1"), ("j", "b", "rule-v1"), ("k", "a", "old")}
+    with pytest.raises(ValueError):
+        M.listing(old, people, sort="city")
+
+
+def test_pages_of_groups(spark):
+    rows = spark.createDataFrame([(g, i, None if i == 3 else i % 4) for g in "ab" for i in range(7 if g == "a" else 2)], "g string, id int, v int")
+    first, meta = R.page_each(rows, "g", "v", "id", ["v"], descending=True, size=3)
+    assert [r.id for r in first.filter("g = 'a'").orderBy("rank").collect()] == [3, 2, 6]
+    second = R.page_each(rows, "g", "v", "id", ["v"], number=2, size=3)[0]
+    assert [(r.g, r.id, r["rank"]) for r in second.orderBy("g", "rank").collect()] == [("a", 5, 4), ("a", 2, 5), ("a", 6, 6)]
+    assert {(r.g, r.total, r.pages) for r in meta.collect()} == {("a", 7, 3), ("b", 2, 1)}
+    assert R.page_each(rows.limit(0), "g", "v", "id", ["v"])[1].count() == 0
+    with pytest.raises(ValueError):
+        R.page_each(rows, "g", "id", "id", ["v"])
+
+
+def test_export_files(spark, tmp_path):
+    e = spark.createDataFrame([("j", "b", "=1", 2.5, "new"), ("j", "a", None, None, "new"), ("k", "c", "Zoë", 1.0, None)], "job_id string, candidate_id string, full_name string, total_score double, status string").withColumn("created_at", F.to_timestamp(F.lit("2024-01-02 03:04:05")))
+    out = tables.shortlist_export(e)
+    assert out.columns[2:] == list(tables.EXPORT.values())
+    tables.write_csv(out, str(tmp_path / "x"))
+    texts = [f.read_text(encoding="utf-8") for f in sorted((tmp_path / "x" / "job_id=j").glob("*.csv"))]
+    assert texts and all(t.startswith("\ufeffcandidate_name,headline,") for t in texts)
+    lines = [line for t in texts for line in t.splitlines()[1:]]
+    assert len(lines) == 2 and lines[1].startswith("'=1,") and ",2.5,new," in lines[1] and "2024-01-02T03:04:05Z" in lines[1]

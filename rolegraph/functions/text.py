@@ -140,8 +140,10 @@ def place_in(c: Column, places: Sequence[str] = D.SNIPPET_PLACES) -> Column:
 
 def month_date(c: Column, months: Mapping[str, str] = D.MONTHS) -> Column:
     """The first four digits as year, the first listed month name, day 1."""
-    low, year = F.lower(c), F.regexp_extract(c, r"(\d{4})", 1)
-    month = F.coalesce(*(F.when(low.rlike(rf"(?U)\b{name}\b"), F.lit(int(n))) for name, n in months.items()), F.lit(1))
+    names, year = list(months), F.regexp_extract(c, r"(\d{4})", 1)
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
+    listed = F.array_min(F.transform(words, lambda w: F.try_element_at(lit_map({n: i for i, n in enumerate(names, 1)}), w)))
+    month = F.coalesce(F.try_element_at(F.array(*(F.lit(int(months[n])) for n in names)), listed), F.lit(1))
     return F.when(year != "", F.make_date(F.try_to_number(year, F.lit("9999")).cast("int"), month, F.lit(1)))
 
 

@@ -74,7 +74,8 @@ def test_automata_find_published_formats_and_leave_the_rest(spark):
 def test_automaton_keeps_lengths_and_beginnings():
     m = credentials.Model.of("k", [f"ab{R.randrange(10**8):08d}".encode() for _ in range(300)])
     assert len(m.end) < 15
-    inside, longer, shorter, other = m.score([b"ab12345678", b"ab123456789", b"ab1234567", b"xb12345678"])
+    (inside, longer, shorter, other), misses = m.score([b"ab12345678", b"ab123456789", b"ab1234567", b"xb12345678"])
+    assert misses.tolist()[0] == 0 and min(misses.tolist()[1:]) >= 1
     assert inside >= m.least > max(longer, shorter, other)
     loops = credentials.Model.of("l", [("0" * R.randint(1, 30)).encode() for _ in range(500)])
     assert len(loops.end) < 31

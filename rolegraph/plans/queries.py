@@ -454,8 +454,9 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def page_results(spark: SparkSession, d: str) -> DataFrame:
-    """Result records of stored pages."""
-    return P.result_records(view(spark, d, "pages"))[0]
+    """Result records of stored pages, and the pages that are rejected."""
+    found, rejected = P.result_records(view(spark, d, "pages"))
+    return found.unionByName(rejected, allowMissingColumns=True)
 
 
 @query()

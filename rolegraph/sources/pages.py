@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from functools import partial
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rolegraph.functions import dictionaries as D
 from rolegraph.functions import text as X
@@ -44,138 +50,182 @@ ITEMS = {
 }
 
 
-class Node:
-    def __init__(self, tag: str, attrs: Mapping[str, str | None], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.inside = tag, attrs, parent, []
-
-    def walk(self) -> Iterator[Node]:
-        for x in self.inside:
-            if isinstance(x, Node):
-                yield x
-                yield from x.walk()
-
-    def text(self) -> str:
-        parts = (x.text() if isinstance(x, Node) else " ".join(x.split()) for x in self.inside)
-        return " ".join(p for p in parts if p)
-
-    def fits(self, selector: str) -> bool:
-        """Of the forms tag, .class, #id, [attr], [attr='value'], [attr*='part'] and tag with one of them."""
-        tag, mark, rest = selector, "", ""
-        for m in ".#[":
-            if m in selector:
-                tag, _, rest = selector.partition(m)
-                mark = m
-                break
-        if tag and self.tag != tag:
-            return False
-        if mark == ".":
-            return rest in (self.attrs.get("class") or "").split()
-        if mark == "#":
-            return self.attrs.get("id") == rest
-        if mark == "[":
-            name, _, value = rest.rstrip("]").partition("=")
-            held, value = self.attrs.get(name.rstrip("*")), value.strip("'\"")
-            if name.endswith("*"):
-                return bool(value) and value in (held or "")
-            return name in self.attrs and (not value or held == value)
-        return True
-
-    def find(self, selectors: Sequence[str]) -> list[Node]:
-        """All nodes of the first selector that any node fits."""
-        for s in selectors:
-            if found := [n for n in self.walk() if n.fits(s)]:
-                return found
-        return []
-
-    def value(self, spec: str) -> str | None:
-        """A field of an item, in the notation of ITEMS; the first node that fits any of the selectors counts."""
-        where, _, attr = spec.partition("@")
-        if where == ".":
-            return self.text()
-        if not where:
-            return self.attrs.get(attr)
-        node = next((n for n in self.walk() if any(n.fits(s) for s in where.split(", "))), None)
-        if attr == "a" and node:
-            node = next((n for n in node.walk() if n.tag == "a"), None)
-        return node and (node.attrs.get("href") if attr else node.text())
-
-
-class Tree(HTMLParser):
-    """A page as nodes, without scripts and styles; open tags close where they can."""
-
-    def __init__(self, page: str):
+_FORM = re.compile(r"([a-z0-9]*)(?:\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:(\*?)='([^']*)')?\])?")
+
+
+class Selectors:
+    """Selectors compiled to look-ups by what they ask of an element, so that an element costs what its attributes do.
+
+    Of the forms tag, .class, #id, [attr], [attr='value'], [attr*='part'] and tag with one of them.
+    """
+
+    def __init__(self, selectors: Iterable[str]):
+        self.asked: dict[tuple[str, str], list[tuple[str, str, bool, str | None]]] = {}
+        for s in dict.fromkeys(selectors):
+            tag, name, ident, attr, part, value = _FORM.fullmatch(s).groups()
+            kind, key = ("class", name) if name else ("id", ident) if ident else ("attr", attr) if attr else ("tag", tag)
+            self.asked.setdefault((kind, key), []).append((s, tag, bool(part), value))
+
+    def of(self, tag: str, attrs: Mapping[str, str | None]) -> Iterator[str]:
+        """The selectors that an element fits."""
+        keys = [("tag", tag), ("id", attrs.get("id") or ""), *(("class", c) for c in set((attrs.get("class") or "").split())), *(("attr", a) for a in attrs)]
+        for k in keys:
+            for s, wanted, part, value in self.asked.get(k, ()):
+                if wanted and wanted != tag:
+                    continue
+                if k[0] != "attr" or value is None or (value in (attrs[k[1]] or "") if part else attrs[k[1]] == value):
+                    yield s
+
+
+class Page(HTMLParser):
+    """One pass over a page, without scripts and styles; open tags close where they can.
+
+    An element is its place in the page: those from i + 1 to last[i] lie inside element i. Its text is a piece of one
+    buffer, so texts of nested elements are never copied. `hits` has the elements that fit each selector, in order.
+    """
+
+    def __init__(self, html: str, selectors: Selectors):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-        self.hidden = 0
-        self.feed(page)
+        self.selectors, self.hits, self.attrs = selectors, {}, {}
+        self.pieces: list[bytes] = []
+        self.offsets: list[int] = [0]  # where each piece begins in the buffer
+        self.first, self.after, self.last, self.parent = [0], [0], [0], [0]
+        self.stack, self.opened, self.hidden = [(0, "")], Counter(), 0
+        self.feed(html)
         self.close()
+        while self.stack:
+            self._end()
+
+    def _end(self) -> str:
+        i, tag = self.stack.pop()
+        self.after[i], self.last[i] = len(self.pieces), len(self.first)
+        self.opened[tag] -= 1
+        return tag
 
     def handle_starttag(self, tag, attrs):
         if tag in UNSAFE:
             self.hidden += 1
         elif not self.hidden:
-            node = Node(tag, dict(attrs), self.at)
-            self.at.inside.append(node)
+            i, attrs = len(self.first), dict(attrs)
+            self.first.append(len(self.pieces))
+            self.after.append(len(self.pieces))
+            self.last.append(i + 1)
+            self.parent.append(self.stack[-1][0])
+            for s in self.selectors.of(tag, attrs):
+                self.hits.setdefault(s, []).append(i)
+                self.attrs[i] = attrs
             if tag not in VOID:
-                self.at = node
+                self.stack.append((i, tag))
+                self.opened[tag] += 1
 
     def handle_endtag(self, tag):
         if tag in UNSAFE:
             self.hidden = max(0, self.hidden - 1)
-            return
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        elif self.opened[tag] > 0:
+            while self._end() != tag:
+                pass
 
     def handle_data(self, data):
-        if not self.hidden:
-            self.at.inside.append(data)
+        if not self.hidden and (piece := " ".join(data.split()).encode()):
+            self.pieces.append(piece)
+            self.offsets.append(self.offsets[-1] + len(piece) + 1)
+
+    def body(self) -> bytes:
+        return b" ".join(self.pieces)
+
+    def span(self, i: int) -> tuple[int, int]:
+        """Where an element's text begins in the body, and its bytes."""
+        a, b = self.first[i], self.after[i]
+        return (self.offsets[a], self.offsets[b] - 1 - self.offsets[a]) if b > a else (0, 0)
+
+    def inside(self, i: int, selector: str) -> list[int]:
+        """The elements inside i that fit a selector, in order."""
+        own = self.hits.get(selector, [])
+        return own[bisect_left(own, i + 1) : bisect_left(own, self.last[i])]
+
+    def one(self, i: int, selectors: Iterable[str]) -> int | None:
+        """The first element inside i that fits any of the selectors."""
+        found = []
+        for s in selectors:
+            own = self.hits.get(s, [])
+            at = bisect_left(own, i + 1)
+            if at < len(own) and own[at] < self.last[i]:
+                found.append(own[at])
+        return min(found, default=None)
+
+    def find(self, i: int, selectors: Iterable[str]) -> list[int]:
+        """All elements inside i that fit the first selector that any fits."""
+        return next((found for s in selectors if (found := self.inside(i, s))), [])
+
+    def text(self, i: int) -> str | None:
+        a, n = self.span(i)
+        return self.body_of[a : a + n].decode() or None
+
+
+#: Bytes of pages that are handed on at once.
+STEP_BYTES = 4 << 20
+LINK = "a[href]"
+_RESULTS = Selectors([*CONTAINERS, *SNIPPETS, LINK])
+_SPAN = "struct<at: int, bytes: int>"
+RECORDS = f"page_id long, body binary, records array<struct<rank: int, url: string, named: string, title: {_SPAN}, snippet: {_SPAN}, boxed: boolean>>"
+
 
+def _records(html: str) -> dict:
+    """A result page's text, and its records as places in it: of each container with a link, or else of each link."""
+    page = Page(html, _RESULTS)
+    span = lambda i: None if i is None else dict(zip(("at", "bytes"), page.span(i), strict=True))
 
-NODES = "page_id long, box int, pos int, kind string, text string, title string, href string"
+    def record(rank: int, link: int, snippet: int | None, boxed: bool) -> dict:
+        own = page.attrs[link]
+        return {"rank": rank, "url": own["href"], "named": own.get("title"), "title": span(link), "snippet": span(snippet), "boxed": boxed}
 
+    boxes = sorted({i for s in CONTAINERS for i in page.inside(0, s)})
+    found = [record(n, link, page.one(i, SNIPPETS), True) for n, i in enumerate(boxes, 1) if (link := page.one(i, [LINK])) is not None]
+    found = found or [record(n, link, page.parent[link], False) for n, link in enumerate(page.inside(0, LINK), 1)]
+    return {"body": page.body(), "records": found}
 
-def _nodes(page: str) -> Iterator[tuple]:
-    """box, pos, kind, text, title, href of what records may be made of: the links and snippets of each container, and each link with its parent (as a box with a negative number)."""
-    nodes = list(Tree(page).root.walk())
-    is_link = lambda n: n.tag == "a" and "href" in n.attrs
-    for box, container in enumerate((n for n in nodes if any(n.fits(s) for s in CONTAINERS)), 1):
-        for pos, n in enumerate(container.walk()):
-            if is_link(n):
-                yield box, pos, "link", n.text(), n.attrs.get("title"), n.attrs["href"]
-            if any(n.fits(s) for s in SNIPPETS):
-                yield box, pos, "snippet", n.text(), None, None
-    for pos, n in enumerate(filter(is_link, nodes), 1):
-        yield -pos, pos, "link", n.text(), n.attrs.get("title"), n.attrs["href"]
-        yield -pos, pos, "around", n.parent.text(), None, None
 
+def _by_page(read: Callable[[str], dict], schema: str):
+    """For mapInArrow: a row for each page, handed on every STEP_BYTES of text."""
+    types = to_arrow_schema(T._parse_datatype_string(schema))
 
-def result_records(pages: DataFrame, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows, size = [], 0
+            for i, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows.append({"page_id": i} | read(html.as_py() or ""))
+                size += len(rows[-1]["body"])
+                if size > STEP_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=types)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=types)
+
+    return run
+
+
+def _text(body: Column, span: Column) -> Column:
+    """A piece of the body; null for none and for an empty one."""
+    return F.when(span["bytes"] > 0, F.decode(F.substring(body, span["at"] + 1, span["bytes"]), "UTF-8"))
+
+
+def result_records(pages: DataFrame, most_bytes: int = MOST_BYTES, most_snippet: int | None = None) -> tuple[DataFrame, DataFrame]:
     """page_id, rank, url, title, snippet of stored result pages; and page_id, reject_reason of pages that give none.
 
     A container gives its first link and its first snippet. Where no container has a link, all links with a title
-    of three characters or more count, with what stands around them.
+    of three characters or more count, with what stands around them. Python gives a row for each page, in memory linear
+    in the page; texts are cut out row by row. most_snippet is a request's limit; without it snippets are whole.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, *r) for i, page in zip(f.page_id, f.html, strict=True) for r in _nodes(page)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in NODES.split(", ")])
-
     large = F.octet_length("html") > most_bytes
     reason = F.when(F.col("html").isNull(), "empty_page").when(large, "page_too_large")
-    nodes = pages.filter(F.col("html").isNotNull() & ~large).select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(run, NODES)
-    first = lambda kind, value: F.min_by(F.when(F.col("kind") == kind, value), F.when(F.col("kind") == kind, F.col("pos")))
-    boxes = nodes.groupBy("page_id", "box").agg(first("link", F.struct("href", F.coalesce(F.nullif("text", F.lit("")), "title").alias("title"))).alias("link"), first("snippet", F.col("text")).alias("snippet"), first("around", F.col("text")).alias("around"))
-    boxes = boxes.filter("link is not null").withColumn("boxed", F.max(F.col("box") > 0).over(Window.partitionBy("page_id")))
-    title = F.col("link.title")
-    at = F.instr("around", title)
-    rest = F.when(at > 0, F.concat(F.substr("around", F.lit(1), at - 1), F.substr("around", at + F.length(title)))).otherwise(F.col("around"))
-    own = F.when(F.col("box") > 0, F.col("snippet")).otherwise(F.nullif(F.trim(rest), F.lit("")))
-    found = boxes.filter(F.when(F.col("boxed"), F.col("box") > 0).otherwise(F.length(F.trim(title)) >= 3))
-    return found.select("page_id", F.abs("box").alias("rank"), F.col("link.href").alias("url"), title.alias("title"), own.alias("snippet")), pages.withColumn("reject_reason", reason).filter("reject_reason is not null").select("page_id", "reject_reason")
+    rows = pages.filter(F.col("html").isNotNull() & ~large).select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string")).mapInArrow(_by_page(_records, RECORDS), RECORDS)
+    found = rows.select("page_id", "body", F.explode("records").alias("r")).select("page_id", "body", "r.*")
+    found = found.withColumn("title", F.coalesce(_text(F.col("body"), F.col("title")), "named")).withColumn("text", _text(F.col("body"), F.col("snippet"))).filter(F.col("boxed") | (F.length(F.trim("title")) >= 3))
+    at, around = F.instr("text", F.col("title")), F.coalesce("text", F.lit(""))
+    rest = F.when(at > 0, F.concat(F.substr(around, F.lit(1), at - 1), F.substr(around, at + F.length("title")))).otherwise(around)
+    snippet = F.when(F.col("boxed"), F.when(F.col("snippet").isNotNull(), around)).otherwise(F.nullif(F.trim(rest), F.lit("")))
+    snippet = snippet if most_snippet is None else F.substring(snippet, 1, most_snippet)
+    return found.select("page_id", "rank", "url", "title", snippet.alias("snippet")), pages.withColumn("reject_reason", reason).filter("reject_reason is not null").select("page_id", "reject_reason")
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -184,21 +234,50 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(found).alias("p", "url")).select("page_id", (F.col("p") + 1).alias("rank"), "url")
 
 
-PROFILE = "page_id string, " + ", ".join(f"{c} string" for c in (*IDENTITY, "about")) + ", open_to_work boolean, " + ", ".join(f"{s} array<array<string>>" for s in SECTIONS) + ", warnings array<string>"
+_VALUE = "struct<at: int, bytes: int, value: string>"
+PROFILE = "page_id string, body binary, " + ", ".join(f"{c} string" for c in (*IDENTITY, "about")) + ", open_to_work boolean, " + ", ".join(f"{s} array<array<{_VALUE}>>" for s in SECTIONS) + ", warnings array<string>"
+#: Bytes that the texts of a section's items may have together; nested items repeat what lies in them.
+MOST_ITEM_BYTES = 32 << 20
 
 
-def _profile(page: str | None) -> dict:
-    """The texts of a profile page: a section's items as lists in the order of its ITEMS."""
-    root = Tree(page or "").root
-    scope = {k: next(iter(root.find(s)), None) for k, s in SCOPES.items()}
-    top, about = scope["top_card"] or Node("", {}, None), scope["about"] or Node("", {}, None)
-    text = lambda node, selectors: next((t for n in node.find(selectors)[:1] if (t := n.text())), None)
-    row = {f: text(top, s) for f, s in IDENTITY.items()} | {"about": text(about, ABOUT), "open_to_work": bool(top.find(OPEN_TO_WORK))}
-    boxes = {k: next(iter(root.find(s)), None) for k, (s, _) in SECTIONS.items()}
-    gone = [k for k, v in (scope | row | boxes).items() if v is None]
+def _parts(spec: str) -> tuple[list[str], str]:
+    where, _, attr = spec.partition("@")
+    return [] if where in ("", ".") else where.split(", "), attr
+
+
+_PROFILE = Selectors([*(x for s in (*SCOPES.values(), *IDENTITY.values(), ABOUT, OPEN_TO_WORK) for x in s), *(x for box, items in SECTIONS.values() for x in (*box, *items)), *(x for i in ITEMS.values() for spec in i.values() for x in _parts(spec)[0]), "a"])
+
+
+def _value(page: Page, item: int, spec: str) -> dict | None:
+    """A field of an item, in the notation of ITEMS: where its text stands, or the value of an attribute."""
+    where, attr = _parts(spec)
+    if not where and attr:
+        return {"value": page.attrs[item].get(attr)}
+    at = page.one(item, where) if where else item
+    if attr == "a" and at is not None:
+        at = page.one(at, ["a"])
+    if at is None:
+        return None
+    return {"value": page.attrs[at].get("href")} if attr else dict(zip(("at", "bytes"), page.span(at), strict=True))
+
+
+def _profile(html: str, most_items: Mapping[str, int]) -> dict:
+    """A profile page's text, and its parts: a section's items as lists in the order of its ITEMS."""
+    page = Page(html, _PROFILE)
+    page.body_of = body = page.body()
+    first = lambda i, selectors: next(iter(page.find(i, selectors)), None) if i is not None else None
+    scope = {k: first(0, s) for k, s in SCOPES.items()}
+    text = lambda i: None if i is None else page.text(i)
+    row = {f: text(first(scope["top_card"], s)) for f, s in IDENTITY.items()} | {"about": text(first(scope["about"], ABOUT)), "open_to_work": first(scope["top_card"], OPEN_TO_WORK) is not None}
+    boxes = {k: first(0, s) for k, (s, _) in SECTIONS.items()}
+    warnings = [f"{k}_missing" for k, v in (scope | row | boxes).items() if v is None]
     for name, (_, items) in SECTIONS.items():
-        row[name] = [[n.value(x) or None for x in ITEMS[name].values()] for n in boxes[name].find(items)] if boxes[name] else []
-    return row | {"warnings": [f"{k}_missing" for k in gone]}
+        own = page.find(boxes[name], items) if boxes[name] is not None else []
+        row[name] = [[_value(page, i, x) for x in ITEMS[name].values()] for i in own[: most_items.get(name)]]
+        if sum((f or {}).get("bytes") or 0 for item in row[name] for f in item) > MOST_ITEM_BYTES:
+            row[name] = []
+            warnings.append(f"{name}_too_large")
+    return row | {"body": body, "warnings": warnings}
 
 
 def _items(section: str) -> Column:
@@ -241,17 +320,15 @@ def profile_fields(pages: DataFrame, most_about: int | None = None, most_items:
 
     Python only reads the tree; dates, links, degrees, counts and fingerprints are Catalyst expressions. A page that is
     null, empty or without a top card gives nulls, empty arrays and a warning for each part that is missing; items
-    without a name and dates that do not parse are warned of too. most_about and most_items (a section's first items)
+    without a name and dates that do not parse are warned of too. A section of items nested so deep that their texts
+    have over MOST_ITEM_BYTES together is left out with a warning. most_about and most_items (a section's first items)
     are a request's limits; without them all is kept.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([{"page_id": str(i)} | _profile(p) for i, p in zip(f.page_id, f.html, strict=True)], columns=[c.split()[0] for c in PROFILE.split(", ")])
-
-    rows = pages.select("page_id", "html").mapInPandas(run, PROFILE)
-    for s, n in (most_items or {}).items():
-        rows = rows.withColumn(s, F.slice(s, 1, n))
+    read = partial(_profile, most_items=dict(most_items or {}))
+    rows = pages.select(F.col("page_id").cast("string"), F.col("html").cast("string")).mapInArrow(_by_page(read, PROFILE), PROFILE)
+    value = lambda f: F.nullif(F.coalesce(f["value"], _text(F.col("body"), f)), F.lit(""))
+    rows = rows.withColumns({s: F.transform(s, lambda item: F.transform(item, value)) for s in SECTIONS}).drop("body")
     date = lambda x: X.date_range(F.get(x, F.lit(list(ITEMS["experience"]).index("date"))))
     unnamed = F.transform(F.filter("experience", lambda x: x[0].isNull()), lambda x: F.lit("item_parse_failed"))
     dates = F.flatten(F.transform(F.filter("experience", lambda x: x[0].isNotNull()), lambda x: date(x)["warnings"]))

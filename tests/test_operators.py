@@ -317,6 +317,35 @@ def test_result_pages(spark):
     assert {tuple(r) for r in pages.result_records(pages_, most_bytes=40)[1].collect()} == {(1, "page_too_large"), (2, "page_too_large"), (3, "empty_page"), (4, "page_too_large")}
 
 
+@pytest.mark.parametrize("html", ["<p>x " * 100_000, "<div>" * 100_000 + "<a href='u'>some link</a>", "<ul id='skills'>" + "<li>x " * 1200, "<b>" * 50_000 + "</i>" * 50_000])
+def test_deep_pages(spark, html):
+    """Unclosed and nested tags: no recursion, and end tags that close nothing cost nothing."""
+    df = spark.createDataFrame([("1", html)], "page_id string, html string")
+    found, _ = pages.result_records(df)
+    assert found.count() == html.count("<a ")
+    row = pages.profile_fields(df).first()
+    assert row.full_name is None and [len(x.raw_name or "") for x in row.skills] == []
+
+
+def test_many_links_in_one_parent(spark):
+    """Texts are places in one buffer: what a page gives is linear in it, though each record's snippet is long."""
+    html = "<div>" + "".join(f"<a href='/{n}'>link {n}</a> " for n in range(60_000)) + "</div>"
+    assert len(html) < pages.MOST_BYTES
+    read = pages._records(html)
+    assert len(read["body"]) < len(html) and len(read["records"]) == 60_000 and all(len(str(r)) < 200 for r in read["records"])
+    found, _ = pages.result_records(spark.createDataFrame([(1, html)], "page_id long, html string"), most_snippet=20)
+    rows = {r["rank"]: r for r in found.filter("rank in (1, 2, 60000)").collect()}
+    assert (rows[2].url, rows[2].title, rows[2].snippet) == ("/1", "link 1", "link 0  link 2 link ")
+    assert found.count() == 60_000 and rows[60_000].title == "link 59999"
+
+
+def test_items_that_repeat_each_other(spark, monkeypatch):
+    monkeypatch.setattr(pages, "MOST_ITEM_BYTES", 10_000)
+    html = "<ul id='skills'>" + "<li><h4>x</h4> y " * 300 + "</ul><ul id='languages'><li><h3>English</h3></li></ul>"
+    row = pages._profile(html, {})
+    assert row["skills"] == [] and "skills_too_large" in row["warnings"] and len(row["languages"]) == 1
+
+
 def test_match_entries_and_upsert(spark):
     p = spark.createDataFrame([("j", "a"), ("j", "b")], "job_id string, candidate_id string")
     jobs = spark.createDataFrame([("j", "software engineer", None, None, None, "parsed")], "job_id string, title string, min_experience_years double, city string, country string, status string")

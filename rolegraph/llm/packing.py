@@ -2,9 +2,12 @@
 
 Whole windows of a long document are sequences of their own. What is left of it goes where it makes the
 sum of the squared counts of open windows by fill level smallest; the counts are one array with an entry
-for each level. Each task packs its own rows as they come, and keeps at most OPEN windows open: past that a
-document is cut to fill the fullest one. At the end of a task the open windows fill each other up, and the
-last one is cut into lengths that are powers of two, so that no sequence needs padding.
+for each level. Each task packs its own rows as they come, however many windows are open. At the end of a task the
+open windows fill each other up, and the last one is cut into lengths that are powers of two, so that no sequence
+needs padding.
+
+Open windows hold their ids, in two bytes each where the vocabulary allows it: of a task at most what its rows have,
+and never more than HELD bytes, for at that size the windows are filled up as at the end of a task and new ones begin.
 
 Ids are those of the tokenizers library: words of Latin-1 text are merged here, others by the library.
 Defined results: null and empty texts have only the end id; rows with equal doc_ids are separate documents.
@@ -13,6 +16,7 @@ Defined results: null and empty texts have only the end id; rows with equal doc_
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from rolegraph.llm.bpe import MARKS, RARE_SPACES, Encoder, slices
 from rolegraph.llm.common import small_batches, table, tidy
 
-WINDOW, END_ID, OPEN = 4096, 2, 256
+WINDOW, END_ID = 4096, 2
+#: Bytes of ids in open windows at which a task fills them up and begins anew.
+HELD = 256 << 20
 #: The pattern of the tokenizer's words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -78,18 +84,20 @@ def word_encoder(path: str) -> WordEncoder:
 class SumOfSquares:
     """Online packing; sequences that are full are in `out` as lists of (doc, start, ids)."""
 
-    def __init__(self, window: int = WINDOW, most_open: int = OPEN):
-        self.window, self.most_open = window, most_open
+    def __init__(self, window: int = WINDOW, held: int = HELD):
+        self.window, self.most_held = window, held
         self.counts = np.zeros(window + 1, np.int64)
         self.at_level: dict[int, list[list]] = {}
-        self.open = 0
+        self.open = self.held = 0
         self.out: list[list] = []
 
     def add(self, doc, ids: np.ndarray) -> None:
         whole = len(ids) - len(ids) % self.window
         self.out += [[(doc, s, ids[s : s + self.window])] for s in range(0, whole, self.window)]
         if whole < len(ids):
-            self.place(doc, whole, ids[whole:])
+            self.place(doc, whole, ids[whole:].copy() if whole else ids)
+            if self.held > self.most_held:
+                self.close()
 
     def place(self, doc, start: int, ids: np.ndarray) -> None:
         size, n = len(ids), self.counts
@@ -103,19 +111,15 @@ class SumOfSquares:
         best = len(change) - 1 - int(np.argmin(change[::-1])) if len(change) else 0
         if len(change) and change[best] < 1 << 40 and change[best] <= fresh:
             self.put(self.take(best + 1), best + 1, doc, start, ids)
-        elif self.open >= self.most_open:
-            level = int(np.flatnonzero(n)[-1])
-            room = min(self.window - level, size)
-            self.put(self.take(level), level, doc, start, ids[:room])
-            if room < size:
-                self.place(doc, start + room, ids[room:])
         else:
             self.put([], 0, doc, start, ids)
 
     def take(self, level: int) -> list:
+        window = self.at_level[level].pop()
         self.counts[level] -= 1
         self.open -= 1
-        return self.at_level[level].pop()
+        self.held -= sum(p[2].nbytes for p in window)
+        return window
 
     def put(self, window: list, level: int, doc, start: int, ids: np.ndarray) -> None:
         window.append((doc, start, ids))
@@ -126,18 +130,19 @@ class SumOfSquares:
         self.at_level.setdefault(level, []).append(window)
         self.counts[level] += 1
         self.open += 1
+        self.held += sum(p[2].nbytes for p in window)
 
     def close(self) -> None:
         """Fill the open windows from the emptiest ones; the last is cut at powers of two."""
-        rest = [(level, w) for level in np.flatnonzero(self.counts).tolist() for w in self.at_level[level]]
-        self.counts[:] = self.open = 0
+        rest = deque((level, w) for level in np.flatnonzero(self.counts).tolist() for w in self.at_level[level])
+        self.counts[:] = self.open = self.held = 0
         self.at_level.clear()
         spare: list[tuple] = []
         while rest:
             level, window = rest.pop()
             while level < self.window and (spare or rest):
                 if not spare:
-                    spare = rest.pop(0)[1]
+                    spare = rest.popleft()[1]
                 doc, start, ids = spare.pop()
                 room = self.window - level
                 window.append((doc, start, ids[:room]))
@@ -147,7 +152,7 @@ class SumOfSquares:
             if level == self.window:
                 self.out.append(window)
             else:
-                spare, rest = window, []
+                spare, rest = window, ()
         while left := sum(len(p[2]) for p in spare):
             size, part = 1 << (left.bit_length() - 1), []
             while size:
@@ -169,7 +174,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     types = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = word_encoder(tokenizer).encode, SumOfSquares(window)
+        encoder, packer = word_encoder(tokenizer), SumOfSquares(window)
+        encode, kind = encoder.encode, "<u2" if max(encoder.whole.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         sequence = TaskContext.get().partitionId() << 40
 
         def pieces() -> Iterator[pa.RecordBatch]:
@@ -178,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             for parts in packer.out:
                 offset = 0
                 for (doc_id, tokens), start, ids in parts:
-                    rows.append((doc_id, start, len(ids), zlib.crc32(ids), tokens, sequence, offset, *([ids.tolist()] * with_ids)))
+                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4")), tokens, sequence, offset, *([ids.tolist()] * with_ids)))
                     offset += len(ids)
                 sequence += 1
             packer.out.clear()
@@ -192,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 ids, n = encode(texts.slice(i, j - i).to_pylist())
                 ends = np.cumsum(n)
                 for doc_id, a, z in zip(b.column(0).slice(i, j - i).to_pylist(), (ends - n).tolist(), ends.tolist(), strict=True):
-                    own = np.empty(z - a + 1, "<u4")
+                    own = np.empty(z - a + 1, kind)
                     own[:-1], own[-1] = ids[a:z], end_id
                     packer.add((doc_id, len(own)), own)
                 yield from pieces()

@@ -240,3 +240,88 @@ def test_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(70)] + [(None, 1)], "doc_id long, quality int")
     got = labelled.sample(docs, labels, "quality", F.col("doc_id") > 3, {1: 5, 0: 100}, 50)
     assert sum(y for _, y in got) <= 5 and sum(1 - y for _, y in got) == 23 and all(int(t[1:]) > 3 for t, _ in got)
+
+
+def plain_sum_of_squares(sizes, window):
+    """Where each piece goes by the rule alone: window number and offset, or None for whole windows."""
+    fill, out, counts = [], [], np.zeros(window + 1, np.int64)
+    at = {}
+    for size in sizes:
+        size %= window
+        if not size:
+            out.append(None)
+            continue
+        best = (2 * counts[size] + 1, 1, None)
+        for level in np.flatnonzero(counts[: window - size + 1]).tolist():
+            up = level + size
+            change = (counts[level] - 1) ** 2 - counts[level] ** 2 + (0 if up == window else (counts[up] + 1) ** 2 - counts[up] ** 2)
+            best = min(best, (change, 0, -level))
+        if best[2] is None:
+            fill.append(0)
+            w = len(fill) - 1
+        else:
+            w = at[-best[2]].pop()
+            counts[-best[2]] -= 1
+        out.append((w, fill[w]))
+        fill[w] += size
+        if fill[w] < window:
+            counts[fill[w]] += 1
+            at.setdefault(fill[w], []).append(w)
+    return out, fill
+
+
+@pytest.mark.parametrize("sizes", [(500, 3000), (1500, 4000), (20, 1500), (4095, 4097)])
+def test_packing_places_every_document_by_the_rule(sizes):
+    """However many windows are open: the same windows and offsets as by the rule alone, until the task ends."""
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(*sizes, 6000).tolist()
+    packer, most, placed = packing.SumOfSquares(), 0, {}
+    for d, n in enumerate(lengths):
+        packer.add(d, np.full(n, d % 1000, "<u2"))
+        most = max(most, packer.open)
+    want, fill = plain_sum_of_squares(lengths, packing.WINDOW)
+    windows = {}
+    for window in [*packer.out, *(w for level in packer.at_level.values() for w in level)]:
+        at = 0
+        for d, start, ids in window:
+            if len(ids) < packing.WINDOW:
+                placed[d] = (windows.setdefault(id(window), len(windows)), at)
+            at += len(ids)
+    same = {}
+    for d, w in enumerate(want):
+        assert (w is None) == (d not in placed)
+        if w is not None:
+            assert placed[d][1] == w[1] and same.setdefault(w[0], placed[d][0]) == placed[d][0]
+    assert packer.open == sum(0 < f < packing.WINDOW for f in fill) and packer.held == 2 * sum(f for f in fill if f < packing.WINDOW)
+    assert most > 1000 or sizes == (20, 1500)
+    packer.close()
+    assert packer.held == packer.open == 0 and sum(len(ids) for w in packer.out for _, _, ids in w) == sum(lengths)
+    assert all(sum(len(ids) for *_, ids in w) in (packing.WINDOW, *(1 << k for k in range(12))) for w in packer.out)
+
+
+def test_packing_holds_no_more_than_its_bound():
+    packer = packing.SumOfSquares(64, held=4000)
+    for d in range(3000):
+        packer.add(d, np.full(40, d, "<u4"))
+        assert packer.held <= 4000
+    packer.close()
+    assert sum(len(ids) for w in packer.out for _, _, ids in w) == 120_000
+
+
+def test_packing_query_of_documents(spark, sf):
+    """The registered query against the library's ids: each in one piece, sequences gapless and full or powers of two."""
+    lib, docs = Tokenizer.from_file(packing.word_bpe_path()), {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = {i: [*lib.encode(t, add_special_tokens=False).ids, 2] for i, t in docs.items()}
+    pieces, seqs = {}, {}
+    for r in packing.op9_packing(spark, sf).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4"))
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == ids.keys()
+    for i, own in [*pieces.items(), *seqs.items()]:
+        at = 0
+        for start, n in sorted(own):
+            assert start == at and n > 0
+            at += n
+    assert all(sum(n for _, n in pieces[i]) == len(x) for i, x in ids.items())
+    assert all((n := sum(k for _, k in s)) == 4096 or n & (n - 1) == 0 for s in seqs.values())

@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolegraph.functions import dictionaries as D
+from rolegraph.sources.scratch import Scratch
 from rolegraph.sources.tables import kept
 from rolegraph.functions.text import clean, fold, headline_parts, location_parts, person_name
 from rolegraph.functions.urls import PROFILE_HOST, canonical_url
 
 #: Fields that a merge decides on.
 MERGE_FIELDS = "primary_profile_url normalized_profile_url profile_slug full_name headline about discovery_title discovery_snippet location_raw city country current_title current_company total_experience_months open_to_work profile_status last_scraped_at".split()
+#: Those that a request may not set itself, and the states of a profile.
+PROTECTED_FIELDS = ["normalized_profile_url", "profile_slug", "last_scraped_at"]
+PROFILE_STATES = "discovered queued scraped partial unavailable failed".split()
 
 
 def has_text(c: Column) -> Column:
@@ -171,7 +175,7 @@ def survivorship(members: DataFrame, fields: Sequence[str] = MERGE_FIELDS) -> Da
     picks = [F.min_by(f, F.when(meaningful(members, f), rank)).alias(f) for f in fields]
     many = F.array_compact(F.array(*(F.when(F.count_distinct(F.when(meaningful(members, f), F.col(f))) > 1, F.lit(f)) for f in fields)))
     out = members.groupBy("cluster_id").agg(*picks, many.alias("conflicts"))
-    review = F.when(F.array_contains("conflicts", "normalized_profile_url"), F.array(F.lit("identity_review_required"))).otherwise(F.array().cast("array<string>"))
+    review = F.when(F.array_contains("conflicts", "normalized_profile_url"), F.array(F.lit("profile_url_conflict_requires_identity_review"))).otherwise(F.array().cast("array<string>"))
     return out.withColumn("warnings", F.concat(F.transform("conflicts", lambda f: F.concat(F.lit("field_conflict:"), f)), review))
 
 
@@ -207,13 +211,51 @@ def merged_entries(entries: DataFrame, note: str, arrays: Sequence[str] = ()) ->
     return out.withColumn(note, text).drop("notes")
 
 
-def plan_errors(plan: DataFrame, candidates: DataFrame, most: int = 20) -> DataFrame:
-    """cluster_id, errors of a merge plan (cluster_id, target_id, source_id)."""
+def plan_errors(plan: DataFrame, candidates: DataFrame, most: int = 20, overrides: DataFrame | None = None) -> DataFrame:
+    """cluster_id, errors of each merge plan (cluster_id, target_id, source_id) for itself, and of the values that it sets (overrides: cluster_id and columns)."""
     ids = candidates.select(F.col("candidate_id").alias("known"))
     missing = plan.select("cluster_id", F.explode(F.array("target_id", "source_id")).alias("known")).join(ids, "known", "left_anti").select("cluster_id").distinct().withColumn("missing", F.lit(True))
     n = plan.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_id").alias("d"), F.max(F.col("source_id") == F.col("target_id")).alias("own"), F.count_distinct("target_id").alias("t")).join(missing, "cluster_id", "left")
+    set_, wrong = [c for c in (overrides.columns if overrides is not None else []) if c != "cluster_id"], {}
+    if set_:
+        rule = {"protected_fields": reduce(Column.__or__, [F.col(c).isNotNull() for c in set_ if c not in MERGE_FIELDS or c in PROTECTED_FIELDS], F.lit(False))}
+        rule |= {"invalid_months": F.col("total_experience_months") < 0} if "total_experience_months" in set_ else {}
+        rule |= {"invalid_status": ~F.col("profile_status").isin(PROFILE_STATES)} if "profile_status" in set_ else {}
+        n = n.join(overrides.groupBy("cluster_id").agg(*(F.max(F.coalesce(c, F.lit(False))).alias(f"o_{k}") for k, c in rule.items())), "cluster_id", "left")
+        wrong = {k: F.col(f"o_{k}") for k in rule}
     say = lambda cond, what: F.when(cond, F.lit(what))
-    return n.select("cluster_id", F.array_compact(F.array(say(F.col("n") > most, "too_many_sources"), say(F.col("d") < F.col("n"), "repeated_source"), say(F.col("own"), "target_is_source"), say(F.col("t") > 1, "several_targets"), say(F.col("missing"), "candidate_missing"))).alias("errors")).filter(F.size("errors") > 0)
+    errors = {"too_many_sources": F.col("n") > most, "repeated_source": F.col("d") < F.col("n"), "target_is_source": F.col("own"), "several_targets": F.col("t") > 1, "candidate_missing": F.col("missing")} | wrong
+    return n.select("cluster_id", F.array_compact(F.array(*(say(c, k) for k, c in errors.items()))).alias("errors")).filter(F.size("errors") > 0)
+
+
+def resolved(plan: DataFrame, candidates: DataFrame, overrides: DataFrame | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of the plans that hold (with `at`, their place in order), and cluster_id, errors of the others.
+
+    Plans take effect in the order of plan_ord, then cluster_id (cluster_id alone where plan_ord is missing). A plan
+    that names a candidate which an earlier plan that holds has merged away is rejected with candidate_missing. In
+    each round the plans are decided that no undecided earlier one can take a candidate from, and those that name one
+    just taken; plans that share their target only are decided together. Rounds are as many as the longest chain of
+    plans that wait for each other; only ids of undecided plans are kept from one to the next.
+    """
+    scratch = scratch or Scratch(plan.sparkSession, "merge")
+    at = F.struct("plan_ord", "cluster_id") if "plan_ord" in plan.columns else F.struct("cluster_id")
+    rows = scratch.keep(plan.withColumn("at", at))
+    wrong = scratch.keep(plan_errors(rows, candidates, overrides=overrides))
+    pending = scratch.keep(rows.join(wrong, "cluster_id", "left_anti").select("cluster_id", "at", "target_id", "source_id"))
+    holding, rejected = [], [wrong]
+    while not pending.isEmpty():
+        names = pending.select("cluster_id", "at", F.explode(F.array("target_id", "source_id")).alias("candidate_id")).distinct()
+        takers = pending.groupBy(F.col("source_id").alias("candidate_id")).agg(F.min("at").alias("first_at"))
+        waits = names.join(takers, "candidate_id").filter(F.col("first_at") < F.col("at")).select("cluster_id").distinct()
+        ready = scratch.keep(pending.join(waits, "cluster_id", "left_anti"))
+        taken = ready.select(F.col("source_id").alias("candidate_id"))
+        late = scratch.keep(names.join(ready.select("cluster_id").distinct(), "cluster_id", "left_anti").join(taken, "candidate_id", "left_semi").select("cluster_id").distinct())
+        before, pending = pending, scratch.keep(pending.join(ready.select("cluster_id").distinct(), "cluster_id", "left_anti").join(late, "cluster_id", "left_anti"))
+        scratch.drop(before)
+        holding.append(ready.select("cluster_id").distinct())
+        rejected.append(late.select("cluster_id", F.array(F.lit("candidate_missing")).alias("errors")))
+    held = reduce(DataFrame.unionByName, holding) if holding else rows.select("cluster_id").limit(0)
+    return rows.join(held, "cluster_id", "left_semi"), reduce(DataFrame.unionByName, rejected)
 
 
 def consolidated(name: str, rows: DataFrame) -> DataFrame:
@@ -228,42 +270,94 @@ def consolidated(name: str, rows: DataFrame) -> DataFrame:
     return rows.drop("ord", "label")
 
 
-def merge(candidates: DataFrame, plan: DataFrame, children: Mapping[str, DataFrame], overrides: DataFrame | None = None, preview: bool = False) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
-    """Candidates after all valid merges, children under their targets, and an audit row for each merge.
+def _merged_fields(people: DataFrame, plan: DataFrame, fields: Sequence[str], overrides: DataFrame | None) -> DataFrame:
+    """R7, R8 for plans of targets of one level: cluster_id, target_id, strategy, at, last (of its target), the target's fields after each plan, conflicts.
 
-    plan: cluster_id, target_id, source_id, source_ord (from 1), strategy. children: tables with candidate_id; of
-    skills, languages, matches and shortlist equal rows become one (R10-R14). overrides: cluster_id and fields whose
-    values, where not null, win (R7). The targets' quality is computed anew from experiences, educations and skills
-    where candidates have one. A preview gives the audit only.
+    A target's first plan weighs the target and its sources as its strategy says. Then the target is the row updated
+    last, so what it has stays, and a later plan gives what it lacks; a value that a plan sets itself always wins.
     """
-    plan = plan.join(plan_errors(plan, candidates), "cluster_id", "left_anti")
-    ids = plan.select("cluster_id", F.col("target_id").alias("candidate_id"), "strategy", F.lit(0).alias("ord")).distinct().unionByName(plan.select("cluster_id", F.col("source_id").alias("candidate_id"), "strategy", F.col("source_ord").alias("ord")))
+    first = plan.groupBy("target_id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    own = plan.select("cluster_id", "target_id", "strategy", "at").distinct().join(first, "target_id")
+    members = plan.select("cluster_id", "strategy", F.col("source_id").alias("candidate_id"), F.col("source_ord").alias("ord")).unionByName(own.filter(F.col("at") == F.col("first_at")).select("cluster_id", "strategy", F.col("target_id").alias("candidate_id"), F.lit(0).alias("ord")))
+    members = members.join(people, "candidate_id")
+    seen = members.groupBy("cluster_id").agg(*(F.collect_set(F.when(meaningful(members, f), F.col(f))).alias(f"seen_{f}") for f in fields))  # of 21 rows at most
+    chosen = survivorship(members, fields).drop("conflicts", "warnings").join(seen, "cluster_id").join(own, "cluster_id")
+    given = [f for f in fields if overrides is not None and f in overrides.columns]
+    if given:
+        chosen = chosen.join(overrides.select("cluster_id", *(F.col(f).alias(f"set_{f}") for f in given)), "cluster_id", "left")
+        if "primary_profile_url" in given:
+            u = canonical_url(F.col("set_primary_profile_url"))
+            for f, part in (("normalized_profile_url", "url"), ("profile_slug", "slug")):
+                if f in fields:
+                    chosen, given = chosen.withColumn(f"set_{f}", u[part]), [*given, f]
+    earlier = Window.partitionBy("target_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    had = {f: F.coalesce(*([F.last(f"set_{f}", True).over(earlier)] if f in given else []), F.first(f, True).over(earlier)) for f in fields}
+    chosen = chosen.withColumns({f"had_{f}": c for f, c in had.items()})
+    conflicts = F.array_compact(F.array(*(F.when(F.size(F.array_distinct(F.array_compact(F.array_append(f"seen_{f}", F.col(f"had_{f}"))))) > 1, F.lit(f)) for f in fields)))
+    after = {f: F.coalesce(*([f"set_{f}"] if f in given else []), f"had_{f}", f) for f in fields}
+    return chosen.select("cluster_id", "target_id", "strategy", "at", (F.col("at") == F.col("last_at")).alias("last"), *(c.alias(f) for f, c in after.items()), conflicts.alias("conflicts"))
+
+
+def merge(candidates: DataFrame, plan: DataFrame, children: Mapping[str, DataFrame], overrides: DataFrame | None = None, preview: bool = False, merged_at: Column | None = None) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """Candidates after all plans that hold (see resolved()), children under their targets, and an audit row for each of these plans.
+
+    plan: cluster_id, target_id, source_id, source_ord (from 1), strategy, and plan_ord if not by cluster_id. children:
+    tables with candidate_id; of skills, languages, matches and shortlist equal rows become one (R10-R14). overrides:
+    cluster_id and fields whose values, where not null, win (R7). The result is that of one plan after the other: a
+    candidate that is merged away after it was a target takes along what it got. Targets are done level by level, each
+    after those of its sources that are targets themselves. Their quality is computed anew where candidates have one,
+    and updated_at becomes merged_at (now). A preview gives the audit only.
+    """
+    spark, merged_at = plan.sparkSession, F.current_timestamp() if merged_at is None else merged_at
+    scratch = Scratch(spark, "merge")
+    held = scratch.keep(resolved(plan, candidates, overrides, scratch)[0])
     fields = [f for f in MERGE_FIELDS if f in candidates.columns]
-    chosen = survivorship(candidates.join(ids, "candidate_id"), fields)
-    if overrides is not None:
-        given = [f for f in fields if f in overrides.columns]
-        chosen = chosen.join(overrides.select("cluster_id", *(F.col(f).alias(f"own_{f}") for f in given)), "cluster_id", "left").withColumns({f: F.coalesce(f"own_{f}", f) for f in given}).drop(*(f"own_{f}" for f in given))
-    target = plan.select("cluster_id", F.col("target_id").alias("candidate_id"), "strategy").distinct()
-    new = candidates.drop(*fields).join(target, "candidate_id").join(chosen, "cluster_id")
-    rest = candidates.join(plan.select(F.col("source_id").alias("candidate_id")), "candidate_id", "left_anti").join(target, "candidate_id", "left_anti")
-    out, counts = {}, target.select("cluster_id", F.col("candidate_id").alias("target_id"))
-    places = plan.select(F.col("source_id").alias("candidate_id"), F.col("source_ord").alias("ord"))
-    for name, df in children.items():
-        placed = df.join(places, "candidate_id", "left").withColumns({"label": F.concat(F.lit("merged from "), F.col("candidate_id").cast("string")), "ord": F.coalesce("ord", F.lit(0))})
-        rows, n = moved(placed, plan)
-        out[name] = consolidated(name, rows)
-        counts = counts.join(n.withColumnRenamed("moved", f"moved_{name}"), "target_id", "left")
-    counts = counts.fillna(0)
-    audit = new.join(counts, "cluster_id").select("cluster_id", "target_id", "strategy", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("merged_fields"), "conflicts", *(c for c in counts.columns if c.startswith("moved_")))
+    named = scratch.keep(held.select(F.explode(F.array("target_id", "source_id")).alias("candidate_id")).distinct())
+    people = scratch.keep(candidates.join(named, "candidate_id", "left_semi"))
+    own = {k: scratch.keep(df.join(named, "candidate_id", "left_semi")) for k, df in children.items()}
+    todo, audits = held, []
+    while not todo.isEmpty():
+        open_targets = todo.select(F.col("target_id").alias("source_id")).distinct()
+        waits = todo.join(open_targets, "source_id", "left_semi").select("target_id").distinct()
+        level = scratch.keep(todo.join(waits, "target_id", "left_anti"))
+        todo = scratch.keep(todo.join(waits, "target_id", "left_semi"))
+        after = scratch.keep(_merged_fields(people, level, fields, overrides))
+        gone = level.select(F.col("source_id").alias("candidate_id"))
+        new = after.filter("last").select(F.col("target_id").alias("candidate_id"), *(F.col(f).alias(f"new_{f}") for f in fields), F.lit(True).alias("merged"))
+        stamp = {"updated_at": F.when(F.col("merged"), merged_at.cast(people.schema["updated_at"].dataType)).otherwise(F.col("updated_at"))} if "updated_at" in people.columns else {}
+        set_ = {f: F.when(F.col("merged"), F.col(f"new_{f}")).otherwise(F.col(f)) for f in fields}
+        people = scratch.keep(people.join(gone, "candidate_id", "left_anti").join(new, "candidate_id", "left").withColumns(set_ | stamp).select(candidates.columns))
+        to = level.select(F.col("source_id").alias("candidate_id"), F.col("target_id").alias("to_id"), "cluster_id", F.struct("at", "source_ord").alias("ord"))
+        targets, counts = level.select(F.col("target_id").alias("candidate_id")).distinct(), after.select("cluster_id")
+        for name, df in own.items():
+            placed = df.join(to, "candidate_id", "left")
+            counts = counts.join(placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias(f"moved_{name}")), "cluster_id", "left")
+            label = F.concat(F.lit("merged from "), F.col("candidate_id").cast("string"))
+            first = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in to.schema["ord"].dataType))
+            placed = placed.withColumns({"label": label, "ord": F.coalesce("ord", first), "candidate_id": F.coalesce("to_id", "candidate_id")}).drop("to_id", "cluster_id")
+            # What lies at none of this level's targets has been consolidated before, or is not merged.
+            here, rest = placed.join(targets, "candidate_id", "left_semi"), placed.join(targets, "candidate_id", "left_anti").drop("ord", "label")
+            done = consolidated(name, here)
+            own[name] = scratch.keep(done.unionByName(rest.select(*(c for c in rest.columns if c in done.columns)), allowMissingColumns=True))
+        audits.append(scratch.keep(after.join(counts.fillna(0), "cluster_id").select("cluster_id", "target_id", "strategy", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("merged_fields"), "conflicts", *(f"moved_{k}" for k in own))))
+    none = spark.createDataFrame([], T.StructType([*(held.schema[c] for c in ("cluster_id", "target_id", "strategy")), T.StructField("merged_fields", T.StringType()), T.StructField("conflicts", T.ArrayType(T.StringType())), *(T.StructField(f"moved_{k}", T.LongType()) for k in own)]))
+    audit = reduce(DataFrame.unionByName, audits, none)
     if preview:
         return candidates, dict(children), audit
-    people = rest.unionByName(new.select(rest.columns))
+    out = {}
+    for name, df in children.items():
+        rest = df.join(named, "candidate_id", "left_anti")
+        if name in ("skills", "languages", "matches", "shortlist"):  # of candidates that no plan names, too
+            nothing = F.struct(F.lit(0).alias("ord"))
+            rest = consolidated(name, rest.withColumns({"ord": nothing, "label": F.lit("")}))
+        out[name] = rest.unionByName(own[name].select(rest.columns))
+    rest = candidates.join(named, "candidate_id", "left_anti")
     if "data_quality_score" in people.columns:
-        none = candidates.select("candidate_id").limit(0)
-        again = quality(people, *(out.get(k, none) for k in ("experiences", "educations", "skills"))).select("candidate_id", F.col("data_quality_score").alias("new_score"))
-        merged_ = target.select("candidate_id", F.lit(True).alias("merged"))
-        people = people.join(again, "candidate_id", "left").join(merged_, "candidate_id", "left").withColumn("data_quality_score", F.when(F.col("merged"), F.col("new_score")).otherwise(F.col("data_quality_score"))).select(rest.columns)
-    return people, out, audit
+        ids = candidates.select("candidate_id").limit(0)
+        again = quality(people, *(own.get(k, ids) for k in ("experiences", "educations", "skills"))).select("candidate_id", F.col("data_quality_score").alias("new_score"))
+        merged_ = held.select(F.col("target_id").alias("candidate_id"), F.lit(True).alias("merged")).distinct()
+        people = people.join(again, "candidate_id", "left").join(merged_, "candidate_id", "left").withColumn("data_quality_score", F.when(F.col("merged"), F.col("new_score")).otherwise(F.col("data_quality_score"))).select(candidates.columns)
+    return rest.unionByName(people.select(rest.columns)), out, audit
 
 
 def profile_flags(candidates: DataFrame, experiences: DataFrame) -> DataFrame:

@@ -317,6 +317,68 @@ def test_result_pages(spark):
     assert {tuple(r) for r in pages.result_records(pages_, most_bytes=40)[1].collect()} == {(1, "page_too_large"), (2, "page_too_large"), (3, "empty_page"), (4, "page_too_large")}
 
 
+def one_by_one(people, plans, notes):
+    """Merges as requests that follow each other."""
+    people, notes, rejected, clock = {k: dict(v) for k, v in people.items()}, {k: dict(v) for k, v in notes.items()}, set(), 100
+    for cluster, target, sources, strategy, value in plans:
+        if not {target, *sources} <= people.keys() or target in sources or len(set(sources)) < len(sources):
+            rejected.add(cluster)
+            continue
+        members = [people[target], *(people[s] for s in sources)]
+        for f in ("full_name", "city"):
+            order = sorted(members, key=lambda m: -m["at"]) if strategy == "prefer_newest" else members
+            people[target][f] = next((m[f] for m in order if (m[f] or "").strip()), None)
+        people[target]["city"] = value or people[target]["city"]
+        people[target]["at"] = clock = clock + 1
+        for s in sources:
+            for job, note in notes.pop(s, {}).items():
+                mine = notes.setdefault(target, {})
+                if job not in mine or not (mine[job] or "").strip():
+                    mine[job] = note
+                elif (note or "").strip() and note.strip() != mine[job].strip():
+                    mine[job] = f"{mine[job]}\n\n[merged from {s}]\n{note}"
+            del people[s]
+    return people, notes, rejected
+
+
+def test_overlapping_merge_plans_equal_one_after_the_other(spark):
+    import random
+
+    rng = random.Random(4)
+    people, notes, plans = {}, {}, []
+    for case in range(12):
+        ids = [case * 100 + i for i in range(14)]
+        for i in ids:
+            people[i] = {"full_name": rng.choice(["A", "B", None]), "city": rng.choice(["X", " ", None, f"c{i}"]), "at": rng.randrange(50)}
+            notes[i] = {j: rng.choice(["n", "m", "", f"note {i}"]) for j in range(3) if rng.random() < 0.5}
+        for n in range(10):
+            sources = rng.sample(ids, rng.randint(1, 3)) + ([ids[0]] if rng.random() < 0.2 else [])
+            plans.append((case * 1000 + n, rng.choice(ids), sources, rng.choice(["keep_target", "prefer_non_empty", "prefer_newest"]), rng.choice([None, None, "set"])))
+    want, want_notes, rejected = one_by_one(people, plans, notes)
+    assert 20 < len(rejected) < len(plans) - 20
+    stamp = lambda n: datetime.datetime(2020, 1, 1) + datetime.timedelta(days=n)
+    frame = spark.createDataFrame([(i, p["full_name"], p["city"], stamp(p["at"])) for i, p in people.items()], "candidate_id long, full_name string, city string, updated_at timestamp")
+    plan = spark.createDataFrame([(c, c, t, s, n, how) for c, t, ss, how, _ in plans for n, s in enumerate(ss, 1)], "cluster_id long, plan_ord long, target_id long, source_id long, source_ord int, strategy string")
+    shortlist = spark.createDataFrame([(j, i, "new", t) for i, own in notes.items() for j, t in own.items()], "job_id long, candidate_id long, status string, note string")
+    own = spark.createDataFrame([(c, v) for c, *_, v in plans], "cluster_id long, city string")
+    out, children, audit = C.merge(frame, plan, {"shortlist": shortlist}, own)
+    assert {r.candidate_id: (r.full_name, r.city) for r in out.collect()} == {i: (p["full_name"], p["city"]) for i, p in want.items()}
+    assert {(r.candidate_id, r.job_id): r.note for r in children["shortlist"].collect()} == {(i, j): t for i, own in want_notes.items() for j, t in own.items()}
+    assert {r.cluster_id for r in audit.collect()} == {c for c, *_ in plans} - rejected
+    assert {r.cluster_id for r in C.resolved(plan, frame, own)[1].collect()} == rejected
+
+
+def test_merge_plans_that_set_fields(spark):
+    people = spark.createDataFrame([(i, f"P{i}", None, None, None, None) for i in range(8)], "candidate_id long, full_name string, primary_profile_url string, normalized_profile_url string, profile_slug string, total_experience_months int").withColumn("updated_at", F.current_timestamp())
+    plan = spark.createDataFrame([(n, 2 * n, 2 * n + 1, 1, "keep_target") for n in range(4)], "cluster_id long, target_id long, source_id long, source_ord int, strategy string")
+    own = spark.createDataFrame([(0, "https://Ex.com/a#b", None, None), (1, None, -1, None), (2, None, None, "slug")], "cluster_id long, primary_profile_url string, total_experience_months int, profile_slug string")
+    out, _, audit = C.merge(people, plan, {}, own)
+    got = {r.candidate_id: r for r in out.collect()}
+    assert set(got) == {0, 2, 3, 4, 5, 6} and got[0].normalized_profile_url == "https://ex.com/a" and audit.count() == 2
+    assert {(r.cluster_id, *r.errors) for r in C.resolved(plan, people, own)[1].collect()} == {(1, "invalid_months"), (2, "protected_fields")}
+    assert C.merge(people, plan.limit(0), {})[2].count() == 0 and C.merge(people.limit(0), plan, {})[0].count() == 0
+
+
 @pytest.mark.parametrize("html", ["<p>x " * 100_000, "<div>" * 100_000 + "<a href='u'>some link</a>", "<ul id='skills'>" + "<li>x " * 1200, "<b>" * 50_000 + "</i>" * 50_000])
 def test_deep_pages(spark, html):
     """Unclosed and nested tags: no recursion, and end tags that close nothing cost nothing."""

@@ -16,7 +16,8 @@ RECORD = "query_id, pos, url, title, snippet, displayed_name, displayed_headline
 
 def normalized_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Result rows, and the records whose URL is not valid. records: the columns of RECORD."""
-    r = records.withColumns({"u": canonical_url(F.col("url")), "parts": title_parts(F.col("title"))})
+    # The URL is made by a generator, so that the filter on it does not make it a second time.
+    r = records.select("*", F.explode(F.array(canonical_url(F.col("url")))).alias("u")).withColumn("parts", title_parts(F.col("title")))
     text = lambda c: clean(F.col(c), unicode=False)
     good = r.filter("u.url is not null").select(
         "query_id", "pos", F.trim("url").alias("source_url"), F.col("u.url").alias("normalized_url"), F.col("u.domain").alias("source_domain"), F.col("u.slug").alias("candidate_profile_slug"), text("title").alias("title"), text("snippet").alias("snippet"),
@@ -47,14 +48,57 @@ def cross_query_duplicates(results: DataFrame) -> DataFrame:
     return results.join(first, "normalized_url").withColumns({"is_duplicate": other, "duplicate_of_id": F.when(other, F.col("f.result_id"))}).drop("f")
 
 
-def import_summary(records: DataFrame, valid: DataFrame, unique: DataFrame, inserted: DataFrame) -> DataFrame:
-    """Per query received, valid, invalid, in-batch and stored duplicates, inserted."""
-    n = lambda df, c: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(c))
-    out = n(records, "received")
-    for df, c in ((valid, "valid"), (unique, "unique"), (inserted, "inserted")):
-        out = out.join(n(df, c), "query_id", "left")
-    out = out.fillna(0)
-    return out.select("query_id", "received", "valid", (F.col("received") - F.col("valid")).alias("invalid"), (F.col("valid") - F.col("inserted")).alias("duplicate"), "inserted")
+#: Buckets of URLs: what a batch may touch of the storage, as numbers that can be broadcast (4 MB at most).
+BUCKETS = 1 << 20
+
+
+def of_urls(stored: DataFrame, urls: DataFrame) -> DataFrame:
+    """The stored rows whose normalized_url is among urls; others mostly leave by bucket, before anything is shuffled."""
+    bucket = F.pmod(F.xxhash64("normalized_url"), F.lit(BUCKETS)).cast("int")
+    urls = urls.select("normalized_url").distinct()
+    touched = F.broadcast(urls.select(bucket.alias("bucket")).distinct())  # at most BUCKETS rows
+    return stored.withColumn("bucket", bucket).join(touched, "bucket", "left_semi").drop("bucket").join(urls, "normalized_url", "left_semi")
+
+
+def import_batch(records: DataFrame, stored: DataFrame, mode: str = "merge") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows to insert, stored rows that stay, records without a valid URL, and the summary of each query.
+
+    records: the columns of imports.RECORD; stored: query_id, normalized_url. merge inserts the URLs that the query lacks,
+    replace all, in place of the query's stored rows. Imports take effect in order of query_id: a URL that another query
+    has stored, or that an earlier query of the batch brings, is inserted and counts as a duplicate. Summary: received,
+    valid, invalid, duplicate (in the batch, stored, of other queries), inserted, total (the query's rows afterwards).
+    A null URL is invalid; records of a null query_id are no import and left out.
+    """
+    if mode not in ("merge", "replace"):
+        raise ValueError("mode is merge or replace")
+    key = ["query_id", "normalized_url"]
+    valid, invalid = normalized_records(records.filter("query_id is not null"))
+    new, batch = first_of_url(valid), records.filter("query_id is not null").select("query_id").distinct()
+    # What the storage has of the batch's URLs, as a few numbers for each URL.
+    seen = of_urls(stored.select(*key), new).join(batch.withColumn("own", F.lit(True)), "query_id", "left")
+    other = F.when(F.col("own").isNull(), F.col("query_id")) if mode == "replace" else F.col("query_id")
+    by_url = seen.groupBy("normalized_url").agg(F.min(other).alias("low"), F.max(other).alias("high"), F.max(F.when(F.col("own"), F.col("query_id"))).alias("later"))
+    first = valid.groupBy("normalized_url").agg(F.min("query_id").alias("first"))
+    mine = F.lit(False) if mode == "replace" else F.col("has")
+    n = valid.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(by_url, "normalized_url", "left").join(first, "normalized_url")
+    if mode == "merge":
+        n = n.join(seen.filter("own").select(*key).distinct().withColumn("has", F.lit(True)), key, "left").withColumn("has", F.coalesce("has", F.lit(False)))
+    q = F.col("query_id")
+    elsewhere = F.coalesce(F.col("low") != q, F.lit(False)) | F.coalesce(F.col("high") != q, F.lit(False)) | (F.col("first") < q)
+    elsewhere = elsewhere | F.coalesce(F.col("later") > q, F.lit(False)) if mode == "replace" else elsewhere
+    counts = n.groupBy("query_id").agg(F.sum("n").alias("valid"), F.sum(F.col("n") - 1).alias("repeated"), F.count_if(mine).alias("stored"), F.count_if(~mine & elsewhere).alias("elsewhere"), F.count_if(~mine).alias("inserted"))
+    before = stored.join(batch, "query_id", "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("before"))
+    out = records.filter("query_id is not null").groupBy("query_id").agg(F.count(F.lit(1)).alias("received")).join(counts, "query_id", "left").join(before, "query_id", "left").fillna(0)
+    total = F.col("inserted") + (F.lit(0) if mode == "replace" else F.col("before"))
+    summary = out.select("query_id", "received", "valid", (F.col("received") - F.col("valid")).alias("invalid"), (F.col("repeated") + F.col("stored") + F.col("elsewhere")).alias("duplicate"), "inserted", total.alias("total"))
+    if mode == "replace":
+        return new, stored.join(batch, "query_id", "left_anti"), invalid, summary
+    return new.join(of_urls(stored.select(*key), new), key, "left_anti"), stored, invalid, summary
+
+
+def import_summary(records: DataFrame) -> DataFrame:
+    """The summary of an import into empty storage."""
+    return import_batch(records, records.select("query_id", F.col("url").alias("normalized_url")).limit(0))[3]
 
 
 def recounted(queries: DataFrame, results: DataFrame) -> DataFrame:

@@ -270,15 +270,6 @@ def cross_query_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return imports.cross_query_duplicates(view(spark, d, "v_results")).select("result_id", "is_duplicate", "duplicate_of_id")
 
 
-@query("SELECT query_id, count(*) AS received, count(*) AS valid, 0 AS invalid, count(*) - count(DISTINCT normalized_url) AS duplicate, count(DISTINCT normalized_url) AS inserted FROM v_results GROUP BY query_id")
-def import_summary(spark: SparkSession, d: str) -> DataFrame:
-    """An import into empty storage."""
-    r = view(spark, d, "v_results").select("query_id", F.col("result_id").alias("pos"), F.col("normalized_url").alias("url"), *(F.lit(None).cast("string").alias(c) for c in ("title", "snippet", "displayed_name", "displayed_headline", "displayed_location")), F.lit(1).alias("rank"))
-    valid, _ = imports.normalized_records(r)
-    unique = imports.first_of_url(valid)
-    return imports.import_summary(r, valid, unique, imports.merged(unique, unique.limit(0)))
-
-
 @query("SELECT query_id, count(result_id) AS result_count, max(discovered_at) AS executed_at, CASE WHEN count(result_id) > 0 THEN 'completed' ELSE 'draft' END AS status FROM v_queries LEFT JOIN v_results USING (query_id) GROUP BY query_id")
 def query_recount(spark: SparkSession, d: str) -> DataFrame:
     """I7."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolegraph.plans import merging  # noqa: F401  registers its queries
+from rolegraph.plans import importing, merging  # noqa: F401  they register their queries
 from rolegraph.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "entry"]

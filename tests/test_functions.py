@@ -99,6 +99,8 @@ URLS = [
     *((u, None, None) for u in ("", "not a url", "javascript:alert(1)", "mailto:test@example.com", "/relative/path", "https://example.com:invalid/path", "http://a..b/", "http://h.example:70000/", None)),
     ("https://linkedin.com/company/example", "https://linkedin.com/company/example", None), ("https://example.com/profile?trackingId=x&tab=activity&refId=y", "https://example.com/profile?tab=activity", None),
     ("https://linkedin.com/in/a+b", "https://www.linkedin.com/in/a%2Bb", "a+b"), ("https://linkedin.com/in/a(b)", "https://www.linkedin.com/in/a%28b%29", "a(b)"), ("https://linkedin.com/in/J%C3%BCrgen%20x/", "https://www.linkedin.com/in/J%C3%BCrgen%20x", "Jürgen x"),
+    ("https://user:pw@ex.com/x", "https://ex.com/x", None), ("https://a@b:c@Ex.com:8443/x/", "https://ex.com:8443/x", None), ("https://user:@ex.com", "https://ex.com/", None), ("http://[::1]:8080/x", "http://::1:8080/x", None), ("http://a[b]/x", None, None), ("https://ex.com:/x", "https://ex.com/x", None),
+    ("https://ex.com/a/b", "https://ex.com/a/b", None), ("https://ex.com/a//b", "https://ex.com/a/b", None), ("https://ex.com/a/?", "https://ex.com/a", None), ("https://" + "a" * 64 + ".com/x", None, None), ("https://linkedin.com/in/x", "https://www.linkedin.com/in/x", "x"),
     ("http://u:p@Host.example:8080", "http://host.example:8080/", None), ("http://h.example?b=1&a&=2&c=x=y z&d=a+b%2B", "http://h.example/?b=1&a=&=2&c=x%3Dy+z&d=a+b%2B", None), ("http://h.example/%zz/%7Euser/a%2Fb*", "http://h.example/%25zz/~user/a/b*", None),
     ("https://evil-linkedin.com/in/x", "https://evil-linkedin.com/in/x", None), ("https://LinkedIn.com/IN/X", "https://www.linkedin.com/in/X", "X"),
 ]

@@ -368,6 +368,31 @@ def test_overlapping_merge_plans_equal_one_after_the_other(spark):
     assert {r.cluster_id for r in C.resolved(plan, frame, own)[1].collect()} == rejected
 
 
+@pytest.mark.parametrize("mode", ["merge", "replace"])
+def test_import_batches_follow_each_other(spark, mode):
+    """Summaries and storage are those of one import after the other; also of what only other queries have."""
+    import random
+
+    rng = random.Random(8)
+    stored = {q: {f"https://x.example/{rng.randrange(12)}" for _ in range(rng.randrange(5))} for q in range(6)}
+    batch = {q: [rng.choice([f"https://x.example/{rng.randrange(12)}", f"HTTPS://u:p@X.example/{rng.randrange(12)}/", "mailto:x", None]) for _ in range(rng.randrange(1, 12))] for q in range(2, 9)}
+    have, want = {q: set(u) for q, u in stored.items()}, {}
+    for q in sorted(batch):
+        valid = [f"https://x.example/{u.rstrip('/').rpartition('/')[2]}" for u in batch[q] if u and u != "mailto:x"]
+        mine = have.get(q, set()) if mode == "merge" else set()
+        new = set(valid) - mine
+        other = {u for u in new if any(u in x for p, x in have.items() if p != q)}
+        have[q] = mine | new
+        want[q] = (len(batch[q]), len(valid), len(batch[q]) - len(valid), len(valid) - len(set(valid)) + len(set(valid) & mine) + len(other), len(new), len(have[q]))
+    records = spark.createDataFrame([(q, n, u, None, None, None, None, None, 1) for q, us in batch.items() for n, u in enumerate(us)], "query_id long, pos int, url string, title string, snippet string, displayed_name string, displayed_headline string, displayed_location string, rank int")
+    before = spark.createDataFrame([(q, u) for q, us in stored.items() for u in us], "query_id long, normalized_url string")
+    new, kept, invalid, summary = imports.import_batch(records, before, mode)
+    assert {tuple(r)[0]: tuple(r)[1:] for r in summary.select("query_id", "received", "valid", "invalid", "duplicate", "inserted", "total").collect()} == want
+    rows = kept.select("query_id", "normalized_url").unionByName(new.select("query_id", "normalized_url")).collect()
+    assert sorted(map(tuple, rows)) == sorted((q, u) for q, us in have.items() for u in us)
+    assert invalid.count() == sum(w[2] for w in want.values()) and imports.import_batch(records.limit(0), before, mode)[3].count() == 0
+
+
 def test_merge_plans_that_set_fields(spark):
     people = spark.createDataFrame([(i, f"P{i}", None, None, None, None) for i in range(8)], "candidate_id long, full_name string, primary_profile_url string, normalized_profile_url string, profile_slug string, total_experience_months int").withColumn("updated_at", F.current_timestamp())
     plan = spark.createDataFrame([(n, 2 * n, 2 * n + 1, 1, "keep_target") for n in range(4)], "cluster_id long, target_id long, source_id long, source_ord int, strategy string")

@@ -28,21 +28,31 @@ CHUNK, STEP = 256, 192
 #: Sizes: of a byte's vector, a filter's width and stride in bytes, number of filters, hidden layer.
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 4, 8, 2, 32, 16
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
+#: Chunks that are scored at once.
+AT_ONCE = 2048
 #: A document is rejected below this score.
 ACCEPT = 0.3
 
 
-def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chunks of all rows as a matrix of byte values plus one (0: padding), and the row of each."""
-    size = np.diff(offs)
-    n = np.maximum(1, -(-(size - (CHUNK - STEP)) // STEP))
-    row = np.repeat(np.arange(len(size)), n)
-    start = offs[:-1][row] + STEP * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
-    at = start[:, None] + np.arange(CHUNK)
-    inside = at < offs[1:][row][:, None]
+def chunk_places(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each chunk of all rows begins, and its row; a row without bytes has one chunk."""
+    n = np.maximum(1, -(-(np.diff(offs) - (CHUNK - STEP)) // STEP))
+    row = np.repeat(np.arange(len(n)), n)
+    return offs[:-1][row] + STEP * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)), row
+
+
+def chunk_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Chunks as a matrix of byte values plus one (0: padding, from the row's end on)."""
     if not len(data):
-        return np.zeros((len(row), CHUNK), np.int64), row
-    return np.where(inside, data[np.minimum(at, len(data) - 1)].astype(np.int64) + 1, 0), row
+        return np.zeros((len(start), CHUNK), np.int64)
+    at = start[:, None] + np.arange(CHUNK)
+    return np.where(at < end[:, None], data[np.minimum(at, len(data) - 1)].astype(np.int64) + 1, 0)
+
+
+def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of some rows, and the row of each."""
+    start, row = chunk_places(offs)
+    return chunk_bytes(data, start, offs[1:][row]), row
 
 
 class Network:
@@ -73,11 +83,15 @@ class Network:
         cat = lambda v, t: np.concatenate(v) if v else np.zeros((0, FILTERS), t)
         return cat(most, np.float32), cat(where, np.int64) if places else None
 
-    def forward(self, x: np.ndarray, row: np.ndarray, rows: int, places: bool = False) -> tuple:
+    def hidden(self, x: np.ndarray, places: bool = False) -> tuple:
+        """What each chunk gives, and what led there."""
         most, where = self.pooled(x, places)
         pre = most + self.p["bias"]
         act = np.maximum(pre, 0)
-        hid = np.tanh(act @ self.p["hidden"] + self.p["hidden_bias"])
+        return np.tanh(act @ self.p["hidden"] + self.p["hidden_bias"]), act, pre, where
+
+    def forward(self, x: np.ndarray, row: np.ndarray, rows: int, places: bool = False) -> tuple:
+        hid, act, pre, where = self.hidden(x, places)
         count = np.bincount(row, minlength=rows).astype(np.float32)
         mean = np.stack([np.bincount(row, weights=hid[:, k], minlength=rows) for k in range(HIDDEN)], 1).astype(np.float32) / count[:, None]
         return mean @ self.p["out"] + self.p["out_bias"][0], mean, hid, act, pre, where, count
@@ -103,9 +117,18 @@ class Network:
         return loss, g
 
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        x, row = chunks(data, offs)
-        z = self.forward(x, row, len(offs) - 1)[0].astype(np.float64)
-        return 1 / (1 + np.exp(-z))
+        """The score of each row; a few chunks at a time, so that a long text takes little more than its bytes."""
+        start, row = chunk_places(offs)
+        sums = np.zeros((len(offs) - 1, HIDDEN))
+        for i in range(0, len(row), AT_ONCE):
+            own = row[i : i + AT_ONCE]
+            hid = self.hidden(chunk_bytes(data, start[i : i + AT_ONCE], offs[1:][own]))[0]
+            first = own[0] if len(own) else 0
+            for k in range(HIDDEN):
+                part = np.bincount(own - first, weights=hid[:, k])
+                sums[first : first + len(part), k] += part
+        mean = sums.astype(np.float32) / np.bincount(row, minlength=len(sums)).astype(np.float32)[:, None]
+        return 1 / (1 + np.exp(-(mean @ self.p["out"] + self.p["out_bias"][0]).astype(np.float64)))
 
 
 def fit(examples: list[tuple[str, int]], epochs: int = 12, least_steps: int = 900, batch: int = 64, seed: int = 7) -> Network | None:

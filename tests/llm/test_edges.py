@@ -325,3 +325,21 @@ def test_packing_query_of_documents(spark, sf):
             at += n
     assert all(sum(n for _, n in pieces[i]) == len(x) for i, x in ids.items())
     assert all((n := sum(k for _, k in s)) == 4096 or n & (n - 1) == 0 for s in seqs.values())
+
+
+def test_quality_of_long_texts_in_little_memory():
+    """A text of 40 MB takes less than four times its bytes beside it, and steps change no score."""
+    import tracemalloc
+
+    net, rng = quality.Network(), np.random.default_rng(2)
+    data = rng.integers(32, 127, 3_000_000).astype(np.uint8)
+    offs = np.array([0, 0, 10, 700_000, 700_300, len(data)])
+    x, row = quality.chunks(data, offs)
+    whole = 1 / (1 + np.exp(-net.forward(x, row, 5)[0].astype(np.float64)))
+    assert np.abs(net.scores(data, offs) - whole).max() < 1e-6
+    assert net.scores(np.zeros(0, np.uint8), np.zeros(3, np.int64)).shape == (2,) and net.scores(data[:0], np.zeros(1, np.int64)).shape == (0,)
+    long = np.tile(data, 14)
+    tracemalloc.start()
+    net.scores(long, np.array([0, len(long)]))
+    assert tracemalloc.get_traced_memory()[1] < 4 * len(long)
+    tracemalloc.stop()

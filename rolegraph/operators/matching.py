@@ -7,6 +7,7 @@ aggregate over its requirements. No pair is made that M1 does not give.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,23 +59,46 @@ def title_scores(pairs_: DataFrame, jobs: DataFrame, titles: DataFrame) -> DataF
     return pairs_.join(best, ["job_id", "candidate_id"], "left")
 
 
+def similar_keys(left: DataFrame, right: DataFrame) -> DataFrame:
+    """M3 as an exact set-similarity join: category, rk, k of the pairs whose tokens' Jaccard reaches the category's threshold.
+
+    left: category, rk, rt; right: category, k, t, each distinct. Sets of up to 5 tokens (skills) or 3 (other lists) are
+    similar to equal sets only, so their key is the whole set. Larger ones are ordered by how few large sets hold a
+    token; similar ones share a token of the first size - ceil(threshold * size) + 1, and their sizes differ little.
+    So a word that many keys hold is no join key, and what is joined is compared exactly.
+    """
+    skill = F.col("category") == "skill"
+    at, small = F.when(skill, SKILL_AT).otherwise(LIST_AT), F.when(skill, 5).otherwise(3)
+    sides = [left.select("category", F.col("rk").alias("key"), F.col("rt").alias("t")), right.select("category", F.col("k").alias("key"), "t")]
+    sides = [s.filter(F.size("t") > 0).withColumn("small", F.size("t") <= small) for s in sides]
+    often = reduce(DataFrame.unionByName, (s.filter("not small").select("category", F.explode("t").alias("x")) for s in sides)).groupBy("category", "x").agg(F.count(F.lit(1)).alias("n"))
+
+    def keyed(side: DataFrame, name: str) -> DataFrame:
+        whole = side.filter("small").select("category", "key", "t", F.array_join(F.array_sort("t"), " ").alias("x"))
+        order = side.filter("not small").select("category", "key", "t", F.explode("t").alias("x")).join(often, ["category", "x"])
+        order = order.groupBy("category", "key").agg(F.any_value("t").alias("t"), F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))
+        rare = order.select("category", "key", "t", F.explode(F.slice("o", F.lit(1), F.size("o") - F.ceil(at * F.size("o") / 100).cast("int") + 1)).alias("o")).select("category", "key", "t", F.col("o.x").alias("x"))
+        return whole.withColumn("small", F.lit(True)).unionByName(rare.withColumn("small", F.lit(False))).withColumnsRenamed({"key": name, "t": f"t_{name}"})
+
+    found = keyed(sides[0], "rk").join(keyed(sides[1], "k"), ["category", "small", "x"])
+    n, m = F.size("t_rk"), F.size("t_k")
+    both = F.size(F.array_intersect("t_rk", "t_k"))
+    return found.filter((100 * F.least(n, m) >= at * F.greatest(n, m)) & (100.0 * both / (n + m - both) >= at)).select("category", "rk", "k").distinct()
+
+
 def requirement_hits(pairs_: DataFrame, requirements: DataFrame, values: DataFrame) -> DataFrame:
     """M5, M8: a row for each pair and requirement: found (some value is similar enough), any_value.
 
     requirements: job_id, category, req_id, value, raw_value, importance, seq; values: candidate_id,
-    category, value. Distinct requirement and value keys of a category are compared once; since tokens must
-    be shared, the comparison is an equi-join on tokens and equal keys.
+    category, value. Distinct requirement and value keys of a category are compared once (similar_keys).
     """
-    at = F.when(F.col("category") == "skill", SKILL_AT).otherwise(LIST_AT)
     req = _keyed(requirements, "value").withColumnsRenamed({"k": "rk", "t": "rt"})
     val = _keyed(values.filter("value <> ''"), "value").select("candidate_id", "category", "k", "t").distinct()
-    rk, vk = req.select("category", "rk", "rt").distinct(), val.select("category", "k", "t").distinct()
-    shared = rk.withColumn("x", F.explode("rt")).join(vk.withColumn("x", F.explode("t")), ["category", "x"]).groupBy("category", "rk", "k", F.size("rt").alias("nr"), F.size("t").alias("nv")).agg(F.count(F.lit(1)).alias("both"))
-    similar = shared.filter((F.col("rk") == F.col("k")) | (100.0 * F.col("both") / (F.col("nr") + F.col("nv") - F.col("both")) >= at)).select("category", "rk", "k")
-    hits = pairs_.join(req.select("job_id", "category", "req_id", "rk"), "job_id").join(similar, ["category", "rk"]).join(val.select("candidate_id", "category", "k"), ["candidate_id", "category", "k"]).select("job_id", "candidate_id", "req_id").distinct().withColumn("found", F.lit(True))
-    some = values.filter("value <> ''").select("candidate_id", "category").distinct().withColumn("any_value", F.lit(True))
-    out = pairs_.join(req.drop("rk", "rt"), "job_id").join(hits, ["job_id", "candidate_id", "req_id"], "left").join(some, ["candidate_id", "category"], "left")
-    return out.fillna(False, ["found", "any_value"])
+    similar = similar_keys(req.select("category", "rk", "rt").distinct(), val.select("category", "k", "t").distinct())
+    has = val.join(similar, ["category", "k"]).select("candidate_id", "category", "rk").distinct().withColumn("found", F.lit(True))
+    some = val.select("candidate_id", "category").distinct().withColumn("any_value", F.lit(True))
+    out = pairs_.join(req.drop("rt"), "job_id").join(has, ["candidate_id", "category", "rk"], "left").join(some, ["candidate_id", "category"], "left")
+    return out.drop("rk").fillna(False, ["found", "any_value"])
 
 
 def experience_score(minimum: Column, months: Column) -> Column:

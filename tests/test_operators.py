@@ -393,6 +393,28 @@ def test_import_batches_follow_each_other(spark, mode):
     assert invalid.count() == sum(w[2] for w in want.values()) and imports.import_batch(records.limit(0), before, mode)[3].count() == 0
 
 
+def test_similar_keys_equal_every_pair(spark):
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{n}" for n in range(9)]
+    some = lambda n: [(c, " ".join(rng.sample(words, rng.randint(0, 9)))) for c in ("skill", "education") for _ in range(n)]
+    left, right = sorted(set(some(150))), sorted(set(some(150)))
+    frame = lambda rows, k, t: spark.createDataFrame([(c, v, v.split()) for c, v in rows], f"category string, {k} string, {t} array<string>")
+    near = lambda c, a, b: len(a & b) and 100 * len(a & b) >= (85 if c == "skill" else 80) * len(a | b)
+    want = {(c, a, b) for c, a in left for d, b in right if c == d and near(c, set(a.split()), set(b.split()))}
+    assert any(set(a.split()) != set(b.split()) for _, a, b in want)
+    assert sorted(map(tuple, M.similar_keys(frame(left, "rk", "rt"), frame(right, "k", "t")).collect())) == sorted(want)
+
+
+def test_a_word_that_all_keys_hold_is_no_join_key(spark):
+    """20,000 keys a side that hold one word, of a few tokens and of many: all pairs would be 400 million."""
+    keys = spark.range(20_000).selectExpr("'skill' AS category", "if(id % 2 = 0, concat_ws(' ', 'engineer', 'of', id), concat_ws(' ', 'engineer', 'of', 'the', 'very', 'large', 'team', id, id + 1, id + 3)) AS key")
+    side = lambda k, t: keys.select("category", F.col("key").alias(k), F.split("key", " ").alias(t))
+    found = M.similar_keys(side("rk", "rt"), side("k", "t"))
+    assert found.count() == 20_000 and found.filter("rk <> k").count() == 0
+
+
 def test_merge_plans_that_set_fields(spark):
     people = spark.createDataFrame([(i, f"P{i}", None, None, None, None) for i in range(8)], "candidate_id long, full_name string, primary_profile_url string, normalized_profile_url string, profile_slug string, total_experience_months int").withColumn("updated_at", F.current_timestamp())
     plan = spark.createDataFrame([(n, 2 * n, 2 * n + 1, 1, "keep_target") for n in range(4)], "cluster_id long, target_id long, source_id long, source_ord int, strategy string")

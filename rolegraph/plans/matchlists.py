@@ -9,7 +9,7 @@ from rolegraph.operators import matching
 from rolegraph.plans.queries import query
 from rolegraph.plans.views import view
 
-_ASKED = {"education": "p_type", "language": "p_container", "certification": "p_name", "industry": "p_name || ' ' || p_mfgr"}
+_ASKED = {"education": "p_type", "language": "p_brand", "certification": "p_name", "industry": "p_name || ' ' || p_type || ' group'"}
 _HELD = {"education": "array_to_string(list_reverse(string_split(v, ' ')), ' ')", "language": "array_to_string(list_reverse(string_split(v, ' ')), ' ')", "certification": "array_to_string(string_split(v, ' ')[1:4], ' ')", "industry": "v || ' ltd'"}
 
 
@@ -22,7 +22,7 @@ hit AS (SELECT job_id, candidate_id, category, EXISTS (SELECT 1 FROM val WHERE v
 SELECT job_id, candidate_id, category, 100.0 * count(CASE WHEN found THEN 1 END) / count(*) AS score FROM hit GROUP BY ALL""")
 def match_lists(spark: SparkSession, d: str) -> DataFrame:
     """M3, M8: list scores; candidates hold reversed, shortened and longer forms of what every third job asks."""
-    part = view(spark, d, "part").selectExpr("p_partkey AS job_id", "map('education', p_type, 'language', p_container, 'certification', p_name, 'industry', p_name || ' ' || p_mfgr) AS asked")
+    part = view(spark, d, "part").selectExpr("p_partkey AS job_id", "map('education', p_type, 'language', p_brand, 'certification', p_name, 'industry', p_name || ' ' || p_type || ' group') AS asked")
     req = part.select("job_id", F.explode("asked").alias("category", "value")).withColumn("req_id", F.concat_ws("/", "job_id", "category"))
     words = F.split("value", " ")
     held = F.when(F.col("category").isin("education", "language"), F.array_join(F.reverse(words), " ")).when(F.col("category") == "certification", F.array_join(F.slice(words, 1, 4), " ")).otherwise(F.concat("value", F.lit(" ltd")))

@@ -12,6 +12,7 @@ from rolegraph.functions import dictionaries as D
 from rolegraph.functions.text import clean, fold, lit_map
 from rolegraph.functions.urls import canonical_url
 from rolegraph.operators.candidates import quality
+from rolegraph.operators.relational import page_each
 
 
 def named(c: Column, table: Mapping[str, str]) -> Column:
@@ -217,13 +218,17 @@ def import_enrichment(
     return changed, {k: df.drop("key") for k, df in after.items()}, runs
 
 
-def runs_listed(runs: DataFrame, provider: str | None = None, mode: str | None = None, status: str | None = None, since: str | None = None, sort: str = "created_at", descending: bool = True, page: int = 1, size: int | None = None) -> DataFrame:
-    """A page of runs in order; all of them without a size."""
+#: What runs may be sorted by.
+RUN_SORTS = ["created_at", "completed_at", "status"]
+
+
+def runs_listed(runs: DataFrame, provider: str | None = None, mode: str | None = None, status: str | None = None, since: str | None = None, until: str | None = None, sort: str = "created_at", descending: bool = True, page: int = 1, size: int = 20) -> tuple[DataFrame, DataFrame]:
+    """A page of each candidate's runs with rank, and candidate_id, total, pages, page, page_size."""
     for c, v in (("provider", provider), ("mode", mode), ("status", status)):
         runs = runs if v is None else runs.filter(F.col(c) == v)
     runs = runs if since is None else runs.filter(F.col("created_at") >= since)
-    runs = runs.orderBy(F.col(sort).desc_nulls_last() if descending else F.col(sort).asc_nulls_last(), "run_id")
-    return runs if size is None else runs.offset((page - 1) * size).limit(size)
+    runs = runs if until is None else runs.filter(F.col("created_at") <= until)
+    return page_each(runs, "candidate_id", sort, "run_id", RUN_SORTS, descending, page, size)
 
 
 def profiles(candidates: DataFrame, children: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:

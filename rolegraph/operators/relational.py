@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolegraph.sources.scratch import Scratch
+
 
 def with_counts(parents: DataFrame, key: str, children: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """L1: a count column for each child table (name: table, foreign key), each aggregated before it joins."""
@@ -58,6 +60,38 @@ def page(df: DataFrame, sort: str, key: str, allowed: Sequence[str], descending:
     return rows, meta
 
 
+class Ordered:
+    """A table put in order once, for pages at any depth.
+
+    Rows are dealt to tasks by ranges of the sort column and the key, so no task holds more than its range, and each
+    gets its place: the range's number and its place there. A page is found from the counts of the ranges (a number
+    for each task comes to the driver) and read by place, from the files of the ranges that it lies in.
+    """
+
+    def __init__(self, df: DataFrame, sort: str, key: str, allowed: Sequence[str], descending: bool = False, scratch: Scratch | None = None):
+        if sort not in allowed:
+            raise ValueError(f"cannot sort by {sort}")
+        order = [F.col(sort).desc_nulls_first() if descending else F.col(sort).asc_nulls_last(), F.col(key)]
+        self.columns, self.place = df.columns, "_place"
+        while self.place in df.columns:
+            self.place = f"_{self.place}"
+        rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(self.place, F.monotonically_increasing_id())
+        self.rows = (scratch or Scratch(df.sparkSession, "ordered")).keep(rows)
+        counts = self.rows.groupBy(F.shiftright(self.place, 33).alias("range")).agg(F.count(F.lit(1)).alias("n")).collect()
+        self.ranges = sorted((r["range"], r["n"]) for r in counts)
+        self.total = sum(n for _, n in self.ranges)
+
+    def page(self, number: int = 1, size: int = 20) -> DataFrame:
+        """One page, in order; empty beyond the last one."""
+        low, high, before, wanted = (number - 1) * size, number * size, 0, F.lit(False)
+        for r, n in self.ranges:
+            a, z = max(low, before) - before, min(high, before + n) - before
+            if a < z:
+                wanted = wanted | F.col(self.place).between((r << 33) + a, (r << 33) + z - 1)
+            before += n
+        return self.rows.filter(wanted).orderBy(self.place).select(*(F.col(f"`{c}`") for c in self.columns))
+
+
 def page_each(df: DataFrame, group: str, sort: str, key: str, allowed: Sequence[str], descending: bool = False, number: int = 1, size: int = 20) -> tuple[DataFrame, DataFrame]:
     """L7 for each group: a page of its rows with rank, and group, total, pages, page, page_size. Nulls come last ascending and first descending.
 

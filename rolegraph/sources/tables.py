@@ -69,10 +69,12 @@ def json_results(lines: DataFrame, column: str = "value", most: int = 500) -> tu
     return parsed.filter("reject_reason is null").select("query_id", F.posexplode("r").alias("pos", "x")).select("query_id", "pos", "x.*"), parsed.filter("reject_reason is not null").select("query_id", "reject_reason")
 
 
-def url_records(lines: DataFrame, column: str = "value", most: int = 500) -> DataFrame:
-    """S3: a record with only a URL for each line of an import (query_id, column), the first `most` (the import's size)."""
-    rows = lines.select("query_id", F.posexplode(F.slice(F.filter(F.split(column, r"\r?\n"), lambda x: F.trim(x) != ""), 1, most)).alias("pos", "url"))
-    return rows.select("query_id", "pos", "url", *(F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(RESULT).fields if f.name != "url"))
+def url_records(lines: DataFrame, column: str = "value", most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """S3: a record with only a URL for each line of an import (query_id, column), and imports without a line or with too many, with a reason."""
+    rows = lines.withColumn("r", F.filter(F.split(column, r"\r?\n"), lambda x: F.trim(x) != ""))
+    rows = rows.withColumn("reject_reason", F.when(F.coalesce(F.size("r"), F.lit(0)) < 1, "empty_import").when(F.size("r") > most, "too_many_results"))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(RESULT).fields if f.name != "url"]
+    return rows.filter("reject_reason is null").select("query_id", F.posexplode("r").alias("pos", "url")).select("query_id", "pos", "url", *nothing), rows.filter("reject_reason is not null").select("query_id", "reject_reason")
 
 
 def payloads(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:

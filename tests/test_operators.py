@@ -208,7 +208,8 @@ def test_profile_pages(spark):
 def test_sources(spark):
     good, bad = tables.json_results(spark.createDataFrame([("q", '[{"url": "u", "rank": 1}]'), ("p", "{")], "query_id string, value string"))
     assert good.first().url == "u" and bad.first().query_id == "p"
-    assert [r.url for r in tables.url_records(spark.createDataFrame([("q", "a\n\nb")], "query_id string, value string")).collect()] == ["a", "b"]
+    urls, wrong = tables.url_records(spark.createDataFrame([("q", "a\n\nb"), ("e", " \n"), ("n", None), ("m", "u\n" * 501)], "query_id string, value string"))
+    assert [r.url for r in urls.collect()] == ["a", "b"] and {tuple(r) for r in wrong.collect()} == {("e", "empty_import"), ("n", "empty_import"), ("m", "too_many_results")}
     ok, wrong = tables.payloads(spark.createDataFrame([('{"payload_id": "1", "candidate_id": "c", "skills": [{"raw_name": "x"}]}',), ("no",)], "value string"))
     assert tables.section(ok, "skills").first().raw_name == "x" and wrong.count() == 1
     stored = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
@@ -393,6 +394,21 @@ def test_import_batches_follow_each_other(spark, mode):
     assert invalid.count() == sum(w[2] for w in want.values()) and imports.import_batch(records.limit(0), before, mode)[3].count() == 0
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_pages_at_any_depth(spark, descending):
+    """Hot sort values and nulls: pages are those of the sorted list, and each is read from the ranges that it lies in."""
+    rows = [(i, None if i % 7 == 0 else 3 if i % 3 else i % 50, i) for i in range(2003)]
+    df = spark.createDataFrame(rows, "key long, s long, _place long").repartition(5)
+    want = sorted(rows, key=lambda r: (((r[1] is not None) if descending else r[1] is None), (-1 if descending else 1) * (r[1] or 0), r[0]))
+    o = R.Ordered(df, "s", "key", ["s"], descending)
+    assert o.total == 2003 and len(o.ranges) > 1 and max(n for _, n in o.ranges) < 1500
+    for number, size in ((1, 20), (57, 20), (101, 20), (102, 20), (3, 700)):
+        assert [tuple(r) for r in o.page(number, size).collect()] == want[(number - 1) * size : number * size]
+    assert R.Ordered(df.limit(0), "s", "key", ["s"]).page().count() == 0
+    with pytest.raises(ValueError):
+        R.Ordered(df, "key", "key", ["s"])
+
+
 def test_similar_keys_equal_every_pair(spark):
     import random
 

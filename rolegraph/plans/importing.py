@@ -9,11 +9,10 @@ from rolegraph.operators import imports
 from rolegraph.plans.queries import query
 from rolegraph.plans.views import sql, view
 
-_TEXTS = [F.lit(None).cast("string").alias(c) for c in ("title", "snippet", "displayed_name", "displayed_headline", "displayed_location")]
-
 
 def _records(rows: DataFrame) -> DataFrame:
-    return rows.select("query_id", F.col("result_id").alias("pos"), F.col("normalized_url").alias("url"), *_TEXTS, F.lit(1).alias("rank"))
+    texts = [F.lit(None).cast("string").alias(c) for c in ("title", "snippet", "displayed_name", "displayed_headline", "displayed_location")]
+    return rows.select("query_id", F.col("result_id").alias("pos"), F.col("normalized_url").alias("url"), *texts, F.lit(1).alias("rank"))
 
 
 @query("""

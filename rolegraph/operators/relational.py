@@ -68,14 +68,14 @@ class Ordered:
     for each task comes to the driver) and read by place, from the files of the ranges that it lies in.
     """
 
-    def __init__(self, df: DataFrame, sort: str, key: str, allowed: Sequence[str], descending: bool = False, scratch: Scratch | None = None):
+    def __init__(self, df: DataFrame, sort: str, key: str, allowed: Sequence[str], descending: bool = False, partitions: int | None = None, scratch: Scratch | None = None):
         if sort not in allowed:
             raise ValueError(f"cannot sort by {sort}")
         order = [F.col(sort).desc_nulls_first() if descending else F.col(sort).asc_nulls_last(), F.col(key)]
         self.columns, self.place = df.columns, "_place"
         while self.place in df.columns:
             self.place = f"_{self.place}"
-        rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(self.place, F.monotonically_increasing_id())
+        rows = df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order).withColumn(self.place, F.monotonically_increasing_id())
         self.rows = (scratch or Scratch(df.sparkSession, "ordered")).keep(rows)
         counts = self.rows.groupBy(F.shiftright(self.place, 33).alias("range")).agg(F.count(F.lit(1)).alias("n")).collect()
         self.ranges = sorted((r["range"], r["n"]) for r in counts)

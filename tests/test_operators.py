@@ -400,7 +400,7 @@ def test_pages_at_any_depth(spark, descending):
     rows = [(i, None if i % 7 == 0 else 3 if i % 3 else i % 50, i) for i in range(2003)]
     df = spark.createDataFrame(rows, "key long, s long, _place long").repartition(5)
     want = sorted(rows, key=lambda r: (((r[1] is not None) if descending else r[1] is None), (-1 if descending else 1) * (r[1] or 0), r[0]))
-    o = R.Ordered(df, "s", "key", ["s"], descending)
+    o = R.Ordered(df, "s", "key", ["s"], descending, partitions=4)
     assert o.total == 2003 and len(o.ranges) > 1 and max(n for _, n in o.ranges) < 1500
     for number, size in ((1, 20), (57, 20), (101, 20), (102, 20), (3, 700)):
         assert [tuple(r) for r in o.page(number, size).collect()] == want[(number - 1) * size : number * size]

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from rolegraph.functions import dictionaries as D
 from rolegraph.sources.scratch import Scratch
-from rolegraph.sources.tables import kept
 from rolegraph.functions.text import clean, fold, headline_parts, location_parts, person_name
 from rolegraph.functions.urls import PROFILE_HOST, canonical_url
 
@@ -104,14 +103,25 @@ def blocked_counts(candidates: DataFrame) -> DataFrame:
     return out.select(F.col("candidate_id").alias("base_id"), total.alias("others")).filter("others > 0")
 
 
-def best_pairs(candidates: DataFrame, limit: int, min_score: float) -> DataFrame:
+def match_keys(candidates: DataFrame) -> DataFrame:
+    """candidate_id, what blocks compare (b_url, b_slug, b_name) and what scores compare, folded; written once where several steps read it."""
+    cols = ["normalized_profile_url", "profile_slug", "headline", "city", "current_company"]
+    return candidates.select("candidate_id", *(c.alias(k) for k, c in _block_keys().items()), *(fold(clean(F.col(c))).alias(c) for c in cols), fold(person_name(F.col("full_name"))).alias("full_name"))
+
+
+def best_duplicates(candidates: DataFrame, min_score: float = 0.8, limit: int = 20) -> DataFrame:
+    """Each candidate's best duplicates, ranked; keys are made once for pairs and scores."""
+    keys = Scratch(candidates.sparkSession, "duplicates").keep(match_keys(candidates))
+    return suggestions(duplicate_scores(best_pairs(candidates, limit, min_score, keys), candidates, keys), min_score, limit)
+
+
+def best_pairs(candidates: DataFrame, limit: int, min_score: float, keys: DataFrame | None = None) -> DataFrame:
     """The pairs of blocked_pairs() without a cap among which each base's best `limit` by R5's score and other_id are.
 
     Equal keys of a level give at least its score, so of each level's key the smallest limit + 1 ids suffice,
-    and what is joined grows with the candidates, not with the square of a group.
+    and what is joined grows with the candidates, not with the square of a group. keys: match_keys(), if written already.
     """
-    cols = ["normalized_profile_url", "profile_slug", "headline", "city", "current_company"]
-    rows = candidates.select("candidate_id", *(c.alias(k) for k, c in _block_keys().items()), *(fold(clean(F.col(c))).alias(c) for c in cols), fold(person_name(F.col("full_name"))).alias("full_name"))
+    rows = match_keys(candidates) if keys is None else keys
     sure = [["normalized_profile_url"], ["profile_slug"], ["full_name", "headline", "city"], ["full_name", "current_company"]]
     levels = [[block, *level] for level in sure for block in _block_keys()]
     if min_score <= 0.85:  # near names that share a URL or slug are above; else the names are equal
@@ -129,11 +139,10 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def duplicate_scores(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """base_id, other_id, score, matched_fields, reason; only pairs of near names with a supporting field reach Python."""
+def duplicate_scores(pairs: DataFrame, candidates: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """base_id, other_id, score, matched_fields, reason; only pairs of near names with a supporting field reach Python. keys: match_keys(), if written already."""
     cols = ["normalized_profile_url", "profile_slug", "full_name", "headline", "city", "current_company"]
-    keyed = candidates.select("candidate_id", *(fold(clean(F.col(c))).alias(c) for c in cols if c != "full_name"), fold(person_name(F.col("full_name"))).alias("full_name"))
-    keyed = kept(keyed)  # both sides of a pair read it
+    keyed = Scratch(pairs.sparkSession, "duplicates").keep(match_keys(candidates)) if keys is None else keys  # both sides of a pair read it
     side = lambda p: keyed.select(F.col("candidate_id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in cols))
     rows = pairs.join(side("base"), "base_id").join(side("other"), "other_id")
     same = {c: F.coalesce(F.col(f"base_{c}") == F.col(f"other_{c}"), F.lit(False)) for c in cols}
@@ -142,7 +151,9 @@ def duplicate_scores(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     sure = F.when(s["normalized_profile_url"], 1.0).when(s["profile_slug"], 0.99).when(s["full_name"] & s["headline"] & s["city"], 0.95).when(s["full_name"] & s["current_company"], 0.9)
     rows = rows.withColumn("sure", sure)
     exact, maybe = rows.filter("sure is not null"), rows.filter("sure is null and (s_headline or s_city)")
-    fuzzy = maybe.withColumn("ratio", matching_ratio("base_full_name", "other_full_name")).filter("ratio >= 0.85").withColumn("sure", F.least(F.lit(0.89), 0.65 + F.col("ratio") * 0.2)).drop("ratio").withColumn("fuzzy", F.lit(True))
+    # Equal names have the ratio 1 and need no Python.
+    alike = maybe.filter("s_full_name").withColumn("ratio", F.lit(1.0)).unionByName(maybe.filter("not s_full_name").withColumn("ratio", matching_ratio("base_full_name", "other_full_name")))
+    fuzzy = alike.filter("ratio >= 0.85").withColumn("sure", F.least(F.lit(0.89), 0.65 + F.col("ratio") * 0.2)).drop("ratio").withColumn("fuzzy", F.lit(True))
     rows = exact.withColumn("fuzzy", F.lit(False)).unionByName(fuzzy)
     some = lambda *xs: F.array_compact(F.array(*xs))
     fields = (

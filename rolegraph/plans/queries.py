@@ -309,17 +309,24 @@ def duplicate_blocking(spark: SparkSession, d: str) -> DataFrame:
     return C.blocked_counts(view(spark, d, "v_people"))
 
 
-@query("""
+_DUPLICATES = """
 WITH p AS (SELECT DISTINCT a.candidate_id AS base_id, b.candidate_id AS other_id,
   CASE WHEN a.normalized_profile_url = b.normalized_profile_url THEN 1.0 WHEN a.profile_slug = b.profile_slug THEN 0.99 WHEN a.full_name = b.full_name AND a.headline = b.headline AND a.city = b.city THEN 0.95 WHEN a.full_name = b.full_name AND a.current_company = b.current_company THEN 0.9 WHEN a.full_name = b.full_name AND (a.headline = b.headline OR a.city = b.city) THEN 0.85 END AS score
   FROM v_people a JOIN v_people b ON a.candidate_id <> b.candidate_id AND (a.normalized_profile_url = b.normalized_profile_url OR a.profile_slug = b.profile_slug OR a.full_name = b.full_name))
-SELECT base_id, other_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY score DESC, other_id) AS rank FROM p WHERE score >= 0.87) WHERE rank <= 3
-""")
+SELECT base_id, other_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY score DESC, other_id) AS rank FROM p WHERE score >= {least}) WHERE rank <= 3
+"""
+
+
+@query(_DUPLICATES.format(least=0.87))
 def duplicate_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """Each candidate's three best duplicates."""
-    people = view(spark, d, "v_people")
-    scores = C.duplicate_scores(C.best_pairs(people, 3, 0.87), people)
-    return C.suggestions(scores, 0.87, 3).select("base_id", "other_id", "score", "rank")
+    return C.best_duplicates(view(spark, d, "v_people"), 0.87, 3).select("base_id", "other_id", "score", "rank")
+
+
+@query(_DUPLICATES.format(least=0.8))
+def duplicate_near_names(spark: SparkSession, d: str) -> DataFrame:
+    """With the pairs whose names and one more field agree, below the sure ones."""
+    return C.best_duplicates(view(spark, d, "v_people"), 0.8, 3).select("base_id", "other_id", "score", "rank")
 
 
 @query("""

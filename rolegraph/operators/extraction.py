@@ -6,7 +6,7 @@ Every function takes and returns DataFrames over whole tables; rows carry the or
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,26 +71,62 @@ def units(postings: DataFrame, headings: Mapping[str, str] = D.HEADINGS) -> Data
     return rows.select("job_id", (F.col("line_no").cast("long") * 100_000 + F.col("k")).alias("unit"), "text", "key", "importance", "start", "end", "section_title")
 
 
-def phrases_in(rows: DataFrame, phrases: Mapping[str, str], key_col: str = "key") -> DataFrame:
-    """Rows times the whole-word phrases in their key: match (position), phrase, value. Earliest first, longest of those, without overlaps."""
-    spark = rows.sparkSession
-    ordered = sorted({key_of(p) for p in phrases}, key=lambda p: (-len(p), p))
-    pattern = r"(?U)(?<!\w)(?:" + "|".join(map(re.escape, ordered)).replace(r"\ ", " ") + r")(?!\w)"
-    known = F.broadcast(D.for_spark(spark, phrases, key_of).dropDuplicates(["phrase"]))
-    found = rows.select("*", F.posexplode(F.regexp_extract_all(key_col, F.lit(pattern), F.lit(0))).alias("match", "phrase"))
-    return found.join(known, "phrase")
+SLOTS = 1 << 17
 
 
-def _requirement(rows: DataFrame, kind: str, order: int, normalized: Column, confidence: Column, importance_: Column | None = None) -> DataFrame:
-    level = importance_ if importance_ is not None else F.col("importance")
-    return rows.select(
-        "job_id", F.lit(kind).alias("type"), F.col("phrase").alias("raw_value"), normalized.alias("normalized_value"), level.alias("importance"), weight(level).alias("weight"), confidence.cast("double").alias("confidence"),
-        F.col("text").alias("evidence_text"), F.col("start").alias("evidence_start"), F.col("end").alias("evidence_end"), (F.lit(order).cast("long") * 10**15 + F.col("unit") * 1000 + F.col("match")).alias("seq"),
-    )
+def _slot(token: Column) -> Column:
+    return F.pmod(F.hash(token), F.lit(SLOTS))
+
 
+def phrase_hits(rows: DataFrame, ids: Sequence[str], dictionaries: Mapping[str, Mapping[str, str]], key_col: str = "key", most_broadcast: int = 200_000) -> DataFrame:
+    """Ids, kind, match (position), phrase, value: whole-word phrases of several dictionaries (by kind) in one pass.
 
-def _alias_confidence() -> Column:
-    return F.when(F.col("phrase") == F.col("value"), 0.95).otherwise(0.9)
+    For each kind the earliest phrase, of those the longest, without overlaps. ids name a row; rows without a key
+    have no phrase. A key is cut into words and single other characters, and its runs of as many of them as some phrase has
+    meet the phrases in an equi-join, so the cost hardly depends on the number of phrases. Only runs whose first
+    token falls in the slot of some phrase's first are made. Dictionaries of more than
+    most_broadcast phrases in all are shuffled instead of sent to every task.
+    """
+    first: dict[tuple[str, str], str] = {}
+    for kind, phrases in dictionaries.items():
+        for phrase, value in phrases.items():
+            first.setdefault((kind, key_of(phrase)), value)
+    cut = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+|\W"), F.lit(0))
+    known = rows.sparkSession.createDataFrame([(k, p, v) for (k, p), v in first.items() if p], "kind string, phrase string, value string")
+    tokens = known.select(cut(F.col("phrase")).alias("t")).select(F.size("t").alias("n"), _slot(F.col("t")[0]).alias("slot"))
+    sizes, slots = tokens.agg(F.array_sort(F.collect_set("n")), F.collect_set("slot")).first()  # at most SLOTS numbers
+    starts = bytearray(SLOTS)
+    for s in slots:
+        starts[s] = 1
+    if len(first) <= most_broadcast:
+        known = F.broadcast(known)
+
+    t, n_tokens = F.col("t"), F.col("n_tokens")
+    word = lambda i: t[i].rlike(r"(?U)^\w")
+    begins = lambda i: (i == 0) | word(i) | ~word(F.greatest(i - 1, F.lit(0)))
+    ends = lambda z: (z == n_tokens) | word(z - 1) | ~word(F.least(z, n_tokens - 1))
+    may_start = lambda x: F.substring(F.lit(bytes(starts)), _slot(x) + 1, 1) == F.lit(b"\x01")
+    cuts = rows.select(*ids, cut(F.col(key_col)).alias("t")).withColumn("n_tokens", F.size("t"))
+    cuts = cuts.withColumn("at", F.array_compact(F.transform("t", lambda x, i: F.when(may_start(x), i)))).filter(F.size("at") > 0)
+    runs = lambda i: F.filter(F.array(*map(F.lit, sizes)), lambda n: (i + n <= n_tokens) & begins(i) & ends(i + n))
+    spots = F.flatten(F.transform("at", lambda i: F.transform(runs(i), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(t, i + 1, n), "").alias("phrase")))))
+    hits = cuts.select(*ids, F.explode(spots).alias("x")).select(*ids, "x.*").join(known, "phrase")
+
+    # Hits that overlap form chains, nearly all of one hit; a chain is read from left to right.
+    row = Window.partitionBy(*ids, "kind").orderBy("at", F.desc("n"))
+    before = F.max(F.col("at") + F.col("n")).over(row.rowsBetween(Window.unboundedPreceding, -1))
+    hits = hits.withColumn("fresh", (F.col("at") >= F.coalesce(before, F.lit(0))).cast("long")).withColumn("chain", F.sum("fresh").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = hits.groupBy(*ids, "kind", "chain").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "phrase", "value"))).alias("c"))
+    end = lambda x: x["at"] - x["less"]
+    kept_ = F.aggregate(F.slice("c", 2, F.size("c")), F.slice("c", 1, 1), lambda a, x: F.when(x["at"] >= end(F.element_at(a, -1)), F.concat(a, F.array(x))).otherwise(a))
+    return chains.select(*ids, "kind", F.explode(kept_).alias("x")).select(*ids, "kind", (F.row_number().over(Window.partitionBy(*ids, "kind").orderBy("x.at")) - 1).alias("match"), "x.phrase", "x.value")
+
+
+def _requirement(rows: DataFrame, kind: Column, seq: Column, normalized: Column, confidence: Column, level: Column) -> DataFrame:
+    return rows.select(
+        "job_id", kind.alias("type"), F.col("phrase").alias("raw_value"), normalized.alias("normalized_value"), level.alias("importance"), weight(level).alias("weight"), confidence.cast("double").alias("confidence"),
+        F.col("text").alias("evidence_text"), F.col("start").alias("evidence_start"), F.col("end").alias("evidence_end"), seq.alias("seq"),
+    )
 
 
 def titles(postings: DataFrame, sentence: DataFrame, aliases: Mapping[str, str] = D.TITLES) -> tuple[DataFrame, DataFrame]:
@@ -104,10 +140,27 @@ def titles(postings: DataFrame, sentence: DataFrame, aliases: Mapping[str, str]
     return required, own.select("job_id", F.lit(0).cast("long").alias("pos"), F.col("value").alias("title")).unionByName(more)
 
 
-def skills(sentence: DataFrame, phrases: Mapping[str, str] = D.SKILLS) -> DataFrame:
-    """X7."""
-    names = {p: v.split("|")[0] for p, v in phrases.items()}
-    return _requirement(phrases_in(sentence, names), "skill", 1, F.col("value"), _alias_confidence())
+#: The dictionaries by kind of phrase.
+PHRASES = {"skill": {p: v.split("|")[0] for p, v in D.SKILLS.items()}, "field": D.EDUCATION_FIELDS, "level": D.EDUCATION_LEVELS, "language": D.LANGUAGES, "certification": D.CERTIFICATIONS, "location": D.LOCATIONS, "industry": D.INDUSTRIES}
+#: Requirement type of a kind, its place among the types, and what is added to the places of its matches; fields come before levels.
+TYPES = {"skill": ("skill", 1, 0), "field": ("education", 3, 0), "level": ("education", 3, 500), "language": ("language", 4, 0), "certification": ("certification", 5, 0), "location": ("location", 6, 1000), "industry": ("industry", 7, 0)}
+
+
+def phrase_requirements(sentence: DataFrame, dictionaries: Mapping[str, Mapping[str, str]] = PHRASES, proficiencies: Mapping[str, str] = D.PROFICIENCIES) -> DataFrame:
+    """The requirements that dictionaries name, of all kinds in one pass over the sentences.
+
+    A language has the longest proficiency phrase of its sentence; residence words make a place required.
+    """
+    rows = sentence.select("job_id", "unit", "text", "key", "importance", "start", "end").join(phrase_hits(sentence, ["job_id", "unit"], dictionaries), ["job_id", "unit"])
+    by_kind = lambda k: F.try_element_at(lit_map({x: str(v[k]) for x, v in TYPES.items()}), F.col("kind"))
+    level = F.coalesce(*(F.when(F.contains("key", F.lit(key_of(p))), F.lit(proficiencies[p])) for p in sorted(proficiencies, key=len, reverse=True)))
+    rows = rows.withColumn("level", F.when(F.col("kind") == "language", level))
+    is_ = lambda k: F.col("kind") == k
+    value = F.when(is_("field"), F.concat(F.lit("field:"), "value")).when(is_("level"), F.concat(F.lit("level:"), "value")).when(is_("language"), F.concat_ws(":", "value", "level")).otherwise(F.col("value"))
+    sure = F.when(is_("language"), F.when(F.col("level").isNotNull(), 0.95).otherwise(0.9)).when(is_("location"), 0.9).when(is_("industry"), 0.85).when(F.col("phrase") == F.col("value"), 0.95).otherwise(0.9)
+    strength = F.when(is_("location") & F.col("key").rlike("ikamet|çalişabilecek|çalışabilecek"), "required").otherwise(F.col("importance"))
+    seq = by_kind(1).cast("long") * 10**15 + F.col("unit") * 1000 + F.col("match") + by_kind(2).cast("long")
+    return _requirement(rows, by_kind(0), seq, value, sure, strength)
 
 
 def _g(number: Column) -> Column:
@@ -139,47 +192,22 @@ def experience_of(key: Column) -> Column:
 
 def experience(sentence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requirements, and per job min_years, max_years, conflict (from required sentences where there are any)."""
-    found = sentence.withColumn("e", experience_of(F.col("key"))).filter("e is not null").withColumns({"phrase": F.col("text"), "match": F.lit(0)})
+    found = sentence.withColumn("e", experience_of(F.col("key"))).filter("e is not null").withColumn("phrase", F.col("text"))
     by_job = Window.partitionBy("job_id")
     ranked = found.withColumn("any_required", F.max((F.col("importance") == "required").cast("int")).over(by_job)).filter((F.col("any_required") == 0) | (F.col("importance") == "required"))
     per_job = ranked.groupBy("job_id").agg(F.max_by(F.struct("e.lo", "e.hi"), F.struct(F.col("e.lo"), -F.col("unit"))).alias("best"), (F.count_distinct(F.struct(F.col("e.lo"), F.coalesce("e.hi", F.lit(-1.0)))) > 1).alias("conflict"))
-    return _requirement(found, "experience", 2, F.col("e.label"), F.col("e.confidence")), per_job.select("job_id", F.col("best.lo").alias("min_years"), F.col("best.hi").alias("max_years"), "conflict")
-
-
-def education(sentence: DataFrame) -> DataFrame:
-    """Fields and levels; a sentence's fields come before its levels."""
-    parts = [phrases_in(sentence, table).withColumn("match", F.col("match") + shift) for table, shift in ((D.EDUCATION_FIELDS, 0), (D.EDUCATION_LEVELS, 500))]
-    named = [_requirement(p, "education", 3, F.concat(F.lit(k), F.col("value")), _alias_confidence()) for p, k in zip(parts, ("field:", "level:"), strict=True)]
-    return named[0].unionByName(named[1])
-
-
-def languages(sentence: DataFrame, proficiencies: Mapping[str, str] = D.PROFICIENCIES) -> DataFrame:
-    """X11: language with the longest proficiency phrase of the sentence."""
-    rows = phrases_in(sentence, D.LANGUAGES)
-    level = F.coalesce(*(F.when(F.contains("key", F.lit(key_of(p))), F.lit(proficiencies[p])) for p in sorted(proficiencies, key=len, reverse=True)))
-    return _requirement(rows.withColumn("level", level), "language", 4, F.concat_ws(":", "value", "level"), F.when(F.col("level").isNotNull(), 0.95).otherwise(0.9))
-
-
-def certifications(sentence: DataFrame) -> DataFrame:
-    """X12."""
-    return _requirement(phrases_in(sentence, D.CERTIFICATIONS), "certification", 5, F.col("value"), _alias_confidence())
+    rows = _requirement(found, F.lit("experience"), F.lit(2).cast("long") * 10**15 + F.col("unit") * 1000, F.col("e.label"), F.col("e.confidence"), F.col("importance"))
+    return rows, per_job.select("job_id", F.col("best.lo").alias("min_years"), F.col("best.hi").alias("max_years"), "conflict")
 
 
-def locations(postings: DataFrame, sentence: DataFrame, phrases: Mapping[str, str] = D.LOCATIONS) -> DataFrame:
-    """The explicit columns as required, then places in the text; residence words make them required."""
+def locations(postings: DataFrame, phrases: Mapping[str, str] = D.LOCATIONS) -> DataFrame:
+    """The explicit columns, as required; places in the text are phrases."""
     table = lit_map({key_of(k): v for k, v in phrases.items()})
     explicit = postings.select("job_id", F.explode(F.array(*(F.struct(F.trim(c).alias("raw"), F.lit(p).alias("prefix"), F.lit(conf).alias("confidence"), F.lit(n).alias("n")) for n, (c, p, conf) in enumerate((("city", "city:", 1.0), ("country", "country:", 1.0), ("location_raw", "city:", 0.95)))))).alias("x")).select("job_id", "x.*").filter(F.col("raw") != "")
-    explicit = explicit.withColumn("k", match_key(F.col("raw"))).select(
+    return explicit.withColumn("k", match_key(F.col("raw"))).select(
         "job_id", F.lit("location").alias("type"), F.col("raw").alias("raw_value"), F.coalesce(F.try_element_at(table, F.col("k")), F.concat("prefix", "k")).alias("normalized_value"), F.lit("required").alias("importance"), F.lit(1.0).alias("weight"), "confidence",
         F.col("raw").alias("evidence_text"), F.lit(None).cast("int").alias("evidence_start"), F.lit(None).cast("int").alias("evidence_end"), (F.lit(6).cast("long") * 10**15 + F.col("n")).alias("seq"),
     )
-    level = F.when(F.col("key").rlike("ikamet|çalişabilecek|çalışabilecek"), F.lit("required")).otherwise(F.col("importance"))
-    return explicit.unionByName(_requirement(phrases_in(sentence, phrases).withColumn("unit", F.col("unit") + 1), "location", 6, F.col("value"), F.lit(0.9), level))
-
-
-def industries(sentence: DataFrame) -> DataFrame:
-    """X14."""
-    return _requirement(phrases_in(sentence, D.INDUSTRIES), "industry", 7, F.col("value"), F.lit(0.85))
 
 
 def strongest(requirements: DataFrame) -> DataFrame:
@@ -191,8 +219,8 @@ def strongest(requirements: DataFrame) -> DataFrame:
 
 def requirements(postings: DataFrame, sentence: DataFrame | None = None) -> DataFrame:
     """All typed requirements of postings (job_id, title, description_clean, city, country, location_raw), strongest() applied."""
-    s = kept(units(postings)) if sentence is None else sentence  # each kind of requirement reads it
-    parts = [titles(postings, s)[0], skills(s), experience(s)[0], education(s), languages(s), certifications(s), locations(postings, s), industries(s)]
+    s = kept(units(postings)) if sentence is None else sentence  # phrases, experience and titles read it
+    parts = [titles(postings, s)[0], phrase_requirements(s), experience(s)[0], locations(postings)]
     return strongest(reduce(DataFrame.unionByName, (p.select(REQUIREMENT) for p in parts)))
 
 

@@ -416,7 +416,7 @@ def profile_assembly(spark: SparkSession, d: str) -> DataFrame:
 def dictionary_phrases(spark: SparkSession, d: str) -> DataFrame:
     """Which phrases of a dictionary each document has."""
     docs = view(spark, d, "documents").select("doc_id", F.lower("text").alias("key"))
-    return extraction.phrases_in(docs, {"licensed": "license", "the": "article", "der": "article", "mit license": "license"}).select("doc_id", "phrase", "value").distinct()
+    return extraction.phrase_hits(docs, ["doc_id"], {"word": {"licensed": "license", "the": "article", "der": "article", "mit license": "license"}}).select("doc_id", "phrase", "value").distinct()
 
 
 @query("SELECT doc_id, count(*) AS lines, sum(length(x)) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) GROUP BY doc_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rolegraph.functions import dictionaries as D
 from rolegraph.functions.text import clean, headline_parts, location_parts, person_name, place_in, title_parts
 from rolegraph.functions.urls import PROFILE_HOST, canonical_url
+from rolegraph.operators.candidates import quality
 
 RECORD = "query_id, pos, url, title, snippet, displayed_name, displayed_headline, displayed_location, rank"
 
@@ -188,6 +189,41 @@ def discover(rows: DataFrame, candidates: DataFrame, min_confidence: float = 0.7
     )
 
 
+def new_candidates(decisions: DataFrame, results: DataFrame) -> DataFrame:
+    """The candidates that discover() creates, with data_quality_score (R1 of what a result shows; there are no children yet).
+
+    results: result_id, title, snippet, source_url. candidate_id is the result's id until the storage gives one; of rows
+    that repeat an id the one with the smallest values counts, URLs first.
+    """
+    once = lambda df, first: df.groupBy("result_id").agg(F.min(F.struct(first, *(c for c in df.columns if c not in ("result_id", first)))).alias("x")).select("result_id", "x.*")
+    seen = once(results.select("result_id", F.col("title").alias("discovery_title"), F.col("snippet").alias("discovery_snippet"), F.col("source_url").alias("primary_profile_url")), "primary_profile_url")
+    made = once(decisions.filter("action = 'create'").drop("candidate_id"), "normalized_url").join(seen, "result_id")
+    made = made.withColumns({"candidate_id": F.col("result_id"), "normalized_profile_url": F.col("normalized_url"), "about": F.lit(None).cast("string"), "profile_status": F.lit("discovered")})
+    none = made.select("candidate_id").limit(0)
+    score = quality(made, none, none, none).select("candidate_id", "data_quality_score")
+    return made.drop("action", "leader_id", "reason", "confidence", "normalized_url").join(score, "candidate_id")
+
+
+def discover_single(rows: DataFrame, candidates: DataFrame, wanted: DataFrame) -> DataFrame:
+    """result_id, action (linked_existing or created), candidate_id, leader_id, reason, confidence, error for each wanted result_id.
+
+    rows: those of discover() with candidate_id. A result that is linked already stays so with confidence 1.0; ids without a
+    result and results that are not eligible are errors. Of results of one new identity the first creates the candidate.
+    Ids asked for several times are answered once.
+    """
+    asked = wanted.select("result_id").distinct()
+    mine = rows.join(asked, "result_id", "left_semi")
+    linked = mine.filter("candidate_id is not null").select("result_id", F.lit("linked_existing").alias("action"), "candidate_id", F.lit(None).cast(mine.schema["result_id"].dataType).alias("leader_id"), F.lit("search_result_already_linked").alias("reason"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("error"))
+    d = discover(mine.filter("candidate_id is null"), candidates, min_confidence=0.0)
+    skip, made = F.col("action") == "skip", F.col("action") == "create"
+    open_ = d.select(
+        "result_id", F.when(made, "created").when(~skip, "linked_existing").alias("action"), "candidate_id", "leader_id", F.when(skip, F.col("reason")).when(made, "candidate_created").otherwise("exact_candidate_identity_match").alias("reason"),
+        F.when(~skip, F.col("confidence")).alias("confidence"), F.when(skip, "search_result_not_eligible").alias("error"),
+    )
+    missing = asked.join(rows.select("result_id"), "result_id", "left_anti").withColumn("error", F.lit("search_result_not_found"))
+    return linked.unionByName(open_).unionByName(missing, allowMissingColumns=True)
+
+
 def discovery_summary(decisions: DataFrame) -> DataFrame:
     """Per job received, eligible, created, linked, skipped."""
     is_ = lambda a: F.col("action").endswith(a)
@@ -201,6 +237,6 @@ def results_of_candidates(results: DataFrame, queries: DataFrame, jobs: DataFram
 
 
 def relinked(results: DataFrame, changes: DataFrame) -> DataFrame:
-    """candidate_id from changes (result_id, new_candidate_id; null detaches)."""
-    c = changes.select("result_id", "new_candidate_id", F.lit(True).alias("changed"))
+    """candidate_id from changes (result_id, new_candidate_id; null detaches). Of changes that repeat a result the largest candidate counts, null last."""
+    c = changes.groupBy("result_id").agg(F.max("new_candidate_id").alias("new_candidate_id")).withColumn("changed", F.lit(True))
     return results.join(c, "result_id", "left").withColumn("candidate_id", F.when(F.col("changed"), F.col("new_candidate_id")).otherwise(F.col("candidate_id"))).drop("changed", "new_candidate_id")

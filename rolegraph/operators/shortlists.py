@@ -58,6 +58,6 @@ def listing(entries: DataFrame, candidates: DataFrame, matches: DataFrame, statu
     return rows if text is None else rows.filter(F.contains(F.lower(F.concat_ws("\n", "full_name", "headline", "note")), F.lit(text.lower())))
 
 
-def matches_of_jobs(matches: DataFrame) -> DataFrame:
-    """A job's scores by candidate, as a map."""
-    return matches.groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("candidate_id", "total_score")))).alias("scores"))
+def matches_of_jobs(matches: DataFrame, jobs: DataFrame) -> DataFrame:
+    """job_id, candidate_id, total_score of the given jobs, a row for each candidate; a job's scores are never one value."""
+    return matches.join(jobs.select("job_id").distinct(), "job_id", "left_semi").select("job_id", "candidate_id", "total_score")

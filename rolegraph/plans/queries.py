@@ -596,10 +596,13 @@ SELECT result_id, query_id AS job_id, result_id % 11 AS k, CASE result_id % 11 W
 FROM v_results"""
 
 
-@query(f"""
-WITH f AS ({_FOUND}),
+_DECIDED = f"""f AS ({_FOUND}),
 e AS (SELECT f.*, reason, eligible, CAST(conf AS DOUBLE) AS confidence, source FROM f JOIN (VALUES (0, TRUE, 'personal_profile', 0.7, 'personal_profile_metadata'), (1, TRUE, 'linkedin_profile', 0.98, 'linkedin_profile_url'), (2, TRUE, 'linkedin_profile', 0.9, 'linkedin_profile_url'), (3, FALSE, 'unsupported', 0.0, 'non_person_linkedin_page'),
-  (4, FALSE, 'unsupported', 0.0, 'non_profile_linkedin_url'), (5, TRUE, 'github_profile', 0.8, 'github_user_profile'), (6, TRUE, 'personal_profile', 0.7, 'personal_profile_metadata'), (7, FALSE, 'unsupported', 0.0, 'search_engine_result'), (8, FALSE, 'unsupported', 0.0, 'invalid_profile_url'), (9, FALSE, 'github_profile', 0.3, 'missing_person_metadata'), (10, FALSE, 'unsupported', 0.2, 'missing_person_metadata')) AS c(n, eligible, source, conf, reason) ON k = n),
+  (4, FALSE, 'unsupported', 0.0, 'non_profile_linkedin_url'), (5, TRUE, 'github_profile', 0.8, 'github_user_profile'), (6, TRUE, 'personal_profile', 0.7, 'personal_profile_metadata'), (7, FALSE, 'unsupported', 0.0, 'search_engine_result'), (8, FALSE, 'unsupported', 0.0, 'invalid_profile_url'), (9, FALSE, 'github_profile', 0.3, 'missing_person_metadata'), (10, FALSE, 'unsupported', 0.2, 'missing_person_metadata')) AS c(n, eligible, source, conf, reason) ON k = n)"""
+
+
+@query(f"""
+WITH {_DECIDED},
 u AS (SELECT normalized_profile_url AS normalized_url, arg_min(candidate_id, (created_at, candidate_id)) AS by_url FROM v_people WHERE normalized_profile_url IS NOT NULL GROUP BY 1),
 s AS (SELECT lower(profile_slug) AS slug, arg_min(candidate_id, (created_at, candidate_id)) AS by_slug FROM v_people WHERE profile_slug IS NOT NULL GROUP BY 1),
 j AS (SELECT e.*, coalesce(by_url, by_slug) AS known, coalesce(lower(candidate_profile_slug), normalized_url) AS identity FROM e LEFT JOIN u USING (normalized_url) LEFT JOIN s ON s.slug = lower(candidate_profile_slug)),

@@ -168,7 +168,10 @@ def discover(rows: DataFrame, candidates: DataFrame, min_confidence: float = 0.7
     created_at. A result is linked to the candidate with its URL, else to the oldest one with its slug, else
     to the first result of its identity, which creates one. A dry run plans by exact URL only.
     """
-    r = rows.withColumn("e", eligibility(F.col("normalized_url"), F.col("candidate_profile_slug"), F.col("displayed_name"), F.col("displayed_headline"), F.col("title")))
+    # Computed once, by a generator that Catalyst does not merge with what reads its parts.
+    e = eligibility(F.col("normalized_url"), F.col("candidate_profile_slug"), F.col("displayed_name"), F.col("displayed_headline"), F.col("title"))
+    parts = F.struct(e.alias("e"), headline_parts(F.col("displayed_headline")).alias("h"), location_parts(F.col("displayed_location")).alias("l"), person_name(F.col("displayed_name")).alias("name"))
+    r = rows.select("*", F.explode(F.array(parts)).alias("__parts")).select(*(c for c in rows.columns if c not in ("e", "h", "l", "name")), "__parts.*")
     r = r.withColumns({"skip": skip_reason(F.col("e"), F.col("result_id"), min_confidence), "slug": F.lower("candidate_profile_slug")})
     by_url = candidates.filter("normalized_profile_url is not null").groupBy(F.col("normalized_profile_url").alias("normalized_url")).agg(F.min_by("candidate_id", F.struct("created_at", "candidate_id")).alias("by_url"))
     by_slug = candidates.filter("profile_slug is not null").groupBy(F.lower("profile_slug").alias("slug")).agg(F.min_by("candidate_id", F.struct("created_at", "candidate_id")).alias("by_slug"))
@@ -180,12 +183,10 @@ def discover(rows: DataFrame, candidates: DataFrame, min_confidence: float = 0.7
     r = r.join(leaders, "identity", "left")
     action = F.when(F.col("skip").isNotNull(), "skip").when(F.col("known").isNotNull(), "link").when(F.col("result_id") == F.col("leader_id"), "create").otherwise("link")
     action = F.when(F.lit(dry_run), F.concat(F.lit("would_"), action)).otherwise(action)
-    head, place = headline_parts(F.col("displayed_headline")), location_parts(F.col("displayed_location"))
-    r = r.withColumns({"h": head, "l": place})
     sure = F.col("h.confidence") >= 0.9
     return r.select(
         "result_id", "job_id", action.alias("action"), F.col("known").alias("candidate_id"), F.when(F.col("skip").isNull() & F.col("known").isNull(), F.col("leader_id")).alias("leader_id"), F.coalesce("skip", "e.reason").alias("reason"), F.col("e.confidence").alias("confidence"), F.col("e.source_type").alias("source"),
-        "normalized_url", F.col("candidate_profile_slug").alias("profile_slug"), person_name(F.col("displayed_name")).alias("full_name"), F.col("h.headline").alias("headline"), F.when(sure, F.col("h.title")).alias("current_title"), F.when(sure, F.col("h.company")).alias("current_company"), F.col("l.location_raw").alias("location_raw"), F.col("l.city").alias("city"), F.col("l.country").alias("country"),
+        "normalized_url", F.col("candidate_profile_slug").alias("profile_slug"), F.col("name").alias("full_name"), F.col("h.headline").alias("headline"), F.when(sure, F.col("h.title")).alias("current_title"), F.when(sure, F.col("h.company")).alias("current_company"), F.col("l.location_raw").alias("location_raw"), F.col("l.city").alias("city"), F.col("l.country").alias("country"),
     )
 
 

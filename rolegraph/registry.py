@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolegraph.plans import enriching, importing, listing, matchlists, merging, records  # noqa: F401  they register their queries
+from rolegraph.plans import enriching, importing, listing, matchlists, merging, records, storing  # noqa: F401  they register their queries
 from rolegraph.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "entry"]

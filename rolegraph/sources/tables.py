@@ -30,13 +30,13 @@ SCHEMAS = {
 RESULT = "url string, title string, snippet string, displayed_name string, displayed_headline string, displayed_location string, rank int"
 _field = "struct<value: string, source: string, confidence: double, evidence: string>"
 PAYLOAD = (
-    "payload_id string, candidate_id string, mode string, import_mode string, identity_update_strategy string, "
-    f"identity struct<headline: {_field}, full_name: {_field}, about: {_field}, location_raw: {_field}>, "
-    "experiences array<struct<external_key: string, position_title_raw: string, company_name: string, company_url: string, location: string, start_date: date, end_date: date, is_current: boolean, duration_months: int, description: string, skills_detected: array<string>, confidence: double, source: string, sort_order: int>>, "
-    "educations array<struct<external_key: string, institution_name: string, degree: string, field_of_study: string, start_year: int, end_year: int, source: string, confidence: double>>, "
+    "payload_id string, candidate_id string, provider string, mode string, import_mode string, identity_update_strategy string, "
+    f"identity struct<headline: {_field}, full_name: {_field}, about: {_field}, location_raw: {_field}, city: {_field}, country: {_field}, current_title: {_field}, current_company: {_field}, open_to_work: struct<value: boolean, source: string, confidence: double, evidence: string>>, "
+    "experiences array<struct<external_key: string, position_title_raw: string, company_name: string, company_url: string, employment_type: string, location: string, start_date: date, end_date: date, is_current: boolean, duration_months: int, description: string, skills_detected: array<string>, industry_detected: string, confidence: double, source: string, sort_order: int>>, "
+    "educations array<struct<external_key: string, institution_name: string, degree: string, field_of_study: string, start_year: int, end_year: int, grade: string, description: string, source: string, confidence: double, sort_order: int>>, "
     "skills array<struct<raw_name: string, category: string, endorsement_count: int, source: string, confidence: double>>, "
-    "certifications array<struct<external_key: string, name: string, issuer: string, issue_date: date, expiration_date: date, credential_url: string, source: string, confidence: double>>, "
-    "languages array<struct<language: string, proficiency: string, source: string, confidence: double>>, sections_present array<string>, is_partial boolean"
+    "certifications array<struct<external_key: string, name: string, issuer: string, issue_date: date, expiration_date: date, credential_id: string, credential_url: string, source: string, confidence: double>>, "
+    "languages array<struct<language: string, proficiency: string, source: string, confidence: double>>, sections_present array<string>, parser_version string, warnings array<string>, is_partial boolean"
 )
 
 

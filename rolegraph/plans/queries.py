@@ -296,7 +296,7 @@ WHERE t IS NOT NULL OR s IS NOT NULL
 """)
 def precision_queries(spark: SparkSession, d: str) -> DataFrame:
     """Q1-Q8: each job's strictest English query."""
-    req = view(spark, d, "v_requirements").filter("seq < 2").select("job_id", F.lit("skill").alias("type"), F.col("value").alias("normalized_value"), "importance", (2.0 - F.col("seq")).alias("weight"), F.lit(0.9).alias("confidence"), F.col("seq").cast("long").alias("seq"))
+    req = view(spark, d, "v_requirements").select("job_id", F.lit("skill").alias("type"), F.col("value").alias("normalized_value"), "importance", (3.0 - F.col("seq")).alias("weight"), F.lit(0.9).alias("confidence"), F.col("seq").cast("long").alias("seq"))
     none = F.array().cast("array<string>")
     jobs = view(spark, d, "v_jobs").select("job_id", F.col("title").alias("job_title"), "city", "country", none.alias("required_skills"), none.alias("preferred_skills"))
     made = sourcing.generate(sourcing.query_inputs(jobs, req), languages=("en",))

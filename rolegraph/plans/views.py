@@ -25,10 +25,10 @@ VIEWS = {
         FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""",
     "v_skills": """
         SELECT DISTINCT o_custkey AS candidate_id, 'skill' AS category, p_name AS value
-        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_linenumber = 2""",
+        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey""",
     "v_titles": """
-        SELECT DISTINCT o_custkey AS candidate_id, p_name AS title
-        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'A' AND l_linenumber = 3""",
+        SELECT o_custkey AS candidate_id, p_name AS title
+        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_custkey, p_name HAVING count(*) > 2""",
     "v_queries": "SELECT p_partkey AS query_id, p_partkey AS job_id, p_name || ' ' || p_type AS query_text, p_brand AS owner, p_size AS created_at FROM part",
     "v_results": """
         SELECT l_orderkey * 10 + l_linenumber AS result_id, l_partkey AS query_id, CASE WHEN l_linestatus = 'O' THEN NULL ELSE o_custkey END AS candidate_id, 'https://people.example.com/' || (l_suppkey % 50) || '/' || (l_orderkey % 400) AS normalized_url, l_shipdate AS discovered_at
@@ -52,7 +52,7 @@ VIEWS = {
     "v_matches": "SELECT o_orderkey % 50 AS job_id, o_custkey AS candidate_id, max(o_totalprice) / 10000 AS total_score FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_orderkey % 50, o_custkey",
     "v_profile_skills": """
         SELECT o_custkey AS candidate_id, p_name AS raw_name, CASE WHEN l_returnflag = 'R' THEN 'inferred' WHEN l_returnflag = 'A' THEN 'about_text' ELSE 'profile_skill' END AS source, 1 - l_discount AS confidence, CASE WHEN l_linenumber > 3 THEN CAST(l_quantity AS INT) END AS endorsement_count
-        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber > 2""",
+        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey""",
 }
 
 

@@ -72,7 +72,7 @@ def _errors(m: Column, rules: Mapping[str, str], section: Column, pos: Column, p
 
     def error(field: Column, reason: Column) -> Column:
         shown = field if prefix is None else F.concat(prefix, F.lit("."), field)
-        return F.when(reason.isNotNull(), F.struct(section.alias("section"), pos.alias("pos"), shown.alias("field"), reason.alias("reason")))
+        return F.struct(section.alias("section"), pos.alias("pos"), shown.alias("field"), reason.alias("reason"))
 
     def reason(field: str, rule: str) -> Column:
         need, kind, *bounds = rule.split()
@@ -83,7 +83,7 @@ def _errors(m: Column, rules: Mapping[str, str], section: Column, pos: Column, p
 
     broken = [error(F.lit(f), reason(f, r)) for f, r in rules.items()] + [error(F.lit(f), c) for f, c in (pairs or {}).items()]
     unknown = F.array_sort(F.array_except(F.map_keys(m), F.array(*map(F.lit, rules))))
-    return F.concat(F.array_compact(F.array(*broken)), F.transform(unknown, lambda k: error(k, F.lit("unknown_key"))))
+    return F.concat(F.filter(F.array(*broken), lambda e: e["reason"].isNotNull()), F.transform(unknown, lambda k: error(k, F.lit("unknown_key"))))
 
 
 def _pairs(section: str, m: Column) -> dict[str, Column]:
@@ -139,7 +139,7 @@ def with_errors(lines: DataFrame, column: str = "value", name: str = "errors") -
 
 def payload_errors(lines: DataFrame, key: str, column: str = "value") -> DataFrame:
     """Key, section, pos (of a child, from 0), field and reason of everything that is wrong in lines of payloads."""
-    return with_errors(lines.select(key, column), column, "found").select(key, F.explode("found").alias("e")).select(key, "e.*")
+    return with_errors(lines.select(key, column), column, "found").select(key, F.explode_outer("found").alias("e")).filter("e is not null").select(key, "e.*")  # outer: a plain explode would have the errors found again for a filter
 
 
 def checked_payloads(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -109,28 +109,55 @@ def match_keys(candidates: DataFrame) -> DataFrame:
     return candidates.select("candidate_id", *(c.alias(k) for k, c in _block_keys().items()), *(fold(clean(F.col(c))).alias(c) for c in cols), fold(person_name(F.col("full_name"))).alias("full_name"))
 
 
+#: R5's sure scores from the best: score, reason, the columns that are equal.
+SURE = [
+    (1.0, "exact_profile_url", ["normalized_profile_url"]), (0.99, "exact_profile_slug", ["profile_slug"]),
+    (0.95, "exact_name_headline_city", ["full_name", "headline", "city"]), (0.9, "exact_name_company", ["full_name", "current_company"]),
+]
+
+
 def best_duplicates(candidates: DataFrame, min_score: float = 0.8, limit: int = 20) -> DataFrame:
-    """Each candidate's best duplicates, ranked; keys are made once for pairs and scores."""
-    keys = Scratch(candidates.sparkSession, "duplicates").keep(match_keys(candidates))
-    return suggestions(duplicate_scores(best_pairs(candidates, limit, min_score, keys), candidates, keys), min_score, limit)
+    """Each candidate's best duplicates, ranked, with the columns of duplicate_scores().
+
+    A pair's best level is its score. A level's key that lacks an other which it should have has `limit` smaller ids
+    instead, which come first in the ranking too, so that others of a base's best `limit` are never missed or scored low.
+    """
+    kinds = _levels(min_score)
+    scores = _leveled_pairs(candidates, limit, min_score).repartition("base_id").groupBy("base_id", "other_id").agg(F.min("level").alias("level"))
+    of = lambda values: F.get(F.array(*values), F.col("level"))
+    fields = of([F.array(*map(F.lit, fields)) for *_, fields in kinds])
+    return suggestions(scores.select("base_id", "other_id", of([F.lit(k[1]) for k in kinds]).alias("score"), fields.alias("matched_fields"), of([F.lit(k[2]) for k in kinds]).alias("reason")), min_score, limit)
+
+
+def _levels(min_score: float) -> list[tuple[list[str], float, str, list[str]]]:
+    """R4, R5 as keys, best first: columns of match_keys() whose equality gives a pair at least a score, score, reason, matched fields."""
+    out = [([block, *level], score, reason, level) for score, reason, level in SURE for block in _block_keys()]
+    if min_score <= 0.85:  # near names that share a URL or slug are above; else the names are equal
+        out += [(["b_name", *more], 0.85, "fuzzy_name_with_supporting_fields", ["fuzzy_full_name", *more]) for more in (["headline", "city"], ["headline"], ["city"])]
+    return out
+
+
+def _leveled_pairs(candidates: DataFrame, limit: int, min_score: float, keys: DataFrame | None = None) -> DataFrame:
+    """base_id, other_id, level (place among _levels()): each base with the smallest limit + 1 ids of each of its keys.
+
+    Rows meet in their key's group in one shuffle; nothing is joined, so no side can be taken for a small one.
+    """
+    rows = match_keys(candidates) if keys is None else keys
+    each = [F.when(reduce(Column.__and__, (F.col(c).isNotNull() for c in level)), F.struct(F.lit(i).alias("level"), F.array(*level).alias("key"))) for i, (level, *_) in enumerate(_levels(min_score))]
+    keyed = rows.select(F.col("candidate_id").alias("base_id"), F.explode(F.array_compact(F.array(*each))).alias("x")).select("base_id", "x.level", "x.key")
+    group = Window.partitionBy("level", "key")
+    ranked = keyed.withColumn("n", F.row_number().over(group.orderBy("base_id")))
+    firsts = ranked.withColumn("firsts", F.collect_list(F.when(F.col("n") <= limit + 1, F.col("base_id"))).over(group))
+    return firsts.select("base_id", F.explode("firsts").alias("other_id"), "level").filter("base_id <> other_id")
 
 
 def best_pairs(candidates: DataFrame, limit: int, min_score: float, keys: DataFrame | None = None) -> DataFrame:
     """The pairs of blocked_pairs() without a cap among which each base's best `limit` by R5's score and other_id are.
 
     Equal keys of a level give at least its score, so of each level's key the smallest limit + 1 ids suffice,
-    and what is joined grows with the candidates, not with the square of a group. keys: match_keys(), if written already.
+    and what is made grows with the candidates, not with the square of a group. keys: match_keys(), if written already.
     """
-    rows = match_keys(candidates) if keys is None else keys
-    sure = [["normalized_profile_url"], ["profile_slug"], ["full_name", "headline", "city"], ["full_name", "current_company"]]
-    levels = [[block, *level] for level in sure for block in _block_keys()]
-    if min_score <= 0.85:  # near names that share a URL or slug are above; else the names are equal
-        levels += [["b_name", "headline"], ["b_name", "city"]]
-    each = [F.when(reduce(Column.__and__, (F.col(c).isNotNull() for c in level)), F.struct(F.lit(i).alias("level"), F.array(*level).alias("key"))) for i, level in enumerate(levels)]
-    keyed = rows.select("candidate_id", F.explode(F.array_compact(F.array(*each))).alias("x")).select("candidate_id", "x.level", "x.key")
-    first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("level", "key").orderBy("candidate_id"))).filter(F.col("n") <= limit + 1)
-    pairs = keyed.withColumnRenamed("candidate_id", "base_id").join(first.select(F.col("candidate_id").alias("other_id"), "level", "key"), ["level", "key"])
-    return pairs.filter("base_id <> other_id").select("base_id", "other_id").distinct()
+    return _leveled_pairs(candidates, limit, min_score, keys).select("base_id", "other_id").distinct()
 
 
 @F.pandas_udf(T.DoubleType())

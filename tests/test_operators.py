@@ -114,6 +114,15 @@ def test_best_pairs_equal_all_pairs(spark):
     for limit, least in ((3, 0.87), (4, 0.8)):
         assert rows(C.suggestions(C.duplicate_scores(C.best_pairs(df, limit, least), df), least, limit)) == rows(C.suggestions(scores, least, limit))
     assert sorted(map(tuple, C.blocked_counts(df).collect())) == sorted(map(tuple, every.groupBy("base_id").count().collect()))
+    cols = ["base_id", "other_id", "score", "matched_fields", "reason", "rank"]
+    for limit, least in ((1, 0.87), (3, 0.8), (20, 0.8)):
+        assert sorted(map(tuple, C.best_duplicates(df, least, limit).select(cols).collect())) == sorted(map(tuple, C.suggestions(scores, least, limit).select(cols).collect()))
+
+
+def test_duplicates_join_nothing(spark):
+    # A table of keys is small as a file and large in memory; no join may broadcast it.
+    df = spark.createDataFrame([(1, "u", None, "Ada Byron", "h", "c", "k")], PERSON)
+    assert "Join" not in C.best_duplicates(df, 0.8, 3)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_quality(spark):

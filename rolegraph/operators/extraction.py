@@ -230,11 +230,7 @@ def parse(postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     postings: job_id, title, description_raw, location_raw, city, country, status. Only draft and parsed
     jobs with a text are parsed.
     """
-    jobs = postings.withColumn("description_clean", clean_posting(F.col("description_raw")))
-    reason = F.when(~F.col("status").isin("draft", "parsed"), "status_not_parsable").when(F.col("description_clean") == "", "empty_description").when(F.coalesce(F.trim("title"), F.lit("")) == "", "title_missing")
-    jobs = jobs.withColumn("reject_reason", reason)
-    rejected, jobs = jobs.filter("reject_reason is not null").select("job_id", "reject_reason"), jobs.filter("reject_reason is null").drop("reject_reason")
-    jobs = kept(jobs)
+    jobs = kept(_judged(postings).filter("reject_reason is null").drop("reject_reason"))
     s = kept(units(jobs))
     found = kept(requirements(jobs, s))
     arrays = _roll_up()
@@ -255,7 +251,19 @@ def parse(postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     common = F.concat("required_skills", "preferred_skills", "education_fields", F.transform("locations", lambda x: F.regexp_replace(x, "^[^:]*:", "")), "certifications", "industries")
     out = out.withColumns({"warnings": warnings, "keywords_tr": distinct_by_key(F.concat(variants, common), ascii_key, 30), "keywords_en": distinct_by_key(F.concat(F.col("title_candidates"), common), ascii_key, 30), "parser_version": F.lit("rule-based-v1"), "status": F.lit("parsed")})
     drop = ["n", "related", "sections", "conflict", *(c for c in span.columns if c.startswith("has_"))]
-    return out.withColumnsRenamed({"min_years": "min_experience_years", "max_years": "max_experience_years"}).drop(*drop), found, rejected
+    return out.withColumnsRenamed({"min_years": "min_experience_years", "max_years": "max_experience_years"}).drop(*drop), found, rejected(postings)
+
+
+def _judged(postings: DataFrame) -> DataFrame:
+    """Postings with description_clean and why they are not parsed (null: they are)."""
+    jobs = postings.withColumn("description_clean", clean_posting(F.col("description_raw")))
+    reason = F.when(~F.col("status").isin("draft", "parsed"), "status_not_parsable").when(F.col("description_clean") == "", "empty_description").when(F.coalesce(F.trim("title"), F.lit("")) == "", "title_missing")
+    return jobs.withColumn("reject_reason", reason)
+
+
+def rejected(postings: DataFrame) -> DataFrame:
+    """job_id, reject_reason of the postings that parse() leaves out, without parsing the others."""
+    return _judged(postings).filter("reject_reason is not null").select("job_id", "reject_reason")
 
 
 def _roll_up() -> list:

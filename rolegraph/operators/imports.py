@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolegraph.functions import dictionaries as D
-from rolegraph.functions.text import clean, headline_parts, location_parts, person_name, place_in, title_parts
+from rolegraph.functions.text import bound, clean, headline_parts, location_parts, person_name, place_in, title_parts
 from rolegraph.functions.urls import PROFILE_HOST, canonical_url
 from rolegraph.operators.candidates import quality
+from rolegraph.sources.scratch import Scratch
 
 RECORD = "query_id, pos, url, title, snippet, displayed_name, displayed_headline, displayed_location, rank"
 
@@ -133,17 +134,22 @@ CODE_HOSTS = ["github.com", "www.github.com"]
 def eligibility(url: Column, slug: Column, name: Column, headline: Column, title: Column, blocked: Sequence[str] = D.BLOCKED_PATHS, engines: Sequence[str] = D.SEARCH_ENGINES) -> Column:
     """Struct of eligible, source_type, confidence, reason."""
     host, path = F.lower(F.regexp_extract(url, r"^https?://([^/:?#]+)", 1)), F.lower(F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1))
-    network = (host == PROFILE_HOST) | host.endswith("." + PROFILE_HOST)
     named = person_name(name).isNotNull()
-    described = named | clean(headline).isNotNull() | clean(title).isNotNull()
-    code = host.isin(CODE_HOSTS) & ~F.contains(F.regexp_replace(path, "^/+|/+$", ""), F.lit("/"))
-    person = network & (slug != "") & path.startswith("/in/")
-    holds = {
-        "no_url": url.isNull() | (host == ""), "engine": host.isin(list(engines)), "network_blocked": network & path.rlike("^(?:" + "|".join(blocked) + ")"), "network_person_named": person & named,
-        "network_person": person, "network_other": network, "code_described": code & described, "code": code, "described": described, "other": F.lit(True),
-    }
+    known = F.struct(url.alias("url"), slug.alias("slug"), host.alias("host"), path.alias("path"), named.alias("named"), (named | clean(headline).isNotNull() | clean(title).isNotNull()).alias("described"))
     row = lambda ok, kind, sure, why: F.struct(F.lit(ok).alias("eligible"), F.lit(kind).alias("source_type"), F.lit(sure).alias("confidence"), F.lit(why).alias("reason"))
-    return F.coalesce(*(F.when(holds[case], row(*values)) for case, *values in ELIGIBILITY))
+
+    def of(x: Column) -> Column:
+        host, path, named, described = x["host"], x["path"], x["named"], x["described"]
+        network = (host == PROFILE_HOST) | host.endswith("." + PROFILE_HOST)
+        code = host.isin(CODE_HOSTS) & ~F.contains(F.regexp_replace(path, "^/+|/+$", ""), F.lit("/"))
+        person = network & (x["slug"] != "") & path.startswith("/in/")
+        holds = {
+            "no_url": x["url"].isNull() | (host == ""), "engine": host.isin(list(engines)), "network_blocked": network & path.rlike("^(?:" + "|".join(blocked) + ")"), "network_person_named": person & named,
+            "network_person": person, "network_other": network, "code_described": code & described, "code": code, "described": described, "other": F.lit(True),
+        }
+        return F.coalesce(*(F.when(holds[case], row(*values)) for case, *values in ELIGIBILITY))
+
+    return bound(known, of)
 
 
 def skip_reason(e: Column, result_id: Column, min_confidence: float = 0.7, include: Sequence | None = None, exclude: Sequence = ()) -> Column:
@@ -168,11 +174,12 @@ def discover(rows: DataFrame, candidates: DataFrame, min_confidence: float = 0.7
     created_at. A result is linked to the candidate with its URL, else to the oldest one with its slug, else
     to the first result of its identity, which creates one. A dry run plans by exact URL only.
     """
-    # Computed once, by a generator that Catalyst does not merge with what reads its parts.
+    # Written once: the rows and their leaders both read it.
     e = eligibility(F.col("normalized_url"), F.col("candidate_profile_slug"), F.col("displayed_name"), F.col("displayed_headline"), F.col("title"))
     parts = F.struct(e.alias("e"), headline_parts(F.col("displayed_headline")).alias("h"), location_parts(F.col("displayed_location")).alias("l"), person_name(F.col("displayed_name")).alias("name"))
-    r = rows.select("*", F.explode(F.array(parts)).alias("__parts")).select(*(c for c in rows.columns if c not in ("e", "h", "l", "name")), "__parts.*")
+    r = rows.select("result_id", "job_id", "normalized_url", "candidate_profile_slug", F.explode(F.array(parts)).alias("__parts")).select("result_id", "job_id", "normalized_url", "candidate_profile_slug", "__parts.*")
     r = r.withColumns({"skip": skip_reason(F.col("e"), F.col("result_id"), min_confidence), "slug": F.lower("candidate_profile_slug")})
+    r = Scratch(rows.sparkSession, "discovery").keep(r)
     by_url = candidates.filter("normalized_profile_url is not null").groupBy(F.col("normalized_profile_url").alias("normalized_url")).agg(F.min_by("candidate_id", F.struct("created_at", "candidate_id")).alias("by_url"))
     by_slug = candidates.filter("profile_slug is not null").groupBy(F.lower("profile_slug").alias("slug")).agg(F.min_by("candidate_id", F.struct("created_at", "candidate_id")).alias("by_slug"))
     r = r.join(by_url, "normalized_url", "left").join(by_slug, "slug", "left")

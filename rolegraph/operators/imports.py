@@ -187,7 +187,8 @@ def discover(rows: DataFrame, candidates: DataFrame, min_confidence: float = 0.7
     identity = F.col("normalized_url") if dry_run else F.coalesce("slug", "normalized_url")
     r = r.withColumns({"known": known, "identity": identity})
     leaders = r.filter("skip is null and known is null").groupBy("identity").agg(F.min_by("result_id", F.struct("normalized_url", "result_id")).alias("leader_id"))
-    r = r.join(leaders, "identity", "left")
+    # As many as there are new identities, so not to be sent to every task, however small the written rows are as files.
+    r = r.join(leaders.hint("merge"), "identity", "left")
     action = F.when(F.col("skip").isNotNull(), "skip").when(F.col("known").isNotNull(), "link").when(F.col("result_id") == F.col("leader_id"), "create").otherwise("link")
     action = F.when(F.lit(dry_run), F.concat(F.lit("would_"), action)).otherwise(action)
     sure = F.col("h.confidence") >= 0.9

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rolegraph.operators import extraction, imports
+from rolegraph.operators import extraction, imports, matching
 from rolegraph.plans import queries as Q
 from rolegraph.plans import records
 from rolegraph.plans.views import sql
@@ -37,3 +37,15 @@ def test_discovery_reads_texts_once(spark):
     none = spark.createDataFrame([], "candidate_id long, normalized_profile_url string, profile_slug string, created_at timestamp")
     got = imports.discover(rows, none)
     assert "ArrowEvalPython" not in plan(got) and [r.action for r in got.select(F.col("action")).collect()] == ["create"]
+
+
+def test_equal_token_sets_meet_once(spark):
+    # 2,000 jobs ask for the same; the join on tokens must not see them all.
+    left = spark.range(2000).select(F.col("id").alias("job_id"), F.expr("IF(id = 0, array('x'), array('a', 'b'))").alias("a"))
+    right = spark.createDataFrame([(["a", "b"],), (["a", "c"],), (["d"],)], "b array<string>")
+    got = matching.overlaps(left.unionByName(left.filter("job_id = 1")), right)
+    p = plan(got)
+    assert {tuple(r)[1:] for r in got.filter("job_id > 1").collect()} == {(2, 1)}
+    assert got.filter("job_id < 2").collect() == [(1, 4, 2)]
+    aggregated = [line for line in p.splitlines() if "Generate explode(a" in line]
+    assert aggregated and all("HashAggregate(keys=[a#" in p[p.index(line) : p.index(line) + 900] for line in aggregated)

@@ -49,3 +49,9 @@ def test_equal_token_sets_meet_once(spark):
     assert got.filter("job_id < 2").collect() == [(1, 4, 2)]
     aggregated = [line for line in p.splitlines() if "Generate explode(a" in line]
     assert aggregated and all("HashAggregate(keys=[a#" in p[p.index(line) : p.index(line) + 900] for line in aggregated)
+
+
+def test_rules_read_joined_tables_once(spark, sf):
+    # Nine rules of three tables read order lines; each table is joined once and read from where it is kept.
+    p = plan(records.integrity_report(spark, sf))
+    assert "lineitem.parquet" not in p and p.count("FileScan parquet") > 9

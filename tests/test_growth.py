@@ -1,5 +1,7 @@
 """What keeps time, memory and disk in step with the input."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from rolegraph.operators import extraction, imports, matching
@@ -55,3 +57,9 @@ def test_rules_read_joined_tables_once(spark, sf):
     # Nine rules of three tables read order lines; each table is joined once and read from where it is kept.
     p = plan(records.integrity_report(spark, sf))
     assert "lineitem.parquet" not in p and p.count("FileScan parquet") > 9
+
+
+def test_evidence_of_a_pair_is_one_row(spark, sf):
+    # Pairs meet jobs and candidates once; nothing is grouped by pair again.
+    grouped = re.findall(r"Aggregate\(keys=\[(?:job_id#\d+L?, candidate_id#\d+L?|candidate_id#\d+L?, job_id#\d+L?)\], functions=\[([^\]]*)", plan(Q.match_explained(spark, sf)))
+    assert grouped and not any(grouped)

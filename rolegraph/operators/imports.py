@@ -56,7 +56,8 @@ BUCKETS = 1 << 20
 
 def of_urls(stored: DataFrame, urls: DataFrame) -> DataFrame:
     """The stored rows whose normalized_url is among urls; others mostly leave by bucket, before anything is shuffled."""
-    bucket = F.pmod(F.xxhash64("normalized_url"), F.lit(BUCKETS)).cast("int")
+    # Never null, so that no filter for that is put into the reading of the URLs.
+    bucket = F.coalesce(F.pmod(F.xxhash64("normalized_url"), F.lit(BUCKETS)).cast("int"), F.lit(0))
     urls = urls.select("normalized_url").distinct()
     touched = F.broadcast(urls.select(bucket.alias("bucket")).distinct())  # at most BUCKETS rows
     return stored.withColumn("bucket", bucket).join(touched, "bucket", "left_semi").drop("bucket").join(urls, "normalized_url", "left_semi")
@@ -76,13 +77,15 @@ def import_batch(records: DataFrame, stored: DataFrame, mode: str = "merge") ->
     key = ["query_id", "normalized_url"]
     valid, invalid = normalized_records(records.filter("query_id is not null"))
     new, batch = first_of_url(valid), records.filter("query_id is not null").select("query_id").distinct()
+    # URLs are made once for the summary: all of it comes from these counts, whose column n each use reads, so that their exchange is the same one.
+    counted = valid.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    urls = counted.groupBy("normalized_url").agg(F.min(F.struct("query_id", "n")).alias("f")).filter("f.n > 0").select("normalized_url", F.col("f.query_id").alias("first"))
     # What the storage has of the batch's URLs, as a few numbers for each URL.
-    seen = of_urls(stored.select(*key), new).join(batch.withColumn("own", F.lit(True)), "query_id", "left")
+    seen = of_urls(stored.select(*key), urls).join(batch.withColumn("own", F.lit(True)), "query_id", "left")
     other = F.when(F.col("own").isNull(), F.col("query_id")) if mode == "replace" else F.col("query_id")
     by_url = seen.groupBy("normalized_url").agg(F.min(other).alias("low"), F.max(other).alias("high"), F.max(F.when(F.col("own"), F.col("query_id"))).alias("later"))
-    first = valid.groupBy("normalized_url").agg(F.min("query_id").alias("first"))
     mine = F.lit(False) if mode == "replace" else F.col("has")
-    n = valid.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(by_url, "normalized_url", "left").join(first, "normalized_url")
+    n = counted.join(by_url, "normalized_url", "left").join(urls, "normalized_url")
     if mode == "merge":
         n = n.join(seen.filter("own").select(*key).distinct().withColumn("has", F.lit(True)), key, "left").withColumn("has", F.coalesce("has", F.lit(False)))
     q = F.col("query_id")

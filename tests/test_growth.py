@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rolegraph.operators import extraction, imports, matching
 from rolegraph.plans import queries as Q
-from rolegraph.plans import records
+from rolegraph.plans import importing, records
 from rolegraph.plans.views import sql
 
 
@@ -63,3 +63,12 @@ def test_evidence_of_a_pair_is_one_row(spark, sf):
     # Pairs meet jobs and candidates once; nothing is grouped by pair again.
     grouped = re.findall(r"Aggregate\(keys=\[(?:job_id#\d+L?, candidate_id#\d+L?|candidate_id#\d+L?, job_id#\d+L?)\], functions=\[([^\]]*)", plan(Q.match_explained(spark, sf)))
     assert grouped and not any(grouped)
+
+
+def test_urls_of_an_import_are_made_once(spark, sf):
+    got = importing.import_into_storage(spark, sf)
+    got.collect()
+    p = plan(got)
+    final = p[: p.index("Initial Plan")] if "Initial Plan" in p else p
+    # The canonical URL is made by a generator.
+    assert len(re.findall(r"Generate explode\(array\(", final)) == 1

@@ -160,6 +160,27 @@ def upserted(existing: DataFrame, incoming: DataFrame, payloads: DataFrame, keys
     return kept.unionByName(incoming.select(existing.columns))
 
 
+def settled(existing: DataFrame, incoming: DataFrame, payloads: DataFrame, section: str, tasks: int | None = None) -> DataFrame:
+    """A section's stored and incoming rows with their fate, in one order of (candidate_id, key).
+
+    keep, update (a stored row that is overwritten) and delete are stored rows, create and overwrite incoming ones;
+    keep, create and overwrite make the collection after import. Incoming rows of candidates without a payload, and all
+    but the last of a key, are left out. tasks: to how many the candidates are dealt; Spark's setting without it.
+    """
+    w = Window.partitionBy("candidate_id", "key").orderBy(F.desc("__new"), F.desc("pos"))
+    of_key = lambda c: c.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    both = existing.withColumn("__new", F.lit(False)).unionByName(incoming.select(existing.columns).withColumn("__new", F.lit(True)))
+    both = both.repartition(*([tasks] if tasks else []), "candidate_id")
+    both = both.withColumns({"__n": F.row_number().over(w), "__given": of_key(F.max("__new")), "__held": ~of_key(F.min("__new")), "__p": of_key(F.min(F.when(F.col("__new"), F.col("pos"))))})
+    replaces = (F.col("import_mode") == "replace_all") | ((F.col("import_mode") == "replace_sections") & F.array_contains("sections_present", section))
+    modes = payloads.groupBy("candidate_id").agg(F.coalesce(F.bool_or(replaces), F.lit(False)).alias("__replaces"))
+    given, held = (F.col(c) & F.col("key").isNotNull() for c in ("__given", "__held"))
+    stored = F.when(F.col("__replaces").isNull(), "keep").when(given, "update").when(F.col("__replaces"), "delete").otherwise("keep")
+    fate = F.when(~F.col("__new"), stored).when(F.col("__replaces").isNotNull() & (F.col("__n") == 1), F.when(held, "overwrite").otherwise("create"))
+    out = both.join(modes, "candidate_id", "left").withColumn("fate", fate).filter("fate is not null")
+    return out.withColumn("pos", F.when(F.col("__new"), F.col("__p")).otherwise(F.col("pos"))).select(*existing.columns, "fate")
+
+
 def profile_status(mode: Column, complete: Column) -> Column:
     """E15."""
     return F.when((mode == "deep") & complete, "scraped").otherwise("partial")
@@ -169,7 +190,7 @@ NORMALISED = {"experience": experiences, "education": lambda rows, today: educat
 
 
 def import_enrichment(
-    candidates: DataFrame, stored: Mapping[str, DataFrame], payloads: DataFrame, incoming: Mapping[str, DataFrame], now: str, fields: Sequence[str] = ("full_name", "headline", "about", "location_raw"), preview: bool = False
+    candidates: DataFrame, stored: Mapping[str, DataFrame], payloads: DataFrame, incoming: Mapping[str, DataFrame], now: str, fields: Sequence[str] = ("full_name", "headline", "about", "location_raw"), preview: bool = False, tasks: int | None = None
 ) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
     """Candidates and their sections after the import, and a run for each payload.
 
@@ -177,7 +198,7 @@ def import_enrichment(
     identity fields. stored and incoming: by section (the names of NORMALISED) rows with candidate_id and pos. now: a
     timestamp. A payload with a row that breaks a rule changes nothing; its run failed and names the rules. Runs
     count what is created, updated and deleted in each section, and hold the quality before and after. A preview
-    gives the runs only.
+    gives the runs only. tasks: to how many a section's rows are dealt; Spark's setting without it.
     """
     today, names = now[:10], list(incoming)
     new = {k: NORMALISED[k](incoming[k], today).withColumns({"errors": row_errors(k), "key": natural_key(k)}) for k in names}
@@ -187,12 +208,9 @@ def import_enrichment(
     good = payloads.join(failed, "candidate_id", "left_anti")
     after, runs = {}, payloads.select("candidate_id", "mode", "import_mode", "is_partial")
     for k, r in new.items():
-        rows = last_of_key(r.join(good.select("candidate_id"), "candidate_id", "left_semi").drop("errors"), ["candidate_id", "key"])
-        after[k] = upserted(old[k], rows, good, ["candidate_id", "key"], k)
-        replaces = (F.col("import_mode") == "replace_all") | ((F.col("import_mode") == "replace_sections") & F.array_contains("sections_present", k))
-        held = old[k].join(good.select("candidate_id", replaces.alias("replaces")), "candidate_id").select("candidate_id", "key", "replaces")
-        both = held.join(rows.select("candidate_id", "key", F.lit(True).alias("given")), ["candidate_id", "key"], "full_outer")
-        counts = both.groupBy("candidate_id").agg(F.count_if(F.col("replaces").isNull()).alias(f"{k}_created"), F.count_if(F.col("given") & F.col("replaces").isNotNull()).alias(f"{k}_updated"), F.count_if(F.col("given").isNull() & F.col("replaces")).alias(f"{k}_deleted"))
+        rows = settled(old[k], r, good, k, tasks)
+        after[k] = rows.filter(F.col("fate").isin("keep", "create", "overwrite")).drop("fate")
+        counts = rows.groupBy("candidate_id").agg(F.count_if(F.col("fate") == "create").alias(f"{k}_created"), F.count_if(F.col("fate") == "update").alias(f"{k}_updated"), F.count_if(F.col("fate") == "delete").alias(f"{k}_deleted"))
         runs = runs.join(counts, "candidate_id", "left").fillna(0, [f"{k}_created", f"{k}_updated", f"{k}_deleted"])
 
     p = good.select("candidate_id", "mode", "is_partial", "identity_update_strategy", *(F.col(f).alias(f"in_{f}") for f in fields))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolegraph.operators import enrichment as E
 from rolegraph.plans.queries import query
-from rolegraph.plans.views import sql
+from rolegraph.plans.views import parts, sql
 
 # Candidates with stored skills; two of three have a payload, every seventeenth of which breaks a rule.
 _CANDIDATES = """
@@ -20,6 +20,8 @@ SELECT candidate_id, CASE WHEN candidate_id % 2 = 0 THEN 'deep' ELSE 'basic' END
   CAST(NULL AS STRING) AS full_name, CASE WHEN candidate_id % 7 <> 0 THEN 'Chief engineer' ELSE ' ' END AS headline, CASE WHEN candidate_id % 6 = 1 THEN 'About' END AS about, CAST(NULL AS STRING) AS location_raw
 FROM v_candidates WHERE candidate_id % 3 <> 0"""
 _STORED = "SELECT candidate_id, raw_name, CAST(NULL AS STRING) AS category, source, 0.25 AS confidence, CAST(1 AS INT) AS endorsement_count, CAST(0 AS BIGINT) AS pos FROM v_profile_skills WHERE length(raw_name) % 2 = 0 GROUP BY candidate_id, raw_name, source"
+# Order lines meet orders and parts by key, then go to their candidate's task.
+_KEYED = {"lineitem": "l_orderkey", "part": "p_partkey", "v_profile_skills": "candidate_id"}
 # Each row comes twice, the second time with a higher confidence; the last one of a key counts.
 _INCOMING = """SELECT candidate_id, raw_name, CAST(NULL AS STRING) AS category, source, n * 0.375 AS confidence, CASE WHEN candidate_id % 17 = 0 THEN -1 ELSE CAST(n AS INT) END AS endorsement_count, n AS pos
   FROM (SELECT DISTINCT candidate_id, raw_name, source FROM v_profile_skills WHERE endorsement_count > 20) AS i JOIN (SELECT 1 AS n FROM region WHERE r_regionkey = 0 UNION ALL SELECT 2 FROM region WHERE r_regionkey = 0) AS twice ON TRUE"""
@@ -36,8 +38,9 @@ person AS (SELECT c.candidate_id, c.headline AS old_headline, g.candidate_id IS
 
 def _imported(spark: SparkSession, d: str, preview: bool = False):
     payloads = sql(spark, d, _PAYLOADS).withColumn("sections_present", F.when(F.col("candidate_id") % 8 == 1, F.array(F.lit("skill"))).otherwise(F.array().cast("array<string>")))
-    rows = lambda body: sql(spark, d, body).withColumn("confidence", F.col("confidence").cast("double"))
-    return E.import_enrichment(sql(spark, d, _CANDIDATES), {"skill": rows(_STORED)}, payloads, {"skill": rows(_INCOMING)}, "2002-06-01 00:00:00", preview=preview)
+    tasks = parts(spark, d)
+    rows = lambda body: sql(spark, d, body, keyed=_KEYED, tasks=tasks).withColumn("confidence", F.col("confidence").cast("double"))
+    return E.import_enrichment(sql(spark, d, _CANDIDATES), {"skill": rows(_STORED)}, payloads, {"skill": rows(_INCOMING)}, "2002-06-01 00:00:00", preview=preview, tasks=tasks)
 
 
 @query(f"""

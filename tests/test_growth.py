@@ -4,9 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from rolegraph.operators import extraction, imports, matching
+from rolegraph.operators import enrichment, extraction, imports, matching
 from rolegraph.plans import queries as Q
-from rolegraph.plans import importing, records
+from rolegraph.plans import enriching, importing, records
+from rolegraph.plans import views
 from rolegraph.plans.views import sql
 
 
@@ -72,3 +73,30 @@ def test_urls_of_an_import_are_made_once(spark, sf):
     final = p[: p.index("Initial Plan")] if "Initial Plan" in p else p
     # The canonical URL is made by a generator.
     assert len(re.findall(r"Generate explode\(array\(", final)) == 1
+
+
+def test_imported_skills_lie_by_candidate(spark, sf, monkeypatch):
+    # More order lines take more tasks, and the last of them sorts a candidate's rows once, however many tables meet there.
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(views, "LINES", lines // 6)
+    tasks = views.parts(spark, sf)
+    assert tasks == lines // (lines // 6) + 1 > spark.sparkContext.defaultParallelism
+    p = plan(enriching.enriched_skills(spark, sf))
+    dealt = re.findall(r"Exchange hashpartitioning\(([^#]+)#[^,]*, (\d+)\), REPARTITION_BY_NUM", p)
+    assert {k for k, _ in dealt} >= {"candidate_id", "l_orderkey", "p_partkey"} and {int(n) for _, n in dealt} == {tasks}
+    assert len(re.findall(r"Sort \[candidate_id#[^,]*, key#", p)) == 1 and p.count("+- Window [") == 1
+
+
+def test_fate_of_rows(spark):
+    # What the steps one by one give: the last of a key, the stored rows without it, and those that replace modes leave.
+    frame = lambda rows: spark.createDataFrame(rows, "candidate_id long, key string, pos long, v int")
+    old = frame([(1, "a", 1, 1), (1, "a", 2, 2), (1, "b", 3, 3), (2, "a", 1, 4), (2, "b", 2, 5), (3, "a", 1, 6), (4, None, 1, 7), (None, "a", 1, 8)])
+    new = frame([(1, "a", 5, 11), (1, "a", 6, 12), (1, "c", 7, 13), (2, "b", 1, 14), (3, "a", 1, 15), (4, None, 1, 16), (None, "a", 2, 17)])
+    payloads = spark.createDataFrame([(1, "merge", []), (2, "replace_all", []), (4, "replace_sections", ["language"])], "candidate_id long, import_mode string, sections_present array<string>")
+    got = enrichment.settled(old, new, payloads, "skill", 3)
+    fates = {(r.v, r.fate) for r in got.collect()}
+    assert fates == {(1, "update"), (2, "update"), (3, "keep"), (12, "overwrite"), (13, "create"), (4, "delete"), (5, "update"), (14, "overwrite"), (6, "keep"), (7, "keep"), (16, "create"), (8, "keep")}
+    good = enrichment.last_of_key(new.join(payloads.select("candidate_id"), "candidate_id", "left_semi"), ["candidate_id", "key"])
+    want = enrichment.upserted(old, good, payloads, ["candidate_id", "key"], "skill")
+    rows = lambda df: sorted(map(str, df.select("candidate_id", "key", "pos", "v").collect()))
+    assert rows(got.filter("fate in ('keep', 'create', 'overwrite')")) == rows(want)

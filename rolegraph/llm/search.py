@@ -274,7 +274,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, item_col: str = "item
     """item_id, rank, doc_id, score: the k documents of highest score above 0 for each row of items."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "search")
-    index = scratch.keep(build(docs))
+    index = scratch.keep(build(docs), group_rows=1)
     # A query's number tells its partition and place; it is fixed when the table is written.
     asked = scratch.keep(items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{query_col}`").cast("string").alias("text")).withColumn("query", F.monotonically_increasing_id()))
     n_docs, n_terms = index.agg(F.sum("docs"), F.sum("terms_all")).first()

@@ -1,5 +1,6 @@
 """Operators 11 to 13 against brute force: on the given tables, on edge cases and on texts longer than a step."""
 
+import glob
 import hashlib
 import math
 import random
@@ -7,11 +8,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from rolegraph.llm import credentials, infill, search
-from rolegraph.llm.common import table
+from rolegraph.llm.common import Scratch, table
 
 R = random.Random(5)
 KINDS = ["assign", "access", "hex"]
@@ -142,6 +144,20 @@ def test_search_over_blocks_ranges_and_query_blocks(spark, monkeypatch, block, s
     assert [(i, k, int(d), int(s)) for (i, _), x in zip(own, best, strict=True) for k, (d, s) in enumerate(zip(x.ids, x.scores, strict=True), 1)] == want
 
 
+def test_index_blocks_are_read_one_at_a_time(spark, monkeypatch):
+    """A row group holds one block, however many a task has made: the reader decodes a whole group."""
+    made = []
+    monkeypatch.setattr(search, "BLOCK_TERMS", 50)
+    monkeypatch.setattr(search, "Scratch", lambda *a: made.append(Scratch(*a)) or made[-1])
+    docs, items = [(i, " ".join(R.choices("abcdefgh", k=10))) for i in range(60)], [(1, "a b"), (2, "h")]
+    # Texts in batches of one row, since a block is closed between steps only.
+    monkeypatch.setattr(search, "row_groups", lambda offs: ((i, i + 1) for i in range(len(offs) - 1)))
+    got = search.search(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"))
+    assert found(got) == sorted(brute_search(docs, items))
+    parts = [pq.ParquetFile(f).metadata for f in glob.glob(f"{made[0].folder.removeprefix('file://')}/1/*.parquet")]
+    assert [m.row_group(i).num_rows for m in parts for i in range(m.num_row_groups)] == [1] * 12
+
+
 def test_search_query_blocks(spark):
     docs = [(i, " ".join(R.choices("abcdefgh", k=5))) for i in range(60)]
     items = [(i, " ".join(R.choices("abcdefghz", k=3))) for i in range(25)]

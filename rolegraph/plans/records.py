@@ -108,7 +108,7 @@ FROM (SELECT o_orderkey, o_custkey, o_orderpriority, 'clerk ' || (o_orderkey % 9
   'cookie=[REDACTED],user=' || clerk AS redacted, evidence IS NULL OR (length(evidence) <= 2000 AND evidence NOT LIKE '<HTML>%') AS evidence_ok FROM ({_TEXTS})""")
 def result_texts(spark: SparkSession, d: str) -> DataFrame:
     """T9, T10, T12, T13, T16, T23, T24."""
-    t, c = sql(spark, d, _TEXTS), F.col
+    t, c = sql(spark, d, _TEXTS, dealt="orders"), F.col
     shown = X.title_parts(c("title"))
     hidden = X.redacted(F.create_map(F.lit("Cookie"), c("link"), F.lit("user"), c("clerk")))
     # By a generator, before any row goes to Python: the texts of evidence are not kept with it, nor spilled.

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from rolegraph.functions import text
 from rolegraph.operators import enrichment, extraction, imports, matching
 from rolegraph.plans import queries as Q
 from rolegraph.plans import enriching, importing, records
@@ -35,6 +36,15 @@ def test_evidence_does_not_pass_through_python(spark, sf):
     assert p.index("ArrowEvalPython") < p.index("Generate")
 
 
+def test_long_evidence_is_judged_by_its_bytes(spark, sf):
+    # Counting characters reads a whole text; rows of one file with texts that grow with the key go to all cores.
+    p = plan(records.result_texts(spark, sf))
+    assert "Exchange RoundRobin" in p and re.search(r"octet_length\(evidence#\d+\) <= 8000\) AND \(length\(evidence#\d+\) <= 2000", p)
+    texts = [None, "", "a" * 2000, "a" * 2001, "é" * 2000, "é" * 2001, "😀" * 2000, "😀" * 2000 + "a", "a" * 9000, "😀 <HtML>", "<!DOCTYPE html>"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.evidence_ok(F.col("t"))).collect()
+    assert [r[1] for r in sorted(got)] == [True, True, True, False, True, False, True, False, False, False, False]
+
+
 def test_discovery_reads_texts_once(spark):
     rows = spark.createDataFrame([(1, 1, "https://www.linkedin.com/in/ada", "ada", "Ada", None, None, None, None)], "result_id long, job_id long, normalized_url string, candidate_profile_slug string, displayed_name string, displayed_headline string, displayed_location string, title string, snippet string")
     none = spark.createDataFrame([], "candidate_id long, normalized_profile_url string, profile_slug string, created_at timestamp")

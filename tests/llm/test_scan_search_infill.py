@@ -158,6 +158,12 @@ def test_index_blocks_are_read_one_at_a_time(spark, monkeypatch):
     assert [m.row_group(i).num_rows for m in parts for i in range(m.num_row_groups)] == [1] * 12
 
 
+def test_documents_are_read_without_buffers_of_a_row_group(spark, sf, monkeypatch):
+    monkeypatch.setattr(search, "search", lambda docs, items: docs)
+    relation = search.op12_ranked_search(spark, sf)._jdf.queryExecution().analyzed().relation()
+    assert "parquet.hadoop.vectored.io.enabled -> false" in relation.options().toString()
+
+
 def test_search_query_blocks(spark):
     docs = [(i, " ".join(R.choices("abcdefgh", k=5))) for i in range(60)]
     items = [(i, " ".join(R.choices("abcdefghz", k=3))) for i in range(25)]
